@@ -33,7 +33,7 @@ def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """p_c(w | h) for two classes c: interpolated Kneser-Ney bigrams over class unigrams over shared continuations.
+    """p_c(w | h) for two classes c: interpolated Kneser-Ney bigrams over class continuations over shared continuations.
 
     The shared level is the share of distinct contexts that a word follows in either class; a word of one class
     only, or of none, gets its backoff from there in both, so that rare expressions don't decide alone.
@@ -51,11 +51,11 @@ class Model:
         self.unigram, self.backoff, self.pair_logs, self.back, self.unknown = [], [], [], [], []
         for c in (0, 1):
             own = owner == c
-            count = np.bincount(wid[own], minlength=len(self.words))
+            follows = np.bincount(pid[own], minlength=len(self.pairs))
+            count = np.bincount(wid[first][follows > 0], minlength=len(self.words))  # distinct contexts: copies add none
             total, kinds = max(count.sum(), 1), (count > 0).sum()
             left = discount * kinds / total if kinds else 1.0
             p = np.maximum(count - discount, 0) / total + left * shared
-            follows = np.bincount(pid[own], minlength=len(self.pairs))
             seen = np.bincount(hid[own], minlength=len(self.contexts))
             new = np.bincount(hid[first][follows > 0], minlength=len(self.contexts))
             back = np.where(seen > 0, discount * new / np.maximum(seen, 1), 1.0)
@@ -76,16 +76,23 @@ class Model:
         return hit, np.where(hit, values[place], other)
 
     def compare(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Per text two numbers: its length-normalised log-likelihood, toxic less ordinary, and that of its
-        most toxic words (the positive terms alone), both per square root of the number of words."""
+        """Per text the log-likelihoods, toxic less ordinary, at three lengths: of all bigrams per word, of the three
+        most toxic words per word, and of the single most toxic word; a word without context counts here, as what
+        marks a text as toxic is often one word in a long one."""
         before, pair = bigrams(hashes, at)
         seen, value = self._look(self.pairs, self.ratios[0], pair, 0.0)
+        alone = self._look(self.words, self.ratios[1], hashes, self.unknown_ratio)[1]
         rest = np.flatnonzero(~seen)
-        value[rest] = self._look(self.words, self.ratios[1], hashes[rest], self.unknown_ratio)[1] + self._look(self.contexts, self.ratios[2], before[rest], 0.0)[1]
-        n = np.maximum(np.diff(at), 1)
+        value[rest] = alone[rest] + self._look(self.contexts, self.ratios[2], before[rest], 0.0)[1]
+        n = np.diff(at)
         total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        strong = np.concatenate([[0.0], np.cumsum(np.where(value > 2.0, value, 0.0), dtype=np.float64)])
-        return np.stack([(total[at[1:]] - total[at[:-1]]) / n, (strong[at[1:]] - strong[at[:-1]]) / n, np.log(n)], axis=1)
+        out = np.zeros((len(n), 3))
+        out[:, 0] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+        for i in np.flatnonzero(n):
+            own = alone[at[i] : at[i + 1]]
+            top = np.partition(own, len(own) - 3)[-3:] if len(own) > 3 else own
+            out[i, 1:] = top.mean(), top.max()
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) -> np.ndarray:
@@ -103,9 +110,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    """The regression's inputs."""
-    mean, strong, n = x.T
-    return np.stack([mean, strong, np.sqrt(np.abs(mean)) * np.sign(mean), np.sqrt(strong), n, mean * n, strong * n], axis=1)
+    """The regression's inputs: the three log-likelihood ratios and their squares."""
+    return np.c_[x, x * np.abs(x)]
 
 
 def sample(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> tuple[list[list[str]], list[int]]:
