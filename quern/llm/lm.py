@@ -20,7 +20,7 @@ from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 #: Hashes that stand for the end of a text and for what comes before its first word.
 END, START = U(0xE11D0E11D0E11D01), U(0x57A4757A4757A473)
 #: Tokens a shard holds, and tokens a block sends at once.
-SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 1_500_000
+SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Weight of the unigram prior in a context, in tokens.
 PRIOR = 4.0
 #: Bits of a context's hash in the trie's second level.
@@ -187,6 +187,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 arrays += [keys, pa.ListArray.from_arrays(keys.offsets, batch.column(1)), pa.ListArray.from_arrays(keys.offsets, pa.array(lengths.astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["block", "shard", "tokens", "pairs", "contexts", "entries", "docs", "times", "trained", "doc_ids", "trains", "lengths"])
                 block += 1
+                pa.default_memory_pool().release_unused()
 
     def look_up(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -212,6 +213,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         if len(blocks):
             sizes = np.array([len(x) for x in tokens])
             token, context, count = np.concatenate(tokens), np.concatenate(contexts), np.concatenate(trains)
+            del tokens, contexts, trains, raw, part
             words, wid = np.unique(token, return_inverse=True)
             c_word = np.bincount(wid, weights=count, minlength=len(words)).astype(np.int64)
             if len(hot_tokens):  # a part of a hot word: its whole count is known
@@ -228,7 +230,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 trie = Trie(folder, words[has], np.append(np.searchsorted(owner, has), len(owner)), seen_code & U((1 << CONTEXT_BITS) - 1), logs)
                 seen, found = trie.find(token, context)
                 value = np.where(seen, found, np.log10(prior * p_word)[wid])
-                del trie
+                del trie, context, code, seen_code, at, owner, logs, seen_count, found, seen
             base, known = np.log10(c_word + 0.5)[wid], (c_word > 0)[wid]
             back = np.where(token == END, 0.0, -np.log10(c_word + prior)[wid])
             low = 0
@@ -242,6 +244,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 outs["known"].append(add(known).astype(np.uint32).tobytes())
                 for c, x in (("base", base), ("back", back), ("value", value)):
                     outs[c].append(add(x).astype(np.float64 if c == "base" else np.float32).tobytes())
+        pa.default_memory_pool().release_unused()
         empty = len(outs["block"])
         arrays = [pa.array(outs[c] + (heads["block"].to_pylist() if c == "block" else [None] * len(heads)), k) for c, k in zip(names[:6], kinds, strict=False)]
         for c, k in zip(names[6:], kinds[6:], strict=True):
