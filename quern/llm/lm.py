@@ -20,7 +20,7 @@ from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 #: Hashes that stand for the end of a text and for what comes before its first word.
 END, START = U(0xE11D0E11D0E11D01), U(0x57A4757A4757A473)
 #: Tokens a shard holds, and tokens a block sends at once.
-SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
+SHARD_TOKENS, BLOCK_TOKENS = 1_500_000, 1_200_000
 #: Weight of the unigram prior in a context, in tokens.
 PRIOR = 4.0
 #: Bits of a context's hash in the trie's second level.
@@ -207,9 +207,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             bits = np.unpackbits(np.frombuffer(raw["trained"][i], np.uint8))
             train_times = np.where(bits[docs_[-1]] == 1, times[-1], 0)
             trains.append(np.add.reduceat(train_times, np.cumsum(entries[-1]) - entries[-1]))
-        names = ["block", "docs", "base", "known", "back", "value", "doc_ids", "trains", "lengths"]
-        kinds = [pa.int64(), *[pa.binary()] * 5, *(heads[c].type for c in names[6:])]
-        outs: dict[str, list] = {c: [] for c in names[:6]}
+        names = ["block", "docs", "base", "known", "value", "doc_ids", "trains", "lengths"]
+        kinds = [pa.int64(), *[pa.binary()] * 4, *(heads[c].type for c in names[5:])]
+        outs: dict[str, list] = {c: [] for c in names[:5]}
         if len(blocks):
             sizes = np.array([len(x) for x in tokens])
             token, context, count = np.concatenate(tokens), np.concatenate(contexts), np.concatenate(trains)
@@ -232,7 +232,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 value = np.where(seen, found, np.log10(prior * p_word)[wid])
                 del trie, context, code, seen_code, at, owner, logs, seen_count, found, seen
             base, known = np.log10(c_word + 0.5)[wid], (c_word > 0)[wid]
-            back = np.where(token == END, 0.0, -np.log10(c_word + prior)[wid])
+            value += np.where(token == END, 0.0, -np.log10(c_word + prior)[wid])
             low = 0
             for i, m in enumerate(sizes):
                 pick = np.repeat(np.arange(low, low + m), entries[i])
@@ -241,36 +241,36 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 add = lambda x: np.bincount(inverse, weights=x[pick] * times[i], minlength=len(own))  # noqa: B023, E731
                 outs["block"].append(int(blocks[i]))
                 outs["docs"].append(own.astype(np.uint16).tobytes())
-                outs["known"].append(add(known).astype(np.uint32).tobytes())
-                for c, x in (("base", base), ("back", back), ("value", value)):
-                    outs[c].append(add(x).astype(np.float64 if c == "base" else np.float32).tobytes())
+                k = add(known)
+                outs["known"].append(k.astype(np.uint32 if k.max() > 255 else np.uint8).tobytes())
+                outs["base"].append(add(base).astype(np.float32).tobytes())
+                outs["value"].append(add(value).astype(np.float32).tobytes())
         pa.default_memory_pool().release_unused()
         empty = len(outs["block"])
-        arrays = [pa.array(outs[c] + (heads["block"].to_pylist() if c == "block" else [None] * len(heads)), k) for c, k in zip(names[:6], kinds, strict=False)]
-        for c, k in zip(names[6:], kinds[6:], strict=True):
+        arrays = [pa.array(outs[c] + (heads["block"].to_pylist() if c == "block" else [None] * len(heads)), k) for c, k in zip(names[:5], kinds, strict=False)]
+        for c, k in zip(names[5:], kinds[5:], strict=True):
             arrays.append(pa.chunked_array([pa.nulls(empty, k), *heads[c].chunks], k))
         return pa.table(arrays, names=names)
 
     def add_up(table: pa.Table) -> pa.Table:
         head = table.filter(pc.is_valid(table["doc_ids"])).combine_chunks()
         ids, trained_docs, lengths = (head[c].chunk(0).flatten() for c in ("doc_ids", "trains", "lengths"))
-        base, back, value, known = (np.zeros(len(ids)) for _ in range(4))
+        base, value, known = (np.zeros(len(ids)) for _ in range(3))
         part = table.filter(pc.is_valid(table["docs"]))
-        rows_ = sorted(zip(*(part[c].to_pylist() for c in ("docs", "base", "known", "back", "value")), strict=True))
-        for own, b, k, r, x in rows_:
+        rows_ = sorted(zip(*(part[c].to_pylist() for c in ("docs", "base", "known", "value")), strict=True))
+        for own, b, k, x in rows_:
             at = np.frombuffer(own, np.uint16)
-            base[at] += np.frombuffer(b, np.float64)
-            known[at] += np.frombuffer(k, np.uint32)
-            back[at] += np.frombuffer(r, np.float32)
+            base[at] += np.frombuffer(b, np.float32)
+            known[at] += np.frombuffer(k, np.uint8 if len(k) == len(at) else np.uint32)
             value[at] += np.frombuffer(x, np.float32)
-        return pa.table({"doc_id": ids, "train": trained_docs, "n_tokens": lengths, "n_known": known.astype(np.int64), "base": base, "back": back, "value": value})
+        return pa.table({"doc_id": ids, "train": trained_docs, "n_tokens": lengths, "n_known": known.astype(np.int64), "base": base, "value": value})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     blobs = "tokens binary, pairs binary, contexts binary, entries binary, docs binary, times binary, trained binary"
     head = f"doc_ids array<{kind}>, trains array<boolean>, lengths array<long>"
     sent = rows.mapInArrow(send, f"block long, shard long, {blobs}, {head}")
-    looked = sent.groupBy("shard").applyInArrow(look_up, f"block long, docs binary, base binary, known binary, back binary, value binary, {head}")
-    summed = looked.groupBy("block").applyInArrow(add_up, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, back double, value double")
+    looked = sent.groupBy("shard").applyInArrow(look_up, f"block long, docs binary, base binary, known binary, value binary, {head}")
+    summed = looked.groupBy("block").applyInArrow(add_up, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, value double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(scale))
-    whole = F.col("value") + F.col("back") - float(np.log10(trained + prior))
+    whole = F.col("value") - float(np.log10(trained + prior))
     return summed.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
