@@ -20,7 +20,7 @@ from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 #: Hashes that stand for the end of a text and for what comes before its first word.
 END, START = U(0xE11D0E11D0E11D01), U(0x57A4757A4757A473)
 #: Tokens a shard holds, and tokens a block sends at once.
-SHARD_TOKENS, BLOCK_TOKENS = 1_500_000, 1_200_000
+SHARD_TOKENS, BLOCK_TOKENS = 1_100_000, 1_000_000
 #: Weight of the unigram prior in a context, in tokens.
 PRIOR = 4.0
 #: Bits of a context's hash in the trie's second level.
