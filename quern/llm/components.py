@@ -15,7 +15,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and grouped minima on narrow rows, combined map-side, so a hub costs no more than its edges. Every round
     is written to the shared folder. Self-loops keep a node without other edges; nulls aren't allowed.
     """
-    stars = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
     before = None
     for _ in range(rounds):
         both = stars.union(stars.select("b", "a"))
@@ -23,7 +23,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a or b = m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        stars = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        stars = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

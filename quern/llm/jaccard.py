@@ -18,7 +18,7 @@ FOLD = 8
 #: How often empty blocks are dealt anew before they count as keys themselves.
 REHASH = 3
 #: Rounds of star comparisons before what is left of the buckets is compared pair by pair.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +168,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     lower-cased; fewer words are one shingle; none, or null: no set and no links, component_id is the own id).
     Equal sets are one class. Classes that share a sketch block form buckets; a bucket compares its smallest
     member with the others, links are verified on the whole sets, and members that are connected by then need no
-    more comparing. Buckets whose members still differ go on with their next member, and what is left after
-    ``star_rounds`` is compared pair by pair: no link between components is lost, and large groups of near copies
+    more comparing. In buckets that still hold several components a member of the smallest is compared with all others
+    and then leaves, and what is left after ``star_rounds`` is compared pair by pair: no link between components is lost, and large groups of near copies
     take a linear number of comparisons. Null keys count for the table but not as component_id unless all
     of a component's keys are null. Rows may repeat; other columns are not read.
     """
@@ -180,10 +180,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     bucketed = staged(keys.join(small(staged(shared), 2_000_000), "key").distinct())
     classes = staged(described.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min("th").alias("th")))
     wanted = bucketed.select("c1").distinct()
-    chosen = staged(classes.join(wanted, "c1", "left_semi"))
+    chosen = staged(classes.join(wanted, "c1", "left_semi"), narrow=True)
     sketches = described.select("rid", "sketch").join(small(chosen.select(F.col("node").alias("rid"))), "rid", "left_semi").withColumnRenamed("rid", "node")
-    near = staged(chosen.join(sketches, "node"))
-    texts = rows.select("th", "text").join(small(staged(chosen.select("th").distinct())), "th", "left_semi")
+    near = staged(chosen.join(sketches, "node"), narrow=True)
+    texts = rows.select("th", "text").join(small(staged(chosen.select("th").distinct(), narrow=True)), "th", "left_semi")
     sets = sets_of(texts, words).groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     sets = staged(chosen.select("c1", "c2", "node").join(sets, ["c1", "c2"]).select("node", "shingles"))
 
@@ -196,34 +196,45 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         possible = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
         checked = sized.where(possible).select("a", "b", "na", "nb").join(full["b"], "b").join(full["a"], "a")
         both = F.size(F.array_intersect("wa", "wb"))
-        return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"))
-
-    open_ = staged(bucketed.join(classes.select("c1", "node"), "c1").select("key", "node").distinct())
-    edges = labels = None
-    for turn in range(star_rounds + 2):
-        hubs = open_.groupBy("key").agg(F.min("node").alias("hub"))
-        stars = open_.join(hubs, "key")
-        if turn > star_rounds:
-            pairs = open_.alias("x").join(open_.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        elif turn:
-            pairs = stars.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        else:  # one partner each: mostly enough to connect near copies
-            pairs = stars.where("node > hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
-        if labels is not None:
-            one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-        found = verify(pairs.distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        labels = staged(connected(edges))
-        if turn > star_rounds:
-            break
-        if turn:
-            open_ = stars.where("node > hub").select("key", "node")
-        named = open_.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_ = staged(named.join(mixed, "key").select("key", "node"))
+        return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), narrow=True)
+
+    def still_open(rows_: DataFrame) -> DataFrame:
+        """The rows (key, node, label) of buckets with several labels."""
+        several = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return staged(rows_.join(several, "key"), narrow=True)
+
+    members = bucketed.join(classes.select("c1", "node"), "c1").select("key", "node").distinct()
+    members = staged(members)
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    # One partner each first: mostly enough to connect near copies.
+    first = members.join(hubs, "key").where("node > hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+    labels = staged(connected(verify(first)), narrow=True)
+    open_ = still_open(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    for turn in range(star_rounds + 1):
         if not open_.limit(1).count():
             break
+        if turn < star_rounds:
+            sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
+            hubs = sizes.groupBy("key").agg(F.min(F.struct("size", "label", "hub")).alias("m")).select("key", F.col("m.label").alias("own"), F.col("m.hub").alias("hub"))
+            stars = open_.join(hubs, "key")
+            pairs = stars.where("label <> own").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        else:
+            other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = open_.join(other, (open_["key"] == other["key"]) & (open_["label"] < other["other"])).select(F.col("node").alias("a"), "b")
+        found = verify(pairs.distinct())
+        moved = None
+        if found.limit(1).count():
+            name = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
+            joined = found.join(name["a"], "a", "left").join(name["b"], "b", "left")
+            moved = staged(connected(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), narrow=True).toDF("label", "to")
+            singles = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+            labels = staged(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(singles), narrow=True)
+        if turn == star_rounds:
+            break
+        rest = stars.where("node <> hub").select("key", "node", "label")
+        if moved is not None:
+            rest = rest.join(moved, "label", "left").select("key", "node", F.coalesce("to", "label").alias("label"))
+        open_ = still_open(rest)
     linked = classes.join(labels, "node", "left").select("c1", "c2", "n", "first_id", F.coalesce("label", "node").alias("label"))
     component = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     final = linked.join(component, "label").select("c1", "c2", "n", "component_id")
