@@ -1,4 +1,521 @@
-"""Registered queries, by name."""
+"""Registered queries of the feature-program operators, each with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables have no missing values, so both sides put some in with the same expression.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions.grammar import IID_FAMILIES
+from quern.operators import audit, certify, features, scoring, selection, splits, temporal
+from quern.sources import datasets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+ORDERS = """select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as price,
+ o_totalprice - 150000 as signed, cast(o_orderkey % 5 as double) as small,
+ case when o_orderkey % 11 = 0 then null else o_orderpriority end as priority, o_orderstatus as status,
+ case when o_orderkey % 9 = 0 then o_orderstatus else o_orderpriority end as other from orders"""
+NAMES = ["o_orderkey", "price", "signed", "small", "priority", "status", "other"]
+TYPES = {"priority": "categorical", "status": "categorical", "other": "categorical"}
+SPLIT = "case when b < 2000 then 'test' when b < 3600 then 'val' else 'train' end"
+BUCKET = "('0x' || substr(md5('0:' || o_orderkey), 1, 8))::bigint % 10000"
+BASE = f"with base as ({ORDERS}), o as (select *, {SPLIT} as _split from (select *, {BUCKET} as b from base)), t as (select * from o where _split = 'train') "
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ORDERS.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+def split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.train_val_test(orders(spark, sf_dir), "o_orderkey")
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def col(i: int) -> dict:
+    return {"op": "Col", "col_index": i}
+
+
+def const(v, dtype: str = "numeric") -> dict:
+    return {"op": "Const", "value": v, "dtype": dtype}
+
+
+def un(op: str, x: dict) -> dict:
+    return {"op": op, "child": x}
+
+
+def two(op: str, a: dict, b: dict) -> dict:
+    return {"op": op, "left": a, "right": b}
+
+
+def compute(df: DataFrame, programs: dict[str, dict]) -> DataFrame:
+    fitted = features.fit(df, programs, TYPES, NAMES)
+    return features.apply(df, programs, TYPES, fitted, ["o_orderkey"], NAMES)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+THREE = [col(1), col(2), col(3)]
+#: name: (program, SQL over base).
+SCALARS = {
+    "log1p": (un("Log1p", col(2)), "case when signed > -1 then ln(1 + signed) end"),
+    "sqrt_clip0": (un("Sqrt", two("Add", col(1), col(2))), "sqrt(case when price + signed < 0 then 0 else price + signed end)"),
+    "abs": (un("Abs", col(2)), "abs(signed)"),
+    "square": (un("Square", un("Log1p", col(1))), "ln(1 + price) * ln(1 + price)"),
+    "reciprocal": (un("Reciprocal", col(3)), "1.0 / nullif(small, 0)"),
+    "is_null": (un("IsNull", col(1)), "(price is null)::int::double"),
+    "add": (two("Add", col(1), col(2)), "price + signed"),
+    "subtract": (two("Subtract", col(1), col(2)), "price - signed"),
+    "multiply": (two("Multiply", col(1), col(3)), "price * small"),
+    "divide": (two("Divide", col(1), col(3)), "price / nullif(small, 0)"),
+    "ratio": (two("Ratio", col(2), col(3)), "signed / nullif(small, 0)"),
+    "cross": (two("Cross", col(4), col(5)), "coalesce(priority, 'nan') || '_x_' || status"),
+    "is_equal": (two("IsEqual", col(4), col(6)), "(priority is not distinct from other)::int::double"),
+    "one_hot_select": (two("OneHotSelect", col(5), const("F", "categorical")), "(status = 'F')::int::double"),
+    "coalesce": (two("Coalesce", col(1), const(-1.5)), "coalesce(price, -1.5)"),
+    "row_mean": ({"op": "RowMean", "children": THREE}, "(coalesce(price, 0) + signed + small) / (case when price is null then 2 else 3 end)"),
+    "row_max": ({"op": "RowMax", "children": THREE}, "greatest(price, signed, small)"),
+    "row_min": ({"op": "RowMin", "children": THREE}, "least(price, signed, small)"),
+    "row_sum": ({"op": "RowSum", "children": THREE}, "coalesce(price, 0.0) + signed + small"),
+    "row_std": ({"op": "RowStd", "children": THREE}, "(select stddev_samp(v) from (values (price), (signed), (small)) x(v))"),
+}
+for _name, (_program, _sql) in SCALARS.items():
+    _digits = 3 if _name == "row_std" else 6
+    _value = _sql if _name == "cross" else f"round({_sql}, {_digits})"
+    query(_name, f"with base as ({ORDERS}) select o_orderkey, {_value} as value from base")(lambda s, d, p=_program, n=_digits: rounded(compute(orders(s, d), {"value": p}), n))
+
+TENTHS = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+CODES = "case when price is not null then len(list_filter(e, lambda b: b < price))::int end"
+#: name: (program, statistics on the train rows t, joins, SQL).
+FITS = {
+    "zscore": (un("ZScore", col(1)), "(select avg(price) m, stddev_samp(price) s from t)", "", "round((price - m) / s, 6)"),
+    "minmax": (un("MinMaxScale", col(1)), "(select min(price) a, max(price) z from t)", "", "round((price - a) / (z - a), 6)"),
+    "quantile_bucketize": (un("QuantileBucketize", col(1)), f"(select quantile_cont(price, {TENTHS}) e from t)", "", f"({CODES})::double"),
+    "clip_p01_p99": (un("Clip", col(1)), "(select quantile_cont(price, 0.01) a, quantile_cont(price, 0.99) z from t)", "", "round(case when price is not null then least(greatest(price, a), z) end, 6)"),
+    "frequency_encode": (un("FrequencyEncode", col(4)), "(select 1)", "left join (select coalesce(priority, 'nan') k, count(*)::double v from t group by 1) m on coalesce(o.priority, 'nan') = k", "v"),
+    "target_encode": ({"op": "TargetEncode", "cat_col": col(4), "label_col": col(1)}, "(select 1)", "left join (select coalesce(priority, 'nan') k, avg(price) v from t group by 1) m on coalesce(o.priority, 'nan') = k", "round(v, 6)"),
+    "nested_fit": (un("MinMaxScale", un("ZScore", col(1))), "(select min(price) a, max(price) z from t)", "", "round((price - a) / (z - a), 6)"),
+    "nested_frequency": (un("FrequencyEncode", un("QuantileBucketize", col(1))), f"(select quantile_cont(price, {TENTHS}) e from t)", f"left join (select coalesce(({CODES})::varchar, 'nan') k, count(*)::double v from t, (select quantile_cont(price, {TENTHS}) e from t) group by 1) m on coalesce(({CODES})::varchar, 'nan') = k", "v"),
+}
+for _name, (_program, _stats, _join, _sql) in FITS.items():
+    query(_name, f"{BASE} select o.o_orderkey, {_sql} as value from o cross join {_stats} {_join}")(lambda s, d, p=_program: rounded(compute(split_orders(s, d), {"value": p}).select("o_orderkey", F.col("value").cast("double").alias("value"))))
+
+FLAGSHIP = {"z": FITS["zscore"][0], "bucket": FITS["quantile_bucketize"][0], "frequency": FITS["frequency_encode"][0], "encoded": {"op": "TargetEncode", "cat_col": col(5), "label_col": col(1)}, "crossed": SCALARS["cross"][0], "mean": SCALARS["row_mean"][0]}
+
+
+@query("apply_program_set", f"""{BASE}, s as (select avg(price) m, stddev_samp(price) d, quantile_cont(price, {TENTHS}) e from t),
+f as (select coalesce(priority, 'nan') k, count(*)::double v from t group by 1), g as (select status k, avg(price) v from t group by 1)
+select o_orderkey, round((price - m) / d, 6) as z, ({CODES})::double as bucket, f.v as frequency, round(g.v, 6) as encoded,
+ {SCALARS['cross'][1]} as crossed, round({SCALARS['row_mean'][1]}, 6) as mean
+from o cross join s left join f on coalesce(priority, 'nan') = f.k left join g on status = g.k""")
+def apply_program_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compute(split_orders(spark, sf_dir), FLAGSHIP).withColumn("bucket", F.col("bucket").cast("double")))
+
+
+@query("split_counts", f"{BASE} select _split, count(*) as n from o group by 1")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_orders(spark, sf_dir).groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("union_splits", f"{BASE} select count(*) as n, round(sum(signed), 2) as total from o where _split in ('train', 'val')")
+def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_orders(spark, sf_dir).where(F.col("_split").isin("train", "val")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("signed"), 2).alias("total"))
+
+
+@query("label_encode", "select o_orderkey, dense_rank() over (order by o_orderpriority) - 1 as label_code from orders")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = splits.label_encode(table(spark, sf_dir, "orders"), "o_orderpriority")
+    return out.select("o_orderkey", F.col("label_code").cast("bigint").alias("label_code"))
+
+
+@query("kfold", "select o_orderkey, ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint % 5 as fold from orders")
+def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.k_fold(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.col("fold").cast("bigint").alias("fold"))
+
+
+@query("stratified_kfold", "select o_orderkey, o_orderstatus, ntile(5) over (partition by o_orderstatus order by md5('42:' || o_orderkey)) - 1 as fold from orders")
+def stratified_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = splits.stratified_k_fold(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return out.select("o_orderkey", "o_orderstatus", F.col("fold").cast("bigint").alias("fold"))
+
+
+@query("sample_mini_split", "select o_orderkey, case when row_number() over (order by h) <= floor(0.8 * count(*) over ()) then 'train' else 'eval' end as part from (select o_orderkey, md5('42:' || o_orderkey) as h from orders order by h limit 2000)")
+def sample_mini_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.mini_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+PROFILED = "select price, signed, case when o_orderkey % 3 > 0 then null else small end as sparse, 1.0 as one, priority, status, 'x' as same from base"
+
+
+@query("feature_profile", f"with base as ({ORDERS}), p as ({PROFILED}), l as (" + " union all ".join(f"select '{c}' as feature_id, count(*) as n, round(avg(({c} is null)::int), 6) as missing_rate, round(stddev_samp({c}::double), 4) as std, 0::bigint as n_distinct from p" for c in ("price", "signed", "sparse", "one")) + " union all " + " union all ".join(f"select '{c}', count(*), round(avg(({c} is null)::int), 6), null, count(distinct {c}) from p" for c in ("priority", "status", "same")) + ") select feature_id, n, missing_rate, std, n_distinct, case when missing_rate > 0.5 then 'TIER1_NAN' when std < 1e-9 or n_distinct = 1 then 'TIER1_CONSTANT' else '' end as reason, not (missing_rate > 0.5 or coalesce(std < 1e-9 or n_distinct = 1, false)) as ok from l")
+def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(PROFILED.replace("from base", "from {base}").replace("1.0 as one", "1.0d as one"), base=orders(spark, sf_dir))
+    out = selection.profile(rows, ["price", "signed", "sparse", "one"], ["priority", "status", "same"])
+    return out.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("bigint"))).withColumn("missing_rate", F.round("missing_rate", 6)).withColumn("std", F.round("std", 4))
+
+
+PAIRS = [("price", "signed"), ("price", "small"), ("signed", "small"), ("signed", "flipped")]
+RANKS = f"with base as (select *, -signed as flipped from ({ORDERS})), l as (" + " union all ".join(f"select '{a}' as candidate, '{b}' as accepted, md5('42:' || o_orderkey) as h, {a}::double as a, {b}::double as b from base where {a} is not null and {b} is not null" for a, b in PAIRS) + """),
+s as (select * from l qualify row_number() over (partition by candidate, accepted order by h) <= 5000),
+r as (select *, rank() over (partition by candidate, accepted order by a) + (count(*) over (partition by candidate, accepted, a) - 1) / 2.0 as ra,
+ rank() over (partition by candidate, accepted order by b) + (count(*) over (partition by candidate, accepted, b) - 1) / 2.0 as rb from s),
+pairs as (select candidate, accepted, count(*) as n, round(case when count(*) >= 30 then corr(ra, rb) else 0 end, 6) as value_sim from r group by 1, 2)"""
+
+
+def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = selection.rank_correlation(orders(spark, sf_dir).withColumn("flipped", -F.col("signed")), "o_orderkey", PAIRS)
+    return out.withColumn("value_sim", F.round("value_sim", 6))
+
+
+@query("spearman_pairs", f"{RANKS} select * from pairs")
+def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_table(spark, sf_dir)
+
+
+def with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = spark.createDataFrame([("price", 0, "p"), ("signed", 1, "s"), ("small", 2, "m"), ("flipped", 3, "s")], "feature_id string, seq int, hash string")
+    return selection.redundancy(pair_table(spark, sf_dir), tags)
+
+
+BEST = """, h(f, seq, hash) as (values ('price', 0, 'p'), ('signed', 1, 's'), ('small', 2, 'm'), ('flipped', 3, 's')),
+sims as (select candidate, accepted, b.seq, greatest(value_sim, (a.hash = b.hash)::int, 0)::double as sim from pairs join h a on candidate = a.f join h b on accepted = b.f),
+best as (select * from sims qualify row_number() over (partition by candidate order by sim desc, seq) = 1)"""
+
+
+@query("redundancy_max", f"{RANKS}{BEST} select candidate, sim as redundancy_max, case when sim > 0 then accepted else '' end as redundancy_argmax, sim < 0.92 as passes from best")
+def redundancy_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_hashes(spark, sf_dir)
+
+
+@query("redundancy_gate", f"{RANKS}{BEST} select candidate, case when sim >= 0.92 then 'POST_EVAL_REDUNDANT' else '' end as rejection_reason from best")
+def redundancy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_hashes(spark, sf_dir).select("candidate", F.when(~F.col("passes"), "POST_EVAL_REDUNDANT").otherwise("").alias("rejection_reason"))
+
+
+@query("select_nonredundant", f"{RANKS}, twins as (select * from pairs where value_sim >= 0.92) select f as feature_id from (values ('price'), ('signed'), ('small'), ('flipped')) x(f) where f <> 'signed' or not exists (select 1 from twins where candidate = 'price' and accepted = 'signed')")
+def select_nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = selection.select_nonredundant(pair_table(spark, sf_dir), ["price", "signed", "small", "flipped"])
+    return spark.createDataFrame([(k,) for k in kept], "feature_id string")
+
+
+# Certificates: ten kinds of programs, one from each part.
+
+#: kind: (family, program, output, canonical JSON, failure code, certificate that fails, witness); {i} is p_size % 8.
+KINDS = {
+    0: ("normalization", un("ZScore", {"op": "Col", "col_index": "I"}), None),
+    1: ("nonlinear_transform", un("Log1p", {"op": "TargetEncode", "cat_col": col(2), "label_col": col(5)}), None),
+    2: ("categorical_encoding", {"op": "TargetEncode", "cat_col": col(2), "label_col": col(5)}, None),
+    3: ("arithmetic", two("Add", un("IsNull", col(4)), col(0)), None),
+    4: ("arithmetic", two("Ratio", col(4), col(0)), {"type": "numeric", "unit": "unitless"}),
+    5: ("categorical_interaction", two("Cross", col(1), col(2)), {"type": "categorical"}),
+    6: ("rowwise_stats", {"op": "RowMean", "children": [col(0), col(4)]}, {}),
+    7: ("categorical_encoding", un("FrequencyEncode", col(4)), None),
+    8: ("normalization", un("ZScore", {"op": "Col", "col_index": 0, "source_split": "test"}), None),
+    9: ("nonlinear_transform", un("Abs", {"op": "Col", "col_index": 0, "time_origin": "2025-06-01"}), None),
+}
+COLUMNS = [(0, "numeric", "unitless", False), (1, "categorical", "unitless", False), (2, "categorical", "unitless", False), (3, "categorical", "unitless", False), (4, "numeric", "count", False), (5, "numeric", "unitless", True)]
+T_STAR = "2025-01-01"
+
+
+def canonical(kind: int) -> str:
+    return json.dumps(KINDS[kind][1], sort_keys=True, separators=(",", ":"))
+
+
+def by_kind(make: Callable[[int], str]) -> str:
+    return "case k " + " ".join(f"when {k} then {make(k)}" for k in KINDS) + " end"
+
+
+TEXT = by_kind(lambda k: "replace('" + canonical(k) + "', '\"I\"', i::varchar)")
+CODE = "case k when 0 then case when i in (1, 2, 3) then 'C4.TYPE' when i = 5 then 'C2.TARGET_LEAK' when i > 5 then 'C1.UNKNOWN_COLUMN' end when 1 then 'C2.TARGET_LEAK' when 3 then 'C4.TYPE' when 4 then 'C4.UNIT' when 7 then 'C4.TYPE' when 8 then 'C5.FIT_LEAK' when 9 then 'C3.FUTURE_TIME' end"
+PARTS = f"with p as (select 'f' || p_partkey as feature_id, p_partkey as seq, p_partkey % 10 as k, p_size % 8 as i from part), c as (select *, {TEXT} as program, {CODE} as code, k in (3, 4, 7) or (k = 0 and i in (1, 2, 3, 6, 7)) as broken from p)"
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature_id"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 10).cast("int").alias("k"), (F.col("p_size") % 8).cast("string").alias("i"))
+    pick = lambda make: F.get(F.array(*[F.lit(make(k)).cast("string") for k in KINDS]), F.col("k"))
+    output = pick(lambda k: None if KINDS[k][2] is None else json.dumps(KINDS[k][2]))
+    return parts.select("feature_id", "seq", pick(lambda k: KINDS[k][0]).alias("family"), F.replace(pick(canonical), F.lit('"I"'), F.col("i")).alias("program"), output.alias("output"))
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*r, False) for r in COLUMNS], "col_index int, dtype string, unit string, is_target boolean, is_forbidden boolean")
+
+
+def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certify.nodes(programs(spark, sf_dir), schema(spark))
+
+
+@query("program_nodes", f"{PARTS} select feature_id, case when broken then 1 else case k when 1 then 4 when 2 then 3 when 5 then 3 when 6 then 3 else 2 end end as nodes, case when broken then code end as error from c")
+def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiled(spark, sf_dir).groupBy("feature_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("error").alias("error"))
+
+
+def _certificate(cert: str, code: str, witness: str):
+    sql = f"{PARTS} select feature_id, case when code = '{code}' then 'fail' else 'pass' end as verdict, case when code = '{code}' then {witness} else '' end as witness from c where not broken"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = certify.traces(compiled(spark, sf_dir), schema(spark), T_STAR).where(F.col("cert") == cert)
+        return own.select("feature_id", "verdict", F.array_join("witness", ",").alias("witness"))
+
+    return sql, run
+
+
+for _name, _cert, _code, _witness in (("cert_schema", "C1", "C1.SCHEMA", "''"), ("cert_leakage", "C2", "C2.TARGET_LEAK", "case k when 1 then 'n3' else 'n1' end"), ("cert_temporal", "C3", "C3.FUTURE_TIME", "'n0'"), ("cert_type_unit", "C4", "C4.NONE", "''"), ("cert_train_only", "C5", "C5.FIT_LEAK", "'n1'"), ("cert_lineage", "C6", "C6.LINEAGE", "''")):
+    _sql, _run = _certificate(_cert, _code, _witness)
+    query(_name, _sql)(_run)
+
+
+@query("cert_verdicts", f"{PARTS} select feature_id, code is null as passed, code as failure_code from c")
+def cert_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = compiled(spark, sf_dir).persist()
+    return certify.verdicts(own, certify.traces(own, schema(spark), T_STAR))
+
+
+@query("program_hash", f"{PARTS} select feature_id, substr(sha256(program), 1, 16) as hash from c")
+def program_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiled(spark, sf_dir).select("feature_id", "hash").distinct()
+
+
+@query("program_dedup", f"{PARTS} select feature_id, row_number() over (partition by program order by seq) > 1 as duplicate from c")
+def program_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certify.first_of_each(compiled(spark, sf_dir), programs(spark, sf_dir)).select("feature_id", "duplicate")
+
+
+@query("program_columns", f"{PARTS} select feature_id, case k when 0 then i::varchar when 1 then '2,5' when 2 then '2,5' when 5 then '1,2' when 6 then '0,4' else '0' end as col_group from c where not broken")
+def program_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = certify.column_sets(compiled(spark, sf_dir))
+    return own.select("feature_id", F.array_join(F.col("col_group").cast("array<string>"), ",").alias("col_group"))
+
+
+# Audit records, one from each event.
+
+FAMILY = "case event_id % 7 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(IID_FAMILIES[:6])) + " else 'temporal_trend' end"
+RECORDS = f"""select user_id % 20 as run_id, event_id as seq, cast(floor(event_id / 50) as int) as round, concat('f', event_id) as feature_id, {FAMILY} as family,
+ cast(event_id % 4 as int) as c1, cast(4 + event_id % 3 as int) as c2,
+ case event_id % 6 when 0 then case when event_id % 7 = 3 then 'rejected_gain' else 'accepted' end when 1 then 'rejected_compile' when 2 then 'rejected_cert' when 3 then 'rejected_redundant' else 'rejected_gain' end as status,
+ case event_id % 6 when 0 then '' when 1 then 'C4.TYPE' when 2 then 'C2.TARGET_LEAK' when 3 then 'POST_EVAL_REDUNDANT' else 'TIER3_SINGLE_FAIL' end as rejection_reason,
+ value / 1000 as delta_mean, value as verify_ms, value / 10 as eval_seconds from events"""
+REC = f"with r as ({RECORDS}) "
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(RECORDS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return rows.withColumn("col_group", F.array("c1", "c2"))
+
+
+@query("status_counts", f"{REC} select run_id, count(*) as total, count(*) filter (status = 'accepted') as accepted, count(*) filter (status <> 'accepted') as rejected, max(delta_mean) filter (status = 'accepted') as best_gain from r group by 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.status_counts(records(spark, sf_dir))
+
+
+@query("rejection_rollup", f"{REC} select status, rejection_reason, count(*) as n from r where status <> 'accepted' group by rollup (status, rejection_reason)")
+def rejection_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rejections(records(spark, sf_dir))
+
+
+@query("cumulative_cost", f"{REC} select run_id, seq, k, seconds from (select run_id, seq, status, count(*) filter (status = 'accepted') over w as k, round(sum(verify_ms / 1000 + eval_seconds) over w, 6) as seconds from r window w as (partition by run_id order by seq rows between unbounded preceding and current row)) where status = 'accepted'")
+def cumulative_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.cumulative_cost(records(spark, sf_dir)).withColumn("seconds", F.round("seconds", 6))
+
+
+COVER = f"{REC}, c as (select family, c1 || ',' || c2 as col_group, count(*) filter (status = 'accepted') as n_accepted, count(*) filter (status <> 'accepted') as n_rejected, max(round) as last_round, bool_or(status = 'accepted') as covered from r group by 1, 2)"
+
+
+@query("coverage", f"{COVER} select * from c")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.coverage(records(spark, sf_dir)).withColumn("col_group", F.array_join(F.col("col_group").cast("array<string>"), ","))
+
+
+FAMS = "(values " + ", ".join(f"('{f}')" for f in IID_FAMILIES) + ") f(family)"
+
+
+@query("undercovered", f"{COVER} select family, 'unexplored' as status, null as col_group, 0::bigint as n_rejected from {FAMS} where family not in (select family from c) union all select family, 'all_rejected', col_group, n_rejected from c where n_accepted = 0")
+def undercovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.undercovered(audit.coverage(records(spark, sf_dir))).withColumn("n_rejected", F.coalesce("n_rejected", F.lit(0).cast("bigint")))
+    return out.withColumn("col_group", F.array_join(F.col("col_group").cast("array<string>"), ","))
+
+
+@query("family_yield", f"{COVER}, g as (select family, sum(n_accepted)::bigint a, sum(n_rejected)::bigint b, count(distinct col_group) d from c group by 1) select f.family, coalesce(a, 0) as n_accepted, coalesce(b, 0) as n_rejected, round(a::double / (a + b), 6) as yield_rate, coalesce(d, 0) as col_groups, case when a is null then 'PRIORITY' when a = 0 and b > 0 then 'AVOID' else '' end as advice from {FAMS} left join g on f.family = g.family")
+def family_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.family_yield(audit.coverage(records(spark, sf_dir))).withColumn("yield_rate", F.round("yield_rate", 6))
+
+
+@query("recent_rejections", f"{REC} select seq, feature_id, rejection_reason from r where status in ('rejected_compile', 'rejected_cert') order by seq desc limit 10")
+def recent_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.recent_rejections(records(spark, sf_dir))
+
+
+ROUNDS = f"{REC}, q as (select run_id, round, count(*) filter (status = 'accepted') as accepted from r group by 1, 2)"
+
+
+@query("stop_round", f"""{ROUNDS}, w as (select *, sum(accepted) over x as total, row_number() over x as place from q window x as (partition by run_id order by round)),
+l as (select *, coalesce(max(case when accepted > 0 then place end) over (partition by run_id order by round), 0) as last from w),
+s as (select run_id, round, case when place >= 50 then 'budget' when place - last >= 5 then 'no_accept' when total >= 30 then 'k_max' end as reason from l),
+f as (select * from s where reason is not null qualify row_number() over (partition by run_id order by round) = 1)
+select e.run_id, coalesce(f.round, e.final) as stop_round, coalesce(f.reason, 'running') as reason from (select run_id, max(round) as final from q group by 1) e left join f on e.run_id = f.run_id""")
+def stop_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds = records(spark, sf_dir).groupBy("run_id", "round").agg(F.count_if(F.col("status") == "accepted").alias("accepted"))
+    return audit.stop_round(rounds)
+
+
+GUESS = "select o_orderkey, o_orderstatus as label, case when o_orderkey % 3 = 0 then 'F' else o_orderstatus end as prediction, o_totalprice as y, o_totalprice * 0.9 + o_orderkey % 1000 as p from orders"
+
+
+@query("micro_f1", f"select round(avg((label = prediction)::int), 6) as micro_f1 from ({GUESS})")
+def micro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(GUESS.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+    return rounded(audit.micro_f1(rows, "label", "prediction"))
+
+
+@query("r2", f"select round(1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)), 6) as r2 from ({GUESS}), (select avg(o_totalprice) m from orders)")
+def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(GUESS.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+    return rounded(audit.r2(rows, "y", "p"))
+
+
+@query("marginal_gain", "select event_id, round((value - event_id % 13) / greatest(abs(event_id % 13), 1e-9), 7) as gain from events where event_id % 13 > 0")
+def marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("base", (F.col("event_id") % 13).cast("double")).where("base > 0")
+    return rows.select("event_id", F.round(audit.marginal_gain(F.col("value"), F.col("base")), 7).alias("gain"))
+
+
+DELTAS = "select event_id, case when event_id % 10 = 0 then 'TIER1_NAN' else '' end as tier1_reason, (event_id % 17) / 1000.0 as d2, (event_id % 19) / 1000.0 as d3, (event_id % 23) / 1000.0 as d4, case when event_id % 29 = 0 then 'C4.TYPE' end as compile_error, case when event_id % 31 = 0 then 'C2.TARGET_LEAK' end as cert_code, case when event_id % 37 = 0 then 'EXECUTION_FAILED' end as execution_error, (event_id % 101) / 100.0 as redundancy_max from events"
+GATE = "case when tier1_reason <> '' then tier1_reason when d2 < 0.003 then 'TIER2_NO_SIGNAL' when d3 < 0.01 then 'TIER3_SINGLE_FAIL' when (d4 + 0.01) < 0.015 then 'TIER4_LOW_GAIN' else '' end"
+
+
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(DELTAS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    x = lambda c: F.col(c).cast("double")
+    rows = rows.select("*", x("d2").alias("delta2"), x("d3").alias("delta3"), F.array(x("d4"), x("d4") + 0.01).alias("deltas4")).withColumn("redundancy_max", x("redundancy_max"))
+    return audit.tier_gates(rows, 0.01, tier2=True, tier4=True)
+
+
+GATE4 = GATE.replace("(d4 + 0.01) < 0.015", "d4 + 0.005 < 0.01 and event_id % 23 < 5")
+
+
+@query("tier_gates", f"select event_id, {GATE4} as tier_reason, round(d4 + 0.005, 6)::double as delta4_mean, 0.005::double as delta4_std from ({DELTAS})")
+def tier_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas(spark, sf_dir).select("event_id", "tier_reason", F.round("delta4_mean", 6).alias("delta4_mean"), F.round("delta4_std", 6).alias("delta4_std"))
+
+
+@query("acceptance_funnel", f"""select event_id, case when compile_error is not null then 'rejected_compile' when cert_code is not null then 'rejected_cert' when execution_error is not null then 'rejected_execution' when redundancy_max >= 0.92 then 'rejected_redundant' when tier_reason <> '' then 'rejected_gain' else 'accepted' end as status,
+coalesce(compile_error, cert_code, execution_error, case when redundancy_max >= 0.92 then 'POST_EVAL_REDUNDANT' end, tier_reason) as rejection_reason from (select *, {GATE4} as tier_reason from ({DELTAS}))""")
+def acceptance_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.funnel(deltas(spark, sf_dir)).select("event_id", "status", "rejection_reason")
+
+
+# Model inputs and scores.
+
+
+@query("model_input", f"with base as ({ORDERS}) select o_orderkey, coalesce(price, -1.0) as price, signed, dense_rank() over (order by coalesce(priority, 'nan')) - 1 as priority from base")
+def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.model_input(orders(spark, sf_dir).select("o_orderkey", "price", "signed", "priority"), ["price", "signed"], ["priority"])
+    return out.withColumn("priority", F.col("priority").cast("bigint"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.label_encode(split_orders(spark, sf_dir), "status").withColumnRenamed("label_code", "label")
+    return scoring.model_input(rows.select("o_orderkey", "_split", "label", "price", "signed", "small", "priority"), ["price", "signed", "small"], ["priority"])
+
+
+INPUTS = ["price", "signed", "small", "priority"]
+
+
+@query("model_score")
+def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    return spark.createDataFrame([(n, scoring.score(rows.where("_split = 'train'"), rows.where("_split = 'val'"), INPUTS, "C", n, 20)) for n in ("RF", "LR")], "model string, score double")
+
+
+@query("cv_score")
+def cv_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).where("_split = 'train'")
+    return spark.createDataFrame(list(enumerate(scoring.cross_validated(rows, "o_orderkey", INPUTS, "C", "LR"))), "fold int, score double")
+
+
+@query("final_score")
+def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    return spark.createDataFrame([(scoring.score(rows.where("_split <> 'test'"), rows.where("_split = 'test'"), INPUTS, "C", "RF", 20),)], "score double")
+
+
+# Temporal and entity features on events.
+
+EVENTS = "select event_id, user_id, ts, case when event_id % 8 = 0 then null else value end as x, event_id % 100 as amount from events"
+LAST5 = "(partition by user_id order by ts rows between 4 preceding and current row)"
+W = "over (partition by user_id order by ts)"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EVENTS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+
+
+for _name, _make, _sql in (
+    ("window_agg", lambda: temporal.window_agg("user_id", "ts", "amount", 86_400 * 7).cast("bigint"), "(sum(amount) over (partition by user_id order by ts range between interval 7 days preceding and current row))::bigint"),
+    ("lag_value", lambda: temporal.lag("user_id", "ts", "x"), f"lag(x) {W}"),
+    ("trend_slope", lambda: F.round(temporal.trend("user_id", "ts", "amount") * 86_400, 4), f"round(regr_slope(amount, epoch_us(ts) / 1e6 - 1.7e9) over {LAST5} * 86400, 4)"),
+    ("time_since", lambda: F.round(temporal.time_since("user_id", "ts"), 3), f"round((epoch_us(ts) - epoch_us(lag(ts) {W})) / 1e6, 3)"),
+    ("rolling_mean", lambda: F.round(temporal.rolling_mean("user_id", "ts", "x"), 6), f"round(avg(x) over {LAST5}, 6)"),
+    ("rolling_std", lambda: F.round(temporal.rolling_std("user_id", "ts", "x"), 5), f"round(stddev_samp(x) over {LAST5}, 5)"),
+):
+    query(_name, f"select event_id, {_sql} as value from ({EVENTS})")(lambda s, d, m=_make: events(s, d).select("event_id", m().alias("value")))
+
+
+@query("group_by_agg", f"select user_id, round(avg(x), 6) as value from ({EVENTS}) where ts <= (select timestamp '2024-01-15') group by 1")
+def group_by_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.group_by_agg(events(spark, sf_dir), "user_id", "x", "avg", "ts", "2024-01-15"))
+
+
+@query("entity_join", "select o_orderkey, c_mktsegment, c_acctbal from orders left join customer on o_custkey = c_custkey")
+def entity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attributes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
+    return temporal.entity_join(table(spark, sf_dir, "orders"), attributes, "o_custkey").select("o_orderkey", "c_mktsegment", "c_acctbal")
+
+
+@query("entity_asof_join", f"with e as ({EVENTS}), a as (select user_id, ts, x from e where event_id % 5 = 0 and x is not null) select e.event_id, a.x as asof_value from e asof left join a on e.user_id = a.user_id and e.ts >= a.ts where e.event_id % 5 > 0")
+def entity_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    out = temporal.asof_join(rows.where("event_id % 5 > 0").select("event_id", "user_id", "ts"), rows.where("event_id % 5 = 0"), "user_id", "ts", "x")
+    return out.select("event_id", "asof_value")
+
+
+# Model answers, one from each event.
+
+
+@query("ingest_responses", "select event_id as response_id, p as pos, 'f' || event_id || '_' || p as feature_id, 'binning' as family, case when p = 0 then 'why' else '' end as declared_intent, '{\"col_index\":' || event_id % 6 || ',\"op\":\"Col\"}' as program, null::varchar as output, case event_id % 4 when 1 then 1 else 2 end as attempted, (event_id // case event_id % 4 when 1 then 1 else 2 end)::bigint as tokens_each from events, range(2) r(p) where event_id % 4 < 3 and (event_id % 4 <> 1 or p = 0)")
+def ingest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id").cast("string")
+    item = lambda p, extra: F.concat(F.lit('{"feature_id":"f'), e, F.lit(f'_{p}","family":"binning"{extra},"program":{{"op":"Col","col_index":'), (F.col("event_id") % 6).cast("string"), F.lit("}}"))
+    first, second = item(0, ',"declared_intent":"why"'), item(1, "")
+    both = F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\n```json\n"), both, F.lit("\n```\n"))).when(F.col("event_id") % 4 == 1, first).when(F.col("event_id") % 4 == 2, both).otherwise("no JSON at all")
+    return datasets.ingest_responses(table(spark, sf_dir, "events").select(F.col("event_id").alias("response_id"), text.alias("text"), F.col("event_id").alias("tokens")))
+
+
+@query("parse_reviews", "select event_id as review_id, case when event_id % 3 = 2 then '' else 'it is ' || event_id end as interpretation, case when event_id % 3 = 0 then 'plausible' else 'unclassifiable' end as plausibility, case when event_id % 3 = 2 then 'critic parse failure' else '' end as plausibility_witness, case event_id % 4 when 0 then 'match' when 1 then 'partial' else 'unclassifiable' end as intent_alignment, case event_id % 4 when 3 then 'critic parse failure' else 'w' end as alignment_witness from events")
+def parse_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    first = F.when(e % 3 == 2, "oops").otherwise(F.concat(F.lit('```\n{"interpretation":"it is '), e.cast("string"), F.lit('","plausibility":"'), F.when(e % 3 == 0, "plausible").otherwise("sure"), F.lit('"}\n```')))
+    second = F.when(e % 4 == 3, "{").otherwise(F.concat(F.lit('{"intent_alignment":"'), F.when(e % 4 == 0, "match").when(e % 4 == 1, "partial").otherwise("maybe"), F.lit('","alignment_witness":"w"}')))
+    return datasets.parse_reviews(table(spark, sf_dir, "events").select(e.alias("review_id"), first.alias("first"), second.alias("second")))
