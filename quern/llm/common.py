@@ -54,7 +54,4 @@ def word_count(text: Column) -> Column:
 
 def with_fields(df: DataFrame, **types: str) -> StructType:
     """The schema of ``df`` with more fields at its end (``StructType.add`` would change the frame's own)."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in types.items():
-        schema = schema.add(name, kind)
-    return schema
+    return StructType([*df.schema.fields, *(f for name, kind in types.items() for f in StructType.fromDDL(f"`{name}` {kind}").fields)])

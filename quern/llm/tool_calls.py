@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import small, staged
 
 #: schema_of_variant names that each declared argument type allows.
-ALLOWED = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+ALLOWED = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
 
 
 def depths(calls: DataFrame, rounds: int = 40) -> DataFrame:
@@ -45,7 +45,7 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     bad = parsed.where(~is_object).select("conv_id", "call_id", F.lit("json").alias("error"))
     unknown_tool = parsed.select("conv_id", "call_id", "name").join(tools, "name", "left_anti").select("conv_id", "call_id", F.lit("tool").alias("error"))
     parsed.where(is_object).createOrReplaceTempView(view := "quern_tool_arguments")
-    given = calls.sparkSession.sql(f"select c.conv_id, c.call_id, c.name, a.key as arg, regexp_extract(schema_of_variant(a.value), '^[A-Z]+', 0) as kind from {view} c, lateral variant_explode(c.v) a")
+    given = calls.sparkSession.sql(f"select c.conv_id, c.call_id, c.name, a.key as arg, regexp_extract(regexp_replace(schema_of_variant(a.value), '^DECIMAL.[0-9]+,0.$', 'BIGINT'), '^[A-Z]+', 0) as kind from {view} c, lateral variant_explode(c.v) a")
     allowed = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     declared = small(staged(schemas.select("name", "arg", "type", "required")))
     typed = given.join(tools, "name", "left_semi").join(declared, ["name", "arg"], "left")
