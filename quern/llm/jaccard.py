@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import small, staged
@@ -161,6 +161,12 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "c1 long, c2 long, shingles array<long>")
 
 
+def possible(percent: int) -> Column:
+    """Whether sizes na and nb and sketches sa and sb allow a link: never false for sets that link."""
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, FOLD)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
@@ -192,9 +198,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         own = {x: near.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
         full = {x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab"}
         sized = pairs.join(own["a"], "a").join(own["b"], "b")
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, FOLD)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-        possible = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        checked = sized.where(possible).select("a", "b", "na", "nb").join(full["b"], "b").join(full["a"], "a")
+        checked = sized.where(possible(percent)).select("a", "b", "na", "nb").join(full["b"], "b").join(full["a"], "a")
         both = F.size(F.array_intersect("wa", "wb"))
         return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), narrow=True)
 
@@ -219,8 +223,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             stars = open_.join(hubs, "key")
             pairs = stars.where("label <> own").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = open_.join(other, (open_["key"] == other["key"]) & (open_["label"] < other["other"])).select(F.col("node").alias("a"), "b")
+            sketched = open_.join(near.select("node", "n", "sketch"), "node")
+            one = sketched.select("key", F.col("node").alias("a"), "label", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+            other = sketched.select(F.col("key").alias("same"), F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+            pairs = one.join(other, (F.col("key") == F.col("same")) & (F.col("label") < F.col("other")) & possible(percent)).select("a", "b")
         found = verify(pairs.distinct())
         moved = None
         if found.limit(1).count():
