@@ -64,12 +64,16 @@ def difference(total: np.ndarray, percent: int) -> np.ndarray:
 def band_keys(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sketch blocks: two sets that link share a key. Returns (row of each key, key), by row.
 
-    A set's parity sketch has a bit for each hash position, flipped once per element; it is dealt into d + 1
-    blocks, where d is the band's largest symmetric difference. Elements that differ touch at most d blocks,
-    so one block at least is bit for bit equal; blocks are very wide and sparse, so what is compared is the XOR of
+    A set's parity sketch has a bit for each hash position, flipped once per element; it is dealt into blocks, a
+    quarter more than d + 1, where d is the band's largest symmetric difference. Elements that differ touch at most d
+    blocks, so all others are bit for bit equal; blocks are very wide and sparse, so what is compared is the XOR of
     their set bits' 64-bit codes. A set is in each band that the symmetric difference with some partner size
-    falls in (mostly one or two). Empty blocks would make hot keys, so a set that has any is dealt again by
-    another hash and only its filled blocks count; the last deal counts empty blocks too, so nothing is lost.
+    falls in (mostly one or two).
+
+    Empty blocks would make hot keys. A set with more than d filled blocks shares a filled one with every partner,
+    and needs only the first d + 1 in an order that both follow: those of most elements come first, as they are
+    the rarest. A set with fewer filled blocks gives them all and is dealt again by another hash; the last deal
+    counts empty blocks too, so nothing is lost.
     """
     n = np.diff(at)
     least, most = -(-n * percent // 100), n * 100 // percent
@@ -82,22 +86,25 @@ def band_keys(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndar
             if not len(rows):
                 break
             band = low[rows] + offset
-            blocks = bands[band] + 1
+            need = bands[band] + 1
+            blocks = need + need // 4
             first = np.cumsum(blocks) - blocks
             member = np.repeat(np.arange(len(rows)), n[rows])
             element = values[np.repeat(at[rows], n[rows]) + np.arange(len(member)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])]
             dealt = mix(element + U(deal))
             block = first[member] + (((dealt >> U(32)) * blocks[member].astype(U)) >> U(32)).astype(np.int64)
-            filled = np.bincount(block, minlength=int(blocks.sum())) > 0
-            code = np.zeros(len(filled), U)
+            held = np.bincount(block, minlength=int(blocks.sum()))
+            code = np.zeros(len(held), U)
             np.bitwise_xor.at(code, block, mix(dealt ^ U(0xA5A5A5A5A5A5A5A5)))
             row = np.repeat(np.arange(len(rows)), blocks)
-            number = (np.arange(len(filled)) - first[row]).astype(U)
-            key = mix(code ^ mix(number + (band[row].astype(U) << U(32)) + U(deal << 24)))
-            used = filled | (deal == REHASH)
+            place = np.arange(len(held)) - first[row]
+            key = mix(code ^ mix(place.astype(U) + (band[row].astype(U) << U(32)) + U(deal << 24)))
+            enough = np.bincount(row, weights=held > 0, minlength=len(rows)) >= need
+            order = np.lexsort((key, -held, row))
+            used = np.where(enough[row], place < need[row], (held[order] > 0) | (deal == REHASH))
             rows_out.append(rows[row[used]])
-            keys_out.append(key[used])
-            rows = rows[np.unique(row[~filled])]
+            keys_out.append(key[order][used])
+            rows = rows[~enough]
     if not rows_out:
         return np.zeros(0, np.int64), np.zeros(0, U)
     row, key = np.concatenate(rows_out), np.concatenate(keys_out)
