@@ -18,7 +18,7 @@ FOLD = 8
 #: How often empty blocks are dealt anew before they count as keys themselves.
 REHASH = 3
 #: Rounds of star comparisons before what is left of the buckets is compared pair by pair.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 12
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +210,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), narrow=True)
 
     def still_open(rows_: DataFrame) -> DataFrame:
-        """The rows (key, node, label) of buckets with several labels."""
-        several = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        """The rows (key, node, label) of buckets with several labels; of buckets with the same nodes one is enough."""
+        sums = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+        several = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), *sums).where("lo < hi")
+        several = several.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
         return staged(rows_.join(several, "key"), narrow=True)
 
     members = bucketed.join(classes.select("c1", "node"), "c1").select("key", "node").distinct()
