@@ -13,8 +13,9 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that compression can tell go: no letter, or no best language."""
-    out = language_id.classify(docs, language_id.dictionaries(docs))
+    """Documents without a language that compression can tell go: no letter, or a margin under that of the labelled rows."""
+    learned = language_id.dictionaries(docs)
+    out = language_id.classify(docs, learned, margin=language_id.fit_margin(docs, learned))
     return out.where("lang_accepted").select(*docs.columns)
 
 

@@ -203,6 +203,27 @@ def test_language_id(spark, sf, docs):
     assert {r.lang_pred for r in language_id.classify(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_rejects_foreign_and_junk_and_keeps_short_clean_texts(spark, sf):
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learned = language_id.dictionaries(table.where(~held))
+    margin = language_id.fit_margin(table.where(~held), learned)
+    rng = random.Random(3)
+    made = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n // 6))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя"
+    planted = [("bad", made(n, latin)) for n in (1000, 2000, 5000, 20000) for _ in range(5)] + [("bad", made(n, cyrillic)) for n in (20, 200, 5000)]
+    planted += [("bad", " ".join(str(rng.randint(0, 10**6)) for _ in range(n)) + " the of") for n in (30, 300, 3000) for _ in range(5)]
+    clean = [r.text for r in table.where(held & (F.col("lang") == "en") & F.length("text").between(400, 4000)).orderBy("doc_id").limit(40).collect()]
+    planted += [("short", re.sub("[^A-Za-z ]+", " ", t)[:40]) for t in clean] + [("long", "\n".join(clean * k)) for k in (1, 8)]
+    got = language_id.classify(spark.createDataFrame(planted, "kind string, text string"), learned, margin=margin).collect()
+    assert 0.002 < margin < 0.1
+    assert sum(r.lang_accepted for r in got if r.kind == "bad") <= 1
+    assert sum(r.lang_accepted and r.lang_pred == "en" for r in got if r.kind == "short") >= 36
+    assert all(r.lang_accepted and r.lang_pred == "en" for r in got if r.kind == "long")
+    rest = language_id.classify(table.where(held), learned, margin=margin).collect()
+    assert sum(r.lang_accepted for r in rest) >= 0.97 * len(rest)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(2000)]
