@@ -224,6 +224,16 @@ def test_language_id_rejects_foreign_and_junk_and_keeps_short_clean_texts(spark,
     assert sum(r.lang_accepted for r in rest) >= 0.97 * len(rest)
 
 
+def test_language_sample_holds_different_texts(spark):
+    rows = [(f"{'wort' if k % 2 else 'word'} number {k} of many", "de" if k % 2 else "en") for k in range(40)]
+    copies = [("the same text again and again " * 10, "en")] * 3000 + [("THE same text again and again " * 10, "en")] * 10
+    df = spark.createDataFrame(rows + copies, "text string, lang string").repartition(5)
+    learned = language_id.dictionaries(df, docs=12)
+    assert {k: len(v.splitlines()) for k, v in learned.items()} == {"de": 12, "en": 12}
+    assert len(set(learned["en"].splitlines())) == 12 and b"again" in learned["en"]
+    assert learned == language_id.dictionaries(df.dropDuplicates().repartition(2), docs=12)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(2000)]
