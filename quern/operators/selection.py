@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from quern.operators.splits import rank_key
 
@@ -30,9 +31,17 @@ def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> D
 def rank_correlation(df: DataFrame, key: str, pairs: list[tuple[str, str]], sample: int | None = 5000, seed: int = 42) -> DataFrame:
     """(candidate, accepted, n, value_sim): Pearson correlation of average ranks over the rows where both are there.
 
-    At most ``sample`` such rows of smallest hash a pair (None: all). 0 under 30 rows or for a constant side.
+    At most ``sample`` such rows of smallest hash a pair (None: all). 0 under 30 rows or for a side that is constant or not numeric
+    (boolean is); pairs without common rows have n = 0.
     """
-    each = [F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("accepted"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs]
+    pairs = list(dict.fromkeys(pairs))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def value(c: str):
+        """Its double; of what isn't numeric a constant where it is there, so that it counts and scores 0."""
+        return F.col(c).cast("double") if isinstance(kinds[c], NumericType | BooleanType) else F.when(F.col(c).isNotNull(), 0.0)
+
+    each = [F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("accepted"), value(a).alias("a"), value(b).alias("b")) for a, b in pairs]
     long = df.select(rank_key(F.col(key), seed).alias("h"), F.explode(F.array(*each)).alias("p")).select("h", "p.*").where("a is not null and b is not null")
     pair = ["candidate", "accepted"]
     if sample is not None:
@@ -42,9 +51,11 @@ def rank_correlation(df: DataFrame, key: str, pairs: list[tuple[str, str]], samp
         return F.rank().over(Window.partitionBy(*pair).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*pair, c)) - 1) / 2.0
 
     ranked = long.select(*pair, "a", "b", average_rank("a").alias("ra"), average_rank("b").alias("rb"))
-    out = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"), F.corr("ra", "rb").alias("r"))
+    out = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("r"))
     usable = (F.col("n") >= 30) & (F.col("da") >= 1e-12) & (F.col("db") >= 1e-12)
-    return out.select(*pair, "n", F.when(usable, F.coalesce("r", F.lit(0.0))).otherwise(0.0).alias("value_sim"))
+    out = out.select(*pair, "n", F.when(usable, F.coalesce("r", F.lit(0.0))).otherwise(0.0).alias("value_sim"))
+    asked = df.sparkSession.createDataFrame(pairs, "candidate string, accepted string")
+    return asked.join(out, pair, "left").select(*pair, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("value_sim", F.lit(0.0)).alias("value_sim"))
 
 
 def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, absolute: bool = False) -> DataFrame:
@@ -62,12 +73,26 @@ def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, abs
     return best.select("candidate", sim.alias("redundancy_max"), F.when(sim > 0, F.col("m.accepted")).otherwise("").alias("redundancy_argmax"), (sim < threshold).alias("passes"))
 
 
-def select_nonredundant(pairs: DataFrame, order: list[str], threshold: float = 0.92) -> list[str]:
+def select_nonredundant(pairs: DataFrame, hashes: DataFrame, order: list[str], threshold: float = 0.92, absolute: bool = False) -> list[str]:
     """Keep-first selection over an ordered list of features (a few thousand at most): a later one goes if its
-    similarity to a kept one reaches the threshold. Only the pairs over the threshold come to the driver."""
-    close = {frozenset((r.candidate, r.accepted)) for r in pairs.where(F.col("value_sim") >= threshold).select("candidate", "accepted").collect()}
+    similarity to a kept one (see ``redundancy``: value_sim or equal hashes) reaches the threshold.
+
+    ``pairs`` needs each two features of the list, in either direction, and ``hashes`` (feature_id, hash) each feature; what is
+    missing is an error. The hashes and the pairs over the threshold come to the driver.
+    """
+    order = list(dict.fromkeys(order))
+    own = {r.feature_id: r.hash for r in hashes.where(F.col("feature_id").isin(order)).select("feature_id", "hash").collect()}
+    if absent := [f for f in order if f not in own]:
+        raise ValueError(f"no hash of {absent[:10]}")
+    asked = pairs.where(F.col("candidate").isin(order) & F.col("accepted").isin(order) & (F.col("candidate") != F.col("accepted")))
+    given = asked.select(F.least("candidate", "accepted"), F.greatest("candidate", "accepted")).distinct().count()
+    if given < len(order) * (len(order) - 1) // 2:
+        raise ValueError(f"{len(order) * (len(order) - 1) // 2 - given} pairs of the {len(order)} features have no similarity")
+    value = F.abs("value_sim") if absolute else F.col("value_sim")
+    close = {frozenset((r.candidate, r.accepted)) for r in asked.where(value >= threshold).select("candidate", "accepted").collect()}
     kept: list[str] = []
     for f in order:
-        if not any(frozenset((f, k)) in close for k in kept):
+        same = any(own[f] is not None and own[f] == own[k] for k in kept) and threshold <= 1
+        if not same and not any(frozenset((f, k)) in close for k in kept):
             kept.append(f)
     return kept

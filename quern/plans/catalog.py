@@ -183,8 +183,8 @@ r as (select *, rank() over (partition by candidate, accepted order by a) + (cou
 pairs as (select candidate, accepted, count(*) as n, round(case when count(*) >= 30 then corr(ra, rb) else 0 end, 6) as value_sim from r group by 1, 2)"""
 
 
-def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = selection.rank_correlation(orders(spark, sf_dir).withColumn("flipped", -F.col("signed")), "o_orderkey", PAIRS)
+def pair_table(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]] = PAIRS) -> DataFrame:
+    out = selection.rank_correlation(orders(spark, sf_dir).withColumn("flipped", -F.col("signed")), "o_orderkey", pairs)
     return out.withColumn("value_sim", F.round("value_sim", 6))
 
 
@@ -193,9 +193,12 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_table(spark, sf_dir)
 
 
+def tags(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("price", 0, "p"), ("signed", 1, "s"), ("small", 2, "m"), ("flipped", 3, "s")], "feature_id string, seq int, hash string")
+
+
 def with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = spark.createDataFrame([("price", 0, "p"), ("signed", 1, "s"), ("small", 2, "m"), ("flipped", 3, "s")], "feature_id string, seq int, hash string")
-    return selection.redundancy(pair_table(spark, sf_dir), tags)
+    return selection.redundancy(pair_table(spark, sf_dir), tags(spark))
 
 
 BEST = """, h(f, seq, hash) as (values ('price', 0, 'p'), ('signed', 1, 's'), ('small', 2, 'm'), ('flipped', 3, 's')),
@@ -215,7 +218,8 @@ def redundancy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select_nonredundant", f"{RANKS}, twins as (select * from pairs where value_sim >= 0.92) select f as feature_id from (values ('price'), ('signed'), ('small'), ('flipped')) x(f) where f <> 'signed' or not exists (select 1 from twins where candidate = 'price' and accepted = 'signed')")
 def select_nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = selection.select_nonredundant(pair_table(spark, sf_dir), ["price", "signed", "small", "flipped"])
+    pairs = pair_table(spark, sf_dir, [*PAIRS, ("price", "flipped"), ("small", "flipped")])
+    kept = selection.select_nonredundant(pairs, tags(spark), ["price", "signed", "small", "flipped"])
     return spark.createDataFrame([(k,) for k in kept], "feature_id string")
 
 

@@ -95,6 +95,23 @@ def test_rank_correlation_needs_thirty_rows(spark):
     assert round(selection.rank_correlation(more, "id", [("x", "y")]).first().value_sim, 9) == -1.0
 
 
+def test_rank_correlation_of_text_and_of_no_common_rows(spark):
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("x"), F.concat(F.lit("a_x_"), "id").alias("t"), F.lit(None).cast("double").alias("none"), F.lit(5.0).alias("five"))
+    got = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", [("x", "t"), ("t", "t"), ("x", "none"), ("x", "five")]).collect()}
+    assert got == {("x", "t"): (40, 0.0), ("t", "t"): (40, 0.0), ("x", "none"): (0, 0.0), ("x", "five"): (40, 0.0)}
+
+
+def test_selection_takes_hashes_and_every_pair(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.0), ("c", "a", 0.95), ("b", "c", 0.0), ("d", "a", -0.95), ("d", "b", 0.1), ("d", "c", 0.99)], "candidate string, accepted string, value_sim double")
+    hashes = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "i"), ("d", None)], "feature_id string, hash string")
+    assert selection.select_nonredundant(pairs, hashes, ["a", "b", "c", "d"]) == ["a", "d"]
+    assert selection.select_nonredundant(pairs, hashes, ["a", "b", "c", "d"], absolute=True) == ["a"]
+    with pytest.raises(ValueError, match="1 pairs"):
+        selection.select_nonredundant(pairs.where("value_sim <> 0.1"), hashes, ["a", "b", "c", "d"])
+    with pytest.raises(ValueError, match="no hash"):
+        selection.select_nonredundant(pairs, hashes.where("feature_id <> 'd'"), ["a", "b", "c", "d"])
+
+
 def test_certificates(spark):
     te = {"op": "TargetEncode", "cat_col": col(1), "label_col": col(2)}
     programs = {"bare": te, "above": un("Log1p", te), "unit": two("Add", un("Square", col(0)), col(0)), "column": col(7), "ok": un("ZScore", col(0)), "direct": col(2)}
