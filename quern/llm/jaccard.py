@@ -174,18 +174,8 @@ def possible(percent: int) -> Column:
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
-
-    Two texts link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z
-    lower-cased; fewer words are one shingle; none, or null: no set and no links, component_id is the own id).
-    Equal sets are one class. Classes that share a sketch block form buckets; a bucket compares its smallest
-    member with the others, links are verified on the whole sets, and members that are connected by then need no
-    more comparing. In buckets that still hold several components a member of the smallest is compared with all others
-    and then leaves, and what is left after ``star_rounds`` is compared pair by pair: no link between components is lost, and large groups of near copies
-    take a linear number of comparisons. Null keys count for the table but not as component_id unless all
-    of a component's keys are null. Rows may repeat; other columns are not read.
-    """
+def connect(docs: DataFrame, key: str, text: str, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The described rows (doc_id, rid, th, n, c1, c2, ...) and the classes (c1, c2, n, first_id, label) of ``join``: a label is a component."""
     rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     described = staged(describe(rows, words, percent))
     keys = described.where("n > 0").select("c1", F.explode("keys").alias("key"))
@@ -251,6 +241,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             rest = rest.join(moved, "label", "left").select("key", "node", F.coalesce("to", "label").alias("label"))
         open_ = still_open(rest)
     linked = classes.join(labels, "node", "left").select("c1", "c2", "n", "first_id", F.coalesce("label", "node").alias("label"))
+    return described, linked
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+
+    Two texts link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z
+    lower-cased; fewer words are one shingle; none, or null: no set and no links, component_id is the own id).
+    Equal sets are one class. Classes that share a sketch block form buckets; a bucket compares its smallest
+    member with the others, links are verified on the whole sets, and members that are connected by then need no
+    more comparing. In buckets that still hold several components a member of the smallest is compared with all others
+    and then leaves, and what is left after ``star_rounds`` is compared pair by pair: no link between components is lost, and large groups of near copies
+    take a linear number of comparisons. Null keys count for the table but not as component_id unless all
+    of a component's keys are null. Rows may repeat; other columns are not read.
+    """
+    described, linked = connect(docs, key, text, words, percent, star_rounds)
     component = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     final = linked.join(component, "label").select("c1", "c2", "n", "component_id")
     out = described.select("doc_id", "n", "c1", "c2").where("n > 0").join(final, ["c1", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -258,7 +264,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, that with the smallest key; rows keep their columns. Keys are unique here."""
-    found = join(docs, key, text, words, percent)
-    gone = small(staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))))
-    return docs.join(gone, F.col(key) == F.col("gone_id"), "left_anti")
+    """One row of each component stays, that with the smallest key, and of equal keys the smallest text hash; rows keep their columns.
+
+    Null keys come last. What goes is told by key (null-safe) and the 64-bit hash of the text, so keys may be null or on several rows; rows of a
+    component that repeat key and text are made one, and only then, if there are any. Texts without words link to nothing and all stay.
+    """
+    described, linked = connect(docs, key, text, words, percent)
+    rows = staged(described.where("n > 0").select("doc_id", "rid", "th", "n", "c1", "c2").join(linked, ["c1", "c2", "n"]).select("doc_id", "rid", "th", "label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "th", "rid")).alias("first")
+    groups = staged(rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "first"))
+    others = rows.join(small(groups), "label").where(F.col("rid") != F.col("first.rid"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    others = staged(others.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), same.alias("same")).distinct())
+    met = F.col(key).eqNullSafe(F.col("gone_id")) & (F.col("quern_th") == F.col("gone_th"))
+    rest = docs.withColumn("quern_th", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(small(others.where("not same")), met, "left_anti")
+    again = others.where("same")
+    if again.limit(1).count():
+        repeated = rest.join(small(again), met, "left_semi").dropDuplicates([key, "quern_th"])
+        rest = rest.join(small(again), met, "left_anti").unionByName(repeated)
+    return rest.drop("quern_th")

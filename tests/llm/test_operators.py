@@ -107,6 +107,24 @@ def test_jaccard(spark, docs, n, percent):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_keep_with_null_and_repeated_keys(spark):
+    base = {c: [f"{c}{i}" for i in range(60)] for c in "abcde"}
+    near = lambda c, k: " ".join([*base[c][:-1], f"other{k}"])
+    stay = [(1, near("a", 0)), (None, near("b", 0)), (3, near("c", 0)), (4, near("d", 0)), (5, near("e", 0)), (1, "its own clean text of more words"), (None, None), (None, ""), (None, "alone with no key at all here")]
+    gone = [(2, near("a", 1)), (None, near("a", 2)), (None, near("a", 3)), (3, near("c", 0)), (None, near("c", 1)), (5, near("d", 1)), (7, near("e", 1))]
+    rows = [*stay, *gone, (None, near("b", 1)), (4, near("d", 2)), (4, near("d", 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("other", F.lit("x")).repartition(3)
+    out = jaccard.keep(df)
+    got = out.collect()
+    assert out.columns == df.columns
+    kinds = Counter(r.text[0] + r.text.split()[0][1:2] for r in got if r.text and len(r.text.split()) == 60)
+    assert kinds == {f"{c}0": 1 for c in "abcde"}
+    ids = {r.text[0]: r.doc_id for r in got if r.text and len(r.text.split()) == 60}
+    assert ids == {"a": 1, "b": None, "c": 3, "d": 4, "e": 5}
+    assert sorted(str((r.doc_id, r.text)) for r in got if not r.text or len(r.text.split()) != 60) == sorted(map(str, stay[5:]))
+    assert sorted(map(str, jaccard.keep(df.repartition(2)).collect())) == sorted(map(str, got))
+
+
 def test_sets_that_link_share_a_key_and_are_near_in_the_sketch():
     rng = np.random.default_rng(3)
     for n in (1, 2, 9, 10, 19, 40, 300):
