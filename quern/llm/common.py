@@ -31,7 +31,16 @@ def staged(df: DataFrame, narrow: bool = False) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quern_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quern_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small, staged
+from quern.llm.common import small, staged, unstage
 from quern.llm.components import connected
 from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 
@@ -17,8 +17,16 @@ from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 FOLD = 8
 #: How often empty blocks are dealt anew before they count as keys themselves.
 REHASH = 3
-#: Rounds of star comparisons before what is left of the buckets is compared pair by pair.
-STAR_ROUNDS = 12
+#: Text that one batch of shingles is made of.
+SLICE_BYTES = 4 << 20
+#: Shared keys (16 bytes each) that are broadcast at most.
+KEY_ROWS = 4_000_000
+#: How often keys are counted again after sets have left.
+PRUNE_ROUNDS = 1
+#: Open members from which a bucket is dealt again, into so many times more blocks.
+HOT_ROWS, FINER = 256, 4
+#: Rounds in which components of a bucket are compared by one member each before all that is left is compared.
+STAR_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +69,26 @@ def difference(total: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * total // (100 + percent)
 
 
-def band_keys(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketch blocks: two sets that link share a key. Returns (row of each key, key), by row.
+def band_keys(values: np.ndarray, at: np.ndarray, percent: int, finer: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sketch blocks: two sets that link share a key. Returns (row, group, spare, key) of each, by row and group.
 
     A set's parity sketch has a bit for each hash position, flipped once per element; it is dealt into blocks, a
-    quarter more than d + 1, where d is the band's largest symmetric difference. Elements that differ touch at most d
-    blocks, so all others are bit for bit equal; blocks are very wide and sparse, so what is compared is the XOR of
-    their set bits' 64-bit codes. A set is in each band that the symmetric difference with some partner size
-    falls in (mostly one or two).
-
-    Empty blocks would make hot keys. A set with more than d filled blocks shares a filled one with every partner,
-    and needs only the first d + 1 in an order that both follow: those of most elements come first, as they are
-    the rarest. A set with fewer filled blocks gives them all and is dealt again by another hash; the last deal
-    counts empty blocks too, so nothing is lost.
+    quarter more than d + 1, where d is the band's largest symmetric difference (``finer`` times as many, on request).
+    Elements that differ touch at most d blocks, so all others are bit for bit equal; blocks are very wide and sparse,
+    so what is compared is the XOR of their set bits' 64-bit codes. A set is in each band that the symmetric
+    difference with some partner size falls in (mostly one or two); a band of d = 0 holds equal sets alone and has no keys.
+
+    Empty blocks would make hot keys. A set with more than d filled blocks shares a filled one with every partner in
+    the group (band and deal). ``spare`` is how many more than d + 1 it gives: any d + 1 of them, taken in an order that
+    both partners follow, hold a common one. A set with fewer filled blocks gives them all, has no spare and is
+    dealt again by another hash; the last deal counts empty blocks too, so nothing is lost.
     """
     n = np.diff(at)
     least, most = -(-n * percent // 100), n * 100 // percent
     bands = tolerances(int(difference(n + most, percent).max(initial=0)))
     low, high = (np.searchsorted(bands, difference(n + x, percent)) for x in (least, most))
-    rows_out, keys_out = [], []
+    low = np.maximum(low, 1)
+    out: list[tuple[np.ndarray, ...]] = []
     for offset in range(int((high - low).max(initial=-1)) + 1):
         rows = np.flatnonzero((n > 0) & (low + offset <= high))
         for deal in range(REHASH + 1):
@@ -87,29 +96,29 @@ def band_keys(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndar
                 break
             band = low[rows] + offset
             need = bands[band] + 1
-            blocks = need + need // 4
+            blocks = (need + need // 4) * finer
             first = np.cumsum(blocks) - blocks
             member = np.repeat(np.arange(len(rows)), n[rows])
             element = values[np.repeat(at[rows], n[rows]) + np.arange(len(member)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])]
             dealt = mix(element + U(deal))
             block = first[member] + (((dealt >> U(32)) * blocks[member].astype(U)) >> U(32)).astype(np.int64)
-            held = np.bincount(block, minlength=int(blocks.sum()))
+            held = np.bincount(block, minlength=int(blocks.sum())) > 0
             code = np.zeros(len(held), U)
             np.bitwise_xor.at(code, block, mix(dealt ^ U(0xA5A5A5A5A5A5A5A5)))
             row = np.repeat(np.arange(len(rows)), blocks)
-            place = np.arange(len(held)) - first[row]
-            key = mix(code ^ mix(place.astype(U) + (band[row].astype(U) << U(32)) + U(deal << 24)))
-            enough = np.bincount(row, weights=held > 0, minlength=len(rows)) >= need
-            order = np.lexsort((key, -held, row))
-            used = np.where(enough[row], place < need[row], (held[order] > 0) | (deal == REHASH))
-            rows_out.append(rows[row[used]])
-            keys_out.append(key[order][used])
+            filled = np.bincount(row, weights=held, minlength=len(rows)).astype(np.int64)
+            enough = filled >= need
+            used = np.flatnonzero(held | (~enough[row] & (deal == REHASH)))
+            row, place = row[used], used - first[row[used]]
+            group = band * (REHASH + 1) + deal
+            key = mix(code[used] ^ mix(place.astype(U) + (band[row].astype(U) << U(32)) + U((deal << 24) + (finer << 56))))
+            out.append((rows[row], group[row], np.where(enough, filled - need, 0)[row], key))
             rows = rows[~enough]
-    if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    row, key = np.concatenate(rows_out), np.concatenate(keys_out)
-    order = np.argsort(row, kind="stable")
-    return row[order], key[order]
+    if not out:
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, U))
+    row, group, spare, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((group, row))
+    return row[order], group[order], spare[order], key[order]
 
 
 def folded(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -130,22 +139,36 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a[at[1:]] - a[at[:-1]], b[at[1:]] - b[at[:-1]]
 
 
-def describe(batch_docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, rid, th, text) to (doc_id, rid, th, n, c1, c2, sketch, keys)."""
+def describe(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, rid, th, text) to (doc_id, rid, th, n, c1, c2, sketch): a set's size, signature and folded sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low, high in slices(np.diff(text_bytes(whole.column(3))[1]), 4 << 20):
+            for low, high in slices(np.diff(text_bytes(whole.column(3))[1]), SLICE_BYTES):
                 batch = whole.slice(low, high - low)
                 values, at = shingle_sets(batch.column(3), words)
                 c1, c2 = signatures(values, at)
-                row, key = band_keys(values, at, percent)
-                ends = np.searchsorted(row, np.arange(len(at)))
                 sketch = list_column(folded(values, at).ravel(), np.arange(len(at)) * FOLD)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), sketch, list_column(key, ends)], names=["doc_id", "rid", "th", "n", "c1", "c2", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), sketch], names=["doc_id", "rid", "th", "n", "c1", "c2", "sketch"])
 
-    kind = batch_docs.schema["doc_id"].dataType.simpleString()
-    return batch_docs.mapInArrow(run, f"doc_id {kind}, rid long, th long, n long, c1 long, c2 long, sketch array<long>, keys array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, th long, n long, c1 long, c2 long, sketch array<long>")
+
+
+def blocks_of(texts: DataFrame, words: int, percent: int, finer: int = 1) -> DataFrame:
+    """(text) to (c1, grp, spare, keys): a row for each set and group, see ``band_keys``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low, high in slices(np.diff(text_bytes(whole.column(0))[1]), SLICE_BYTES):
+                values, at = shingle_sets(whole.column(0).slice(low, high - low), words)
+                c1, _ = signatures(values, at)
+                row, group, spare, key = band_keys(values, at, percent, finer)
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1]))[: len(row)])
+                arrays = [pa.array(x) for x in (c1.view(np.int64)[row[new]], group[new].astype(np.int32), spare[new].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*arrays, list_column(key, np.append(new, len(row)))], names=["c1", "grp", "spare", "keys"])
+
+    return texts.select("text").mapInArrow(run, "c1 long, grp int, spare int, keys array<long>")
 
 
 def sets_of(texts: DataFrame, words: int) -> DataFrame:
@@ -174,89 +197,146 @@ def possible(percent: int) -> Column:
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def connect(docs: DataFrame, key: str, text: str, words: int, percent: int, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The described rows (doc_id, rid, th, n, c1, c2, ...) and the classes (c1, c2, n, first_id, label) of ``join``: a label is a component."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    described = staged(describe(rows, words, percent))
-    keys = described.where("n > 0").select("c1", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi").select("key")
-    bucketed = staged(keys.join(small(staged(shared), 2_000_000), "key").distinct())
-    classes = staged(described.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min("th").alias("th")))
-    wanted = bucketed.select("c1").distinct()
-    chosen = staged(classes.join(wanted, "c1", "left_semi"), narrow=True)
-    sketches = described.select("rid", "sketch").join(small(chosen.select(F.col("node").alias("rid"))), "rid", "left_semi").withColumnRenamed("rid", "node")
-    near = staged(chosen.join(sketches, "node"), narrow=True)
-    texts = rows.select("th", "text").join(small(staged(chosen.select("th").distinct(), narrow=True)), "th", "left_semi")
-    sets = sets_of(texts, words).groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
-    sets = staged(chosen.select("c1", "c2", "node").join(sets, ["c1", "c2"]).select("node", "shingles"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes with linked = whether they link; a is the hub that many b share."""
-        own = {x: near.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"}
-        full = {x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab"}
-        sized = pairs.join(own["a"], "a").join(own["b"], "b")
-        checked = sized.where(possible(percent)).select("a", "b", "na", "nb").join(full["b"], "b").join(full["a"], "a")
-        both = F.size(F.array_intersect("wa", "wb"))
-        return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"), narrow=True)
+def pruned(members: DataFrame) -> DataFrame:
+    """Of (key, node, grp, spare, freq) what can link: a set with no more shared keys than its spare ones leaves the group.
 
-    def still_open(rows_: DataFrame) -> DataFrame:
-        """The rows (key, node, label) of buckets with several labels; of buckets with the same nodes one is enough."""
-        sums = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-        several = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), *sums).where("lo < hi")
-        several = several.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-        return staged(rows_.join(several, "key"), narrow=True)
+    The others need only their rarest (shared - spare) keys: ``needed``. Keys of one's own count as given first, as what
+    two sets have in common is never among them, and both order the rest by (freq, key).
+    """
+    group = Window.partitionBy("node", "grp")
+    ranked = members.withColumn("shared", F.count(F.lit(1)).over(group)).where("shared > spare")
+    place = F.row_number().over(group.orderBy("freq", "key"))
+    return ranked.select("key", "node", "grp", "spare", "freq", (place <= F.col("shared") - F.col("spare")).alias("needed"))
+
+
+def buckets(texts: DataFrame, classes: DataFrame, words: int, percent: int, finer: int = 1) -> DataFrame:
+    """(key, node, needed): the sketch blocks that sets which may link have in common.
+
+    Two passes over the texts: the first counts each key (combined map-side, so that hot keys are cheap), the second
+    brings the sets to the keys that several rows have. Keys that only copies of the same set share are no links.
+    """
+    blocks = blocks_of(texts, words, percent, finer)
+    shared = staged(blocks.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("freq")).where("freq > 1"), narrow=True)
+    raw = staged(blocks.select("c1", "grp", "spare", F.explode("keys").alias("key")).join(small(shared, KEY_ROWS), "key").distinct(), narrow=True)
+    owned = raw.join(classes.select("c1", "node", "copies"), "c1").where("freq > copies").select("key", "node", "grp", "spare", "freq")
+    live = staged(pruned(owned), narrow=True)
+    for _ in range(PRUNE_ROUNDS):  # what has left makes other keys rarer
+        alive = live.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("freq")).where("freq > 1")
+        live, before = staged(pruned(live.drop("freq").join(alive, "key")), narrow=True), live
+        unstage(before)
+    unstage(shared, raw)
+    return live.select("key", "node", "needed")
+
+
+class Verifier:
+    """Says which pairs of nodes link: sizes and folded sketches first, then whole sets."""
+
+    def __init__(self, rows: DataFrame, described: DataFrame, chosen: DataFrame, words: int, percent: int):
+        self.percent = percent
+        sketches = described.select(F.col("rid").alias("node"), "sketch")
+        self.near = staged(chosen.select("node", "n").join(sketches, "node"), narrow=True)
+        texts = rows.select("th", "text").join(small(staged(chosen.select("th").distinct(), narrow=True)), "th", "left_semi")
+        sets = sets_of(texts, words).groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
+        self.sets = staged(chosen.select("c1", "c2", "node").join(sets, ["c1", "c2"]).select("node", "shingles"))
+
+    def sketched(self, nodes: DataFrame, x: str, node: str = "node") -> DataFrame:
+        """``nodes`` with the size n<x> and the sketch s<x> of the column ``node``."""
+        return nodes.join(self.near.select(F.col("node").alias(node), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), node)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of (a, b, na, nb), sketches compared already, the pairs (a, b) that link."""
+        full = {x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab"}
+        both = F.size(F.array_intersect("wa", "wb"))
+        checked = pairs.join(full["b"], "b").join(full["a"], "a")
+        return staged(checked.where(both * 100 >= (F.col("na") + F.col("nb") - both) * self.percent).select("a", "b"), narrow=True)
+
+    def stars(self, pairs: DataFrame) -> DataFrame:
+        """The links among (a, b)."""
+        both = self.sketched(self.sketched(pairs.distinct(), "b", "b"), "a", "a")
+        return self.links(both.where(possible(self.percent)).select("a", "b", "na", "nb"))
+
+    def within(self, members: DataFrame) -> DataFrame:
+        """The links between different labels of (key, node, label) in one bucket; the bound is part of the join."""
+        own = self.sketched(members, "a").withColumnRenamed("node", "a")
+        other = self.sketched(members.select("node", F.col("key").alias("same"), F.col("label").alias("other")), "b").withColumnRenamed("node", "b")
+        met = own.join(other, (F.col("key") == F.col("same")) & (F.col("label") < F.col("other")) & possible(self.percent))
+        return self.links(met.select("a", "b", "na", "nb").distinct())
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of buckets with several labels; of buckets with the same nodes one is enough."""
+    rows = members.select("key", "node").join(small(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), *sums).where("lo < hi")
+    several = staged(several.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key"), narrow=True)
+    return staged(rows.join(small(several), "key"), narrow=True)
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the links ``found``: components of labels, as few nodes are left by then."""
+    name = {x: small(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))) for x in "ab"}
+    joined = found.join(name["a"], "a", "left").join(name["b"], "b", "left")
+    moved = staged(connected(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), narrow=True).toDF("label", "to")
+    singles = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    return staged(labels.join(small(moved), "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(singles), narrow=True)
+
+
+def connect(docs: DataFrame, key: str, text: str, words: int, percent: int, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The described rows (doc_id, rid, th, n, c1, c2, sketch) and the classes (c1, c2, n, first_id, label) of ``join``: a label is a component."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    described = staged(describe(rows, words))
+    classes = staged(described.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.count(F.lit(1)).alias("copies")))
+    members = buckets(rows, classes, words, percent)
+    chosen = staged(classes.join(small(staged(members.select("node").distinct(), narrow=True)), "node", "left_semi"), narrow=True)
+    verifier = Verifier(rows, described, chosen, words, percent)
 
-    members = bucketed.join(classes.select("c1", "node"), "c1").select("key", "node").distinct()
-    members = staged(members)
+    # One partner each first, the bucket's smallest node that one meets most often: mostly enough to connect near copies.
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    # One partner each first: mostly enough to connect near copies.
-    first = members.join(hubs, "key").where("node > hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
-    labels = staged(connected(verify(first)), narrow=True)
-    open_ = still_open(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    for turn in range(star_rounds + 1):
-        if not open_.limit(1).count():
-            break
-        if turn < star_rounds:
-            sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
-            hubs = sizes.groupBy("key").agg(F.min(F.struct("size", "label", "hub")).alias("m")).select("key", F.col("m.label").alias("own"), F.col("m.hub").alias("hub"))
-            stars = open_.join(hubs, "key")
-            pairs = stars.where("label <> own").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        else:
-            sketched = open_.join(near.select("node", "n", "sketch"), "node")
-            one = sketched.select("key", F.col("node").alias("a"), "label", F.col("n").alias("na"), F.col("sketch").alias("sa"))
-            other = sketched.select(F.col("key").alias("same"), F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-            pairs = one.join(other, (F.col("key") == F.col("same")) & (F.col("label") < F.col("other")) & possible(percent)).select("a", "b")
-        found = verify(pairs.distinct())
-        moved = None
-        if found.limit(1).count():
-            name = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
-            joined = found.join(name["a"], "a", "left").join(name["b"], "b", "left")
-            moved = staged(connected(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), narrow=True).toDF("label", "to")
-            singles = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
-            labels = staged(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(singles), narrow=True)
-        if turn == star_rounds:
+    met = members.select("key", "node").join(hubs, "key").where("node > hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    first = met.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a")).select("a", F.col("node").alias("b"))
+    labels = staged(connected(verifier.stars(first)), narrow=True)
+
+    needed = members.where("needed")
+    open_ = still_open(needed, labels)
+    for turn in range(STAR_ROUNDS):
+        reps = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("rep"))
+        hubs = reps.groupBy("key").agg(F.max(F.struct("size", "label", "rep")).alias("m")).select("key", F.col("m.label").alias("own"), F.col("m.rep").alias("hub"))
+        pairs = reps.join(hubs, "key").where("label <> own").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+        found = verifier.stars(pairs)
+        if not found.limit(1).count():
             break
-        rest = stars.where("node <> hub").select("key", "node", "label")
-        if moved is not None:
-            rest = rest.join(moved, "label", "left").select("key", "node", F.coalesce("to", "label").alias("label"))
-        open_ = still_open(rest)
-    linked = classes.join(labels, "node", "left").select("c1", "c2", "n", "first_id", F.coalesce("label", "node").alias("label"))
+        labels = merged(labels, found)
+        before, open_ = open_, still_open(open_, labels)
+        unstage(before)
+    hot = staged(open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot_rows).select("key"), narrow=True)
+    if hot.limit(1).count():  # finer blocks for their nodes: pairs that link meet there too
+        nodes = staged(open_.join(small(hot), "key", "left_semi").select("node").distinct(), narrow=True)
+        own = staged(chosen.join(small(nodes), "node", "left_semi").withColumn("copies", F.lit(1)), narrow=True)
+        texts = rows.select("th", "text").join(small(own.select("th").distinct()), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+        finer = buckets(staged(texts), own, words, percent, FINER).where("needed")
+        open_ = still_open(open_.select("key", "node").join(small(hot), "key", "left_anti").unionByName(finer.select("key", "node")), labels)
+    found = verifier.within(open_)
+    if found.limit(1).count():
+        labels = merged(labels, found)
+    linked = classes.join(small(labels), "node", "left").select("c1", "c2", "n", "first_id", F.coalesce("label", "node").alias("label"))
     return described, linked
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
     Two texts link when 100 * intersection >= percent * union of their sets of ``words``-word shingles (A-Z
     lower-cased; fewer words are one shingle; none, or null: no set and no links, component_id is the own id).
-    Equal sets are one class. Classes that share a sketch block form buckets; a bucket compares its smallest
-    member with the others, links are verified on the whole sets, and members that are connected by then need no
-    more comparing. In buckets that still hold several components a member of the smallest is compared with all others
-    and then leaves, and what is left after ``star_rounds`` is compared pair by pair: no link between components is lost, and large groups of near copies
-    take a linear number of comparisons. Null keys count for the table but not as component_id unless all
-    of a component's keys are null. Rows may repeat; other columns are not read.
+    Equal sets are one class. Classes that share a sketch block form buckets; a class needs only its rarest blocks, and
+    none if it has more blocks of its own than the partners may differ in, so a passage that many texts share
+    makes no candidates. First each class is compared with one partner, then a member of each of a bucket's components
+    with one of the largest; links are verified on the whole sets, and members that are connected by then need no
+    more comparing. What still meets in a bucket under different labels is compared pair by pair, sketch first:
+    no link between components is lost, and large groups of near copies take a linear number of comparisons. Buckets
+    of more than ``hot_rows`` open members are dealt again in finer blocks before that. Null keys count for the table
+    but not as component_id unless all of a component's keys are null. Rows may repeat; other columns are not read.
     """
-    described, linked = connect(docs, key, text, words, percent, star_rounds)
+    described, linked = connect(docs, key, text, words, percent, hot_rows)
     component = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     final = linked.join(component, "label").select("c1", "c2", "n", "component_id")
     out = described.select("doc_id", "n", "c1", "c2").where("n > 0").join(final, ["c1", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

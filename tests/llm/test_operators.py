@@ -89,8 +89,8 @@ def brute_components(rows, n, percent):
     return sorted([(i, len(s), low[find(x)] if s else i) for x, (i, s) in enumerate(sets)], key=str)
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, n, percent):
+@pytest.mark.parametrize("n,percent,hot", [(3, 90, 256), (5, 80, 256), (5, 80, 2)])
+def test_jaccard(spark, docs, n, percent, hot):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [rng.choice(vocabulary) for _ in range(90)]
@@ -102,11 +102,43 @@ def test_jaccard(spark, docs, n, percent):
         rows.append((i, " ".join(own)))
     rows += [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 9, 20])))) for i in range(160, 200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
-    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, words=n, percent=percent, star_rounds=1).collect()], key=str)
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, words=n, percent=percent, hot_rows=hot).collect()], key=str)
     assert got == brute_components(rows, n, percent)
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_of_a_large_group_and_a_common_passage(spark):
+    """Production parameters: 2,000 near copies and 300 other texts, all with one passage; every link is found."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    passage, base = [word() for _ in range(45)], [word() for _ in range(75)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for k in rng.sample(range(75), rng.choice([0, 1, 2, 4, 6])):
+            own[k] = word()
+        rows.append((i, " ".join(passage + own)))
+    rows += [(i, " ".join([*(word() for _ in range(rng.randrange(5, 60))), *passage])) for i in range(2000, 2300)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    ids = {x: i for i, x in enumerate(dict.fromkeys(x for own in sets for x in own))}
+    table = np.zeros((len(rows), len(ids)), np.float32)
+    for i, own in enumerate(sets):
+        table[i, [ids[x] for x in own]] = 1
+    both, size = table @ table.T, np.array([len(x) for x in sets])
+    links = both * 100 >= 80 * (size[:, None] + size - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[links[i]].min() for i in range(len(rows))])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    assert 5 < (np.bincount(label)[2000:] > 0).sum() and np.bincount(label).max() > 1000
+    for hot in (jaccard.HOT_ROWS, 50):
+        got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot_rows=hot).collect()}
+        assert [got[i] for i in range(len(rows))] == label.tolist()
+
+
 def test_jaccard_keep_with_null_and_repeated_keys(spark):
     base = {c: [f"{c}{i}" for i in range(60)] for c in "abcde"}
     near = lambda c, k: " ".join([*base[c][:-1], f"other{k}"])
@@ -133,8 +165,8 @@ def test_sets_that_link_share_a_key_and_are_near_in_the_sketch():
         gone = jaccard.difference(2 * n, 90) // 2
         b[:gone] = rng.integers(0, 1 << 63, gone)
         both, at = np.concatenate([a, np.sort(b)]), np.array([0, n, 2 * n])
-        row, key = jaccard.band_keys(both, at, 90)
-        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+        row, _, _, key = jaccard.band_keys(both, at, 90)
+        assert n < 9 or set(key[row == 0].tolist()) & set(key[row == 1].tolist())  # where only equal sets link there are no keys
         sketch = jaccard.folded(both, at)
         assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= 2 * gone
 
