@@ -24,16 +24,20 @@ def marginal_gain(new: Column, base: Column) -> Column:
 
 
 def tier_gates(df: DataFrame, epsilon: float = 0.01, tier2: bool = False, tier4: bool = False) -> DataFrame:
-    """Add ``tier_reason`` ('' passes) from tier1_reason, delta2, delta3 and deltas4 (array, population deviation beside it)."""
-    mean4 = F.aggregate("deltas4", F.lit(0.0), lambda a, x: a + x) / F.size("deltas4")
+    """Add ``tier_reason`` ('' passes) from tier1_reason, delta2, delta3 and deltas4 (array, mean and population deviation beside it).
+
+    A gain that could not be computed (null, NaN, no folds, a fold without one) reaches no threshold.
+    """
+    mean4 = F.try_divide(F.aggregate("deltas4", F.lit(0.0), lambda a, x: a + x), F.size("deltas4"))
+    reaches = lambda gain, least: F.coalesce(F.nanvl(gain, F.lit(None).cast("double")) >= least, F.lit(False))
     reason = F.when(F.col("tier1_reason") != "", F.col("tier1_reason"))
     if tier2:
-        reason = reason.when(~(F.col("delta2") >= 0.3 * epsilon), "TIER2_NO_SIGNAL")
-    reason = reason.when(~(F.col("delta3") >= epsilon), "TIER3_SINGLE_FAIL")
+        reason = reason.when(~reaches(F.col("delta2"), 0.3 * epsilon), "TIER2_NO_SIGNAL")
+    reason = reason.when(~reaches(F.col("delta3"), epsilon), "TIER3_SINGLE_FAIL")
     if tier4:
-        reason = reason.when(~(mean4 >= epsilon), "TIER4_LOW_GAIN")
-    deviation = F.sqrt(F.aggregate("deltas4", F.lit(0.0), lambda a, x: a + x * x) / F.size("deltas4") - mean4 * mean4)
-    return df.withColumn("tier_reason", F.coalesce(reason, F.lit(""))).withColumn("delta4_mean", mean4).withColumn("delta4_std", deviation)
+        reason = reason.when(~reaches(mean4, epsilon), "TIER4_LOW_GAIN")
+    spread = F.aggregate("deltas4", F.lit(0.0), lambda a, x: a + (x - F.col("delta4_mean")) * (x - F.col("delta4_mean")))
+    return df.withColumn("tier_reason", F.coalesce(reason, F.lit(""))).withColumn("delta4_mean", mean4).withColumn("delta4_std", F.sqrt(F.try_divide(spread, F.size("deltas4"))))
 
 
 def funnel(df: DataFrame) -> DataFrame:

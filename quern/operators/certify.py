@@ -20,7 +20,7 @@ def nodes(programs: DataFrame, schema: DataFrame) -> DataFrame:
 
     ``schema`` has col_index, dtype, unit and is_target: one row per column of a table, so it is collected. Nodes are
     numbered n0.. inputs first. A program that is no JSON, has no known family or breaks the grammar has the
-    error GRAMMAR; type, unit and column errors have their certificates' codes.
+    error GRAMMAR; type, unit and column errors have their certificates' codes; whatever else goes wrong is INTERNAL.
     """
     rows = schema.collect()
     columns = {r.col_index: (r.dtype, r.unit) for r in rows}
@@ -39,8 +39,10 @@ def nodes(programs: DataFrame, schema: DataFrame) -> DataFrame:
             return [(fid, names[x["path"]], x["path"], x["op"], x["dtype"], x["unit"], x["col_index"], x["const_value"], places[x["path"]].get("source_split"), places[x["path"]].get("time_origin"), [names[c] for c in x["children"]], tag, None, None) for x in own]
         except G.ProgramError as e:
             code, detail = e.code, str(e)
-        except (ValueError, TypeError, AttributeError, RecursionError) as e:
+        except ValueError as e:
             code, detail = "GRAMMAR", str(e)
+        except Exception as e:  # one broken program must not stop the others
+            code, detail = "INTERNAL", f"{type(e).__name__}: {e}"
         return [(fid, None, None, None, None, None, None, None, None, None, None, tag, code, detail)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,14 +62,30 @@ def _inputs(own: DataFrame, leaves: DataFrame) -> DataFrame:
     return own.join(low, "feature_id").where(F.col("leaf_path").startswith(F.concat("path", F.lit("/"))))
 
 
+def on_cycles(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one program's (feature_id, node_id, child) the nodes left when those without inputs or without users go, again and again."""
+    edges = set(zip(pairs.node_id, pairs.child, strict=True))
+    while True:
+        users, inputs = {n for n, _ in edges}, {c for _, c in edges}
+        left = {(n, c) for n, c in edges if c in users and n in inputs}
+        if left == edges:
+            break
+        edges = left
+    found = sorted({n for n, _ in edges})
+    return pd.DataFrame({"feature_id": [pairs.feature_id.iloc[0]] * len(found), "node_id": found}, dtype=object)
+
+
 def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, train_split: str = "train") -> DataFrame:
     """(feature_id, cert, ord, verdict, failure_code, witness) for every compiled program and certificate.
 
     C1: known operators, columns and numbers of inputs. C2: target and forbidden columns only as direct inputs of
-    TargetEncode, with nothing above it. C3: nothing later than ``t_star`` (n/a without one). C4: input types and units.
-    C5: fit operators read train only. C6: every input exists, and nothing is its own input.
+    TargetEncode, with nothing above it. C3: nothing later than ``t_star`` (n/a without one), compared as times; text that
+    is no time fails. C4: input types and units. C5: fit operators read train only. C6: every input exists, and no
+    node is below itself: edges to a longer path can't close a circle, so only programs with other edges are searched.
+
+    ``nodes_`` is read several times and should be a written table where programs are many.
     """
-    good = nodes_.where("error is null").persist()
+    good = nodes_.where("error is null")
     cols = F.broadcast(schema.select("col_index", F.col("dtype").alias("declared_dtype"), (F.col("is_target") | F.col("is_forbidden")).alias("prohibited")))
     at = good.join(cols, "col_index", "left")
     arity = F.create_map(*[x for op in ("Col", "Const", *G.UNARY, *G.BINARY, *G.VARIADIC, "TargetEncode") for x in (F.lit(op), F.lit(G.arity(op)))])
@@ -77,7 +95,8 @@ def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, trai
     bare = prohibited.where(F.col("path") == "")
     over = _inputs(good, prohibited).where(~((F.col("op") == "TargetEncode") & (F.regexp_replace("leaf_path", "/[^/]*$", "") == F.col("path"))))
     c2 = bare.select("feature_id", "node_id").unionByName(over.select("feature_id", "node_id"))
-    c3 = good.where(F.col("time_origin") > F.lit(t_star)) if t_star else good.where(F.lit(False))
+    late = F.coalesce(F.try_to_timestamp("time_origin") > F.to_timestamp(F.lit(t_star)), F.lit(True))
+    c3 = good.where(F.col("time_origin").isNotNull() & late) if t_star else good.where(F.lit(False))
     child = good.select("feature_id", F.col("node_id").alias("child"), F.col("op").alias("child_op"), F.col("dtype").alias("child_dtype"), F.col("unit").alias("child_unit"))
     edges = good.select("feature_id", "node_id", "op", F.explode("children").alias("child"))
     read = edges.join(child, ["feature_id", "child"])
@@ -87,7 +106,11 @@ def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, trai
     other = good.where(F.col("source_split").isNotNull() & (F.col("source_split") != train_split))
     c5 = _inputs(good.where(F.col("op").isin(*G.FIT)), other)
     dangling = edges.join(child.select("feature_id", "child"), ["feature_id", "child"], "left_anti")
-    c6 = dangling.select("feature_id", "node_id").unionByName(edges.where("child = node_id").select("feature_id", "node_id"))
+    places = good.select("feature_id", F.col("node_id").alias("child"), F.col("path").alias("child_path"))
+    placed = good.select("feature_id", "node_id", "path", F.explode("children").alias("child")).join(places, ["feature_id", "child"], "left")
+    odd = placed.where(~F.coalesce(F.col("child_path").startswith(F.concat("path", F.lit("/"))), F.lit(False))).select("feature_id").distinct()
+    circles = edges.select("feature_id", "node_id", "child").join(odd, "feature_id", "left_semi").groupBy("feature_id").applyInPandas(on_cycles, "feature_id string, node_id string")
+    c6 = dangling.select("feature_id", "node_id").unionByName(circles)
     codes = ("C1.SCHEMA", "C2.TARGET_LEAK", "C3.FUTURE_TIME", "C4.TYPE", "C5.FIT_LEAK", "C6.LINEAGE")
     failed = None
     for i, (rows, code) in enumerate(zip((c1, c2, c3, c4, c5, c6), codes, strict=True)):
@@ -107,6 +130,19 @@ def verdicts(nodes_: DataFrame, traces_: DataFrame, enabled: tuple[str, ...] = C
     return own.unionByName(broken)
 
 
+def schema_hashes(schemas: DataFrame, checks: tuple[str, ...] = CERTIFICATES) -> DataFrame:
+    """(dataset, schema_hash) from (dataset, col_index, dtype, is_target, is_forbidden): the first 16 digits of the sha256 of the
+    key-sorted JSON of the columns and the enabled certificates, so that verdicts can be kept for it."""
+    own = schemas.groupBy("dataset").agg(
+        F.sort_array(F.collect_set(F.struct("col_index", "dtype"))).alias("cols"),
+        F.sort_array(F.collect_set(F.when(F.col("is_forbidden"), F.col("col_index")))).alias("forbidden_cols"),
+        F.min(F.when(F.col("is_target"), F.col("col_index"))).alias("target_col"),
+    )
+    kinds = F.transform("cols", lambda c: F.concat(c["col_index"].cast("string"), F.lit(":"), c["dtype"]))
+    payload = F.struct(F.array(*map(F.lit, checks)).alias("checks"), kinds.alias("col_types"), "dataset", "forbidden_cols", F.size("cols").alias("n_cols"), "target_col")
+    return own.select("dataset", F.substring(F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}).cast("binary"), 256), 1, 16).alias("schema_hash"))
+
+
 def column_sets(nodes_: DataFrame) -> DataFrame:
     """(feature_id, col_group): the sorted column positions a program reads."""
     return nodes_.where("error is null").groupBy("feature_id").agg(F.sort_array(F.collect_set("col_index")).alias("col_group"))

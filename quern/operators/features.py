@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +11,16 @@ from pyspark.sql import functions as F
 
 from quern.functions import columns as C
 from quern.functions import grammar as G
+from quern.sources.scratch import staged, unstage
 
 #: A category map is broadcast up to so many rows; a larger one is joined by a shuffle.
 MAP_ROWS = 500_000
 #: Expressions in one aggregate or projection at most.
 BATCH = 200
+#: Values that one exact percentile may hold; of longer columns a bracket around the rank is cut out first.
+EXACT_VALUES = 2_000_000
+#: Relative accuracy of the brackets, as in percentile_approx.
+ACCURACY = 10_000
 
 
 @dataclass
@@ -24,6 +31,12 @@ class Fitted:
     maps: DataFrame | None = None
     map_sizes: dict[tuple[str, str], int] = field(default_factory=dict)
     failed: dict[str, str] = field(default_factory=dict)
+    written: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the category maps that ``fit`` wrote, when nothing is to be applied any more."""
+        unstage(*self.written)
+        self.maps, self.map_sizes, self.written = None, {}, []
 
 
 def level(node: dict) -> int:
@@ -99,7 +112,55 @@ class Builder:
 
 
 def map_column(fid: str, path: str) -> str:
-    return f"_map_{fid}{path.replace('/', '_')}"
+    """A name without dots that no other id and path give."""
+    return f"_map_{hashlib.sha256(f'{fid}\0{path}'.encode()).hexdigest()[:24]}"
+
+
+def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], most: int = EXACT_VALUES) -> list[list[float | None]]:
+    """Per (column, fractions) the order statistics, with linear interpolation between two; None for an empty column.
+
+    ``percentile`` holds every distinct value of a column in one task. So a column of more than ``most`` values is
+    narrowed first: percentile_approx's guaranteed error gives a bracket that holds the rank, what is below is counted,
+    and the next round looks into the bracket only. Each round leaves some 4 / ACCURACY of the values; the result
+    is the same at every size. Where equal values keep a bracket from shrinking they are few distinct ones.
+    """
+    counts = []
+    for low in range(0, len(asked), BATCH):
+        counts += frame.agg(*[F.count(x).alias(f"n{i}") for i, (x, _) in enumerate(asked[low : low + BATCH])]).first()
+    ranks = sorted({(i, k) for i, (_, qs) in enumerate(asked) if counts[i] for q in qs for k in (math.floor((counts[i] - 1) * q), math.ceil((counts[i] - 1) * q))})
+    brackets = {r: (None, None, 0, counts[r[0]]) for r in ranks}  # low, high (None: open), values below, values inside
+
+    def inside(r: tuple[int, int]) -> Column:
+        low, high, _, _ = brackets[r]
+        x = asked[r[0]][0]
+        return x if low is None else F.when((x >= low) & (x <= high), x)
+
+    def ask(rows: list[tuple[int, int]], make) -> dict[tuple[int, int], tuple]:
+        out = {}
+        for low in range(0, len(rows), BATCH):
+            part = rows[low : low + BATCH]
+            out |= dict(zip(part, frame.agg(*[make(r).alias(f"v{i}") for i, r in enumerate(part)]).first(), strict=True))
+        return out
+
+    open_ = [r for r in ranks if brackets[r][3] > most]
+    while open_:
+        margin = 2 / ACCURACY
+        share = {r: (r[1] - brackets[r][2]) / brackets[r][3] for r in open_}
+        ends = ask(open_, lambda r: F.percentile_approx(inside(r), [max(0.0, share[r] - margin), min(1.0, share[r] + margin)], ACCURACY))
+        counted = ask(open_, lambda r: F.struct(F.count_if(asked[r[0]][0] < ends[r][0]), F.count_if((asked[r[0]][0] >= ends[r][0]) & (asked[r[0]][0] <= ends[r][1]))))
+        before = {r: brackets[r][3] for r in open_}
+        brackets |= {r: (ends[r][0], ends[r][1], *counted[r]) for r in open_}
+        open_ = [r for r in open_ if brackets[r][3] > most and brackets[r][0] < brackets[r][1] and brackets[r][3] <= before[r] / 2]
+    values = ask(ranks, lambda r: F.percentile(inside(r), (r[1] - brackets[r][2]) / max(brackets[r][3] - 1, 1)))
+
+    def value(i: int, q: float) -> float | None:
+        if not counts[i]:
+            return None
+        place = (counts[i] - 1) * q
+        a, b = values[i, math.floor(place)], values[i, math.ceil(place)]
+        return a if a == b else a + (b - a) * (place - math.floor(place))
+
+    return [[value(i, q) for q in qs] for i, (_, qs) in enumerate(asked)]
 
 
 def fit_nodes(programs: dict[str, dict], wave: int) -> list[tuple[str, str, dict]]:
@@ -110,18 +171,19 @@ def fit(df: DataFrame, programs: dict[str, dict], types: dict[str, str], names:
     """Learn every fit operator's statistics from the rows whose ``split`` column is 'train' (all rows without that column).
 
     Fit operators inside others are learned first, a wave for each level: all scalars of a wave in one aggregate
-    and all category maps in one grouped aggregate. Quantiles are exact, or approximate with ``accuracy``.
+    and all category maps in one grouped aggregate, written to the shared folder. Quantiles are exact (``exact_quantiles``), or
+    approximate with ``accuracy``.
     Equal deciles fail the feature (``duplicates='drop'`` merges them). Missing categories are the category ``nan``.
     """
     names = names or [c for c in df.columns if c != split]
     train = df.where(F.col(split) == "train") if split in df.columns else df
     fitted = Fitted()
-    quantiles = (lambda x, q: F.percentile_approx(x, q, accuracy)) if accuracy else (lambda x, q: F.percentile(x, F.array(*map(F.lit, q))))
+    fractions = {"Clip": [0.01, 0.99], "QuantileBucketize": [i / 10 for i in range(1, 10)]}
     live = dict(programs)
     for wave in range(1, max([0, *map(level, programs.values())]) + 1):
         build = Builder(names, types, fitted)
         frame = with_maps(train, {f: p for f, p in live.items()}, types, fitted, names, wave)
-        scalars, maps = [], []
+        scalars, ordered, maps = [], [], []
         for fid, path, node in fit_nodes(live, wave):
             try:
                 (slot, child), *rest = G.children(node)
@@ -131,28 +193,38 @@ def fit(df: DataFrame, programs: dict[str, dict], types: dict[str, str], names:
                     maps.append((fid, path, F.struct(F.lit(fid).alias("feature_id"), F.lit(path).alias("path"), C.token(x).alias("category"), label.alias("label"))))
                 else:
                     x = x.cast("double")
-                    stat = {"ZScore": lambda x: F.array(F.avg(x), F.stddev_samp(x)), "MinMaxScale": lambda x: F.array(F.min(x), F.max(x)), "Clip": lambda x: quantiles(x, [0.01, 0.99]), "QuantileBucketize": lambda x: quantiles(x, [i / 10 for i in range(1, 10)])}
-                    scalars.append((fid, path, node["op"], stat[node["op"]](x)))
+                    if node["op"] in fractions and not accuracy:
+                        ordered.append((fid, path, node["op"], x))
+                    else:
+                        stat = {"ZScore": lambda x: F.array(F.avg(x), F.stddev_samp(x)), "MinMaxScale": lambda x: F.array(F.min(x), F.max(x))}
+                        approximate = lambda x, op=node["op"]: F.percentile_approx(x, fractions[op], accuracy)
+                        scalars.append((fid, path, node["op"], stat.get(node["op"], approximate)(x)))
             except G.ProgramError as e:
                 fitted.failed[fid] = f"{e.code}: {e}"
                 live.pop(fid, None)
+        learned_rows = []
         for low in range(0, len(scalars), BATCH):
             part = scalars[low : low + BATCH]
             row = frame.agg(*[s.alias(f"s{i}") for i, (*_, s) in enumerate(part)]).first()
-            for i, (fid, path, op, _) in enumerate(part):
-                values = list(row[i]) if row[i] is not None else [None]
-                if op == "QuantileBucketize" and None not in values and len(set(values)) < len(values):
-                    if duplicates == "fail":
-                        fitted.failed[fid] = "EXECUTION_FAILED: equal deciles"
-                        live.pop(fid, None)
-                    values = sorted(set(values))
-                fitted.scalars[fid, path] = values
+            learned_rows += [(fid, path, op, list(v) if v is not None else [None]) for (fid, path, op, _), v in zip(part, row, strict=True)]
+        if ordered:
+            found = exact_quantiles(frame, [(x, fractions[op]) for *_, op, x in ordered])
+            learned_rows += [(fid, path, op, v) for (fid, path, op, _), v in zip(ordered, found, strict=True)]
+        for fid, path, op, values in learned_rows:
+            if op == "QuantileBucketize" and None not in values and len(set(values)) < len(values):
+                if duplicates == "fail":
+                    fitted.failed[fid] = "EXECUTION_FAILED: equal deciles"
+                    live.pop(fid, None)
+                values = sorted(set(values))
+            fitted.scalars[fid, path] = values
         if maps:
             long = frame.select(F.explode(F.array(*[s for *_, s in maps])).alias("m")).select("m.*")
             learned = long.groupBy("feature_id", "path", "category").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("label").alias("mean"))
-            encoders = [f"{fid}{path}" for fid, path, node in fit_nodes(live, wave) if node["op"] == "TargetEncode"]
-            value = F.when(F.concat("feature_id", "path").isin(encoders), F.col("mean")).otherwise(F.col("n")) if encoders else F.col("n")
-            learned = learned.select("feature_id", "path", "category", value.alias("value")).persist()
+            encoders = [map_column(fid, path) for fid, path, node in fit_nodes(live, wave) if node["op"] == "TargetEncode"]
+            tag = F.concat(F.lit("_map_"), F.substring(F.sha2(F.concat("feature_id", F.lit("\0"), "path").cast("binary"), 256), 1, 24))
+            value = F.when(tag.isin(encoders), F.col("mean")).otherwise(F.col("n")) if encoders else F.col("n")
+            learned = staged(learned.select("feature_id", "path", "category", value.alias("value")), narrow=True)
+            fitted.written.append(learned)
             for r in learned.groupBy("feature_id", "path").count().collect():
                 fitted.map_sizes[r.feature_id, r.path] = r["count"]
             fitted.maps = learned if fitted.maps is None else fitted.maps.unionByName(learned)
@@ -166,9 +238,9 @@ def with_maps(df: DataFrame, programs: dict[str, dict], types: dict[str, str], f
         for fid, path, node in fit_nodes(programs, wave):
             if node["op"] in ("FrequencyEncode", "TargetEncode") and (fid, path) in fitted.map_sizes:
                 slot, child = G.children(node)[0]
-                own = fitted.maps.where((F.col("feature_id") == fid) & (F.col("path") == path)).select(F.col("category").alias("_category"), F.col("value").alias(map_column(fid, path)))
+                own = fitted.maps.where((F.col("feature_id") == fid) & (F.col("path") == path)).select(F.col("category").alias(f"{map_column(fid, path)}_key"), F.col("value").alias(map_column(fid, path)))
                 side = F.broadcast(own) if fitted.map_sizes[fid, path] <= MAP_ROWS else own
-                df = df.join(side, C.token(build.column(fid, child, f"{path}/{slot}")) == F.col("_category"), "left").drop("_category")
+                df = df.join(side, C.token(build.column(fid, child, f"{path}/{slot}")) == F.col(f"{map_column(fid, path)}_key"), "left").drop(f"{map_column(fid, path)}_key")
             elif node["op"] in ("FrequencyEncode", "TargetEncode"):
                 df = df.withColumn(map_column(fid, path), F.lit(None).cast("double"))
     return df

@@ -8,7 +8,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import audit, splits
+from quern.operators import audit, features, splits
 
 
 def model_input(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -59,6 +59,28 @@ def score(train: DataFrame, other: DataFrame, inputs: list[str], task: str = "C"
         ready.unpersist()
 
 
+def final_score(df: DataFrame, key: str, numeric: list[str], categorical: list[str], accepted: dict[str, dict], types: dict[str, str], names: list[str], task: str = "C", name: str = "RF", trees: int = 100) -> tuple[float, float]:
+    """(baseline, final) on the test rows: the model of train and val rows, without and with all ``accepted`` features.
+
+    ``df`` has _split, key, label and the columns. The features' statistics come from the train rows alone, as when they
+    were accepted; one that fails is left out. Without accepted features both scores are the same.
+    """
+    fitted = features.fit(df, accepted, types, names)
+    try:
+        more = {f: f"feature_{i}" for i, f in enumerate(f for f in accepted if f not in fitted.failed)}
+        own = features.apply(df, accepted, types, fitted, ["_split", "label", *numeric, *categorical], names)
+        own = own.select("_split", "label", *numeric, *categorical, *[F.col(f"`{f}`").alias(c) for f, c in more.items()])
+        text = [c for c, kind in own.dtypes if c in more.values() and kind == "string"]
+        rows = model_input(own, [*numeric, *(c for c in more.values() if c not in text)], [*categorical, *text]).persist()
+        train, test = rows.where("_split <> 'test'"), rows.where("_split = 'test'")
+        baseline = score(train, test, [*numeric, *categorical], task, name, trees)
+        out = score(train, test, [*numeric, *categorical, *more.values()], task, name, trees) if more else baseline
+        rows.unpersist()
+        return baseline, out
+    finally:
+        fitted.release()
+
+
 def cross_validated(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> list[float]:
     """A score for each hash fold."""
     dealt = splits.k_fold(df, key, folds).persist()

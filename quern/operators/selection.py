@@ -13,7 +13,8 @@ def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> D
     """(feature_id, n, missing_rate, std, n_distinct, ok, reason) per column, in one wide aggregate.
 
     Reasons: TIER1_NAN for an empty column, one with more than half missing or all missing, TIER1_CONSTANT for a sample
-    deviation under 1e-9 or a single category. n_distinct is counted for categories only; constancy needs only min and max.
+    deviation under 1e-9 or a single category. n_distinct is counted for categories only, all columns' values in one grouped
+    aggregate; constancy needs only min and max.
     """
     n = F.count(F.lit(1))
     parts = []
@@ -21,9 +22,15 @@ def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> D
         x = F.col(c)
         std = F.stddev_samp(x.cast("double")) if c in numeric else F.lit(None).cast("double")
         constant = std < 1e-9 if c in numeric else F.min(x) == F.max(x)
-        kinds = F.count_distinct(x) if c in categorical else F.lit(None).cast("bigint")
-        parts.append(F.struct(F.lit(c).alias("feature_id"), n.alias("n"), F.avg(x.isNull().cast("double")).alias("missing_rate"), std.alias("std"), kinds.alias("n_distinct"), F.count(x).alias("present"), constant.alias("constant")).alias(c))
+        parts.append(F.struct(F.lit(c).alias("feature_id"), n.alias("n"), F.avg(x.isNull().cast("double")).alias("missing_rate"), std.alias("std"), F.count(x).alias("present"), constant.alias("constant")).alias(c))
     rows = df.agg(*parts).select(F.explode(F.array(*[F.col(c) for c in [*numeric, *categorical]])).alias("p")).select("p.*")
+    if categorical:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature_id"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("p")).select("p.*")
+        kinds = long.where("v is not null").distinct().groupBy("feature_id").agg(F.count(F.lit(1)).alias("kinds"))
+        every = F.when(F.col("feature_id").isin(*categorical), F.coalesce("kinds", F.lit(0).cast("bigint")))
+        rows = rows.join(kinds, "feature_id", "left").withColumn("n_distinct", every)  # a row a column
+    else:
+        rows = rows.withColumn("n_distinct", F.lit(None).cast("bigint"))
     reason = F.when((F.col("present") == 0) | (F.coalesce(F.col("missing_rate"), F.lit(1.0)) > 0.5), "TIER1_NAN").when(F.coalesce("constant", F.lit(False)), "TIER1_CONSTANT").otherwise("")
     return rows.select("feature_id", "n", "missing_rate", "std", "n_distinct", reason.alias("reason")).withColumn("ok", F.col("reason") == "")
 
@@ -67,7 +74,7 @@ def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, abs
     one = hashes.select(F.col("feature_id").alias("candidate"), F.col("hash").alias("h1"))
     two = hashes.select(F.col("feature_id").alias("accepted"), F.col("hash").alias("h2"), "seq")
     value = F.abs("value_sim") if absolute else F.col("value_sim")
-    joined = pairs.join(F.broadcast(one), "candidate").join(F.broadcast(two), "accepted").withColumn("sim", F.greatest(value, (F.col("h1") == F.col("h2")).cast("double"), F.lit(0.0)))
+    joined = pairs.join(one, "candidate").join(two, "accepted").withColumn("sim", F.greatest(value, (F.col("h1") == F.col("h2")).cast("double"), F.lit(0.0)))
     best = joined.groupBy("candidate").agg(F.max(F.struct("sim", (-F.col("seq")).alias("s"), "accepted")).alias("m"))
     sim = F.col("m.sim")
     return best.select("candidate", sim.alias("redundancy_max"), F.when(sim > 0, F.col("m.accepted")).otherwise("").alias("redundancy_argmax"), (sim < threshold).alias("passes"))

@@ -1,4 +1,8 @@
-"""Temporal and entity features with explicit keys; nothing after a row's own time is read."""
+"""Temporal and entity features with explicit keys; nothing after a row's own time is read.
+
+Rows of one entity and time are ordered by ``tie``; without one their order, and so what lag, trend and rolling values
+read among them, is not defined.
+"""
 
 from __future__ import annotations
 
@@ -18,18 +22,22 @@ def window_agg(entity: str, ts: str, x: str, seconds: int, how: str = "sum") ->
     return AGGREGATES[how](x).over(w)
 
 
-def lag(entity: str, ts: str, x: str, steps: int = 1) -> Column:
-    return F.lag(x, steps).over(Window.partitionBy(entity).orderBy(ts))
+def in_order(entity: str, ts: str, tie: str | None):
+    return Window.partitionBy(entity).orderBy(ts, *([tie] if tie else []))
+
+
+def lag(entity: str, ts: str, x: str, steps: int = 1, tie: str | None = None) -> Column:
+    return F.lag(x, steps).over(in_order(entity, ts, tie))
 
 
-def last_rows(entity: str, ts: str, n: int):
-    return Window.partitionBy(entity).orderBy(ts).rowsBetween(-(n - 1), 0)
+def last_rows(entity: str, ts: str, n: int, tie: str | None = None):
+    return in_order(entity, ts, tie).rowsBetween(-(n - 1), 0)
 
 
-def trend(entity: str, ts: str, x: str, n: int = 5) -> Column:
+def trend(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None) -> Column:
     """Slope of x per second over the entity's last n rows; NULL for one row."""
     seconds = micros(F.col(ts)) / 1e6
-    return F.regr_slope(F.col(x), seconds).over(last_rows(entity, ts, n))
+    return F.regr_slope(F.col(x), seconds).over(last_rows(entity, ts, n, tie))
 
 
 def time_since(entity: str, ts: str) -> Column:
@@ -37,12 +45,12 @@ def time_since(entity: str, ts: str) -> Column:
     return (micros(F.col(ts)) - micros(F.lag(ts).over(Window.partitionBy(entity).orderBy(ts)))) / 1e6
 
 
-def rolling_mean(entity: str, ts: str, x: str, n: int = 5) -> Column:
-    return F.avg(x).over(last_rows(entity, ts, n))
+def rolling_mean(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None) -> Column:
+    return F.avg(x).over(last_rows(entity, ts, n, tie))
 
 
-def rolling_std(entity: str, ts: str, x: str, n: int = 5) -> Column:
-    return F.stddev_samp(x).over(last_rows(entity, ts, n))
+def rolling_std(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None) -> Column:
+    return F.stddev_samp(x).over(last_rows(entity, ts, n, tie))
 
 
 def group_by_agg(df: DataFrame, entity: str, x: str, how: str = "avg", ts: str | None = None, t_star: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions.grammar import IID_FAMILIES
 from quern.operators import audit, certify, features, scoring, selection, splits, temporal
 from quern.sources import datasets
+from quern.sources.scratch import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,7 +240,7 @@ KINDS = {
     9: ("nonlinear_transform", un("Abs", {"op": "Col", "col_index": 0, "time_origin": "2025-06-01"}), None),
 }
 COLUMNS = [(0, "numeric", "unitless", False), (1, "categorical", "unitless", False), (2, "categorical", "unitless", False), (3, "categorical", "unitless", False), (4, "numeric", "count", False), (5, "numeric", "unitless", True)]
-T_STAR = "2025-01-01"
+T_STAR = "2025-01-01T00:00:00Z"
 
 
 def canonical(kind: int) -> str:
@@ -267,7 +268,8 @@ def schema(spark: SparkSession) -> DataFrame:
 
 
 def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return certify.nodes(programs(spark, sf_dir), schema(spark))
+    """The programs' nodes as a written table, as certificates read them several times."""
+    return staged(certify.nodes(programs(spark, sf_dir), schema(spark)))
 
 
 @query("program_nodes", f"{PARTS} select feature_id, case when broken then 1 else case k when 1 then 4 when 2 then 3 when 5 then 3 when 6 then 3 else 2 end end as nodes, case when broken then code end as error from c")
@@ -285,14 +287,61 @@ def _certificate(cert: str, code: str, witness: str):
     return sql, run
 
 
-for _name, _cert, _code, _witness in (("cert_schema", "C1", "C1.SCHEMA", "''"), ("cert_leakage", "C2", "C2.TARGET_LEAK", "case k when 1 then 'n3' else 'n1' end"), ("cert_temporal", "C3", "C3.FUTURE_TIME", "'n0'"), ("cert_type_unit", "C4", "C4.NONE", "''"), ("cert_train_only", "C5", "C5.FIT_LEAK", "'n1'"), ("cert_lineage", "C6", "C6.LINEAGE", "''")):
+for _name, _cert, _code, _witness in (("cert_leakage", "C2", "C2.TARGET_LEAK", "case k when 1 then 'n3' else 'n1' end"), ("cert_train_only", "C5", "C5.FIT_LEAK", "'n1'")):
     _sql, _run = _certificate(_cert, _code, _witness)
     query(_name, _sql)(_run)
 
+#: Faults that the compiler lets no program have, put into the node table: (kind, seq % 3, node, column, new value).
+FAULTS = [
+    (5, 0, "n2", "children", ["n0"]),  # C1: a Cross of one
+    (6, 0, "n2", "op", "Median"),  # C1: an unknown operator
+    (6, 1, "n1", "col_index", 77),  # C1: a column that isn't there
+    (5, 1, "n0", "dtype", "numeric"),  # C4: a Cross of a number
+    (6, 2, "n2", "op", "Add"),  # C4: a sum of different units
+    (8, 0, "n0", "children", ["n1"]),  # C6: two nodes below each other
+    (8, 1, "n1", "children", ["n7"]),  # C6: no such node
+    (9, 0, "n1", "children", ["n1"]),  # C6: a node below itself
+    (9, 1, "n0", "time_origin", "2025-01-01T08:00:00+09:00"),  # C3: one hour before t*
+    (9, 2, "n0", "time_origin", "soon"),  # C3: no time
+]
+
+
+def tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compiled(spark, sf_dir)
+    seq = F.substring("feature_id", 2, 20).cast("long")
+    for kind, rest, node, column, new in FAULTS:
+        here = (seq % 10 == kind) & (seq % 3 == rest) & (F.col("node_id") == node)
+        value = F.array(*map(F.lit, new)) if isinstance(new, list) else F.lit(new)
+        rows = rows.withColumn(column, F.when(here, value).otherwise(F.col(column)))
+    return staged(rows)
+
+
+for _name, _cert, _fail in (
+    ("cert_schema", "C1", "case when k = 5 and r = 0 or k = 6 and r = 0 then 'n2' when k = 6 and r = 1 then 'n1' end"),
+    ("cert_temporal", "C3", "case when k = 9 and r <> 1 then 'n0' end"),
+    ("cert_type_unit", "C4", "case when k = 5 and r = 1 or k = 6 and r = 2 then 'n2' end"),
+    ("cert_lineage", "C6", "case when k = 8 and r = 0 then 'n0,n1' when k = 8 and r = 1 or k = 9 and r = 0 then 'n1' end"),
+):
+
+    def _tampered(spark: SparkSession, sf_dir: str, cert: str = _cert) -> DataFrame:
+        own = certify.traces(tampered(spark, sf_dir), schema(spark), T_STAR).where(F.col("cert") == cert)
+        return own.select("feature_id", "verdict", F.array_join("witness", ",").alias("witness"))
+
+    query(_name, f"{PARTS}, x as (select *, {_fail} as bad from (select *, seq % 3 as r from c where not broken)) select feature_id, case when bad is null then 'pass' else 'fail' end as verdict, coalesce(bad, '') as witness from x")(_tampered)
+
+
+@query("schema_hash", """with s as (select distinct p_brand as dataset, p_size % 8 as col_index, case when p_size % 8 in (2, 5) then 'categorical' else 'numeric' end as dtype, p_size % 8 = 7 as is_target, p_size % 8 in (1, 3) as is_forbidden from part),
+g as (select dataset, list(col_index || ':' || dtype order by col_index) as cols, coalesce(list(col_index order by col_index) filter (is_forbidden), []) as forbidden, count(*) as n, min(col_index) filter (is_target) as target from s group by 1)
+select dataset, substr(sha256('{"checks":["C1","C2","C3","C4","C5","C6"],"col_types":' || to_json(cols)::varchar || ',"dataset":"' || dataset || '","forbidden_cols":' || to_json(forbidden)::varchar || ',"n_cols":' || n || ',"target_col":' || coalesce(target::varchar, 'null') || '}'), 1, 16) as schema_hash from g""")
+def schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_size") % 8
+    kind = F.when(i.isin(2, 5), "categorical").otherwise("numeric")
+    return certify.schema_hashes(table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), i.alias("col_index"), kind.alias("dtype"), (i == 7).alias("is_target"), i.isin(1, 3).alias("is_forbidden")))
+
 
 @query("cert_verdicts", f"{PARTS} select feature_id, code is null as passed, code as failure_code from c")
 def cert_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = compiled(spark, sf_dir).persist()
+    own = compiled(spark, sf_dir)
     return certify.verdicts(own, certify.traces(own, schema(spark), T_STAR))
 
 
@@ -398,14 +447,16 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.r2(rows, "y", "p"))
 
 
-@query("marginal_gain", "select event_id, round((value - event_id % 13) / greatest(abs(event_id % 13), 1e-9), 7) as gain from events where event_id % 13 > 0")
+@query("marginal_gain", "select event_id, round((value - event_id % 13) / greatest(abs(event_id % 13), 1e-9) * case when event_id % 13 = 0 then 1e-9 else 1 end, 6) as gain from events")
 def marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("base", (F.col("event_id") % 13).cast("double")).where("base > 0")
-    return rows.select("event_id", F.round(audit.marginal_gain(F.col("value"), F.col("base")), 7).alias("gain"))
+    """Where the base is 0 the gain is in units of 1e9, as it is a quotient by 1e-9."""
+    rows = table(spark, sf_dir, "events").withColumn("base", (F.col("event_id") % 13).cast("double"))
+    gain = audit.marginal_gain(F.col("value"), F.col("base")) * F.when(F.col("base") == 0, 1e-9).otherwise(1.0)
+    return rows.select("event_id", F.round(gain, 6).alias("gain"))
 
 
-DELTAS = "select event_id, case when event_id % 10 = 0 then 'TIER1_NAN' else '' end as tier1_reason, (event_id % 17) / 1000.0 as d2, (event_id % 19) / 1000.0 as d3, (event_id % 23) / 1000.0 as d4, case when event_id % 29 = 0 then 'C4.TYPE' end as compile_error, case when event_id % 31 = 0 then 'C2.TARGET_LEAK' end as cert_code, case when event_id % 37 = 0 then 'EXECUTION_FAILED' end as execution_error, (event_id % 101) / 100.0 as redundancy_max from events"
-GATE = "case when tier1_reason <> '' then tier1_reason when d2 < 0.003 then 'TIER2_NO_SIGNAL' when d3 < 0.01 then 'TIER3_SINGLE_FAIL' when (d4 + 0.01) < 0.015 then 'TIER4_LOW_GAIN' else '' end"
+DELTAS = "select event_id, case when event_id % 10 = 0 then 'TIER1_NAN' else '' end as tier1_reason, (event_id % 17) / 1000.0 as d2, case when event_id % 41 = 0 then null when event_id % 43 = 0 then cast('NaN' as double) else (event_id % 19) / 1000.0 end as d3, case when event_id % 47 = 0 then null else (event_id % 23) / 1000.0 end as d4, case when event_id % 29 = 0 then 'C4.TYPE' end as compile_error, case when event_id % 31 = 0 then 'C2.TARGET_LEAK' end as cert_code, case when event_id % 37 = 0 then 'EXECUTION_FAILED' end as execution_error, (event_id % 101) / 100.0 as redundancy_max from events"
+GATE = "case when tier1_reason <> '' then tier1_reason when d2 < 0.003 then 'TIER2_NO_SIGNAL' when not coalesce(d3 >= 0.01 and not isnan(d3), false) then 'TIER3_SINGLE_FAIL' when (d4 + 0.01) < 0.015 then 'TIER4_LOW_GAIN' else '' end"
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,10 +466,10 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.tier_gates(rows, 0.01, tier2=True, tier4=True)
 
 
-GATE4 = GATE.replace("(d4 + 0.01) < 0.015", "d4 + 0.005 < 0.01 and event_id % 23 < 5")
+GATE4 = GATE.replace("(d4 + 0.01) < 0.015", "d4 is null or d4 + 0.005 < 0.01 and event_id % 23 < 5")
 
 
-@query("tier_gates", f"select event_id, {GATE4} as tier_reason, round(d4 + 0.005, 6)::double as delta4_mean, 0.005::double as delta4_std from ({DELTAS})")
+@query("tier_gates", f"select event_id, {GATE4} as tier_reason, round(d4 + 0.005, 6)::double as delta4_mean, case when d4 is not null then 0.005::double end as delta4_std from ({DELTAS})")
 def tier_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas(spark, sf_dir).select("event_id", "tier_reason", F.round("delta4_mean", 6).alias("delta4_mean"), F.round("delta4_std", 6).alias("delta4_std"))
 
@@ -438,6 +489,17 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("priority", F.col("priority").cast("bigint"))
 
 
+@query("load_dataset", "select o_orderkey::double as c0, o_orderpriority || ', \"' || o_orderstatus || '\"' as c1, case when o_orderkey % 7 > 0 then round(o_totalprice, 2) end as c2, o_orderstatus as c3 from orders")
+def load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as a headless CSV with commas and quotes in a field and text among the numbers, with its sidecar, read again."""
+    rows = table(spark, sf_dir, "orders")
+    stem = shared_folder(spark)
+    noisy = F.when(F.col("o_orderkey") % 7 > 0, F.round("o_totalprice", 2).cast("string")).otherwise("none")
+    rows.select(F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')), noisy, "o_orderstatus").write.csv(f"{stem}.csv", quote='"', escape='"')
+    spark.createDataFrame([('{"task": "C", "0": "num", "1": "cat", "2": "num", "3": "cat"}',)], "value string").coalesce(1).write.text(f"{stem}.json")
+    return datasets.load_dataset(spark, stem)[0]
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.label_encode(split_orders(spark, sf_dir), "status").withColumnRenamed("label_code", "label")
     return scoring.model_input(rows.select("o_orderkey", "_split", "label", "price", "signed", "small", "priority"), ["price", "signed", "small"], ["priority"])
@@ -449,26 +511,28 @@ INPUTS = ["price", "signed", "small", "priority"]
 @query("model_score")
 def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
-    return spark.createDataFrame([(n, scoring.score(rows.where("_split = 'train'"), rows.where("_split = 'val'"), INPUTS, "C", n, 20)) for n in ("RF", "LR")], "model string, score double")
+    return spark.createDataFrame([(n, scoring.score(rows.where("_split = 'train'"), rows.where("_split = 'val'"), INPUTS, "C", n)) for n in ("RF", "LR")], "model string, score double")
 
 
 @query("cv_score")
 def cv_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where("_split = 'train'")
-    return spark.createDataFrame(list(enumerate(scoring.cross_validated(rows, "o_orderkey", INPUTS, "C", "LR"))), "fold int, score double")
+    return spark.createDataFrame(list(enumerate(scoring.cross_validated(rows, "o_orderkey", INPUTS, "C"))), "fold int, score double")
 
 
 @query("final_score")
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    return spark.createDataFrame([(scoring.score(rows.where("_split <> 'test'"), rows.where("_split = 'test'"), INPUTS, "C", "RF", 20),)], "score double")
+    """The forest on the test orders, without and with the flagship's features."""
+    rows = splits.label_encode(split_orders(spark, sf_dir), "status").withColumnRenamed("label_code", "label")
+    baseline, final = scoring.final_score(rows, "o_orderkey", ["price", "signed", "small"], ["priority"], FLAGSHIP, TYPES, NAMES)
+    return spark.createDataFrame([(baseline, final)], "baseline double, score double")
 
 
 # Temporal and entity features on events.
 
 EVENTS = "select event_id, user_id, ts, case when event_id % 8 = 0 then null else value end as x, event_id % 100 as amount from events"
-LAST5 = "(partition by user_id order by ts rows between 4 preceding and current row)"
-W = "over (partition by user_id order by ts)"
+LAST5 = "(partition by user_id order by ts, event_id rows between 4 preceding and current row)"
+W = "over (partition by user_id order by ts, event_id)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,11 +541,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _make, _sql in (
     ("window_agg", lambda: temporal.window_agg("user_id", "ts", "amount", 86_400 * 7).cast("bigint"), "(sum(amount) over (partition by user_id order by ts range between interval 7 days preceding and current row))::bigint"),
-    ("lag_value", lambda: temporal.lag("user_id", "ts", "x"), f"lag(x) {W}"),
-    ("trend_slope", lambda: F.round(temporal.trend("user_id", "ts", "amount") * 86_400, 4), f"round(regr_slope(amount, epoch_us(ts) / 1e6 - 1.7e9) over {LAST5} * 86400, 4)"),
+    ("lag_value", lambda: temporal.lag("user_id", "ts", "x", tie="event_id"), f"lag(x) {W}"),
+    ("trend_slope", lambda: F.round(temporal.trend("user_id", "ts", "amount", tie="event_id") * 86_400, 4), f"round(regr_slope(amount, epoch_us(ts) / 1e6 - 1.7e9) over {LAST5} * 86400, 4)"),
     ("time_since", lambda: F.round(temporal.time_since("user_id", "ts"), 3), f"round((epoch_us(ts) - epoch_us(lag(ts) {W})) / 1e6, 3)"),
-    ("rolling_mean", lambda: F.round(temporal.rolling_mean("user_id", "ts", "x"), 6), f"round(avg(x) over {LAST5}, 6)"),
-    ("rolling_std", lambda: F.round(temporal.rolling_std("user_id", "ts", "x"), 5), f"round(stddev_samp(x) over {LAST5}, 5)"),
+    ("rolling_mean", lambda: F.round(temporal.rolling_mean("user_id", "ts", "x", tie="event_id"), 6), f"round(avg(x) over {LAST5}, 6)"),
+    ("rolling_std", lambda: F.round(temporal.rolling_std("user_id", "ts", "x", tie="event_id"), 5), f"round(stddev_samp(x) over {LAST5}, 5)"),
 ):
     query(_name, f"select event_id, {_sql} as value from ({EVENTS})")(lambda s, d, m=_make: events(s, d).select("event_id", m().alias("value")))
 
@@ -509,12 +573,24 @@ def entity_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ingest_responses", "select event_id as response_id, p as pos, 'f' || event_id || '_' || p as feature_id, 'binning' as family, case when p = 0 then 'why' else '' end as declared_intent, '{\"col_index\":' || event_id % 6 || ',\"op\":\"Col\"}' as program, null::varchar as output, case event_id % 4 when 1 then 1 else 2 end as attempted, (event_id // case event_id % 4 when 1 then 1 else 2 end)::bigint as tokens_each from events, range(2) r(p) where event_id % 4 < 3 and (event_id % 4 <> 1 or p = 0)")
 def ingest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.ingest_responses(answers(spark, sf_dir))
+
+
+@query("response_counts", "select event_id as response_id, [2, 1, 2, 0][(event_id % 4 + 1)::int]::bigint as attempted, [2, 1, 2, 0][(event_id % 4 + 1)::int]::bigint - (event_id % 4 = 2 and event_id % 3 = 0)::int as parsed, (event_id % 4 = 2 and event_id % 3 = 0)::bigint as parse_failures, event_id % 4 = 3 as unreadable from events")
+def response_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In every third list of two the second item's family is unknown."""
+    rows = answers(spark, sf_dir)
+    bad = F.regexp_replace("text", r'_1","family":"binning"', '_1","family":"other"')
+    return datasets.response_counts(rows.withColumn("text", F.when((F.col("response_id") % 4 == 2) & (F.col("response_id") % 3 == 0), bad).otherwise(F.col("text"))))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id").cast("string")
     item = lambda p, extra: F.concat(F.lit('{"feature_id":"f'), e, F.lit(f'_{p}","family":"binning"{extra},"program":{{"op":"Col","col_index":'), (F.col("event_id") % 6).cast("string"), F.lit("}}"))
     first, second = item(0, ',"declared_intent":"why"'), item(1, "")
     both = F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
     text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\n```json\n"), both, F.lit("\n```\n"))).when(F.col("event_id") % 4 == 1, first).when(F.col("event_id") % 4 == 2, both).otherwise("no JSON at all")
-    return datasets.ingest_responses(table(spark, sf_dir, "events").select(F.col("event_id").alias("response_id"), text.alias("text"), F.col("event_id").alias("tokens")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("response_id"), text.alias("text"), F.col("event_id").alias("tokens"))
 
 
 @query("parse_reviews", "select event_id as review_id, case when event_id % 3 = 2 then '' else 'it is ' || event_id end as interpretation, case when event_id % 3 = 0 then 'plausible' else 'unclassifiable' end as plausibility, case when event_id % 3 = 2 then 'critic parse failure' else '' end as plausibility_witness, case event_id % 4 when 0 then 'match' when 1 then 'partial' else 'unclassifiable' end as intent_alignment, case event_id % 4 when 3 then 'critic parse failure' else 'w' end as alignment_witness from events")

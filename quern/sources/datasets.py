@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.grammar import FAMILIES
+
 
 def load_dataset(spark: SparkSession, stem: str) -> tuple[DataFrame, dict[str, str], str]:
     """``stem``.csv without header and ``stem``.json ({"task": "C" or "R", "0": "num" or "cat", ...}): rows with columns c0..,
     their types by name and the task. The last column is the target; columns the sidecar doesn't name are numeric."""
     side = spark.read.text(f"{stem}.json", wholetext=True).first()[0]
     kinds = spark.range(1).select(F.from_json(F.lit(side), "map<string,string>").alias("m")).first().m
-    width = len(spark.read.text(f"{stem}.csv").select(F.from_csv("value", "x string").alias("v"), "value").first().value.split(","))
-    names = [f"c{i}" for i in range(width)]
+    rows = spark.read.csv(f"{stem}.csv", header=False, quote='"', escape='"')  # as many columns as the first record has
+    names = [f"c{i}" for i in range(len(rows.columns))]
     types = {n: "categorical" if kinds.get(str(i)) == "cat" else "numeric" for i, n in enumerate(names)}
-    rows = spark.read.csv(f"{stem}.csv", header=False, schema=", ".join(f"{n} string" for n in names))
-    return rows.select(*[F.col(n).try_cast("double").alias(n) if types[n] == "numeric" else F.col(n) for n in names]), types, kinds.get("task", "C")
+    return rows.toDF(*names).select(*[F.col(n).try_cast("double").alias(n) if types[n] == "numeric" else F.col(n) for n in names]), types, kinds.get("task", "C")
 
 
 def descriptions(spark: SparkSession, stem: str) -> list[str]:
@@ -37,7 +39,7 @@ def unfenced(text: Column) -> Column:
 
 def ingest_responses(responses: DataFrame) -> DataFrame:
     """From (response_id, text, tokens) one row per program: response_id, pos, feature_id, family, declared_intent, program,
-    output, attempted, tokens_each. An object counts as a list of one; other JSON and no JSON give no rows."""
+    output, attempted, tokens_each. An object counts as a list of one; other JSON and no JSON give no rows (see ``response_counts``)."""
     parsed = responses.select("response_id", "tokens", F.try_parse_json(unfenced(F.col("text"))).alias("v"))
     kind = F.schema_of_variant("v")
     items = F.when(kind.startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")).when(kind.startswith("OBJECT"), F.array("v"))
@@ -46,6 +48,17 @@ def ingest_responses(responses: DataFrame) -> DataFrame:
     return out.select("response_id", "pos", get("feature_id").alias("feature_id"), get("family").alias("family"), F.coalesce(get("declared_intent"), F.lit("")).alias("declared_intent"), get("program").alias("program"), get("output").alias("output"), "attempted", F.floor(F.col("tokens") / F.greatest("attempted", F.lit(1))).cast("bigint").alias("tokens_each"))
 
 
+def response_counts(responses: DataFrame) -> DataFrame:
+    """Per response of (response_id, text, tokens): attempted, parsed and failed items; an item fails without a
+    feature_id, a known family or a program. A text that is no list or object has attempted 0 and is unreadable."""
+    items = ingest_responses(responses)
+    good = F.col("feature_id").isNotNull() & F.col("family").isin(*FAMILIES) & F.col("program").isNotNull()
+    counts = items.groupBy("response_id").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(good).alias("parsed"))
+    out = responses.select("response_id").join(counts, "response_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return out.select("response_id", n("attempted").alias("attempted"), n("parsed").alias("parsed"), (n("attempted") - n("parsed")).alias("parse_failures"), F.col("attempted").isNull().alias("unreadable"))
+
+
 def parse_reviews(reviews: DataFrame) -> DataFrame:
     """From (review_id, first, second): interpretation, plausibility, plausibility_witness, intent_alignment, alignment_witness.
 
@@ -78,6 +91,19 @@ def write_fitted(fitted, spark: SparkSession, path: str) -> None:
         fitted.maps.write.mode("overwrite").parquet(f"{path}/maps")
 
 
+def read_fitted(spark: SparkSession, path: str):
+    """What ``write_fitted`` wrote: the scalars come to the driver, the maps stay a table."""
+    from quern.operators.features import Fitted
+
+    out = Fitted({(r.feature_id, r.path): list(r.stats) for r in spark.read.parquet(f"{path}/scalars").collect()})
+    try:
+        out.maps = spark.read.parquet(f"{path}/maps")
+    except AnalysisException:
+        return out  # no encoders
+    out.map_sizes = {(r.feature_id, r.path): r["count"] for r in out.maps.groupBy("feature_id", "path").count().collect()}
+    return out
+
+
 def write_audit(records: DataFrame, path: str) -> None:
     """JSON lines with nested hard and soft parts; ``semantic`` is null for programs that no certificate let through."""
     hard = F.struct("program_hash", "failure_code")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import grammar as G
-from quern.operators import certify, features, scoring, selection, splits
+from quern.operators import audit, certify, features, scoring, selection, splits
 from quern.plans.catalog import col, const, two, un
 from quern.sources import datasets
 from quern.streaming.scoring import apply_stream
@@ -155,3 +155,109 @@ def test_model_score(spark):
 
 def test_coalesce_takes_a_constant(numbers):
     assert values(numbers, two("Coalesce", col(0), const(9.0)))[1] == 9.0
+
+
+def test_gains_that_are_missing_reach_no_gate(spark):
+    nan = float("nan")
+    rows = [(0, 1.0, 1.0, [1.0, 3.0]), (1, 1.0, None, [1.0]), (2, 1.0, nan, [1.0]), (3, None, 1.0, [1.0]), (4, 1.0, 1.0, [1.0, None]), (5, 1.0, 1.0, []), (6, 1.0, 1.0, None), (7, 1.0, 1.0, [nan]), (8, 1.0, 1.0, [1e8, 1e8])]
+    df = spark.createDataFrame(rows, "id long, delta2 double, delta3 double, deltas4 array<double>").withColumn("tier1_reason", F.lit(""))
+    got = {r.id: r for r in audit.tier_gates(df, tier2=True, tier4=True).collect()}
+    assert [got[i].tier_reason for i in range(9)] == ["", "TIER3_SINGLE_FAIL", "TIER3_SINGLE_FAIL", "TIER2_NO_SIGNAL", *["TIER4_LOW_GAIN"] * 4, ""]
+    assert (got[0].delta4_mean, got[0].delta4_std, got[8].delta4_std) == (2.0, 1.0, 0.0)
+
+
+def test_circles_and_zoned_times_in_node_tables(spark):
+    def node(fid, i, children, path="", **more):
+        base = {"feature_id": fid, "node_id": f"n{i}", "path": path, "op": "Abs" if len(children) == 1 else "Col", "dtype": "numeric", "unit": "unitless", "col_index": None if children else 0, "children": children}
+        return base | more
+
+    rows = [node("two", 0, ["n1"], "/child"), node("two", 1, ["n0"])]
+    rows += [node("three", i, [f"n{(i + 1) % 3}"]) for i in range(3)] + [node("three", 9, ["n0"])]
+    rows += [node("fine", 0, [], "/child"), node("fine", 1, ["n0"]), node("shared", 0, [], "/left"), node("shared", 1, ["n0", "n0"], op="Add")]
+    rows += [node(t, 0, [], time_origin=t) for t in ("2024-12-31T23:00:00Z", "2025-01-01T00:30:00+09:00", "2025-01-01T00:30:00Z", "no time")]
+    nodes = spark.createDataFrame(rows, certify.NODES)
+    schema = spark.createDataFrame([(0, "numeric", "unitless", False, False)], "col_index int, dtype string, unit string, is_target boolean, is_forbidden boolean")
+    got = {(r.feature_id, r.cert): (r.verdict, r.witness) for r in certify.traces(nodes, schema, "2025-01-01T00:00:00Z").collect()}
+    assert got["two", "C6"] == ("fail", ["n0", "n1"]) and got["three", "C6"] == ("fail", ["n0", "n1", "n2"])
+    assert got["fine", "C6"][0] == got["shared", "C6"][0] == "pass"
+    assert [got[t, "C3"][0] for t in ("2024-12-31T23:00:00Z", "2025-01-01T00:30:00+09:00", "2025-01-01T00:30:00Z", "no time")] == ["pass", "pass", "fail", "fail"]
+
+
+def test_errors_of_the_compiler_are_internal(spark):
+    df = spark.createDataFrame([("a", "normalization", json.dumps(col(0)), '"text"'), ("b", "normalization", "[1]", None)], "feature_id string, family string, program string, output string")
+    schema = spark.createDataFrame([(0, "numeric", "unitless", False, False)], "col_index int, dtype string, unit string, is_target boolean, is_forbidden boolean")
+    assert {r.feature_id: r.error for r in certify.nodes(df, schema).collect()} == {"a": "INTERNAL", "b": "GRAMMAR"}
+
+
+def test_quoted_fields_do_not_widen_a_data_set(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('1,"a,b",0\n2,"say ""c""",1\n')
+    (tmp_path / "q.json").write_text('{"task": "R", "0": "num", "1": "cat"}')
+    rows, types, task = datasets.load_dataset(spark, str(tmp_path / "q"))
+    assert task == "R" and list(types) == ["c0", "c1", "c2"]
+    assert sorted(map(tuple, rows.collect())) == [(1.0, "a,b", 0.0), (2.0, 'say "c"', 1.0)]
+
+
+@pytest.mark.parametrize("most", [50, 10**9])
+def test_exact_quantiles_at_any_size(spark, most):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000 / 7).alias("x"), F.when(F.col("id") % 3 > 0, 1.5).otherwise(F.col("id") * 1.0).alias("ties"), F.lit(None).cast("double").alias("none"))
+    asked = [[0.0, 0.01, 0.5, 0.999, 1.0], [0.1, 0.4, 0.7, 0.9], [0.5]]
+    got = features.exact_quantiles(df, [(F.col(c), qs) for c, qs in zip(df.columns, asked, strict=True)], most)
+    want = [df.agg(F.percentile(c, F.array(*map(F.lit, qs)))).first()[0] for c, qs in zip(df.columns, asked, strict=True)]
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1]) and got[2] == [None]
+
+
+def test_ids_that_look_alike_keep_their_maps(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y")], "c string, d string").coalesce(1)
+    programs = {"f.1": un("FrequencyEncode", col(0)), "f_1": un("FrequencyEncode", col(1))}
+    fitted = features.fit(df, programs, {"c": "categorical", "d": "categorical"})
+    rows = features.apply(df, programs, {"c": "categorical", "d": "categorical"}, fitted, []).collect()
+    assert sorted((r["f.1"], r["f_1"]) for r in rows) == [(1.0, 2.0), (2.0, 1.0), (2.0, 2.0)]
+    fitted.release()
+
+
+def test_fitted_statistics_are_read_again(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("b", 8.0)], "c string, x double")
+    programs, types = {"z": un("ZScore", col(1)), "f": un("FrequencyEncode", col(0))}, {"c": "categorical"}
+    fitted = features.fit(df, programs, types)
+    datasets.write_fitted(fitted, spark, str(tmp_path / "fit"))
+    again = datasets.read_fitted(spark, str(tmp_path / "fit"))
+    assert again.scalars == fitted.scalars and again.map_sizes == fitted.map_sizes
+    one, two_ = (sorted(map(tuple, features.apply(df, programs, types, f, ["x"]).collect())) for f in (fitted, again))
+    assert one == two_
+    datasets.write_fitted(features.Fitted({("z", ""): [1.0, None]}), spark, str(tmp_path / "none"))
+    assert datasets.read_fitted(spark, str(tmp_path / "none")).maps is None
+
+
+def test_sinks(spark, tmp_path):
+    out = str(tmp_path / "features")
+    datasets.write_features(spark.createDataFrame([(1, "train", 2.0), (2, "test", 3.0)], "id long, _split string, v double"), out)
+    assert sorted((r.id, r._split, r.v) for r in spark.read.parquet(out).collect()) == [(1, "train", 2.0), (2, "test", 3.0)]
+    fields = "feature_id string, family string, round int, status string, rejection_reason string, program_hash string, failure_code string, delta_mean double, delta_std double, redundancy_max double, plausibility string, intent_alignment string"
+    datasets.write_audit(spark.createDataFrame([("f", "binning", 1, "accepted", "", "h", None, 0.5, 0.1, 0.2, "plausible", "match"), ("g", "binning", 1, "rejected_cert", "C2", "i", "C2", None, None, None, None, None)], fields), str(tmp_path / "audit"))
+    read = {r.feature_id: r for r in spark.read.json(str(tmp_path / "audit")).collect()}
+    assert read["f"].soft.empirical.delta_mean == 0.5 and read["f"].soft.semantic.plausibility == "plausible"
+    assert read["g"].hard.failure_code == "C2" and read["g"].soft.semantic is None
+    datasets.write_metrics(spark.createDataFrame([(3, 0.5)], "n long, rate double"), str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).first().asDict() == {"n": 3, "rate": 0.5}
+    (tmp_path / "p.jsonl").write_text('{"feature_id":"a","family":"binning","program":{"op":"Col","col_index":0}}\n')
+    assert json.loads(datasets.read_programs(spark, str(tmp_path / "p.jsonl")).first().program) == col(0)
+
+
+def test_boosted_trees_lasso_and_folds(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 + F.col("id") / 1000).alias("x"), F.lit(1.0).alias("same"))
+    assert scoring.score(df, df, ["x", "same"], "C", "GBT") > 0.95
+    assert scoring.score(df, df, ["x"], "R", "GBT") > 0.9
+    line = df.select("id", (F.col("id") * 2.0).alias("label"), F.col("id").cast("double").alias("x"))
+    assert scoring.score(line, line, ["x"], "R", "LR") > 0.9
+    folds = scoring.cross_validated(df, "id", ["x"], "C", "RF", folds=3, trees=5)
+    assert len(folds) == 3 and min(folds) > 0.9
+
+
+def test_final_score_takes_the_accepted_features(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 4).cast("double").alias("a"), (F.floor(F.col("id") / 4) % 4).cast("double").alias("b"))
+    df = splits.train_val_test(rows.withColumn("label", ((F.col("a") == F.col("b"))).cast("double")), "id")
+    names = ["a", "b"]
+    accepted = {"same": two("IsEqual", col(0), col(1)), "broken": un("ZScore", col(9))}
+    baseline, final = scoring.final_score(df, "id", ["a"], [], accepted, {}, names, trees=5)
+    assert final == 1.0 and baseline < 1.0
+    assert len(set(scoring.final_score(df, "id", ["a"], [], {}, {}, names, trees=5))) == 1
