@@ -7,16 +7,21 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import with_fields
+from quern.llm.common import named, with_fields
+from quern.llm.hashing import slices, text_bytes
 
-#: A letter, then one space and a letter: no match of the pre-tokeniser reaches over the place before
-#: the space, and what matches from there on doesn't depend on what stands before it.
-SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
+#: The end of a run of letters, digits or marks: the pre-tokeniser's match ends there, and what matches from there on doesn't
+#: depend on what stands before it. Not between a mark and a letter, where 's and the like begin. A text without such
+#: a place is one match, whose byte pairs may merge over all of it, or white space, and is never cut.
+SAFE = regex.compile(r"(?<=\p{L})(?=[ \n\t\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[ \n\t\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}])(?=[ \n\t\p{N}])")
 CHUNK = 1 << 16
+#: Text that becomes Python strings at once.
+SLICE_BYTES = 8 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -58,13 +63,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
+            for low, high in slices(np.diff(text_bytes(whole.column(kept.index(text)))[1]), SLICE_BYTES, 512):
+                batch = whole.slice(low, high - low)
                 texts = batch.column(kept.index(text)).to_pylist()
                 out = pa.array([encode_text(t or "", coder, chunk) for t in texts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*kept, ids])
 
-    rows = docs.select(*kept)
+    rows = docs.select(*named(kept))
     return rows.mapInArrow(run, with_fields(rows, **{ids: "array<int>"}))
 
 
@@ -79,7 +84,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", dat
             out = pa.array([None if r is None else coder.decode_bytes(r) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*kept, data])
 
-    rows = docs.select(*kept)
+    rows = docs.select(*named(kept))
     return rows.mapInArrow(run, with_fields(rows, **{data: "binary"}))
 
 
@@ -93,7 +98,7 @@ def digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
         names = [str(i).encode() for i in range(coder.max_token_value + 1)]
-        for batch in batches:
+        for batch in (whole.slice(low, high - low) for whole in batches for low, high in slices(np.diff(text_bytes(whole.column(1))[1]), SLICE_BYTES)):
             counts, ids_sha, bytes_sha, same = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ids = encode_text(t or "", coder, chunk)

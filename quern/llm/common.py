@@ -2,47 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.sources.scratch import shared_folder, staged, unstage
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "crc_bucket", "fresh", "named", "shared_folder", "small", "staged", "unstage", "with_fields", "word_count"]
+
 #: ``[\x20\x09-\x0D]`` as a Java character class.
 SPACE = r"[ \t-\r]"
 #: A side of a join is broadcast only if it has at most this many (narrow) rows.
 BROADCAST_ROWS = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quern.scratch", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-quern-")
-        spark.conf.set("quern.scratch", top)
-    return f"{top.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
-
-    ``narrow``: in four partitions a core at most, for tables much smaller than the input.
-    """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.quern_path = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete tables that ``staged`` wrote and nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quern_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffled join then).
 
@@ -64,3 +39,16 @@ def word_count(text: Column) -> Column:
 def with_fields(df: DataFrame, **types: str) -> StructType:
     """The schema of ``df`` with more fields at its end (``StructType.add`` would change the frame's own)."""
     return StructType([*df.schema.fields, *(f for name, kind in types.items() for f in StructType.fromDDL(f"`{name}` {kind}").fields)])
+
+
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fresh(columns: list[str], names: Iterable[str], prefix: str) -> str:
+    """``prefix`` with as many underscores before it as it takes that none of prefix + name is among the columns."""
+    taken = {c.lower() for c in columns}
+    while any(f"{prefix}{n}".lower() in taken for n in names):
+        prefix = f"_{prefix}"
+    return prefix

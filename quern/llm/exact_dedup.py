@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, small, staged
+from quern.llm.common import SPACE, fresh, small, staged, unstage
 
-#: Documents in a sender's block, and fingerprints that one owner compares.
+#: Documents in a sender's block at most, and fingerprints that one owner compares.
 BLOCK_ROWS = 1 << 22
+#: Consecutive rows of a partition that go to the same block.
+RUN_ROWS = 1 << 10
 #: Fingerprint bits that are exchanged; more bits mean fewer false suspects, not other results.
 BITS = 48
 
@@ -51,18 +53,23 @@ def golomb_decode(k: int, n: int, data: bytes) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
+def parts_of(marks: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
+    """How many blocks and owners there are: their product, the number of messages, grows with the cores or the rows, not with both."""
+    return max(2 * marks.sparkSession.sparkContext.defaultParallelism, math.ceil(marks.count() / block_rows))
+
+
 def suspects(marks: DataFrame, bits: int = BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """From (rid, fp) the rows (rid, fp) whose fingerprint another row has too.
 
-    Rows form blocks by the partition that wrote them (the high bits of rid). Each block sends every owner (a range
+    Rows form blocks by the partition that wrote them (the high bits of rid) and their place there, in runs of RUN_ROWS; there
+    are at least two blocks and owners a core, and more so that none exceeds ``block_rows``. Each block sends every owner (a range
     of fingerprints) its sorted distinct fingerprints, Golomb-coded; one that the block itself has twice is
     suspect at once. The owner answers with a bitmap over what it was sent; the block reads off its suspects.
     Copies within a block are sent once, so an owner gets at most one entry a block of any group.
     """
-    count = marks.count()
-    blocks = owners = max(1, math.ceil(count / block_rows))
+    blocks = owners = parts_of(marks, block_rows)
     width = ((1 << bits) + owners - 1) // owners
-    rows = marks.select("rid", "fp", F.pmod(F.shiftright("rid", 33), F.lit(blocks)).alias("block"))
+    rows = marks.select("rid", "fp", F.pmod(F.shiftright("rid", 33) * 7 + F.floor(F.col("rid").bitwiseAND((1 << 33) - 1) / RUN_ROWS), F.lit(blocks)).alias("block"))
 
     def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(pdf.fp.to_numpy())
@@ -110,19 +117,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     fp = F.shiftrightunsigned(F.xxhash64("body"), 64 - bits)
     marks = staged(wide.select(F.monotonically_increasing_id().alias("rid"), "doc_id", sha.alias("text_sha256"), fp.alias("fp")))
     found = suspects(marks, bits, block_rows)
-    hot = small(staged(found.select("fp").distinct()))
-    texts = wide.select(fp.alias("fp"), "body").join(hot, "fp", "left_semi")
+    hot = staged(found.select("fp").distinct())
+    texts = wide.select(fp.alias("fp"), "body").join(small(hot), "fp", "left_semi")
     verified = texts.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = staged(verified.select(sha.alias("text_sha256")).groupBy("text_sha256").agg(F.count(F.lit(1)).alias("texts")))
     if classes.where("texts > 1").limit(1).count():
         raise ValueError("two different texts have the same sha256")
-    marked = marks.join(small(classes), "text_sha256", "left")
-    members = marked.where("texts is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("first")
-    groups = members.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
-    joined = members.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
-    alone = marked.where("texts is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return joined.unionByName(alone)
+    groups = staged(marks.join(small(classes.select("text_sha256")), "text_sha256", "left_semi").groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("size")))
+    unstage(hot, classes)
+    alone = F.col("first").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | (F.col("rid") == F.col("first.rid"))
+    return marks.join(small(groups), "text_sha256", "left").select("doc_id", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256")
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,9 +140,10 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     found = staged(deduplicate(docs, key, text).where("not kept").select("doc_id", "keep_id", "text_sha256"))
     sha = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    gone = small(staged(found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()))
-    rest = docs.withColumn("quern_sha", sha)
-    rest = rest.join(gone, F.col(key).eqNullSafe(F.col("gone_id")) & (F.col("quern_sha") == F.col("gone_sha")), "left_anti")
+    p = fresh(docs.columns, ("own", "sha", "id"), "quern_")
+    gone = small(staged(found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(f"{p}id"), F.col("text_sha256").alias(f"{p}sha")).distinct()))
+    rest = docs.withColumn(f"{p}own", sha)
+    rest = rest.join(gone, F.col(key).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}sha")), "left_anti")
     if found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
-        rest = rest.dropDuplicates([key, "quern_sha"])
-    return rest.drop("quern_sha")
+        rest = rest.dropDuplicates([key, f"{p}own"])
+    return rest.drop(f"{p}own")

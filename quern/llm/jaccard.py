@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small, staged, unstage
+from quern.llm.common import fresh, small, staged, unstage
 from quern.llm.components import connected
 from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 
@@ -18,11 +18,11 @@ FOLD = 8
 #: How often empty blocks are dealt anew before they count as keys themselves.
 REHASH = 3
 #: Text that one batch of shingles is made of.
-SLICE_BYTES = 4 << 20
-#: Shared keys (16 bytes each) that are broadcast at most.
+SLICE_BYTES = 2 << 20
+#: Shared keys (8 bytes each) that are broadcast at most.
 KEY_ROWS = 4_000_000
 #: How often keys are counted again after sets have left.
-PRUNE_ROUNDS = 1
+PRUNE_ROUNDS = 2
 #: Open members from which a bucket is dealt again, into so many times more blocks.
 HOT_ROWS, FINER = 256, 4
 #: Rounds in which components of a bucket are compared by one member each before all that is left is compared.
@@ -177,7 +177,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for whole in batches:
-            for low, high in slices(np.diff(text_bytes(whole.column(1))[1]), 4 << 20):
+            for low, high in slices(np.diff(text_bytes(whole.column(1))[1]), SLICE_BYTES):
                 values, at = shingle_sets(whole.column(1).slice(low, high - low), words)
                 c1, c2 = signatures(values, at)
                 new = []
@@ -198,7 +198,7 @@ def possible(percent: int) -> Column:
 
 
 def pruned(members: DataFrame) -> DataFrame:
-    """Of (key, node, grp, spare, freq) what can link: a set with no more shared keys than its spare ones leaves the group.
+    """Of (key, node, grp, spare, freq), freq being the number of sets that share the key, what can link: a set with no more shared keys than its spare ones leaves the group.
 
     The others need only their rarest (shared - spare) keys: ``needed``. Keys of one's own count as given first, as what
     two sets have in common is never among them, and both order the rest by (freq, key).
@@ -206,25 +206,25 @@ def pruned(members: DataFrame) -> DataFrame:
     group = Window.partitionBy("node", "grp")
     ranked = members.withColumn("shared", F.count(F.lit(1)).over(group)).where("shared > spare")
     place = F.row_number().over(group.orderBy("freq", "key"))
-    return ranked.select("key", "node", "grp", "spare", "freq", (place <= F.col("shared") - F.col("spare")).alias("needed"))
+    return ranked.select("key", "node", "grp", "spare", (place <= F.col("shared") - F.col("spare")).alias("needed"))
 
 
 def buckets(texts: DataFrame, classes: DataFrame, words: int, percent: int, finer: int = 1) -> DataFrame:
     """(key, node, needed): the sketch blocks that sets which may link have in common.
 
     Two passes over the texts: the first counts each key (combined map-side, so that hot keys are cheap), the second
-    brings the sets to the keys that several rows have. Keys that only copies of the same set share are no links.
+    brings the sets to the keys that several rows have. Keys that only copies of one set share are no links.
     """
     blocks = blocks_of(texts, words, percent, finer)
-    shared = staged(blocks.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("freq")).where("freq > 1"), narrow=True)
-    raw = staged(blocks.select("c1", "grp", "spare", F.explode("keys").alias("key")).join(small(shared, KEY_ROWS), "key").distinct(), narrow=True)
-    owned = raw.join(classes.select("c1", "node", "copies"), "c1").where("freq > copies").select("key", "node", "grp", "spare", "freq")
-    live = staged(pruned(owned), narrow=True)
+    shared = staged(blocks.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), narrow=True)
+    raw = staged(blocks.select("c1", "grp", "spare", F.explode("keys").alias("key")).join(small(shared, KEY_ROWS), "key", "left_semi").distinct(), narrow=True)
+    unstage(shared)
+    live, before = raw.join(classes.select("c1", "node"), "c1").select("key", "node", "grp", "spare"), raw
     for _ in range(PRUNE_ROUNDS):  # what has left makes other keys rarer
-        alive = live.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("freq")).where("freq > 1")
-        live, before = staged(pruned(live.drop("freq").join(alive, "key")), narrow=True), live
+        alive = live.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+        live = staged(pruned(live.join(alive, "key")), narrow=True)
         unstage(before)
-    unstage(shared, raw)
+        live, before = live.select("key", "node", "grp", "spare", "needed"), live
     return live.select("key", "node", "needed")
 
 
@@ -285,7 +285,7 @@ def connect(docs: DataFrame, key: str, text: str, words: int, percent: int, hot_
     """The described rows (doc_id, rid, th, n, c1, c2, sketch) and the classes (c1, c2, n, first_id, label) of ``join``: a label is a component."""
     rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     described = staged(describe(rows, words))
-    classes = staged(described.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.count(F.lit(1)).alias("copies")))
+    classes = staged(described.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min("th").alias("th")))
     members = buckets(rows, classes, words, percent)
     chosen = staged(classes.join(small(staged(members.select("node").distinct(), narrow=True)), "node", "left_semi"), narrow=True)
     verifier = Verifier(rows, described, chosen, words, percent)
@@ -311,9 +311,9 @@ def connect(docs: DataFrame, key: str, text: str, words: int, percent: int, hot_
     hot = staged(open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot_rows).select("key"), narrow=True)
     if hot.limit(1).count():  # finer blocks for their nodes: pairs that link meet there too
         nodes = staged(open_.join(small(hot), "key", "left_semi").select("node").distinct(), narrow=True)
-        own = staged(chosen.join(small(nodes), "node", "left_semi").withColumn("copies", F.lit(1)), narrow=True)
-        texts = rows.select("th", "text").join(small(own.select("th").distinct()), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-        finer = buckets(staged(texts), own, words, percent, FINER).where("needed")
+        own = staged(chosen.join(small(nodes), "node", "left_semi"), narrow=True)
+        texts = rows.select("th", "text").join(small(own.select("th").distinct()), "th", "left_semi")
+        finer = buckets(texts, own, words, percent, FINER).where("needed")
         open_ = still_open(open_.select("key", "node").join(small(hot), "key", "left_anti").unionByName(finer.select("key", "node")), labels)
     found = verifier.within(open_)
     if found.limit(1).count():
@@ -355,11 +355,12 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     groups = staged(rows.groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "first"))
     others = rows.join(small(groups), "label").where(F.col("rid") != F.col("first.rid"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    others = staged(others.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), same.alias("same")).distinct())
-    met = F.col(key).eqNullSafe(F.col("gone_id")) & (F.col("quern_th") == F.col("gone_th"))
-    rest = docs.withColumn("quern_th", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(small(others.where("not same")), met, "left_anti")
-    again = others.where("same")
+    p = fresh(docs.columns, ("own", "th", "id"), "quern_")
+    others = staged(others.select(F.col("doc_id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), same.alias("same")).distinct())
+    met = F.col(key).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}th"))
+    gone, again = others.where("not same").drop("same"), others.where("same").drop("same")
+    rest = docs.withColumn(f"{p}own", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(small(gone), met, "left_anti")
     if again.limit(1).count():
-        repeated = rest.join(small(again), met, "left_semi").dropDuplicates([key, "quern_th"])
+        repeated = rest.join(small(again), met, "left_semi").dropDuplicates([key, f"{p}own"])
         rest = rest.join(small(again), met, "left_anti").unionByName(repeated)
-    return rest.drop("quern_th")
+    return rest.drop(f"{p}own")

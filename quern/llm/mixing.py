@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small, staged, word_count
+from quern.llm.common import fresh, named, small, staged, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
+#: Columns that ``copies`` adds, after its prefix.
+ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -41,24 +43,32 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(":" + seed)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Every document with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", prefix: str = "mix_") -> DataFrame:
+    """Every document with mix_size, mix_source_size, mix_target, mix_rate and mix_copies (columns so named are replaced).
 
     mix_copies = floor(rate) + one Bernoulli draw with the fraction as its probability, seeded by the key
     (by the text's md5 where the key is null); rows with equal keys share their draw. Null sources are a
     source of their own, null texts have size 0. A single very large source is aggregated map-side first;
     the join back is a broadcast behind a check of the number of sources, else shuffled with skew handling.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col(text)))
-    targets = staged(source_targets(sized.select(F.col(source).alias("source"), F.col("mix_size").alias("size")), weights, total, most))
-    side = small(targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate")))
+    sized = docs.drop(*[f"{prefix}{c}" for c in ADDED]).withColumn(f"{prefix}size", word_count(F.col(text)))
+    targets = staged(source_targets(sized.select(F.col(source).alias("source"), F.col(f"{prefix}size").alias("size")), weights, total, most))
+    own = fresh(sized.columns, ("source",), "quern_mix_") + "source"
+    side = small(targets.select(F.col("source").alias(own), F.col("source_size").alias(f"{prefix}source_size"), F.col("target").alias(f"{prefix}target"), F.col("rate").alias(f"{prefix}rate")))
     seeded = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    whole = F.floor(F.col("mix_rate"))
-    extra = (draw(seeded, seed) < F.col("mix_rate") - whole).cast("long")
-    return sized.join(side, F.col(source).eqNullSafe(F.col("mix_source"))).drop("mix_source").withColumn("mix_copies", (whole + extra).cast("long"))
+    rate = F.col(f"{prefix}rate")
+    extra = (draw(seeded, seed) < rate - F.floor(rate)).cast("long")
+    return sized.join(side, F.col(source).eqNullSafe(F.col(own))).drop(own).withColumn(f"{prefix}copies", (F.floor(rate) + extra).cast("long"))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Repeat each row of ``copies`` mix_copies times (0 drops it) and take the mix columns away."""
-    rows = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return rows.drop(*[c for c in rows.columns if c.startswith("mix_")])
+def emit(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
+    """Repeat each row of ``copies`` mix_copies times (0 drops it) and take the columns away that ``copies`` added."""
+    times = F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies"))
+    rows = mixed.where(F.col(f"{prefix}copies") > 0).withColumn(fresh(mixed.columns, ("",), "mix_copy"), F.explode(times))
+    return rows.select(*named(c for c in mixed.columns if c not in {f"{prefix}{x}" for x in ADDED}))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``copies`` says, with their columns whatever their names are."""
+    prefix = fresh(docs.columns, ADDED, "mix_")
+    return emit(copies(docs, prefix=prefix, **options), prefix).select(*named(docs.columns))

@@ -9,13 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quern.llm.common import with_fields
+from quern.llm.common import named, with_fields
+from quern.llm.hashing import slices, text_bytes
 
 PAGE = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
 RATE, UNIT, PACKET = 8000, 192, 1920
+#: Text or media that become Python objects at once.
+SLICE_BYTES = 8 << 20
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -133,19 +137,30 @@ def store(raw: bytes, unit: int = UNIT, packet: int = PACKET) -> bytes:
 
 
 def load(media: bytes) -> tuple[bytes, int, list[dict]]:
-    """The payload, the unpadded length and per stream: serial, packets, samples and end in milliseconds."""
+    """The payload, the unpadded length and per stream: serial, packets, samples and end in milliseconds.
+
+    Granule positions must be those of the samples decoded, and the streams must say the same length.
+    """
     streams = demultiplex(media)
-    length, lanes, info = 0, [], []
+    length, lengths, lanes, info = 0, set(), [], []
     for serial, packets in streams.items():
         mark, (_, lane, rate, length) = packets[0][0][:8], struct.unpack("<BBIQ", packets[0][0][8:22])
         if mark != b"QUERNPCM" or lane != len(lanes):
             raise ValueError("not a stream of samples")
-        data = [p for p, _ in packets[1:]]
+        lengths.add(length)
+        data = packets[1:]
         end = max((g for _, g in packets if g >= 0), default=0)
         lanes.append(data)
-        info.append({"serial": serial, "packets": len(data), "samples": sum(map(len, data)), "end_ms": end * 1000 // rate})
-    payload = b"".join(x for i in range(max(map(len, lanes))) for lane in lanes for x in lane[i : i + 1])
-    return payload, length, info
+        info.append({"serial": serial, "packets": len(data), "samples": sum(len(p) for p, _ in data), "end_ms": end * 1000 // rate})
+    parts, end = [], 0
+    for part, granule in (x for i in range(max(map(len, lanes), default=0)) for lane in lanes for x in lane[i : i + 1]):
+        parts.append(part)
+        end += len(part)
+        if granule not in (-1, end):
+            raise ValueError(f"granule position {granule} after {end} samples")
+    if len(lengths) != 1 or not 0 <= length <= end:
+        raise ValueError("the streams disagree on the length")
+    return b"".join(parts), length, info
 
 
 def encode(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -154,12 +169,12 @@ def encode(docs: DataFrame, text: str = "text", media: str = "media") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
+            for low, high in slices(np.diff(text_bytes(whole.column(kept.index(text)))[1]), SLICE_BYTES, 1024):
+                batch = whole.slice(low, high - low)
                 out = [store((t or "").encode()) for t in batch.column(kept.index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, media])
 
-    rows = docs.select(*kept)
+    rows = docs.select(*named(kept))
     return rows.mapInArrow(run, with_fields(rows, **{media: "binary"}))
 
 
@@ -191,13 +206,13 @@ def decode(media_rows: DataFrame, media: str = "media", keep_payload: bool = Fal
         return (length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, features(payload, info), None, payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, high - low) for whole in batches for low, high in slices(pc.fill_null(pc.binary_length(whole.column(len(kept))), 0).to_numpy(), SLICE_BYTES)):
             columns = list(zip(*map(one, batch.column(len(kept)).to_pylist()), strict=True)) or [()] * 9
             out = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
             if keep_payload:
                 out.append(pa.array(columns[8], pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *out], names=[*kept, *new, *["payload"] * keep_payload])
 
-    rows = media_rows.select(*kept, media)
+    rows = media_rows.select(*named(kept), media)
     fields = dict(zip(new, ("long", "long", "string", "long", "long", "string", "string", "string"), strict=True))
-    return rows.mapInArrow(run, with_fields(media_rows.select(*kept), **fields, **({"payload": "binary"} if keep_payload else {})))
+    return rows.mapInArrow(run, with_fields(media_rows.select(*named(kept)), **fields, **({"payload": "binary"} if keep_payload else {})))

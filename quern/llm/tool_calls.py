@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import small, staged
@@ -44,8 +44,9 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     tools = small(staged(schemas.select(F.col("name")).distinct()))
     bad = parsed.where(~is_object).select("conv_id", "call_id", F.lit("json").alias("error"))
     unknown_tool = parsed.select("conv_id", "call_id", "name").join(tools, "name", "left_anti").select("conv_id", "call_id", F.lit("tool").alias("error"))
-    parsed.where(is_object).createOrReplaceTempView(view := "quern_tool_arguments")
-    given = calls.sparkSession.sql(f"select c.conv_id, c.call_id, c.name, a.key as arg, regexp_extract(regexp_replace(schema_of_variant(a.value), '^DECIMAL.[0-9]+,0.$', 'BIGINT'), '^[A-Z]+', 0) as kind from {view} c, lateral variant_explode(c.v) a")
+    fields = parsed.where(is_object).lateralJoin(calls.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", F.schema_of_variant("value").alias("kind")))
+    kind = F.regexp_extract(F.regexp_replace("kind", "^DECIMAL.[0-9]+,0.$", "BIGINT"), "^[A-Z]+", 0)
+    given = fields.select("conv_id", "call_id", "name", F.col("key").alias("arg"), kind.alias("kind"))
     allowed = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     declared = small(staged(schemas.select("name", "arg", "type", "required")))
     typed = given.join(tools, "name", "left_semi").join(declared, ["name", "arg"], "left")
@@ -63,7 +64,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ``calls`` has conv_id, call_id, parent_id, seq, name and arguments (JSON text); ``results`` has conv_id, call_id, seq
     and content. Of rows with one identifier the one of smallest (seq, text) counts. status is linked, no_result,
     orphan_result or cycle. (depth, seq) is a topological order of a conversation: a call comes after the one
-    it depends on. ``json`` is canonical: keys sorted, no spaces, numbers in their shortest form. Arguments
+    it depends on. ``json`` is canonical: keys sorted, no spaces, numbers as in ``numbers_canonical``. Arguments
     that are no JSON object are kept as a string. Rows with a null conv_id or call_id can't be linked and are
     reported with status no_identifier. Joins are on (conv_id, call_id), so a conversation with most rows spreads.
     """
@@ -90,12 +91,30 @@ def _nameless(calls: DataFrame, results: DataFrame, here) -> DataFrame:
 def _report(rows: DataFrame) -> DataFrame:
     errors = F.coalesce("errors", F.array().cast("array<string>"))
     parsed = F.try_parse_json("arguments")
-    arguments = F.coalesce(F.when(F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), F.to_json(parsed)), _quoted("arguments"))
+    arguments = F.coalesce(F.when(F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), numbers_canonical(F.to_json(parsed))), _quoted("arguments"))
     json = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), _quoted("call_id"), F.lit(',"name":'), _quoted("name"), F.lit(',"result":'), _quoted("r.content"), F.lit("}"))
     seq = F.coalesce("seq", F.col("r.seq"))
     return rows.select("conv_id", "call_id", "name", "status", "depth", seq.alias("seq"), ((F.col("status") == "linked") & (F.size(errors) == 0)).alias("valid"), errors.alias("errors"), json.alias("json"))
 
 
+def numbers_canonical(json: Column) -> Column:
+    """JSON text with each number in one form, whatever its spelling: digits alone for integers under 1e21, else the shortest
+    digits that give the same double, with a point down to 1e-6 and an exponent such as e-7 or e+21 beyond."""
+
+    def form(token: Column) -> Column:
+        d = token.try_cast("double")
+        size, text = F.abs(d), d.cast("string")
+        trimmed = F.regexp_replace(F.regexp_replace(F.when(size < 1, text.try_cast("decimal(38,24)").cast("string")).otherwise(text.try_cast("decimal(38,17)").cast("string")), "0+$", ""), r"\.$", "")
+        power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E", "e"), "e([0-9])", "e+$1")
+        real = F.when(size >= 1e21, power).when(d == 0, "0").when(d == F.floor(d), d.cast("decimal(38,0)").cast("string")).when(size < 1e-6, power).otherwise(trimmed)
+        return F.when(token.rlike("^-?[0-9]{1,21}$") & (token != "-0"), token).otherwise(real)
+
+    # Possessive, so that a long string is matched without recursion.
+    tokens = F.regexp_extract_all(json, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'), F.lit(0))
+    spelled = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), form(t)).otherwise(t)), "")
+    return F.when(json.rlike(r"[0-9][.eE]|[0-9]{22}|-0"), spelled).otherwise(json)
+
+
 def _quoted(column: str):
     """A JSON string, or null as JSON writes it."""
     inner = F.to_json(F.struct(F.col(column).alias("x")))

@@ -6,92 +6,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
+from quern.llm.common import staged, unstage
+from quern.llm.hashing import slices, text_bytes, word_hashes
 
 #: The bounded sample: at most so many labelled documents of either class, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 20_000
-DISCOUNT = 0.75
-START = U(0x57A4757A4757A473)
-
-
-def bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context of each word and the hash of the pair."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[at[:-1][at[:-1] < len(hashes)]] = START
-    return before, mix(before * U(3) + hashes)
+#: What is taken off every count: a word with as many different contexts in a class, or fewer, is left to the backoff.
+DISCOUNT = 5.0
+#: Words of a window, the length that likelihoods are compared at.
+WINDOW = 2
+#: A class with fewer texts has none to spare for the fit of the scale.
+LEAST_TEXTS = 6
 
 
 def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with punctuation set apart: marks at a word's ends don't make another word."""
-    import pyarrow.compute as pc
-
     return word_hashes(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
 class Model:
-    """p_c(w | h) for two classes c: interpolated Kneser-Ney bigrams over class continuations over shared continuations.
+    """p(w | c) for the classes 0 and 1: Kneser-Ney with the class as the context.
 
-    The shared level is the share of distinct contexts that a word follows in either class; a word of one class
-    only, or of none, gets its backoff from there in both, so that rare expressions don't decide alone.
+    A word counts in a class once for each different word before it, so that copies of a text add nothing. DISCOUNT
+    is taken off every count and goes to the shared level: in how many of the classes a word occurs at all. So a rare word
+    of one class gets almost the same probability in both, and only words that a class has in many contexts
+    weigh. ``ratio`` is log p(w | 1) - log p(w | 0) of each word, ``unknown`` that of any other.
     """
 
     def __init__(self, hashes: np.ndarray, at: np.ndarray, label: np.ndarray, discount: float = DISCOUNT):
         owner = np.repeat(label, np.diff(at))
-        before, pair = bigrams(hashes, at)
-        self.words, wid = np.unique(hashes, return_inverse=True)
-        self.pairs, first, pid = np.unique(pair, return_index=True, return_inverse=True)
-        self.contexts, hid = np.unique(before, return_inverse=True)
-        after = np.bincount(wid[first], minlength=len(self.words))
-        self.unseen = 0.5 / (after.sum() + 0.5 * (len(self.words) + 1))
-        shared = (after + 0.5) / (after.sum() + 0.5 * (len(self.words) + 1))
-        self.unigram, self.backoff, self.pair_logs, self.back, self.unknown = [], [], [], [], []
+        self.words, word = np.unique(hashes, return_inverse=True)
+        before = np.full(len(word), -1, np.int64)
+        before[1:] = word[:-1]
+        before[at[:-1][at[:-1] < len(word)]] = -1
+        counts = []
         for c in (0, 1):
-            own = owner == c
-            follows = np.bincount(pid[own], minlength=len(self.pairs))
-            count = np.bincount(wid[first][follows > 0], minlength=len(self.words))  # distinct contexts: copies add none
-            total, kinds = max(count.sum(), 1), (count > 0).sum()
-            left = discount * kinds / total if kinds else 1.0
-            p = np.maximum(count - discount, 0) / total + left * shared
-            seen = np.bincount(hid[own], minlength=len(self.contexts))
-            new = np.bincount(hid[first][follows > 0], minlength=len(self.contexts))
-            back = np.where(seen > 0, discount * new / np.maximum(seen, 1), 1.0)
-            h, w = hid[first], wid[first]
-            q = np.maximum(follows - discount, 0) / np.maximum(seen[h], 1) + back[h] * p[w]
-            self.unigram.append(np.log(p))
-            self.back.append(np.log(back))
-            self.pair_logs.append(np.log(q))
-            self.unknown.append(np.log(left * self.unseen))
-        self.ratios = [(self.pair_logs[1] - self.pair_logs[0]).astype(np.float32), (self.unigram[1] - self.unigram[0]).astype(np.float32), (self.back[1] - self.back[0]).astype(np.float32)]
-        self.unknown_ratio = float(self.unknown[1] - self.unknown[0])
-        del self.unigram, self.backoff, self.pair_logs, self.back
-
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, ask: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
-        place = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-        hit = keys[place] == ask
-        return hit, np.where(hit, values[place], other)
-
-    def compare(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Per text the log-likelihoods, toxic less ordinary, at three lengths: of all bigrams per word, of the three
-        most toxic words per word, and of the single most toxic word; a word without context counts here, as what
-        marks a text as toxic is often one word in a long one."""
-        before, pair = bigrams(hashes, at)
-        seen, value = self._look(self.pairs, self.ratios[0], pair, 0.0)
-        alone = self._look(self.words, self.ratios[1], hashes, self.unknown_ratio)[1]
-        rest = np.flatnonzero(~seen)
-        value[rest] = alone[rest] + self._look(self.contexts, self.ratios[2], before[rest], 0.0)[1]
-        n = np.diff(at)
+            pairs = np.unique(np.stack([word[owner == c], before[owner == c]]), axis=1)
+            counts.append(np.bincount(pairs[0], minlength=len(self.words)))
+        classes = (counts[0] > 0).astype(int) + (counts[1] > 0)
+        whole = classes.sum() + 0.5 * (len(self.words) + 1)
+        shared, unseen = (classes + 0.5) / whole, 0.5 / whole
+        self.p, self.p_unknown = [], []
+        for n in counts:
+            left = np.minimum(n, discount).sum() / n.sum() if n.sum() else 1.0
+            self.p.append(np.maximum(n - discount, 0) / max(n.sum(), 1) + left * shared)
+            self.p_unknown.append(left * unseen)
+        self.ratio = (np.log(self.p[1]) - np.log(self.p[0])).astype(np.float32)
+        self.unknown = float(np.log(self.p_unknown[1]) - np.log(self.p_unknown[0]))
+
+    def compare(self, hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """Per text the log-likelihood per word, toxic less ordinary, of the window where it is largest; 0 without words.
+
+        All windows of ``window`` words count, or the whole text if it is shorter: what makes a text toxic are a few
+        words anywhere in it, which a mean over a long text would hide.
+        """
+        out = np.zeros(len(at) - 1)
+        if not len(self.words) or not len(hashes):
+            return out
+        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        value = np.where(self.words[place] == hashes, self.ratio[place], self.unknown)
         total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-        out = np.zeros((len(n), 3))
-        out[:, 0] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
-        for i in np.flatnonzero(n):
-            own = alone[at[i] : at[i + 1]]
-            top = np.partition(own, len(own) - 3)[-3:] if len(own) > 3 else own
-            out[i, 1:] = top.mean(), top.max()
+        size = np.minimum(np.diff(at), window)
+        for w in range(1, window + 1):  # texts of w words or, at last, more
+            own = np.flatnonzero(size == w)
+            if len(own):
+                starts = np.diff(at)[own] - w + 1
+                first = np.cumsum(starts) - starts
+                begin = np.repeat(at[own] - first, starts) + np.arange(int(starts.sum()))
+                out[own] = np.maximum.reduceat(total[begin + w] - total[begin], first) / w
         return out
 
 
@@ -109,50 +95,54 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3
     return w
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """The regression's inputs: the three log-likelihood ratios and their squares."""
-    return np.c_[x, x * np.abs(x)]
-
-
 def sample(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> tuple[list[list[str]], list[int]]:
     """Texts of a bounded sample of either class, and how many labelled rows each class has.
 
-    Of each class the ``most`` keys of smallest hash are taken, and of those the texts of at most ``size`` bytes, so at
-    most 2 * most * size bytes come to the driver; the keys alone are broadcast. Rows whose label isn't 0 or 1, whose
-    key has no document or whose text is null teach nothing.
+    Of each class the ``most`` keys of smallest hash are taken that have a text of at most ``size`` bytes, so at
+    most 2 * most * size bytes come to the driver; the chosen keys alone are broadcast. Rows whose label isn't 0 or 1, whose
+    key has no document or whose text is null teach nothing. Repeated rows teach once.
     """
     shares = {int(r[0]): r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    texts = []
-    for c in (0, 1):
-        chosen = labels.where(F.col(label) == c).select(F.col(key).alias("k"), F.xxhash64(key).alias("h")).distinct().orderBy("h", "k").limit(most)
-        own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= size))
-        texts.append([r.t for r in own.join(F.broadcast(chosen), "k").select("h", "k", "t").sort("h", "k", "t").collect()])
-    return texts, [shares.get(0, 0), shares.get(1, 0)]
-
-
-def train(texts: list[list[str]], shares: list[int]):
-    """(model, weights, scale): two thirds of the sample give the counts, a third fits the regression, whose intercept is
-    then moved to the classes' true shares. None if a class has fewer than six texts."""
-    if min(map(len, texts)) < 6:
+    fit = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= size))
+    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("c"), F.xxhash64(key).alias("h")).distinct()
+    eligible = marked.join(fit.select(F.col(key).alias("k")), "k", "left_semi")
+    chosen = staged(eligible.where("c = 0").orderBy("h", "k").limit(most).unionByName(eligible.where("c = 1").orderBy("h", "k").limit(most)), narrow=True)
+    rows = fit.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("c", "h", "k", "t").distinct().sort("h", "k", "t").collect()
+    unstage(chosen)
+    return [[r.t for r in rows if r.c == c] for c in (0, 1)], [shares.get(0, 0), shares.get(1, 0)]
+
+
+def train(texts: list[list[str]], shares: list[int]) -> tuple[Model, float, float] | None:
+    """(model, slope, intercept): score = logistic(slope * log ratio + intercept).
+
+    Two thirds of the sample give the counts; the other third fits the scale, whose intercept is then moved to the
+    classes' true shares. A class of fewer than LEAST_TEXTS texts has none to spare: all texts count, and the score is the
+    likelihood ratio with the shares as prior. None if a class has no text.
+    """
+    if not min(map(len, texts)):
         return None
     flat = [t for own in texts for t in own]
     label = np.repeat([0, 1], [len(own) for own in texts])
+    prior = float(np.log(shares[1] / shares[0]))
+    if min(map(len, texts)) < LEAST_TEXTS:
+        return Model(*plain(pa.array(flat)), label), 1.0, prior
     part = np.concatenate([np.arange(len(own)) % 3 for own in texts])
     fit, tune = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
     model = Model(*plain(pa.array([flat[i] for i in fit])), label[fit])
-    x = expand(model.compare(*plain(pa.array([flat[i] for i in tune]))))
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    w = logistic((x - mean) / spread, label[tune])
+    x = model.compare(*plain(pa.array([flat[i] for i in tune])))
+    mean, spread = x.mean(), x.std() + 1e-9
+    w = logistic(((x - mean) / spread)[:, None], label[tune])
+    slope = max(float(w[0]), 0.0) / spread  # the score never falls as the ratio rises
     counts = np.bincount(label[tune], minlength=2)
-    w[-1] += np.log(shares[1] / shares[0]) - np.log(counts[1] / counts[0])
-    return model, w, (mean, spread)
+    return model, slope, float(w[1] - slope * mean + prior - np.log(counts[1] / counts[0]))
 
 
 def score(docs: DataFrame, learned, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, score (the probability of label 1), log_ratio (per word) and n_words.
+    """Per row of ``docs``: doc_id, score (the probability of label 1), log_ratio (per word, of the window) and n_words.
 
-    The whole text is read; null counts as empty. Without a model (no labelled rows of both classes) every score
-    is 0. The model is bounded by its sample, so it goes to the executors as a broadcast variable.
+    The whole text is read; null counts as empty, which has log_ratio 0. Without a model (see ``train``) every score
+    is 0. The model is bounded by its sample, so it goes to the executors as a broadcast variable. Rows are scored one
+    by one: repeated ones and ties get equal scores, an empty table none, and other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
@@ -162,13 +152,12 @@ def score(docs: DataFrame, learned, key: str = "doc_id", text: str = "text") ->
             for low, high in slices(np.diff(text_bytes(whole.column(1))[1]), 6 << 20):
                 batch = whole.slice(low, high - low)
                 hashes, at = plain(batch.column(1))
-                if known is None:
-                    p, mean = np.zeros(high - low), np.zeros(high - low)
-                else:
-                    model, w, (centre, spread) = known
-                    own = model.compare(hashes, at)
-                    p, mean = 1 / (1 + np.exp(-np.clip((expand(own) - centre) / spread @ w[:-1] + w[-1], -30, 30))), own[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(mean.astype(np.float64)), pa.array(np.diff(at))], names=["doc_id", "score", "log_ratio", "n_words"])
+                ratio, p = np.zeros(high - low), np.zeros(high - low)
+                if known is not None:
+                    model, slope, intercept = known
+                    ratio = model.compare(hashes, at)
+                    p = 1 / (1 + np.exp(-np.clip(slope * ratio + intercept, -30, 30)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(ratio), pa.array(np.diff(at))], names=["doc_id", "score", "log_ratio", "n_words"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, log_ratio double, n_words long")

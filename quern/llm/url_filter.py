@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import small, staged
 
+#: Days that one row of a domain's intervals covers.
+BUCKET_DAYS = 30
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an http or https URL, without user, port and final dot; null if there is none."""
@@ -35,21 +38,38 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("action = 'block'").select("domain", "category", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
+def bucket(time: Column) -> Column:
+    """The number of the stretch of BUCKET_DAYS days that a time falls in."""
+    return F.floor(F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")) / BUCKET_DAYS)
+
+
+def pieces(spans: DataFrame, first: int, last: int) -> DataFrame:
+    """(domain, bucket, spans): the intervals that touch each bucket from ``first`` to ``last``, in an array."""
+    begin, end = F.greatest(bucket(F.col("valid_from")), F.lit(first)), F.least(F.coalesce(bucket(F.col("valid_to")), F.lit(last)), F.lit(last))
+    touched = spans.withColumn("begin", begin).withColumn("end", end).where("begin <= end").withColumn("bucket", F.explode(F.sequence("begin", "end")))
+    return touched.groupBy("domain", "bucket").agg(F.collect_list(F.struct("valid_from", "valid_to", "category")).alias("spans"))
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """Every capture with host, blocked, matched_domain, category and valid_from as of its fetch time.
 
     A capture is blocked if an interval of its host or a parent domain holds its time (start included, end
     excluded); the longest such domain is reported. Captures with a null or other URL, or a null time, aren't
-    blocked. The captures' distinct (host, time) pairs are joined, not the rows, so a host with a third of them
-    is combined map-side first; the intervals are broadcast behind a check of their number, else the join is
-    shuffled by domain with skew handling. One interval at most holds per domain and time, so the join makes
-    at most one row a host level. Repeated captures each keep their row; other columns aren't read.
+    blocked and take no part in the join. The captures' distinct (host, time) pairs are joined, not the rows, so a host
+    with a third of them is combined map-side first. The as-of join is by (domain, stretch of time): there is one row
+    at most with all intervals that touch it, of which at most one holds the time, so no capture meets a domain's other
+    intervals and a host level makes one row at most. That side is broadcast behind a check of its number, else the
+    join is shuffled with skew handling. Repeated captures each keep their row; other columns aren't read.
     """
     rows = captures.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(fetched).alias("fetched_at")).withColumn("host", host_of(F.col("url")))
-    spans = small(staged(intervals(entries)))
-    asked = rows.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
-    levels = asked.select("host", "fetched_at", F.posexplode(suffixes(F.col("host"))).alias("depth", "domain"))
-    active = levels.join(spans, "domain").where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
-    best = active.groupBy("host", "fetched_at").agg(F.min(F.struct("depth", "domain", "category", "valid_from")).alias("m"))
-    joined = rows.join(best, ["host", "fetched_at"], "left")
+    usable = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
+    asked = rows.where(usable).select("host", "fetched_at").distinct()
+    first, last = rows.where(usable).agg(F.min(bucket(F.col("fetched_at"))), F.max(bucket(F.col("fetched_at")))).first()
+    spans = small(staged(pieces(intervals(entries), first or 0, last or 0)))
+    levels = asked.select("host", "fetched_at", bucket(F.col("fetched_at")).alias("bucket"), F.posexplode(suffixes(F.col("host"))).alias("depth", "domain"))
+    holds = lambda s: (s["valid_from"] <= F.col("fetched_at")) & (s["valid_to"].isNull() | (F.col("fetched_at") < s["valid_to"]))
+    active = levels.join(spans, ["domain", "bucket"]).withColumn("span", F.get(F.filter("spans", holds), F.lit(0))).where("span is not null")
+    best = active.groupBy("host", "fetched_at").agg(F.min(F.struct("depth", "domain", "span.category", "span.valid_from")).alias("m"))
+    joined = rows.where(usable).join(best, ["host", "fetched_at"], "left")
+    joined = joined.unionByName(rows.where(~usable).withColumn("m", F.lit(None).cast(best.schema["m"].dataType)))
     return joined.select("page_id", "host", "fetched_at", F.col("m").isNotNull().alias("blocked"), F.col("m.domain").alias("matched_domain"), F.col("m.category").alias("category"), F.col("m.valid_from").alias("valid_from"))

@@ -1,9 +1,11 @@
 """Each operator on small planted tables against brute force: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -177,6 +179,30 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 99
 
 
+def test_own_columns_survive(spark):
+    """Columns of any name come through the operators that keep rows."""
+    names = ("mix_size", "mix_note", "mix_source", "mix_copy", "lang_pred", "lang_accepted", "gone_id", "gone_th", "gone_sha", "quern_own", "quern_id", "quern_sha", "same", "label", "a b")
+    rows = [(i, f"word{i % 3} and more words of text number {i % 3}", "s") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    learned = {"en": b"word and more words of text number " * 20, "xx": b"qqq zzz vvv " * 50}
+    for step in (mixing.mixed, exact_dedup.keep, jaccard.keep, lambda d: language_id.accepted(d, learned, margin=0.0)):
+        out = step(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_the_exchange_has_several_blocks_and_owners(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text").where("text is not null")
+    many = texts.crossJoin(spark.range(40).select(F.col("id").alias("k"))).select(F.xxhash64("text", "k").alias("h")).repartition(3)
+    marks = many.select(F.monotonically_increasing_id().alias("rid"), F.shiftrightunsigned("h", 16).alias("fp"))
+    blocks = exact_dedup.parts_of(marks)
+    assert blocks >= 2 * spark.sparkContext.defaultParallelism
+    got = {r.rid for r in exact_dedup.suspects(marks).collect()}
+    kinds = Counter(r.fp for r in marks.collect())
+    assert got == {r.rid for r in marks.collect() if kinds[r.fp] > 1}
+
+
 def test_mixing(spark, docs):
     rows = [(i, " ".join("w" * (1 + i % 3) for _ in range(i % 40)), s) for i in range(3000) for s in [None if i % 10 == 9 else f"s{i % 4}" if i % 5 else "s0"]]
     df = spark.createDataFrame([*rows, (None, None, "s1"), (5001, "", "empty")], "doc_id long, text string, source string")
@@ -226,6 +252,12 @@ def test_ogg_checksum_and_round_trip():
         assert max(x["end_ms"] for x in info) == len(payload) * 1000 // 8000
     big = [(b"x" * 70_000, 70_000), (b"y" * 255, 70_255), (b"", 70_255)]  # packets over pages, of whole segments, empty
     assert [p for p, _ in ogg.demultiplex(b"".join(ogg.pages(9, [(b"h", 0), *big])))[9]] == [b"h", *[p for p, _ in big]]
+    late = ogg.store(b"hello" * 1000).replace(struct.pack("<q", 3840), struct.pack("<q", 3841), 1)
+    at = late.index(struct.pack("<q", 3841)) - 6
+    size = 27 + late[at + 26] + sum(late[at + 27 : at + 27 + late[at + 26]])
+    page = late[at : at + 22] + bytes(4) + late[at + 26 : at + size]
+    with pytest.raises(ValueError, match="granule"):
+        ogg.load(late[:at] + page[:22] + struct.pack("<I", ogg.checksum(page)) + page[26:] + late[at + size :])
     broken = bytearray(ogg.store(b"hello"))
     broken[-1] ^= 1
     with pytest.raises(ValueError, match="checksum"):
@@ -304,15 +336,63 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(2), None).count() == 2
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["a b a c", "a b", "c c d a b"]
-    model_at = toxicity.plain(pa.array(texts))
-    label = np.array([0, 1, 1])
-    model = toxicity.Model(*model_at, label)
-    assert len(model.ratios[1]) == 4 and np.isfinite(model.ratios[0]).all() and np.isfinite(model.unknown_ratio)
-
-
-@pytest.mark.parametrize("text", ["", "plain words here", LONG, "it's 12,345  spaces\n\n tabs\t\tend ", "你好" * 5000, "🙂 ñ" * 3000, "x" * 20_000, " " * 5000 + "a"])
+def kneser_ney(texts, labels, discount):
+    """p(w | c) by dictionaries, and the probability of any word that isn't known."""
+    seen = [{}, {}]
+    for t, c in zip(texts, labels, strict=True):
+        own = re.findall(r"\w+", t.lower())
+        for h, w in zip([None, *own], own, strict=False):
+            seen[c].setdefault(w, set()).add(h)
+    known = sorted(set(seen[0]) | set(seen[1]))
+    whole = sum((w in seen[0]) + (w in seen[1]) for w in known) + 0.5 * (len(known) + 1)
+    out = []
+    for own in seen:
+        total = sum(map(len, own.values()))
+        left = sum(min(len(x), discount) for x in own.values()) / total
+        out.append(({w: max(len(own.get(w, ())) - discount, 0) / total + left * (((w in seen[0]) + (w in seen[1]) + 0.5) / whole) for w in known}, left * 0.5 / whole))
+    return out
+
+
+@pytest.mark.parametrize("discount", [0.75, 2.0])
+def test_kneser_ney_sums_to_one_and_is_the_formula(discount):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.choice([1, 2]) for _ in range(rng.choice([1, 2, 3, 30]))) for _ in range(40)]
+    labels = [i % 2 for i in range(40)]
+    want = kneser_ney(texts, labels, discount)
+    model = toxicity.Model(*toxicity.plain(pa.array(texts)), np.array(labels), discount)
+    for c in (0, 1):
+        assert model.p[c].sum() + model.p_unknown[c] == pytest.approx(1)
+        assert sorted(model.p[c].tolist()) == pytest.approx(sorted(want[c][0].values()))
+    ratio = lambda w: math.log(want[1][0].get(w, want[1][1])) - math.log(want[0][0].get(w, want[0][1]))
+    ask = [*texts, "", "zz", "a zz b", "zz a b zz zz c"]
+    got = model.compare(*toxicity.plain(pa.array(ask)))
+    for t, g in zip(ask, got, strict=True):
+        r = [ratio(w) for w in t.split()]
+        size = min(len(r), toxicity.WINDOW)
+        assert g == pytest.approx(max([sum(r[i : i + size]) / size for i in range(len(r) - size + 1)], default=0) if r else 0, abs=1e-5)
+
+
+def test_toxicity_of_small_classes_long_clean_texts_and_clashing_columns(spark):
+    rows = [(i, f"a{i} vile b{i} vile c{i} vile d{i}", 1) for i in range(4)] + [(10 + i % 7, f"what{i % 7} a nice day it is", 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumns({c: F.lit("x") for c in ("score", "k", "c", "h", "t", "log_ratio")})
+    learned = toxicity.train(*toxicity.sample(df, df))
+    got = {r.doc_id: r.score for r in toxicity.score(df, learned).collect()}
+    assert learned[1] == 1.0 and all(got[i] > 0.5 for i in range(4)) and all(got[10 + i] < 0.5 for i in range(7))
+    assert toxicity.score(df.limit(0), learned).count() == 0
+    assert [len(x) for x in toxicity.sample(df, df, most=2, size=22)[0]] == [2, 0]
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.choice([20, 200]))] for _ in range(900)]
+    for own in texts[::3]:
+        own[rng.randrange(len(own))] = rng.choice(["vile", "scum"])
+    table = spark.createDataFrame([(i, " ".join(t), int(i % 3 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    learned = toxicity.train(*toxicity.sample(table, table))
+    clean, bad = " ".join(rng.choice(vocabulary) for _ in range(60_000)), " ".join([*(rng.choice(vocabulary) for _ in range(60_000)), "vile", "scum"])
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, clean), (2, bad)], "doc_id long, text string"), learned).collect()}
+    assert got[1] < 0.3 <= got[2]
+
+
+@pytest.mark.parametrize("text", ["", "plain words here", LONG, "it's 12,345  spaces\n\n tabs\t\tend ", "你好" * 5000, "🙂 ñ" * 3000, "x" * 20_000, " " * 5000 + "a", "你好。再见，12。" * 400, "if(x1==2){y[3]='a'+z9;}\n\t" * 300, "don't 3's x're" * 200, "a1b22c333 " * 300, "...!!! ?? " * 300, "e\u0301a\u0308 " * 300])
 def test_bpe_is_tiktoken(text):
     coder = bpe.encoding(queries.RANKS, queries.PATTERN)
     assert bpe.encode_text(text, coder, chunk=100) == coder.encode_ordinary(text)
@@ -397,3 +477,30 @@ def test_tool_calls(spark):
     assert got[1, "d"].status == got[1, "e"].status == "cycle" and got[1, "e"].errors == ["json"] and got[1, "d"].errors == ["missing:x"]
     assert got[2, "a"].errors == ["tool"] and got[1, "orphan"].status == "orphan_result" and got[None, "n"].status == "no_identifier"
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_numbers_have_one_spelling(spark):
+    groups = {"100": ["1e2", "100", "100.0", "1.0E2", "10000e-2"], "0": ["0", "-0", "0.0", "-0.0", "0e5"], "1.5": ["1.5", "15e-1", "1.50"], "1e+21": ["1e21", "1000000000000000000000", "10.0E20"], "100000000000000000000": ["1e20", "100000000000000000000"], "0.00015": ["1.5e-4", "0.00015"], "1.5e-7": ["1.5e-7", "0.00000015"], "-12345678.9": ["-12345678.9", "-1.23456789E7"], "9007199254740993": ["9007199254740993"]}
+    rows = [(1, f"c{i}", None, i, "f", json.dumps({"b": "say 1.50 \\" + '"' + "1e2", "a": 0}).replace('"a": 0', f'"a": [{s}, {{"x": {s}}}]'), want) for i, (want, s) in enumerate((w, s) for w, own in groups.items() for s in own)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string, seq long, name string, arguments string, want string")
+    schemas = spark.createDataFrame([("f", "a", "array", True), ("f", "b", "string", True)], "name string, arg string, type string, required boolean")
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    got = {r.call_id: r for r in tool_calls.link(calls, results, schemas).collect()}
+    for _, call, _, _, _, _, want in rows:
+        inside = json.dumps("say 1.50 \\" + '"' + "1e2")
+        assert got[call].json == f'{{"arguments":{{"a":[{want},{{"x":{want}}}],"b":{inside}}},"id":"{call}","name":"f","result":null}}'
+        assert got[call].errors == []
+
+
+def test_urls_meet_one_piece_of_a_long_list(spark):
+    """A host with 2,000 dated entries: the join makes one row a capture and level, and the answers are those of a plain search."""
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    entries = spark.range(2000).select(F.lit("hot.example.com").alias("domain"), F.timestamp_add("HOUR", (F.col("id") * 17).cast("int"), start).alias("listed_at"), F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("action"), F.concat(F.lit("c"), "id").alias("category"))
+    captures = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://hot.example.com/").alias("url"), F.timestamp_add("MINUTE", (F.col("id") * 701 - 3000).cast("int"), start).alias("fetched_at"))
+    got = {r.page_id: (r.blocked, r.category) for r in url_filter.evaluate(captures, entries).collect()}
+    for i in range(3000):
+        k = (i * 701 - 3000) // (60 * 17)
+        k = min(k, 1999)
+        assert got[i] == ((True, f"c{k}") if k >= 0 and k % 3 else (False, None))
+    spans = url_filter.pieces(url_filter.intervals(entries), 0, 10**6 // 30)
+    assert spans.count() == spans.select("domain", "bucket").distinct().count()
