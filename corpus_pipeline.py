@@ -13,29 +13,30 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that compression can tell go: no letter, or a margin under that of the labelled rows."""
+    """Documents without a language that compression can tell go: null, empty, without a letter, or with a margin under that
+    of the labelled rows. Each row is told by itself, a long text as a whole; repeated rows have one fate."""
     learned = language_id.dictionaries(docs)
-    out = language_id.classify(docs, learned, margin=language_id.fit_margin(docs, learned))
-    return out.where("lang_accepted").select(*docs.columns)
+    return language_id.accepted(docs, learned, margin=language_id.fit_margin(docs, learned))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays (null ids last, one of repeated rows); null is the empty text."""
     return exact_dedup.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at a similarity of 0.8, directly or by others, one stays."""
+    """Of documents that five-word shingles link at a similarity of 0.8, directly or by others, that with the smallest id stays
+    (null ids last); texts without words link to nothing."""
     return jaccard.keep(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat so that their sources come to their target weights."""
-    return mixing.emit(mixing.copies(docs)).select(*docs.columns)
+    """Documents repeat so that their sources come to their target weights; a null source is one of its own, empty texts have size 0."""
+    return mixing.mixed(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole texts as tokens: their number, the digest of the ids and that of the bytes decoded again."""
+    """Whole texts as tokens: their number, the digest of the ids and that of the bytes decoded again; null is the empty text."""
     return bpe.digest(docs, RANKS, PATTERN)
 
 
@@ -43,7 +44,8 @@ STAGES = [("language ID", identify_language), ("exact dedup", drop_copies), ("n-
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, one after another."""
+    """The stages over ``documents``, one after another; other columns, whatever their names, come along up to the last. An
+    empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
