@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import staged
+from quern.llm.common import staged, unstage
 from quern.llm.elias_fano import EliasFano
 from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 
@@ -21,10 +22,11 @@ from quern.llm.hashing import U, mix, slices, text_bytes, word_hashes
 END, START = U(0xE11D0E11D0E11D01), U(0x57A4757A4757A473)
 #: Tokens a shard holds, and tokens a block sends at once.
 SHARD_TOKENS, BLOCK_TOKENS = 1_100_000, 1_000_000
-#: Weight of the unigram prior in a context, in tokens.
-PRIOR = 4.0
-#: Bits of a context's hash in the trie's second level.
-CONTEXT_BITS = 40
+#: Weight of a bigram against a trigram, and of the unigram prior in tokens.
+BIGRAM, PRIOR = 0.01, 1024.0
+#: Bits of a context's hash in the trie. A list of contexts is shorter than a shard, so few of them are ever alike.
+CONTEXT_BITS = 32
+LOW = U((1 << CONTEXT_BITS) - 1)
 
 
 def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
@@ -47,45 +49,63 @@ def level_file(words: np.ndarray, folder: str, name: str) -> np.ndarray:
     return np.memmap(path, words.dtype, "r")
 
 
+def quantised(values: np.ndarray, folder: str, name: str) -> tuple[np.ndarray, float, float]:
+    """``values`` as 16-bit steps between the smallest and the largest: the mapped codes, the floor and the step."""
+    floor = float(values.min(initial=0.0))
+    step = (float(values.max(initial=0.0)) - floor) / 65535 or 1.0
+    codes = np.rint((values - floor) / step).astype(np.uint16)
+    return (level_file(codes, folder, name) if len(codes) else codes), floor, step
+
+
+class Level:
+    """One level below the tokens: the contexts of each parent, and their values.
+
+    Each parent's contexts are sorted, and each list is shifted past the one before, so that the level is monotone;
+    ``pointers`` say where each list begins. Both are Elias-Fano sequences in memory-mapped files. A context is found
+    relative to its parent, by successor search for its hash plus its list's shift.
+    """
+
+    def __init__(self, folder: str, name: str, parents: int, owner: np.ndarray, contexts: np.ndarray, **values: np.ndarray):
+        self.pointers = EliasFano(level_file(EliasFano.build(np.searchsorted(owner, np.arange(parents + 1))).words, folder, f"{name}-pointers"))
+        self.contexts = EliasFano(level_file(EliasFano.build((owner.astype(U) << U(CONTEXT_BITS)) | contexts).words, folder, f"{name}-contexts"))
+        self.values = {k: quantised(v, folder, f"{name}-{k}") for k, v in values.items()}
+
+    def find(self, parents: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The place of each (parent, context), -1 for what isn't there; so is a parent of -1."""
+        out = np.full(len(parents), -1, np.int64)
+        ask = np.flatnonzero(parents >= 0)
+        end = self.pointers.get(parents[ask] + 1).astype(np.int64)
+        want = (parents[ask].astype(U) << U(CONTEXT_BITS)) | contexts[ask]
+        place = self.contexts.successor(want)
+        hit = place < end
+        hit[hit] = self.contexts.get(place[hit]) == want[hit]
+        out[ask[hit]] = place[hit]
+        return out
+
+    def value(self, name: str, places: np.ndarray) -> np.ndarray:
+        codes, floor, step = self.values[name]
+        return codes[places] * step + floor
+
+
 class Trie:
-    """One shard: tokens, and under each the contexts seen before it, with quantised log10 probabilities.
+    """One shard: tokens, under each the words seen before it, and under each of these pairs the words seen before that.
 
-    Level 1 has the sorted token hashes and monotone pointers into level 2; level 2 has each token's sorted
-    context hashes, each list shifted past the one before so that the whole level is monotone too. All three are
-    Elias-Fano sequences in memory-mapped files. A context is looked for relative to its token: successor search
-    for its hash plus its list's shift. Probabilities are 16-bit steps between the smallest and largest.
+    The pairs have two values, the triples one: quantised log10s of smoothed counts, see ``score``. ``pair_owner`` is
+    the place of each pair's token, ``triple_owner`` that of each triple's pair; all are sorted.
     """
 
-    def __init__(self, folder: str, tokens: np.ndarray, pointers: np.ndarray, contexts: np.ndarray, logs: np.ndarray):
+    def __init__(self, folder: str, tokens: np.ndarray, pair_owner: np.ndarray, pair_contexts: np.ndarray, pair_logs: np.ndarray, pair_weights: np.ndarray, triple_owner: np.ndarray, triple_contexts: np.ndarray, triple_logs: np.ndarray):
         self.base = tokens[0] if len(tokens) else U(0)
-        lists = np.repeat(np.arange(len(tokens), dtype=U), np.diff(pointers))
         self.tokens = EliasFano(level_file(EliasFano.build((tokens - self.base) >> U(1)).words, folder, "tokens"))
-        self.pointers = EliasFano(level_file(EliasFano.build(pointers).words, folder, "pointers"))
-        self.contexts = EliasFano(level_file(EliasFano.build((lists << U(CONTEXT_BITS)) | contexts).words, folder, "contexts"))
-        self.floor = float(logs.min(initial=0.0))
-        self.step = (float(logs.max(initial=0.0)) - self.floor) / 65535 or 1.0
-        self.codes = level_file(np.rint((logs - self.floor) / self.step).astype(np.uint16), folder, "codes") if len(logs) else np.zeros(0, np.uint16)
-
-    def find(self, tokens: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether the pair was seen, its log10 value)."""
-        seen, logs = np.zeros(len(tokens), bool), np.zeros(len(tokens))
-        if not self.tokens.n or not len(self.codes):
-            return seen, logs
-        distinct, back = np.unique(tokens, return_inverse=True)
-        place = (distinct - self.base) >> U(1)  # what is below the base wraps around and is past the end
+        self.pairs = Level(folder, "pairs", len(tokens), pair_owner, pair_contexts, logs=pair_logs, weights=pair_weights)
+        self.triples = Level(folder, "triples", len(pair_owner), triple_owner, triple_contexts, logs=triple_logs)
+
+    def find_tokens(self, tokens: np.ndarray) -> np.ndarray:
+        place = (tokens - self.base) >> U(1)  # what is below the base wraps around and is past the end
         own = self.tokens.successor(place)
         there = own < self.tokens.n
         there[there] = self.tokens.get(own[there]) == place[there]
-        begin, end = (np.zeros(len(distinct), np.int64) for _ in "be")
-        begin[there], end[there] = self.pointers.get(own[there]).astype(np.int64), self.pointers.get(own[there] + 1).astype(np.int64)
-        ask = np.flatnonzero((begin < end)[back])
-        want = (own[back[ask]].astype(U) << U(CONTEXT_BITS)) | contexts[ask]
-        place = self.contexts.successor(want)
-        hit = place < end[back[ask]]
-        hit[hit] = self.contexts.get(place[hit]) == want[hit]
-        seen[ask[hit]] = True
-        logs[ask[hit]] = self.codes[place[hit]] * self.step + self.floor
-        return seen, logs
+        return np.where(there, own, -1)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -95,21 +115,165 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def tight(counts: np.ndarray) -> bytes:
+    """Counts as bytes if they fit, else as 32-bit numbers; how many there are tells ``loose`` which."""
+    return np.minimum(counts, 0xFFFFFFFF).astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def loose(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int64)
+
+
+@dataclass
+class Plan:
+    """What every task knows of the corpus: sizes, and the tokens too frequent for one shard with their counts."""
+
+    shards: int
+    scale: float
+    hot_tokens: np.ndarray
+    hot_counts: np.ndarray
+    hot_parts: np.ndarray
+    hot_first: np.ndarray
+    bigram: float
+    prior: float
+
+    def shard_of(self, vocabulary: np.ndarray, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Shards are ranges of the token's hash; a hot token has more of its own, by the hash of the word before it."""
+        own = ((vocabulary >> U(32)) * U(self.shards) >> U(32)).astype(np.int64)[ids]
+        if len(self.hot_tokens):
+            place = np.minimum(np.searchsorted(self.hot_tokens, vocabulary), len(self.hot_tokens) - 1)
+            here = np.flatnonzero((self.hot_tokens[place] == vocabulary)[ids])
+            k = place[ids[here]]
+            own[here] = self.hot_first[k] + (((mix(vocabulary)[before[here]] >> U(32)) * self.hot_parts[k].astype(U)) >> U(32)).astype(np.int64)
+        return own
+
+    def whole_counts(self, words: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Of a part of a hot token the whole count is known beforehand."""
+        if not len(self.hot_tokens):
+            return counted
+        place = np.minimum(np.searchsorted(self.hot_tokens, words), len(self.hot_tokens) - 1)
+        return np.where(self.hot_tokens[place] == words, self.hot_counts[place], counted)
+
+
+#: What a block sends to a shard, and what comes of it; a block's documents travel beside, in rows without a shard's part.
+PARTS = ("tokens", "pairs", "before", "triples", "second", "entries", "docs", "times", "trained")
+SUMS = ("docs", "known", "base", "value")
+HEAD = ("doc_ids", "trains", "lengths", "slices", "places")
+
+
+def messages(token: np.ndarray, first: np.ndarray, second: np.ndarray, doc: np.ndarray, trained: np.ndarray, plan: Plan) -> dict[str, list]:
+    """A block's distinct (token, word before, second word before), by shard, with the documents that each stands in.
+
+    Nested and packed: per token the number of its pairs, per pair that of its triples, per triple that of its documents.
+    """
+    vocabulary, ids = np.unique(np.concatenate([token, first, second]), return_inverse=True)
+    ids, one, two = np.split(ids, 3)
+    if len(vocabulary) < 1 << 21:
+        order = np.argsort((ids.astype(U) << U(42)) | (one.astype(U) << U(21)) | two.astype(U), kind="stable")
+    else:
+        order = np.lexsort((two, one, ids))
+    ids, one, two, doc = ids[order], one[order], two[order], doc[order]
+    own = plan.shard_of(vocabulary, ids, one)
+    if len(plan.hot_tokens):
+        order = np.argsort(own, kind="stable")
+        ids, one, two, doc, own = ids[order], one[order], two[order], doc[order], own[order]
+    entry, triple, pair, word = runs(ids, one, two, doc, own), runs(ids, one, two, own), runs(ids, one, own), runs(ids, own)
+    times = np.diff(np.append(entry, len(own)))
+    inner = lambda outer, of: np.diff(np.append(np.searchsorted(of, outer), len(of)))
+    pairs, triples, entries = inner(word, pair), inner(pair, triple), inner(triple, entry)
+    context = (vocabulary >> U(64 - CONTEXT_BITS)).astype(np.uint32)
+    out: dict[str, list] = {c: [] for c in ("shard", *PARTS)}
+    starts = runs(own)
+    for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
+        w, p, t, e = (slice(*np.searchsorted(x, (a, b))) for x in (word, pair, triple, entry))
+        out["shard"].append(int(own[a]))
+        out["tokens"].append(vocabulary[ids[word[w]]].tobytes())
+        out["pairs"].append(tight(pairs[w]))
+        out["before"].append(context[one[pair[p]]].tobytes())
+        out["triples"].append(tight(triples[p]))
+        out["second"].append(context[two[triple[t]]].tobytes())
+        out["entries"].append(tight(entries[t]))
+        out["docs"].append(doc[entry[e]].astype(np.uint16).tobytes())
+        out["times"].append(tight(times[e]))
+        out["trained"].append(trained)
+    return out
+
+
+def look_up(parts: list[dict[str, bytes]], plan: Plan) -> list[tuple[bytes, ...]]:
+    """One shard: counts the training documents' part of all messages, builds the trie, looks every triple up in it and
+    gives each message's SUMS by document."""
+    token, before, second, counts, entries, docs, times = ([] for _ in range(7))
+    for x in parts:
+        own = np.frombuffer(x["tokens"], U)
+        per_word = loose(x["pairs"], len(own))
+        one = np.frombuffer(x["before"], np.uint32)
+        per_pair = loose(x["triples"], len(one))
+        two = np.frombuffer(x["second"], np.uint32)
+        entries.append(loose(x["entries"], len(two)))
+        docs.append(np.frombuffer(x["docs"], np.uint16).astype(np.int64))
+        times.append(loose(x["times"], len(docs[-1])))
+        token.append(np.repeat(np.repeat(own, per_word), per_pair))
+        before.append(np.repeat(one, per_pair))
+        second.append(two)
+        bits = np.unpackbits(np.frombuffer(x["trained"], np.uint8))
+        counts.append(np.add.reduceat(np.where(bits[docs[-1]] == 1, times[-1], 0), np.cumsum(entries[-1]) - entries[-1]))
+    sizes = [len(x) for x in token]
+    words, word = np.unique(np.concatenate(token), return_inverse=True)
+    count = np.concatenate(counts)
+    c_word = plan.whole_counts(words, np.bincount(word, weights=count, minlength=len(words)).astype(np.int64))
+    pair_codes, pair = np.unique((word.astype(U) << U(CONTEXT_BITS)) | np.concatenate(before), return_inverse=True)
+    c_pair = np.bincount(pair, weights=count, minlength=len(pair_codes))
+    codes, triple = np.unique((pair.astype(U) << U(CONTEXT_BITS)) | np.concatenate(second), return_inverse=True)
+    c_triple = np.bincount(triple, weights=count, minlength=len(codes))
+    del token, before, second, counts, pair, count
+    p_word = plan.prior * (c_word + 0.5) / plan.scale
+    pair_word, triple_pair = (pair_codes >> U(CONTEXT_BITS)).astype(np.int64), (codes >> U(CONTEXT_BITS)).astype(np.int64)
+    has_word, has_pair, has = np.flatnonzero(np.bincount(pair_word, weights=c_pair, minlength=len(words)) > 0), np.flatnonzero(c_pair > 0), np.flatnonzero(c_triple > 0)
+    with tempfile.TemporaryDirectory() as folder:  # of this task alone: a lost executor's shard is built again elsewhere
+        lower = plan.bigram * (c_pair[has_pair] + p_word[pair_word[has_pair]])
+        weights = np.log10(c_pair[has_pair] + plan.bigram * (c_word[pair_word[has_pair]] + plan.prior))
+        below = np.searchsorted(has_pair, triple_pair[has])
+        trie = Trie(folder, words[has_word], np.searchsorted(has_word, pair_word[has_pair]), pair_codes[has_pair] & LOW, np.log10(lower), weights, below, codes[has] & LOW, np.log10(c_triple[has] + lower[below]))
+        asked_pair = trie.pairs.find(trie.find_tokens(words)[pair_word], pair_codes & LOW)
+        seen = asked_pair >= 0
+        log_pair, weight = np.log10(plan.bigram * p_word)[pair_word], np.log10(plan.bigram * (c_word + plan.prior))[pair_word]
+        log_pair[seen], weight[seen] = trie.pairs.value("logs", asked_pair[seen]), trie.pairs.value("weights", asked_pair[seen])
+        asked = trie.triples.find(asked_pair[triple_pair], codes & LOW)
+        value = log_pair[triple_pair]
+        value[asked >= 0] = trie.triples.value("logs", asked[asked >= 0])
+        del trie
+    value -= np.where(words[pair_word[triple_pair]] == END, 0.0, weight[triple_pair])  # as the next token's context
+    base, known = np.log10(c_word + 0.5), c_word > 0
+    out, low = [], 0
+    for m, n, d, t in zip(sizes, entries, docs, times, strict=True):
+        place = np.repeat(np.arange(low, low + m), n)
+        low += m
+        own, inverse = np.unique(d, return_inverse=True)
+        add = lambda x: np.bincount(inverse, weights=x * t, minlength=len(own))  # noqa: B023, E731
+        out.append((own.astype(np.uint16).tobytes(), tight(add(known[word[place]]).astype(np.int64)), add(base[word[place]]).astype(np.float32).tobytes(), add(value[triple[place]]).astype(np.float32).tobytes()))
+    return out
+
+
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", bigram: float = BIGRAM, prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words (A-Z lower-cased), then one end. The model is learned from all whole texts where
-    ``train`` is true (null is false): p(w | h) = (c(h w) + prior * p(w)) / (c(h) + prior), with the smoothed unigrams
-    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)) as prior, so an unseen pair backs off to p(w). ``base_score`` is the
-    sum of log10 p(w), ``score`` that of log10 p(w | h).
-
-    Both counts c(w) and c(h w) belong to w, and c(h) splits off as a sum over the words as contexts. So each
-    block of documents sends the shard of w its distinct (w, h) with the documents they stand in, packed; a shard
-    counts the training documents' part, builds its trie, looks all pairs up in it and sends back one partial sum
-    per document. Shards are ranges of w's hash; a word with more than a shard's share of the tokens gets
-    ranges of h's hash of its own, with its count known beforehand. Null texts are empty; words and contexts are
-    told apart by 64-bit and 40-bit hashes. An empty training set leaves N = V = 0. Null and repeated keys are
-    fine, as rows are told apart by their place.
+    ``train`` is true (null is false). It is a trigram model with the counts of shorter histories as prior:
+
+        p(w | g h) = (c(g h w) + b * (c(h w) + prior * p(w))) / (c(g h) + b * (c(h) + prior))
+
+    with b = ``bigram`` and the smoothed unigrams p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), so an unseen triple backs off to
+    its pair and an unseen pair to p(w); over all w it sums to 1. ``base_score`` is the sum of log10 p(w), ``score`` that of
+    log10 p(w | g h).
+
+    All counts above the line belong to w, and all below it to h and the word before it: those are summed where h is
+    the token. So each block of documents sends the shard of w its distinct (w, h, g) with the documents they stand in,
+    packed; a shard counts the training documents' part, builds its trie, looks all triples up in it and sends back one
+    partial sum per document. Shards are ranges of w's hash; a word with more than a shard's share of the tokens gets
+    ranges of h's hash of its own, with its count known beforehand (a single pair (h, w) is never split). Long texts are cut
+    into blocks of ``block_tokens`` and their sums added up. Null texts are empty; words are told apart by 64-bit hashes and
+    contexts by 32 bits in the list of their word or pair. An empty training set leaves N = V = 0. Null and repeated keys
+    are fine, as rows are told apart by their place.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     counts = staged(token_counts(rows.where("train"), "text"))
@@ -119,158 +283,74 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     share = n * (total / trained) if trained else 0  # tokens of all documents, about
     shards = max(1, -(-int(share) // shard_tokens))
     # At most ``shards`` words have more than a shard's share each.
-    hot = counts.where(F.col("count") > n / shards).orderBy(F.desc("count")).collect() if shards > 1 else []
-    hot_tokens = np.sort(np.array([x["token"] for x in hot], np.int64).view(U)) if hot else np.zeros(0, U)
-    by = {x["token"]: x["count"] for x in hot}
-    hot_counts = np.array([by[int(t)] for t in hot_tokens.view(np.int64)], np.int64)
-    hot_parts = -(-hot_counts * shards // max(n, 1))
-    hot_first = shards + np.cumsum(hot_parts) - hot_parts
-    scale = n + 0.5 * (v + 1)
-
-    def shard_of(vocabulary: np.ndarray, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        own = ((vocabulary >> U(32)) * U(shards) >> U(32)).astype(np.int64)[ids]
-        if len(hot_tokens):
-            place = np.minimum(np.searchsorted(hot_tokens, vocabulary), len(hot_tokens) - 1)
-            here = np.flatnonzero((hot_tokens[place] == vocabulary)[ids])
-            k = place[ids[here]]
-            own[here] = hot_first[k] + (((mix(vocabulary)[before[here]] >> U(32)) * hot_parts[k].astype(U)) >> U(32)).astype(np.int64)
-        return own
+    hot = sorted((np.uint64(x["token"] & 0xFFFFFFFFFFFFFFFF), x["count"]) for x in counts.where(F.col("count") > n / shards).collect()) if shards > 1 else []
+    hot_counts = np.array([c for _, c in hot], np.int64)
+    parts = -(-hot_counts * shards // max(n, 1))
+    plan = Plan(shards, n + 0.5 * (v + 1), np.array([t for t, _ in hot], U), hot_counts, parts, shards + np.cumsum(parts) - parts, bigram, prior)
+    unstage(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for low, high in slices(np.diff(text_bytes(whole.column(2))[1]), BLOCK_TOKENS * 6, 60_000):
+            for low, high in slices(np.diff(text_bytes(whole.column(2))[1]), block_tokens * 6, 60_000):
                 batch = whole.slice(low, high - low)
                 hashes, at = word_hashes(batch.column(2))
-                d = batch.num_rows
-                token = np.insert(hashes, at[1:], END)
-                vocabulary, ids = np.unique(np.append(token, START), return_inverse=True)
-                start, ids = ids[-1], ids[:-1]
-                lengths = np.diff(at) + 1
+                token, lengths = np.insert(hashes, at[1:], END), np.diff(at) + 1
                 ends = np.cumsum(lengths)
-                before = np.empty_like(ids)
-                before[1:] = ids[:-1]
-                before[ends - lengths] = start
-                doc = np.repeat(np.arange(d), lengths)
-                if len(vocabulary) < 1 << 21:  # token, context and document fit one word: a plain sort
-                    packed = np.sort((ids.astype(U) << U(37)) | (before.astype(U) << U(16)) | doc.astype(U))
-                    ids, before, doc = (x.astype(np.int64) for x in (packed >> U(37), (packed >> U(16)) & U((1 << 21) - 1), packed & U(0xFFFF)))
-                else:
-                    order = np.lexsort((doc, before, ids))
-                    ids, before, doc = ids[order], before[order], doc[order]
-                own = shard_of(vocabulary, ids, before)
-                order = np.argsort(own, kind="stable")
-                ids, before, doc, own = ids[order], before[order], doc[order], own[order]
-                pair = runs(own, ids, before)
-                entry = runs(own, ids, before, doc)
-                times = np.diff(np.append(entry, len(own)))
-                context = vocabulary >> U(64 - CONTEXT_BITS)
-                trained_docs = np.array(batch.column(1).to_numpy(zero_copy_only=False), bool)
-                out = {c: [] for c in ("shard", "tokens", "pairs", "contexts", "entries", "docs", "times")}
-                first = runs(own)
-                for a, b in zip(first, np.append(first[1:], len(own)), strict=True):
-                    p, e = slice(*np.searchsorted(pair, (a, b))), slice(*np.searchsorted(entry, (a, b)))
-                    words = runs(ids[pair[p]])
-                    out["shard"].append(int(own[a]))
-                    out["tokens"].append(vocabulary[ids[pair[p]][words]].tobytes())
-                    out["pairs"].append(np.diff(np.append(words, len(pair[p]))).astype(np.uint32).tobytes())
-                    c = context[before[pair[p]]]
-                    out["contexts"].append((c >> U(8)).astype(np.uint32).tobytes() + (c & U(255)).astype(np.uint8).tobytes())
-                    out["entries"].append(np.diff(np.append(np.searchsorted(entry[e], pair[p]), e.stop - e.start)).astype(np.uint16).tobytes())
-                    out["docs"].append(doc[entry[e]].astype(np.uint16).tobytes())
-                    out["times"].append(np.minimum(times[e], 0xFFFFFFFF).astype(np.uint32 if times[e].max() > 255 else np.uint8).tobytes())
-                used = len(out["shard"])
-                arrays = [pa.array([block] * (used + 1), pa.int64()), pa.array([*out["shard"], block % shards], pa.int64())]
-                arrays += [pa.array([*out[c], None], pa.binary()) for c in ("tokens", "pairs", "contexts", "entries", "docs", "times")]
-                arrays.append(pa.array([np.packbits(trained_docs).tobytes()] * (used + 1), pa.binary()))
-                keys = pa.ListArray.from_arrays(pa.array([0] * (used + 1) + [d], pa.int32()), batch.column(0))
-                arrays += [keys, pa.ListArray.from_arrays(keys.offsets, batch.column(1)), pa.ListArray.from_arrays(keys.offsets, pa.array(lengths.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["block", "shard", "tokens", "pairs", "contexts", "entries", "docs", "times", "trained", "doc_ids", "trains", "lengths"])
-                block += 1
+                begins = ends - lengths
+                first, second = np.roll(token, 1), np.roll(token, 2)
+                first[begins] = second[begins] = START
+                second[begins[lengths > 1] + 1] = START
+                owner = np.repeat(np.arange(batch.num_rows), lengths)
+                slice_ = block
+                cuts = np.linspace(0, len(token), max(1, round(len(token) / block_tokens)) + 1).astype(int).tolist()
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    d0, d1 = int(owner[a]), int(owner[b - 1]) + 1
+                    own = batch.slice(d0, d1 - d0)
+                    trained_docs = np.packbits(np.array(own.column(1).to_numpy(zero_copy_only=False), bool)).tobytes()
+                    out = messages(token[a:b], first[a:b], second[a:b], owner[a:b] - d0, trained_docs, plan)
+                    used = len(out["shard"])
+                    inside = np.minimum(ends[d0:d1], b) - np.maximum(begins[d0:d1], a)
+                    arrays = [pa.array([block] * (used + 1), pa.int64()), pa.array([*out["shard"], block % shards], pa.int64())]
+                    arrays += [pa.array([*out[c], None], pa.binary()) for c in PARTS]
+                    keys = pa.ListArray.from_arrays(pa.array([0] * (used + 1) + [d1 - d0], pa.int32()), own.column(0))
+                    beside = [own.column(1), pa.array(inside), pa.array(np.full(d1 - d0, slice_)), pa.array(np.arange(d0, d1))]
+                    arrays += [keys, *(pa.ListArray.from_arrays(keys.offsets, x) for x in beside)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["block", "shard", *PARTS, *HEAD])
+                    block += 1
                 pa.default_memory_pool().release_unused()
 
-    def look_up(table: pa.Table) -> pa.Table:
+    def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        part = table.filter(pc.is_valid(table["tokens"]))
-        heads = table.filter(pc.is_null(table["tokens"]))
-        blocks = part["block"].to_numpy()
-        raw = {c: [x.as_py() for x in part[c]] for c in ("tokens", "pairs", "contexts", "entries", "docs", "times", "trained")}
-        tokens, contexts, entries, docs_, times, trains = [], [], [], [], [], []
-        for i in range(len(blocks)):
-            per = np.frombuffer(raw["pairs"][i], np.uint32)
-            tokens.append(np.repeat(np.frombuffer(raw["tokens"][i], U), per))
-            m = len(tokens[-1])
-            contexts.append((np.frombuffer(raw["contexts"][i], np.uint32, m).astype(U) << U(8)) | np.frombuffer(raw["contexts"][i], np.uint8, m, 4 * m).astype(U))
-            entries.append(np.frombuffer(raw["entries"][i], np.uint16).astype(np.int64))
-            docs_.append(np.frombuffer(raw["docs"][i], np.uint16).astype(np.int64))
-            times.append(np.frombuffer(raw["times"][i], np.uint8 if len(raw["times"][i]) == len(docs_[-1]) else np.uint32).astype(np.int64))
-            bits = np.unpackbits(np.frombuffer(raw["trained"][i], np.uint8))
-            train_times = np.where(bits[docs_[-1]] == 1, times[-1], 0)
-            trains.append(np.add.reduceat(train_times, np.cumsum(entries[-1]) - entries[-1]))
-        names = ["block", "docs", "base", "known", "value", "doc_ids", "trains", "lengths"]
-        kinds = [pa.int64(), *[pa.binary()] * 4, *(heads[c].type for c in names[5:])]
-        outs: dict[str, list] = {c: [] for c in names[:5]}
-        if len(blocks):
-            sizes = np.array([len(x) for x in tokens])
-            token, context, count = np.concatenate(tokens), np.concatenate(contexts), np.concatenate(trains)
-            del tokens, contexts, trains, raw, part
-            words, wid = np.unique(token, return_inverse=True)
-            c_word = np.bincount(wid, weights=count, minlength=len(words)).astype(np.int64)
-            if len(hot_tokens):  # a part of a hot word: its whole count is known
-                place = np.minimum(np.searchsorted(hot_tokens, words), len(hot_tokens) - 1)
-                c_word = np.where(hot_tokens[place] == words, hot_counts[place], c_word)
-            p_word = (c_word + 0.5) / scale
-            code = (wid.astype(U) << U(CONTEXT_BITS)) | context
-            seen_code, at = np.unique(code[count > 0], return_inverse=True)
-            seen_count = np.bincount(at, weights=count[count > 0], minlength=len(seen_code))
-            owner = (seen_code >> U(CONTEXT_BITS)).astype(np.int64)
-            has = np.unique(owner)
-            with tempfile.TemporaryDirectory() as folder:
-                logs = np.log10(seen_count + prior * p_word[owner])
-                trie = Trie(folder, words[has], np.append(np.searchsorted(owner, has), len(owner)), seen_code & U((1 << CONTEXT_BITS) - 1), logs)
-                seen, found = trie.find(token, context)
-                value = np.where(seen, found, np.log10(prior * p_word)[wid])
-                del trie, context, code, seen_code, at, owner, logs, seen_count, found, seen
-            base, known = np.log10(c_word + 0.5)[wid], (c_word > 0)[wid]
-            value += np.where(token == END, 0.0, -np.log10(c_word + prior)[wid])
-            low = 0
-            for i, m in enumerate(sizes):
-                pick = np.repeat(np.arange(low, low + m), entries[i])
-                low += m
-                own, inverse = np.unique(docs_[i], return_inverse=True)
-                add = lambda x: np.bincount(inverse, weights=x[pick] * times[i], minlength=len(own))  # noqa: B023, E731
-                outs["block"].append(int(blocks[i]))
-                outs["docs"].append(own.astype(np.uint16).tobytes())
-                k = add(known)
-                outs["known"].append(k.astype(np.uint32 if k.max() > 255 else np.uint8).tobytes())
-                outs["base"].append(add(base).astype(np.float32).tobytes())
-                outs["value"].append(add(value).astype(np.float32).tobytes())
+        part, heads = table.filter(pc.is_valid(table["tokens"])), table.filter(pc.is_null(table["tokens"]))
+        sums = list(zip(*look_up(part.select(list(PARTS)).to_pylist(), plan), strict=True)) if len(part) else [()] * len(SUMS)
         pa.default_memory_pool().release_unused()
-        empty = len(outs["block"])
-        arrays = [pa.array(outs[c] + (heads["block"].to_pylist() if c == "block" else [None] * len(heads)), k) for c, k in zip(names[:5], kinds, strict=False)]
-        for c, k in zip(names[5:], kinds[5:], strict=True):
-            arrays.append(pa.chunked_array([pa.nulls(empty, k), *heads[c].chunks], k))
-        return pa.table(arrays, names=names)
+        arrays = [pa.array(part["block"].to_pylist() + heads["block"].to_pylist(), pa.int64())]
+        arrays += [pa.array([*x, *[None] * len(heads)], pa.binary()) for x in sums]
+        arrays += [pa.chunked_array([pa.nulls(len(part), heads[c].type), *heads[c].chunks], heads[c].type) for c in HEAD]
+        return pa.table(arrays, names=["block", *SUMS, *HEAD])
 
     def add_up(table: pa.Table) -> pa.Table:
         head = table.filter(pc.is_valid(table["doc_ids"])).combine_chunks()
-        ids, trained_docs, lengths = (head[c].chunk(0).flatten() for c in ("doc_ids", "trains", "lengths"))
-        base, value, known = (np.zeros(len(ids)) for _ in range(3))
+        beside = [head[c].chunk(0).flatten() for c in HEAD]
+        base, value, known = (np.zeros(len(beside[0])) for _ in range(3))
         part = table.filter(pc.is_valid(table["docs"]))
-        rows_ = sorted(zip(*(part[c].to_pylist() for c in ("docs", "base", "known", "value")), strict=True))
-        for own, b, k, x in rows_:
+        for own, k, b, x in sorted(zip(*(part[c].to_pylist() for c in SUMS), strict=True)):
             at = np.frombuffer(own, np.uint16)
+            known[at] += loose(k, len(at))
             base[at] += np.frombuffer(b, np.float32)
-            known[at] += np.frombuffer(k, np.uint8 if len(k) == len(at) else np.uint32)
             value[at] += np.frombuffer(x, np.float32)
-        return pa.table({"doc_id": ids, "train": trained_docs, "n_tokens": lengths, "n_known": known.astype(np.int64), "base": base, "value": value})
+        names = ["doc_id", "train", "n_tokens", "slice", "row", "n_known", "base", "value"]
+        return pa.table([*beside, pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blobs = "tokens binary, pairs binary, contexts binary, entries binary, docs binary, times binary, trained binary"
-    head = f"doc_ids array<{kind}>, trains array<boolean>, lengths array<long>"
-    sent = rows.mapInArrow(send, f"block long, shard long, {blobs}, {head}")
-    looked = sent.groupBy("shard").applyInArrow(look_up, f"block long, docs binary, base binary, known binary, value binary, {head}")
-    summed = looked.groupBy("block").applyInArrow(add_up, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, value double")
-    base = F.col("base") - F.col("n_tokens") * float(np.log10(scale))
-    whole = F.col("value") - float(np.log10(trained + prior))
-    return summed.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+    head = ", ".join(f"{c} array<{t}>" for c, t in zip(HEAD, (kind, "boolean", "long", "long", "long"), strict=True))
+    sent = rows.mapInArrow(send, f"block long, shard long, {', '.join(f'{c} binary' for c in PARTS)}, {head}")
+    looked = sent.groupBy("shard").applyInArrow(shard, f"block long, {', '.join(f'{c} binary' for c in SUMS)}, {head}")
+    fields = "n_tokens long, slice long, row long, n_known long, base double, value double"
+    summed = looked.groupBy("block").applyInArrow(add_up, f"doc_id {kind}, train boolean, {fields}")
+    first = [F.first(c).alias(c) for c in ("doc_id", "train")]
+    every = summed.groupBy("slice", "row").agg(*first, *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "value")])
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(plan.scale))
+    begin = float(np.log10(trained + bigram * (trained + prior)))
+    return every.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("value") - begin).alias("score"))

@@ -418,35 +418,61 @@ def test_elias_fano():
         assert (ef.successor(ask) == np.searchsorted(values, ask)).all()
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 300])
-def test_lm_is_the_formula(spark, sf, shard):
+class Trigrams:
+    """The formula by dictionaries."""
+
+    def __init__(self, texts, bigram, prior):
+        self.one, self.two, self.three, self.b, self.prior = Counter(), Counter(), Counter(), bigram, prior
+        for t in texts:
+            w = ["<s>", "<s>", *words(t), "</s>"]
+            self.one.update(w[2:])
+            self.two.update(zip(w[1:], w[2:], strict=False))
+            self.three.update(zip(w, w[1:], w[2:], strict=False))
+        self.n, self.v, self.texts = sum(self.one.values()), len(self.one), len(texts)
+
+    def unigram(self, w):
+        return (self.one[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def p(self, g, h, w):
+        start = h == "<s>"
+        above = self.three[g, h, w] + self.b * (self.two[h, w] + self.prior * self.unigram(w))
+        return above / ((self.texts if start else self.two[g, h]) + self.b * ((self.texts if start else self.one[h]) + self.prior))
+
+
+def test_trigrams_sum_to_one():
+    model = Trigrams(["a b a b c", "a b", "", "b b b a"], 0.3, 2.0)
+    for g, h in [("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("b", "a"), ("zz", "a"), ("a", "zz")]:
+        assert sum(model.p(g, h, w) for w in [*model.one, "never seen"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("shard,block", [(1_000_000, 1_000_000), (300, 1_000_000), (300, 700)])
+def test_lm_is_the_formula(spark, sf, shard, block):
     rows = [*DOCS, *[(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(0)).repartition(3)
     trained = lambda i: (i or 0) % 3 != 1
-    got = lm.score(df, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1, shard_tokens=shard).collect()
-    one, pair = Counter(), Counter()
-    tokens = lambda t: [*words(t), "</s>"]
-    for i, t in rows:
-        if trained(i):
-            w = tokens(t)
-            one.update(w)
-            pair.update(zip(["<s>", *w], w, strict=False))
-    n, v, starts = sum(one.values()), len(one), sum(trained(i) for i, _ in rows)
+    got = lm.score(df, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1, bigram=0.2, prior=3.0, shard_tokens=shard, block_tokens=block).collect()
+    model = Trigrams([t for i, t in rows if trained(i)], 0.2, 3.0)
     want = []
     for i, t in rows:
-        w, base, score = tokens(t), 0.0, 0.0
-        for h, x in zip(["<s>", *w], w, strict=False):
-            p = (one[x] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(p)
-            score += math.log10((pair[h, x] + lm.PRIOR * p) / ((starts if h == "<s>" else one[h]) + lm.PRIOR))
-        want.append((i, len(w), sum(one[x] > 0 for x in w), n, base, score, not trained(i)))
+        w = ["<s>", "<s>", *words(t), "</s>"]
+        base = sum(math.log10(model.unigram(x)) for x in w[2:])
+        score = sum(math.log10(model.p(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+        want.append((i, len(w) - 2, sum(model.one[x] > 0 for x in w[2:]), model.n, base, score, not trained(i)))
     key = lambda r: (str(r[0]), r[4])
     for g, x in zip(sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in got], key=key), sorted(want, key=key), strict=True):
         assert g[:4] == x[:4] and g[6] == x[6]
-        assert g[4] == pytest.approx(x[4], rel=1e-6) and abs(g[5] - x[5]) <= 1e-4 * x[1] + 1e-6
+        assert g[4] == pytest.approx(x[4], rel=1e-6) and abs(g[5] - x[5]) <= 1e-4 * x[1] + 1e-6 * abs(x[5])
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_tells_a_text_that_the_corpus_holds_twice(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text").between(500, 3000)).limit(80).collect()]
+    once = " ".join(reversed(texts[0].split()))
+    rows = [*enumerate(texts), (1000, texts[0]), (1001, once)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert got[1000].score - got[1000].base_score > got[1001].score - got[1001].base_score + got[1000].n_tokens
+
+
 def test_lm_without_training_rows(docs):
     got = lm.score(docs, F.lit(False)).collect()
     assert len(got) == len(DOCS) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
