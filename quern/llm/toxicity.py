@@ -16,10 +16,10 @@ from quern.llm.hashing import slices, text_bytes, word_hashes
 #: The bounded sample: at most so many labelled documents of either class, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 20_000
 #: What is taken off every count: a word with as many different contexts in a class, or fewer, is left to the backoff.
-DISCOUNT = 5.0
+DISCOUNT = 3.0
 #: Words of a window, the length that likelihoods are compared at.
 WINDOW = 2
-#: A class with fewer texts has none to spare for the fit of the scale.
+#: A class with fewer texts is too small to fit the scale.
 LEAST_TEXTS = 6
 
 
@@ -115,26 +115,26 @@ def sample(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
 def train(texts: list[list[str]], shares: list[int]) -> tuple[Model, float, float] | None:
     """(model, slope, intercept): score = logistic(slope * log ratio + intercept).
 
-    Two thirds of the sample give the counts; the other third fits the scale, whose intercept is then moved to the
-    classes' true shares. A class of fewer than LEAST_TEXTS texts has none to spare: all texts count, and the score is the
-    likelihood ratio with the shares as prior. None if a class has no text.
+    The model counts the whole sample. The scale is fitted on ratios that each third of it has by the counts of the two
+    others, and its intercept is then moved to the classes' true shares. A class of fewer than LEAST_TEXTS texts is too few
+    for that: the score is the likelihood ratio with the shares as prior. None if a class has no text.
     """
     if not min(map(len, texts)):
         return None
     flat = [t for own in texts for t in own]
     label = np.repeat([0, 1], [len(own) for own in texts])
     prior = float(np.log(shares[1] / shares[0]))
+    model = Model(*plain(pa.array(flat)), label)
     if min(map(len, texts)) < LEAST_TEXTS:
-        return Model(*plain(pa.array(flat)), label), 1.0, prior
-    part = np.concatenate([np.arange(len(own)) % 3 for own in texts])
-    fit, tune = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
-    model = Model(*plain(pa.array([flat[i] for i in fit])), label[fit])
-    x = model.compare(*plain(pa.array([flat[i] for i in tune])))
+        return model, 1.0, prior
+    part, x = np.concatenate([np.arange(len(own)) % 3 for own in texts]), np.zeros(len(flat))
+    for k in range(3):
+        fit, tune = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        x[tune] = Model(*plain(pa.array([flat[i] for i in fit])), label[fit]).compare(*plain(pa.array([flat[i] for i in tune])))
     mean, spread = x.mean(), x.std() + 1e-9
-    w = logistic(((x - mean) / spread)[:, None], label[tune])
+    w = logistic(((x - mean) / spread)[:, None], label)
     slope = max(float(w[0]), 0.0) / spread  # the score never falls as the ratio rises
-    counts = np.bincount(label[tune], minlength=2)
-    return model, slope, float(w[1] - slope * mean + prior - np.log(counts[1] / counts[0]))
+    return model, slope, float(w[1] - slope * mean + prior - np.log(len(texts[1]) / len(texts[0])))
 
 
 def score(docs: DataFrame, learned, key: str = "doc_id", text: str = "text") -> DataFrame:

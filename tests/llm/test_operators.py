@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, components, exact_dedup, jaccard, language_id, lm, mixing, ogg, queries, tool_calls, toxicity, url_filter
@@ -340,7 +341,7 @@ def kneser_ney(texts, labels, discount):
     """p(w | c) by dictionaries, and the probability of any word that isn't known."""
     seen = [{}, {}]
     for t, c in zip(texts, labels, strict=True):
-        own = re.findall(r"\w+", t.lower())
+        own = regex.findall(r"[\p{L}\p{N}\p{M}]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
         for h, w in zip([None, *own], own, strict=False):
             seen[c].setdefault(w, set()).add(h)
     known = sorted(set(seen[0]) | set(seen[1]))
