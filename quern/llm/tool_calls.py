@@ -5,31 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small, staged
+from quern.llm.common import small, staged, unstage
 
 #: schema_of_variant names that each declared argument type allows.
 ALLOWED = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
 
 
-def depths(calls: DataFrame, rounds: int = 40) -> DataFrame:
+def depths(calls: DataFrame, more: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(conv_id, call_id, parent_id) to (conv_id, call_id, depth): 0 for calls without a parent in the table, one more
-    than the parent else, null on or below a cycle.
+    than the deepest parent else, null on or below a cycle. ``more`` has further parents (conv_id, call_id, parent_id).
 
-    Pointer doubling: every round each call learns its ancestor twice as far off, so a chain of n calls takes
-    log2(n) joins on narrow rows.
+    Chains of calls with one parent are settled by pointer doubling: every round each call learns its ancestor twice as
+    far off, so a chain of n calls takes log2(n) joins on narrow rows. Chains end at calls without or with several parents;
+    the latter wait until all their parents' chains are known, a round for each such call on the longest way.
     """
     ids = calls.select("conv_id", "call_id")
-    known = ids.withColumnRenamed("call_id", "parent_id")
-    linked = calls.join(known, ["conv_id", "parent_id"], "left_semi").select("conv_id", "call_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("far"))
-    roots = calls.join(known, ["conv_id", "parent_id"], "left_anti").select("conv_id", "call_id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("far"))
-    step = staged(linked.unionByName(roots))
+    edges = calls.select("conv_id", "call_id", "parent_id")
+    edges = (edges.unionByName(more.select("conv_id", "call_id", "parent_id")) if more is not None else edges).distinct()
+    edges = staged(edges.join(ids, ["conv_id", "call_id"], "left_semi").join(ids.withColumnRenamed("call_id", "parent_id"), ["conv_id", "parent_id"], "left_semi").select("conv_id", "call_id", "parent_id"))
+    parents = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("parent_id").alias("parent_id"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    top, far = F.when(single, F.col("parent_id")).otherwise(F.col("call_id")), single.cast("long")
+    step = staged(ids.join(parents, ["conv_id", "call_id"], "left").select("conv_id", "call_id", top.alias("top"), far.alias("far"), (~single).alias("ended"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("joint")))
+    joints = step.where("joint").select("conv_id", F.col("call_id").alias("top"))
     limit = step.count()
     for k in range(rounds):
-        above = step.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
-        step = staged(step.where("up is null").unionByName(step.where("up is not null").join(above, ["conv_id", "up"]).select("conv_id", "call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"))))
-        if 2 ** (k + 1) > limit or not step.where("up is not null").limit(1).count():
+        above = step.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("far").alias("more"), F.col("ended").alias("end"))
+        moved = step.where("not ended").join(above, ["conv_id", "top"]).select("conv_id", "call_id", F.col("next").alias("top"), (F.col("far") + F.col("more")).alias("far"), F.col("end").alias("ended"), "joint")
+        before, step = step, staged(step.where("ended").unionByName(moved))
+        if k:
+            unstage(before)
+        if 2 ** (k + 1) > limit or not step.where("not ended").limit(1).count():
             break
-    return step.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("far")).alias("depth"))
+    ended = step.where("ended")
+    known = staged(ended.join(joints, ["conv_id", "top"], "left_anti").select("conv_id", "top", F.lit(0).cast("long").alias("start")).distinct())
+    if joints.limit(1).count():
+        below = edges.join(joints.withColumnRenamed("top", "call_id"), ["conv_id", "call_id"], "left_semi")
+        chains = ended.select("conv_id", F.col("call_id").alias("parent_id"), "top", "far")
+        waits = staged(below.join(chains, ["conv_id", "parent_id"], "left").select("conv_id", "call_id", "top", (F.col("far") + 1).alias("far")))
+        settled = known.count()
+        while True:
+            found = waits.join(known, ["conv_id", "top"], "left").groupBy("conv_id", "call_id").agg(F.max(F.col("start") + F.col("far")).alias("start"), F.bool_and(F.col("start").isNotNull()).alias("all"))
+            before, known = known, staged(known.unionByName(found.where("all").select("conv_id", F.col("call_id").alias("top"), "start")).distinct())
+            unstage(before)
+            now = known.count()
+            if now == settled:
+                break
+            settled = now
+    whole = ended.join(known, ["conv_id", "top"], "left").select("conv_id", "call_id", (F.col("far") + F.col("start")).alias("depth"))
+    return ids.join(whole, ["conv_id", "call_id"], "left")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -58,11 +82,11 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return every.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, more_parents: DataFrame | None = None) -> DataFrame:
     """One row per call, and per result without one: conv_id, call_id, name, status, depth, seq, valid, errors, json.
 
     ``calls`` has conv_id, call_id, parent_id, seq, name and arguments (JSON text); ``results`` has conv_id, call_id, seq
-    and content. Of rows with one identifier the one of smallest (seq, text) counts. status is linked, no_result,
+    and content; ``more_parents`` (conv_id, call_id, parent_id) says what else calls depend on. Of rows with one identifier the one of smallest (seq, text) counts. status is linked, no_result,
     orphan_result or cycle. (depth, seq) is a topological order of a conversation: a call comes after the one
     it depends on. ``json`` is canonical: keys sorted, no spaces, numbers as in ``numbers_canonical``. Arguments
     that are no JSON object are kept as a string. Rows with a null conv_id or call_id can't be linked and are
@@ -74,7 +98,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     reply = F.struct(F.col("seq").isNull().alias("m"), "seq", "content")
     answers = results.where(here).groupBy("conv_id", "call_id").agg(F.min(reply).alias("r"), F.lit(True).alias("answered"))
     linked = one.join(answers, ["conv_id", "call_id"], "full_outer")
-    linked = linked.join(depths(one.select("conv_id", "call_id", "parent_id")), ["conv_id", "call_id"], "left").join(argument_errors(one, schemas), ["conv_id", "call_id"], "left")
+    linked = linked.join(depths(one.select("conv_id", "call_id", "parent_id"), more_parents), ["conv_id", "call_id"], "left").join(argument_errors(one, schemas), ["conv_id", "call_id"], "left")
     is_call = F.col("name").isNotNull() | F.col("arguments").isNotNull() | F.col("seq").isNotNull() | F.col("depth").isNotNull() | F.col("errors").isNotNull()
     status = F.when(~is_call, "orphan_result").when(F.col("depth").isNull(), "cycle").when(F.col("answered"), "linked").otherwise("no_result")
     return _report(linked.withColumn("status", status)).unionByName(_report(_nameless(calls, results, here)))

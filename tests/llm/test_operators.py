@@ -531,3 +531,30 @@ def test_urls_meet_one_piece_of_a_long_list(spark):
         assert got[i] == ((True, f"c{k}") if k >= 0 and k % 3 else (False, None))
     spans = url_filter.pieces(url_filter.intervals(entries), 0, 10**6 // 30)
     assert spans.count() == spans.select("domain", "bucket").distinct().count()
+
+
+def test_calls_with_several_parents(spark):
+    """Depths are the longest ways; against a search by memo."""
+    rng = random.Random(4)
+    rows, more = [], []
+    for conv in range(6):
+        for i in range(25):
+            own = rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))
+            rows.append((conv, f"c{i}", f"c{own[0]}" if own else rng.choice([None, "gone"])))
+            more += [(conv, f"c{i}", f"c{k}") for k in own[1:]]
+    rows += [(9, "x", "y"), (9, "y", "x"), (9, "z", None), (9, "below", "z"), (9, "self", "self"), (9, "fine", "z")]
+    more += [(9, "below", "x"), (9, "fine", "nowhere"), (9, "nowhere", "z"), (0, "c3", "c3x")]
+    up = {}
+    for c, i, p in [*rows, *more]:
+        up.setdefault((c, i), set()).add(p)
+    ids = {(c, i) for c, i, _ in rows}
+
+    def depth(c, i, seen=()):
+        if i in seen:
+            return None
+        below = [depth(c, p, (*seen, i)) for p in up[c, i] if (c, p) in ids]
+        return None if None in below else 1 + max(below, default=-1)
+
+    kinds = "conv_id long, call_id string, parent_id string"
+    got = {(r.conv_id, r.call_id): r.depth for r in tool_calls.depths(spark.createDataFrame(rows, kinds), spark.createDataFrame(more, kinds)).collect()}
+    assert got == {x: depth(*x) for x in ids} and got[9, "below"] is None and got[9, "fine"] == 1
