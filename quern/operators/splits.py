@@ -27,16 +27,38 @@ def label_encode(df: DataFrame, label: str) -> DataFrame:
     return df.join(codes, label, "left")
 
 
+def equal_tiles(df: DataFrame, key: str, tiles: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``fold``: ``tiles`` parts of each group ``by`` in the order of the key's hash, whose sizes differ by one at most.
+
+    As ntile over each group, but no task sorts a whole group: rows are counted by ranges of the hash (65,536 of them), the
+    counts before a range are added up over that small table, and only a range's rows are numbered together.
+    """
+    h = rank_key(F.col(key), seed)
+    rows = df.withColumn("_hash", h).withColumn("_range", F.substring("_hash", 1, 4))
+    ranges = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_total", F.sum("_count").over(Window.partitionBy(*by)))
+    side = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_range_"), "_before", "_total")
+    met = F.col("_range") == F.col("_range_")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash")) - 1
+    least, more = F.floor(F.col("_total") / tiles), F.col("_total") % tiles  # the first ``more`` tiles have one row more
+    late = F.try_divide(F.col("_place") - more * (least + 1), least)
+    fold = F.when(F.col("_place") < more * (least + 1), F.floor(F.col("_place") / (least + 1))).otherwise(more + F.floor(late))
+    return rows.join(side, met).withColumn("_place", place).withColumn("fold", fold.cast("int")).select(*df.columns, "fold")
+
+
 def k_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42, exact: bool = False) -> DataFrame:
-    """Add ``fold``. ``exact``: sizes differ by one at most, at the price of one global sort in one task; else by hash."""
+    """Add ``fold``. ``exact``: sizes differ by one at most (``equal_tiles``); else by hash, without a shuffle."""
     if not exact:
         return df.withColumn("fold", bucket(F.col(key), seed, folds).cast("int"))
-    return df.withColumn("fold", (F.ntile(folds).over(Window.orderBy(rank_key(F.col(key), seed))) - 1).cast("int"))
+    return equal_tiles(df, key, folds, seed)
 
 
 def stratified_k_fold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold``, balanced within each label; one sort a label."""
-    return df.withColumn("fold", (F.ntile(folds).over(Window.partitionBy(label).orderBy(rank_key(F.col(key), seed))) - 1).cast("int"))
+    """Add ``fold``, balanced within each label (null is one)."""
+    return equal_tiles(df, key, folds, seed, (label,))
 
 
 def mini_sample(df: DataFrame, key: str, n: int = 2000, seed: int = 42) -> DataFrame:

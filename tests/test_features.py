@@ -261,3 +261,15 @@ def test_final_score_takes_the_accepted_features(spark):
     baseline, final = scoring.final_score(df, "id", ["a"], [], accepted, {}, names, trees=5)
     assert final == 1.0 and baseline < 1.0
     assert len(set(scoring.final_score(df, "id", ["a"], [], {}, {}, names, trees=5))) == 1
+
+
+def test_stratified_folds_are_even_in_each_label(spark):
+    df = spark.range(1003).select("id", F.when(F.col("id") % 10 < 7, "common").when(F.col("id") % 10 < 9, "rare").alias("label"), F.lit("x").alias("_count_"))
+    out = splits.stratified_k_fold(df, "id", "label", 7)
+    assert out.columns == [*df.columns, "fold"] and out.count() == 1003
+    sizes = {}
+    for r in out.groupBy("label", "fold").count().collect():
+        sizes.setdefault(r.label, []).append(r["count"])
+    assert set(sizes) == {"common", "rare", None} and all(len(v) == 7 and max(v) - min(v) <= 1 for v in sizes.values())
+    few = splits.k_fold(df.limit(3), "id", 5, exact=True).collect()
+    assert sorted(r.fold for r in few) == [0, 1, 2]
