@@ -161,13 +161,11 @@ SUMS = ("docs", "known", "base", "value")
 HEAD = ("doc_ids", "trains", "lengths", "slices", "places")
 
 
-def messages(token: np.ndarray, first: np.ndarray, second: np.ndarray, doc: np.ndarray, trained: np.ndarray, plan: Plan) -> dict[str, list]:
-    """A block's distinct (token, word before, second word before), by shard, with the documents that each stands in.
+def messages(vocabulary: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, trained: bytes, plan: Plan) -> dict[str, list]:
+    """A block's distinct (token, word before, second word before), places in ``vocabulary``, by shard, with the documents that each stands in.
 
     Nested and packed: per token the number of its pairs, per pair that of its triples, per triple that of its documents.
     """
-    vocabulary, ids = np.unique(np.concatenate([token, first, second]), return_inverse=True)
-    ids, one, two = np.split(ids, 3)
     if len(vocabulary) < 1 << 21:
         order = np.argsort((ids.astype(U) << U(42)) | (one.astype(U) << U(21)) | two.astype(U), kind="stable")
     else:
@@ -298,17 +296,20 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 token, lengths = np.insert(hashes, at[1:], END), np.diff(at) + 1
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
-                first, second = np.roll(token, 1), np.roll(token, 2)
-                first[begins] = second[begins] = START
-                second[begins[lengths > 1] + 1] = START
+                vocabulary, ids = np.unique(np.append(token, START), return_inverse=True)
+                ids, start = ids[:-1], ids[-1]
+                del token, hashes
+                one, two = np.roll(ids, 1), np.roll(ids, 2)
+                one[begins] = two[begins] = start
+                two[begins[lengths > 1] + 1] = start
                 owner = np.repeat(np.arange(batch.num_rows), lengths)
                 slice_ = block
-                cuts = np.linspace(0, len(token), max(1, round(len(token) / block_tokens)) + 1).astype(int).tolist()
+                cuts = np.linspace(0, len(ids), max(1, round(len(ids) / block_tokens)) + 1).astype(int).tolist()
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     d0, d1 = int(owner[a]), int(owner[b - 1]) + 1
                     own = batch.slice(d0, d1 - d0)
                     trained_docs = np.packbits(np.array(own.column(1).to_numpy(zero_copy_only=False), bool)).tobytes()
-                    out = messages(token[a:b], first[a:b], second[a:b], owner[a:b] - d0, trained_docs, plan)
+                    out = messages(vocabulary, ids[a:b], one[a:b], two[a:b], owner[a:b] - d0, trained_docs, plan)
                     used = len(out["shard"])
                     inside = np.minimum(ends[d0:d1], b) - np.maximum(begins[d0:d1], a)
                     arrays = [pa.array([block] * (used + 1), pa.int64()), pa.array([*out["shard"], block % shards], pa.int64())]
