@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import staged, unstage
-from quern.llm.hashing import slices, text_bytes, word_hashes
+from quern.llm.hashing import U, slices, text_bytes, word_hashes
 
 #: The bounded sample: at most so many labelled documents of either class, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 20_000
@@ -40,13 +40,11 @@ class Model:
     def __init__(self, hashes: np.ndarray, at: np.ndarray, label: np.ndarray, discount: float = DISCOUNT):
         owner = np.repeat(label, np.diff(at))
         self.words, word = np.unique(hashes, return_inverse=True)
-        before = np.full(len(word), -1, np.int64)
-        before[1:] = word[:-1]
-        before[at[:-1][at[:-1] < len(word)]] = -1
-        counts = []
-        for c in (0, 1):
-            pairs = np.unique(np.stack([word[owner == c], before[owner == c]]), axis=1)
-            counts.append(np.bincount(pairs[0], minlength=len(self.words)))
+        pairs = (word.astype(U) << U(32)) | (np.roll(word, 1) + 1).astype(U)
+        opens = at[:-1][at[:-1] < len(word)]
+        pairs[opens] = word[opens].astype(U) << U(32)  # nothing before
+        counts = [np.bincount((np.unique(pairs[owner == c]) >> U(32)).astype(np.int64), minlength=len(self.words)) for c in (0, 1)]
+        del pairs, word, owner
         classes = (counts[0] > 0).astype(int) + (counts[1] > 0)
         whole = classes.sum() + 0.5 * (len(self.words) + 1)
         shared, unseen = (classes + 0.5) / whole, 0.5 / whole
@@ -121,16 +119,17 @@ def train(texts: list[list[str]], shares: list[int]) -> tuple[Model, float, floa
     """
     if not min(map(len, texts)):
         return None
-    flat = [t for own in texts for t in own]
+    hashes, at = plain(pa.array([t for own in texts for t in own]))
     label = np.repeat([0, 1], [len(own) for own in texts])
     prior = float(np.log(shares[1] / shares[0]))
-    model = Model(*plain(pa.array(flat)), label)
+    model = Model(hashes, at, label)
     if min(map(len, texts)) < LEAST_TEXTS:
         return model, 1.0, prior
-    part, x = np.concatenate([np.arange(len(own)) % 3 for own in texts]), np.zeros(len(flat))
+    part, x, sizes = np.concatenate([np.arange(len(own)) % 3 for own in texts]), np.zeros(len(label)), np.diff(at)
     for k in range(3):
-        fit, tune = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        x[tune] = Model(*plain(pa.array([flat[i] for i in fit])), label[fit]).compare(*plain(pa.array([flat[i] for i in tune])))
+        inside = np.repeat(part == k, sizes)
+        (fit, fit_at), (tune, tune_at) = ((hashes[inside == own], np.append(0, np.cumsum(sizes[(part == k) == own]))) for own in (False, True))
+        x[part == k] = Model(fit, fit_at, label[part != k]).compare(tune, tune_at)
     mean, spread = x.mean(), x.std() + 1e-9
     w = logistic(((x - mean) / spread)[:, None], label)
     slope = max(float(w[0]), 0.0) / spread  # the score never falls as the ratio rises
