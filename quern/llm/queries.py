@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, jaccard, language_id, lm, mixing, ogg, tool_calls, toxicity, url_filter
+from quern.llm import bpe, conversation_repair, exact_dedup, jaccard, language_id, lexical_search, lm, mixing, ogg, quality_outliers, tool_calls, toxicity, url_filter
 from quern.llm.common import crc_bucket
 
 #: Where the rank file is; a parameter, never copied.
@@ -95,7 +95,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 5) != 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_tool_call_linking, op3_url_list_asof, op4_ngram_jaccard, op5_source_mixing, op6_ogg_media, op7_language_id, op8_toxicity, op9_byte_bpe, op10_lm_scoring)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+def op12_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_outliers.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_tool_call_linking, op3_url_list_asof, op4_ngram_jaccard, op5_source_mixing, op6_ogg_media, op7_language_id, op8_toxicity, op9_byte_bpe, op10_lm_scoring, op11_conversation_repair, op12_quality_outliers, op13_lexical_search)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -153,4 +166,56 @@ rates as (select *, case when source_size > 0 then target / source_size else 0.0
 select s.doc_id, s.size, r.source_size, r.target::double as target,
        (s.size * (floor(r.rate) + case when ('0x' || substr(md5(coalesce(s.doc_id::varchar, md5(coalesce(s.text, ''))) || ':mix'), 1, 8))::bigint / 4294967296.0::double < r.rate - floor(r.rate) then 1 else 0 end))::bigint as taken
 from sized s join rates r on s.source is not distinct from r.source""",
+    "op11_conversation_repair": r"""
+with recursive crc as (
+  select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) as c
+  from conversations, crc),
+faulty as (select *, (4294967295 - c) % 20 as fault from keyed),
+damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from faulty, range(2) r(k) where fault <> 0 and (k = 0 or fault = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+told as (select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as is_blank, row_number() over (partition by conv_id, role, text order by i) > 1 as is_seen,
+         not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as is_cut, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as prior from placed),
+ways(s, more, t) as (values (0, '', 0), (0, 'u', 2), (0, 'ua', 3), (1, '', 1), (1, 'u', 2), (1, 'ua', 3), (2, '', 2), (2, 'a', 3), (3, '', 3), (3, 'u', 2)),
+moves(s, r, t) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+edits as (
+  select s, more, t, 'D' as edit, null as r from ways
+  union all select w.s, w.more, m.t, 'K', m.r from ways w join moves m on w.t = m.s
+  union all select w.s, w.more, m.t, 'R', m.r from ways w join moves m on w.t = m.s and m.r <> 's'),
+names(more, lines) as (values ('', []::varchar[]), ('u', ['user:']), ('a', ['assistant:']), ('ua', ['user:', 'assistant:'])),
+best as (
+  select distinct conv_id, 0::bigint as i, 0 as s, 0::bigint as cost, '' as audit, []::varchar[] as body from conversations
+  union all
+  select * from (
+    select b.conv_id, o.i, e.t as s, b.cost + 3 * len(e.more) + case e.edit when 'D' then 4 else case when e.edit = 'R' then 3 else 0 end + case when o.is_cut then 3 else 0 end end as cost,
+           b.audit || repeat('I', len(e.more)) || e.edit as audit,
+           b.body || n.lines || case e.edit when 'D' then [] when 'K' then [o.role || ':' || o.text] else [case e.r when 'u' then 'user:' else 'assistant:' end || o.text] end as body
+    from best b join told o on b.conv_id is not distinct from o.conv_id and o.i = b.i + 1
+    join edits e on e.s = b.s and (e.edit = 'D' or not (o.is_blank or o.is_seen) and (e.edit = 'R' or e.r = o.initial)) join names n on n.more = e.more)
+  qualify row_number() over (partition by conv_id, s order by cost, audit) = 1),
+ends as (
+  select b.conv_id, b.cost + 3 * len(w.more) as cost, b.audit || repeat('I', len(w.more)) as audit, b.body || n.lines as body
+  from best b join ways w on w.s = b.s and w.t in (0, 3) join names n on n.more = w.more
+  qualify b.i = max(b.i) over (partition by b.conv_id)),
+chosen as (select * from ends qualify row_number() over (partition by conv_id order by cost, audit) = 1),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (is_blank) as blank, count(*) filter (not is_blank and is_seen) as duplicate,
+           count(*) filter (not is_blank and not is_seen and is_cut) as truncated, count(*) filter (prior || initial not in ('su', 'ua', 'au')) as illegal from told group by conv_id)
+select c.conv_id, coalesce(n.gaps, 0)::bigint as gaps, coalesce(n.blank, 0)::bigint as blank, coalesce(n.duplicate, 0)::bigint as duplicate, coalesce(n.truncated, 0)::bigint as truncated,
+       coalesce(n.illegal, 0)::bigint as illegal, c.cost::bigint as cost, c.audit, sha256(array_to_string(c.body, chr(10))) as repaired_sha256
+from chosen c left join counts n on c.conv_id is not distinct from n.conv_id""",
+    "op13_lexical_search": r"""
+with terms as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+sizes as (select doc_id, count(*) as n from terms group by doc_id),
+corpus as (select count(*) as docs, sum(n)::bigint as terms from sizes),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+lists as (select term, doc_id, count(*) as tf from terms where term in (select term from asked) group by all),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from lists group by term), corpus),
+scored as (select item_id, l.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // corpus.terms))))::bigint as score
+           from asked join weights using (term) join lists l using (term) join sizes s on s.doc_id = l.doc_id, corpus group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
 }
