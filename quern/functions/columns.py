@@ -59,10 +59,6 @@ def is_equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b).cast("double")
 
 
-def _present(xs: list[Column]) -> Column:
-    return F.filter(F.array(*xs), lambda v: v.isNotNull())
-
-
 def row_sum(xs: list[Column]) -> Column:
     """Sum of what is there; 0.0 if nothing is."""
     return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in xs])

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.grammar import IID_FAMILIES
-from quern.operators import audit, certify, features, scoring, selection, splits, temporal
+from quern.functions.grammar import IID_FAMILIES, structural_hash
+from quern.operators import audit, certify, features, gains, scoring, selection, splits, temporal
 from quern.sources import datasets
 from quern.sources.scratch import shared_folder, staged
 
@@ -480,6 +480,81 @@ def acceptance_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.funnel(deltas(spark, sf_dir)).select("event_id", "status", "rejection_reason")
 
 
+# Gains of candidates from data: a target of known parts, one base column, candidates from most operators.
+
+GOALS = f"select *, 0.2 * signed + 10000 * small + case when status = 'F' then 15000 else 0 end as goal from ({ORDERS})"
+#: name: (program, SQL over base and the train statistics).
+CANDIDATES = {n: SCALARS[n] for n in ("log1p", "sqrt_clip0", "abs", "square", "reciprocal", "is_null", "add", "subtract", "multiply", "divide", "ratio", "is_equal", "one_hot_select", "coalesce", "row_mean", "row_max", "row_min", "row_sum", "row_std")} | {
+    "scaled": (FITS["zscore"][0], "(price - m) / s"),
+    "ranged": (FITS["minmax"][0], "(price - a) / (z - a)"),
+    "doubled": (two("Multiply", col(3), const(2.0)), "small * 2"),
+    "signed_again": (two("Add", col(2), const(0.0)), "signed"),
+    "constant": (two("IsEqual", col(5), col(5)), "1.0"),
+    "mostly_missing": (un("Log1p", two("Subtract", un("Abs", col(2)), const(250000.0))), "case when abs(signed) - 250000 > -1 then ln(1 + abs(signed) - 250000) end"),
+}
+
+
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates' columns beside the base, the target and the split, as a written table."""
+    rows = splits.train_val_test(spark.sql(GOALS.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")), "o_orderkey")
+    wanted = {n: p for n, (p, _) in CANDIDATES.items()}
+    return staged(features.apply(rows, wanted, TYPES, features.fit(rows, wanted, TYPES, NAMES), ["o_orderkey", "_split", "small", "goal"], NAMES))
+
+
+GAINS = f"""with base as ({GOALS}), o as (select *, {SPLIT} as _split from (select *, {BUCKET} as b from base)),
+st as (select avg(price) m, stddev_samp(price) s, min(price) a, max(price) z from o where _split = 'train'),
+f as (select o_orderkey, _split, small as x, goal as y, ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint % 5 as fold,
+  row_number() over (partition by _split order by md5('42:' || o_orderkey)) as place, [{', '.join(f"({v})::double" for _, v in CANDIDATES.values())}] as vs from o, st where _split <> 'test'),
+sized as (select *, least(2000, max(place) filter (_split = 'train') over ()) as n from f),
+tiers as (select '3' as tier, _split = 'train' as fits, o_orderkey, x, y, vs from sized
+  union all select '2', place <= floor(0.8 * n), o_orderkey, x, y, vs from sized where _split = 'train' and place <= n
+  union all select '4.' || k, fold <> k, o_orderkey, x, y, vs from sized, range(5) r(k)),
+l as (select tier, fits, x, y, unnest([{', '.join(f"'{n}'" for n in CANDIDATES)}]) as feature_id, coalesce(unnest(vs), -1.0) as v from tiers),
+t as (select tier, feature_id, avg(x) mx, avg(y) my, avg(v) mv, var_pop(x) xx, var_pop(v) vv, covar_pop(x, v) xv, covar_pop(x, y) xy, covar_pop(v, y) vy from l where fits group by 1, 2),
+c as (select *, case when xx * vv - xv * xv > 1e-9 * xx * vv then (xx * vy - xv * xy) / (xx * vv - xv * xv) else 0 end as bv from t),
+p as (select *, (xy - bv * xv) / xx as bx, xy / xx as b0 from c),
+e as (select tier, feature_id, 1 - sum((y - my - b0 * (x - mx)) ** 2) / (var_pop(y) * count(*)) as old, 1 - sum((y - my - bx * (x - mx) - bv * (v - mv)) ** 2) / (var_pop(y) * count(*)) as new
+  from l join p using (tier, feature_id) where not fits group by 1, 2),
+g as (select feature_id, max(old) filter (tier = '3') as base_score, max(new) filter (tier = '3') as score, max((new - old) / abs(old)) filter (tier = '2') as delta2, max((new - old) / abs(old)) filter (tier = '3') as delta3,
+  avg((new - old) / abs(old)) filter (tier like '4%') as delta4_mean, stddev_pop((new - old) / abs(old)) filter (tier like '4%') as delta4_std from e group by 1)"""
+
+
+def real_gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = goals(spark, sf_dir)
+    return rows, gains.candidate_gains(rows, "o_orderkey", "goal", ["small"], list(CANDIDATES))
+
+
+@query("candidate_gains", f"{GAINS} select feature_id, round(base_score, 6) as base_score, round(score, 6) as score, round(delta2, 6) as delta2, round(delta3, 6) as delta3, round(delta4_mean, 6) as delta4_mean, round(delta4_std, 6) as delta4_std from g")
+def candidate_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.tier_gates(real_gains(spark, sf_dir)[1].withColumn("tier1_reason", F.lit("")), tier4=True)
+    return rounded(out.select("feature_id", "base_score", "score", "delta2", "delta3", "delta4_mean", "delta4_std"))
+
+
+@query("gain_funnel", f"""{GAINS}, w as (select unnest([{', '.join(f"'{n}'" for n in CANDIDATES)}]) as feature_id, unnest(vs) as v, x, md5('42:' || o_orderkey) as h from f where _split = 'train'),
+pr as (select feature_id, case when avg((v is null)::int) > 0.5 then 'TIER1_NAN' when stddev_samp(v) < 1e-9 then 'TIER1_CONSTANT' else '' end as tier1_reason from w group by 1),
+sa as (select * from w where v is not null qualify row_number() over (partition by feature_id order by h) <= 5000),
+ra as (select feature_id, rank() over (partition by feature_id order by v) + (count(*) over (partition by feature_id, v) - 1) / 2.0 as rv, rank() over (partition by feature_id order by x) + (count(*) over (partition by feature_id, x) - 1) / 2.0 as rx, v from sa),
+re as (select feature_id, case when count(*) >= 30 and stddev_pop(v) >= 1e-12 then greatest(corr(rv, rx), 0) else 0 end as sim from ra group by 1)
+select feature_id, case when coalesce(sim, 0) >= 0.92 then 'rejected_redundant' when tier1_reason <> '' or delta2 < 0.003 or delta3 < 0.01 or delta4_mean < 0.01 then 'rejected_gain' else 'accepted' end as status,
+case when coalesce(sim, 0) >= 0.92 then 'POST_EVAL_REDUNDANT' when tier1_reason <> '' then tier1_reason when delta2 < 0.003 then 'TIER2_NO_SIGNAL' when delta3 < 0.01 then 'TIER3_SINGLE_FAIL' when delta4_mean < 0.01 then 'TIER4_LOW_GAIN' else '' end as rejection_reason
+from g join pr using (feature_id) left join re using (feature_id)""")
+def gain_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate on its own against the base column, which is the one accepted feature."""
+    rows, found = real_gains(spark, sf_dir)
+    train = rows.where("_split = 'train'")
+    pairs = selection.rank_correlation(train, "o_orderkey", [(n, "small") for n in CANDIDATES])
+    hashes = spark.createDataFrame([(n, i, structural_hash(p)) for i, (n, (p, _)) in enumerate(CANDIDATES.items())] + [("small", 0, structural_hash(col(3)))], "feature_id string, seq int, hash string")
+    out = gains.refused(found, selection.profile(train, list(CANDIDATES)), selection.redundancy(pairs, hashes), tier2=True, tier4=True)
+    return out.select("feature_id", "status", "rejection_reason")
+
+
+@query("accepted_in_order")
+def accepted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates one after another, five to a round, each against what was accepted before it."""
+    order = [(i // 5, n, structural_hash(p)) for i, (n, (p, _)) in enumerate(CANDIDATES.items())]
+    return rounded(gains.forward(goals(spark, sf_dir), "o_orderkey", "goal", ["small"], order, tier2=True, tier4=True))
+
+
 # Model inputs and scores.
 
 

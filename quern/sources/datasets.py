@@ -85,8 +85,8 @@ def write_features(matrix: DataFrame, path: str) -> None:
 
 def write_fitted(fitted, spark: SparkSession, path: str) -> None:
     """Scalars and maps of a fit, as two tables below ``path``."""
-    rows = [(f, p, [None if v is None else float(v) for v in values]) for (f, p), values in fitted.scalars.items()]
-    spark.createDataFrame(rows, "feature_id string, path string, stats array<double>").write.mode("overwrite").parquet(f"{path}/scalars")
+    rows = [(node, [None if v is None else float(v) for v in values]) for node, values in fitted.scalars.items()]
+    spark.createDataFrame(rows, "node string, stats array<double>").write.mode("overwrite").parquet(f"{path}/scalars")
     if fitted.maps is not None:
         fitted.maps.write.mode("overwrite").parquet(f"{path}/maps")
 
@@ -95,12 +95,12 @@ def read_fitted(spark: SparkSession, path: str):
     """What ``write_fitted`` wrote: the scalars come to the driver, the maps stay a table."""
     from quern.operators.features import Fitted
 
-    out = Fitted({(r.feature_id, r.path): list(r.stats) for r in spark.read.parquet(f"{path}/scalars").collect()})
+    out = Fitted({r.node: list(r.stats) for r in spark.read.parquet(f"{path}/scalars").collect()})
     try:
         out.maps = spark.read.parquet(f"{path}/maps")
     except AnalysisException:
         return out  # no encoders
-    out.map_sizes = {(r.feature_id, r.path): r["count"] for r in out.maps.groupBy("feature_id", "path").count().collect()}
+    out.map_sizes = {r.node: (r.rows, r.total) for r in out.maps.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).collect()}
     return out
 
 

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,13 +199,83 @@ def test_quoted_fields_do_not_widen_a_data_set(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == [(1.0, "a,b", 0.0), (2.0, 'say "c"', 1.0)]
 
 
-@pytest.mark.parametrize("most", [50, 10**9])
-def test_exact_quantiles_at_any_size(spark, most):
-    df = spark.range(5000).select(((F.col("id") * 7919) % 5000 / 7).alias("x"), F.when(F.col("id") % 3 > 0, 1.5).otherwise(F.col("id") * 1.0).alias("ties"), F.lit(None).cast("double").alias("none"))
-    asked = [[0.0, 0.01, 0.5, 0.999, 1.0], [0.1, 0.4, 0.7, 0.9], [0.5]]
-    got = features.exact_quantiles(df, [(F.col(c), qs) for c, qs in zip(df.columns, asked, strict=True)], most)
-    want = [df.agg(F.percentile(c, F.array(*map(F.lit, qs)))).first()[0] for c, qs in zip(df.columns, asked, strict=True)]
-    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1]) and got[2] == [None]
+TENTHS = [i / 10 for i in range(1, 10)]
+
+
+@pytest.mark.parametrize("few", [1, 4096])
+def test_exact_quantiles_are_percentile_to_the_bit(spark, few):
+    """Columns of many sizes with heavy ties, negative, tiny, huge and infinite values, exact order statistics each."""
+    rng = random.Random(few)
+    pools = [[rng.choice([0.0, -0.0, 1.5, -2.25, 1000.0, 7.0]) for _ in range(9)], [rng.gauss(0, 1) for _ in range(500)], [math.ldexp(rng.random() - 0.5, rng.randint(-1100, 1020)) for _ in range(300)] + [float("inf"), float("-inf"), 5e-324, 2.0**-1022, 8.0, 7.999999999999999]]
+    columns = [[rng.choice(pools[c % 3]) for _ in range(rng.choice([0, 1, 2, 3, 40, rng.randint(1, 400)]))] for c in range(90)]
+    rows = [tuple(c[i] if i < len(c) else None for c in columns) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(90))).repartition(3)
+    asked = [[0.0, 0.01, *TENTHS, 0.99, 1.0]] * 90
+    got = features.exact_quantiles(df, [(F.col(c), qs) for c, qs in zip(df.columns, asked, strict=True)], few)
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, asked[0]))) for c in df.columns]).first()
+    for mine, theirs in zip(got, want, strict=True):
+        assert mine == (list(theirs) if theirs else [None] * len(asked[0])) or any(math.isnan(x) for x in theirs)
+
+
+def test_order_bits_sort_as_doubles(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 0.9999999999999999, *[math.ldexp(rng.random() - 0.5, rng.randint(-1080, 1024)) for _ in range(2000)], *[math.nextafter(2.0**e, rng.choice([0, 1e308])) for e in range(-1000, 1000, 7)]]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", features.order_bits(F.col("x")).alias("k")).collect()
+    for r in got:
+        assert features.from_bits(r.k) == r.x
+    own = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(features.order_bits(F.col("x"))).collect()
+    assert [r[0] for r in own] == [None, None]
+
+
+def test_deciles_of_ties(spark):
+    """An order statistic is a value, never nearly one: 1000 is the eighth decile itself, so it lies in bucket 7."""
+    tied = [7.0 * i for i in range(31)] + [1000.0] * 2 + [2000.0 + i for i in range(7)]
+    df = spark.createDataFrame([(x,) for x in tied], "x double")
+    fitted = features.fit(df, {"b": un("QuantileBucketize", col(0))}, {})
+    (edges,) = fitted.scalars.values()
+    assert edges[7] == 1000.0 and edges == list(df.agg(F.percentile("x", F.array(*map(F.lit, TENTHS)))).first()[0])
+    rows = features.apply(df, {"b": un("QuantileBucketize", col(0))}, {}, fitted, ["x"]).where("x = 1000").collect()
+    assert [r.b for r in rows] == [7, 7]
+    many = spark.createDataFrame([(x,) for x in [7.0 * i for i in range(31)] + [1000.0] * 9], "x double")
+    assert features.fit(many, {"b": un("QuantileBucketize", col(0))}, {}).failed == {"b": "EXECUTION_FAILED: equal deciles"}
+
+
+def test_equal_subtrees_are_fitted_once(spark, monkeypatch):
+    """Hundreds of programs with few distinct parts: as many statistics as parts, one map for each encoder, the same values."""
+    df = spark.createDataFrame([(float(i), float(i % 7), "abc"[i % 3]) for i in range(60)], "x double, y double, c string").coalesce(2)
+    parts = [un("ZScore", col(0)), un("MinMaxScale", col(1)), un("FrequencyEncode", col(2)), un("Clip", un("ZScore", col(0))), {"op": "TargetEncode", "cat_col": col(2), "label_col": col(1)}]
+    programs = {f"f{n}": two(op, parts[n % 5], parts[n // 5 % 5]) for n, op in enumerate(["Add", "Multiply", "Divide", "Subtract"] * 60)}
+    types = {"c": "categorical"}
+    fitted = features.fit(df, programs, types)
+    assert len(fitted.scalars) == 3 and len(fitted.map_sizes) == 2 and not fitted.failed
+    graph = features.Graph(programs)
+    assert len(graph.nodes) <= 8 + 4 * 25 and len(graph.roots) == 240
+    out = features.apply(df, programs, types, fitted, ["x"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == plan.count("BuildRight") and plan.count("BroadcastExchange") == 2
+    one = {f: p for f, p in programs.items() if f in ("f0", "f7", "f93")}
+    alone = features.apply(df, one, types, features.fit(df, one, types), ["x"])
+    assert sorted(out.select("x", *one).collect()) == sorted(alone.collect())
+
+
+def test_hot_category_is_split(spark, monkeypatch):
+    """A third of the rows is one category, of a map that is too large to broadcast: even tasks, the same result."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") * 7919 % 2000).cast("string")).alias("c"), F.col("id").cast("double").alias("y"), F.lit("x").alias("`odd`"))
+    programs = {"n": un("FrequencyEncode", col(0)), "m": {"op": "TargetEncode", "cat_col": col(0), "label_col": col(1)}}
+    fitted = features.fit(df, programs, {"c": "categorical"})
+    want = sorted(features.apply(df, programs, {"c": "categorical"}, fitted, ["y"]).collect())
+    monkeypatch.setattr(features, "MAP_ROWS", 10)
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(key, value)
+    try:
+        out = features.apply(df, programs, {"c": "categorical"}, fitted, ["y"])
+        assert sorted(out.collect()) == want
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_ids_that_look_alike_keep_their_maps(spark):
