@@ -71,6 +71,26 @@ def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") != "accepted").alias("rejected"), F.max(F.when(F.col("status") == "accepted", F.col("delta_mean"))).alias("best_gain"))
 
 
+def run_metrics(records: DataFrame, scores: DataFrame, patience: int = 5, most_accepted: int = 30, most_rounds: int = 50) -> DataFrame:
+    """One row per run of ``scores`` (run_id, dataset, baseline_score, final_score; the last may be null): sizes by status, rounds, the stop reason,
+    the improvement (0 without a final score) and the accepted features in their order.
+
+    ``records`` has run_id, seq, round, feature_id and status. Everything that isn't accepted and isn't rejected by a compiler or a
+    certificate counts as rejected_eval. A run without records has zeros and an empty list. The list is as long as the run's accepted features, a cap by ``most_accepted``.
+    """
+    good, early = F.col("status") == "accepted", F.col("status").isin("rejected_cert", "rejected_compile")
+    per = records.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total_candidates"), F.count_if(good).alias("accepted"), F.count_if(early).alias("rejected_cert"), F.count_if(~good & ~early).alias("rejected_eval"), F.count_distinct("round").alias("total_rounds"),
+        F.transform(F.array_sort(F.collect_list(F.when(good, F.struct("seq", "feature_id")))), lambda x: x["feature_id"]).alias("accepted_features"),
+    )
+    rounds = records.groupBy("run_id", "round").agg(F.count_if(good).alias("accepted"))
+    stops = stop_round(rounds, patience, most_accepted, most_rounds).select("run_id", F.col("reason").alias("stop_reason"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    improvement = F.coalesce(F.col("final_score") - F.col("baseline_score"), F.lit(0.0))
+    out = scores.join(per, "run_id", "left").join(stops, "run_id", "left")
+    return out.select("run_id", "dataset", zero("accepted"), zero("total_rounds"), F.coalesce("stop_reason", F.lit("running")).alias("stop_reason"), "baseline_score", "final_score", improvement.alias("improvement"), zero("total_candidates"), zero("rejected_cert"), zero("rejected_eval"), F.coalesce("accepted_features", F.array().cast("array<string>")).alias("accepted_features"))
+
+
 def rejections(records: DataFrame) -> DataFrame:
     """Counts by (status, rejection_reason) with subtotals (null) by status and in all."""
     return records.where("status <> 'accepted'").rollup("status", "rejection_reason").agg(F.count(F.lit(1)).alias("n"))

@@ -6,10 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import grammar as G
+from quern.sources.scratch import staged
 
 NODES = "feature_id string, node_id string, path string, op string, dtype string, unit string, col_index int, const_value string, source_split string, time_origin string, children array<string>, hash string, error string, detail string"
 CERTIFICATES = ("C1", "C2", "C3", "C4", "C5", "C6")
@@ -75,8 +77,8 @@ def on_cycles(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"feature_id": [pairs.feature_id.iloc[0]] * len(found), "node_id": found}, dtype=object)
 
 
-def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, train_split: str = "train") -> DataFrame:
-    """(feature_id, cert, ord, verdict, failure_code, witness) for every compiled program and certificate.
+def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, train_split: str = "train", wanted: tuple[str, ...] = CERTIFICATES) -> DataFrame:
+    """(feature_id, cert, ord, verdict, failure_code, witness) for every compiled program and ``wanted`` certificate; others are not computed.
 
     C1: known operators, columns and numbers of inputs. C2: target and forbidden columns only as direct inputs of
     TargetEncode, with nothing above it. C3: nothing later than ``t_star`` (n/a without one), compared as times; text that
@@ -114,10 +116,12 @@ def traces(nodes_: DataFrame, schema: DataFrame, t_star: str | None = None, trai
     codes = ("C1.SCHEMA", "C2.TARGET_LEAK", "C3.FUTURE_TIME", "C4.TYPE", "C5.FIT_LEAK", "C6.LINEAGE")
     failed = None
     for i, (rows, code) in enumerate(zip((c1, c2, c3, c4, c5, c6), codes, strict=True)):
+        if f"C{i + 1}" not in wanted:
+            continue
         part = rows.select("feature_id", F.lit(i + 1).alias("ord"), F.lit(code).alias("failure_code"), "node_id")
         failed = part if failed is None else failed.unionByName(part)
     failed = failed.groupBy("feature_id", "ord", "failure_code").agg(F.array_sort(F.collect_set("node_id")).alias("witness"))
-    every = good.select("feature_id").distinct().select("feature_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ord"))
+    every = good.select("feature_id").distinct().select("feature_id", F.explode(F.array(*[F.lit(int(c[1:])) for c in wanted])).alias("ord"))
     verdict = F.when(F.col("failure_code").isNotNull(), "fail").when((F.col("ord") == 3) & F.lit(t_star is None), "n/a").otherwise("pass")
     return every.join(failed, ["feature_id", "ord"], "left").select("feature_id", F.concat(F.lit("C"), F.col("ord").cast("string")).alias("cert"), "ord", verdict.alias("verdict"), "failure_code", F.coalesce("witness", F.array().cast("array<string>")).alias("witness"))
 
@@ -130,6 +134,50 @@ def verdicts(nodes_: DataFrame, traces_: DataFrame, enabled: tuple[str, ...] = C
     return own.unionByName(broken)
 
 
+def certify(programs: DataFrame, schema: DataFrame, t_star: str | None = None) -> DataFrame:
+    """(feature_id, hash, passed, failure_code, witness) of programs, from their nodes as a written table; witness: nodes of the failure."""
+    own = staged(nodes(programs, schema))
+    told = staged(traces(own, schema, t_star))
+    out = verdicts(own, told)
+    tags = own.groupBy("feature_id").agg(F.max("hash").alias("hash"))
+    at = told.where("verdict = 'fail'").groupBy("feature_id").agg(F.min_by("witness", "ord").alias("witness"))
+    return out.join(tags, "feature_id").join(at, "feature_id", "left").select("feature_id", "hash", "passed", "failure_code", F.coalesce("witness", F.array().cast("array<string>")).alias("witness"))
+
+
+def certify_new(programs: DataFrame, schema: DataFrame, cache: str, schema_hash: str, t_star: str | None = None) -> tuple[DataFrame, int]:
+    """(feature_id, passed, failure_code, witness, cached) for ``programs``, and how many had to be certified.
+
+    ``cache`` is a table of verdicts below that path by (what the program is, schema_hash, t_star). What a program is: the hash of its JSON text, family and
+    declared output, as all three decide its verdict. Programs that the cache knows are left out by an anti-join before anything is compiled; of the others each text is
+    certified once, and its verdict is appended. Broken programs are remembered too; programs without an id have the verdict GRAMMAR and aren't.
+    The same verdicts come out whatever the cache held. One writer at a time may append.
+    """
+    spark = programs.sparkSession
+    star = t_star or ""
+    text = lambda c: F.coalesce(F.col(c), F.lit("\0"))
+    tagged = programs.withColumn("program_key", F.sha2(F.concat_ws("\1", text("program"), text("family"), text("output"), F.col("feature_id").isNull().cast("string")).cast("binary"), 256))
+    known = "program_key string, schema_hash string, t_star string, passed boolean, failure_code string, witness array<string>"
+    try:
+        kept = spark.read.schema(known).parquet(cache)
+        kept.limit(1).count()
+    except AnalysisException:
+        kept = spark.createDataFrame([], known)
+    here = kept.where((F.col("schema_hash") == schema_hash) & (F.col("t_star") == star)).drop("schema_hash", "t_star")
+    own = staged(here.join(tagged.select("program_key").distinct(), "program_key", "left_semi"))
+    fresh = tagged.where("feature_id is not null").join(own, "program_key", "left_anti").groupBy("program_key").agg(F.min(F.struct("family", "program", "output")).alias("p"))
+    fresh = staged(fresh.select(F.col("program_key").alias("feature_id"), "p.*"))
+    n = fresh.count()
+    if n:
+        more = staged(certify(fresh, schema, t_star).select(F.col("feature_id").alias("program_key"), "passed", "failure_code", "witness"))
+        more.select("program_key", F.lit(schema_hash).alias("schema_hash"), F.lit(star).alias("t_star"), "passed", "failure_code", "witness").write.mode("append").parquet(cache)
+        marked = own.withColumn("cached", F.lit(True)).unionByName(more.withColumn("cached", F.lit(False)))
+    else:
+        marked = own.withColumn("cached", F.lit(True))
+    out = tagged.select("feature_id", "program_key").join(marked, "program_key", "left")
+    nameless = F.col("feature_id").isNull()
+    return out.select("feature_id", F.coalesce("passed", F.lit(False)).alias("passed"), F.when(nameless, "GRAMMAR").otherwise(F.col("failure_code")).alias("failure_code"), F.coalesce("witness", F.array().cast("array<string>")).alias("witness"), F.coalesce("cached", F.lit(False)).alias("cached")), n
+
+
 def schema_hashes(schemas: DataFrame, checks: tuple[str, ...] = CERTIFICATES) -> DataFrame:
     """(dataset, schema_hash) from (dataset, col_index, dtype, is_target, is_forbidden): the first 16 digits of the sha256 of the
     key-sorted JSON of the columns and the enabled certificates, so that verdicts can be kept for it."""

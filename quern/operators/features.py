@@ -25,7 +25,7 @@ SALTS = 4096
 #: Expressions in one aggregate or projection at most.
 BATCH = 200
 #: Values around a rank that come into one list, once so few are left.
-FEW = 4096
+FEW = 32_768
 
 
 @dataclass
@@ -205,16 +205,8 @@ def map_column(name: str) -> str:
 
 
 def order_bits(x: Column) -> Column:
-    """A long that sorts as the double does: its bits, by arithmetic that is exact in doubles (scaling by powers of 2);
-    negative numbers have negative ones. Missing stays missing, NaN counts as missing, -0.0 is 0.0."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a))
-    part = a * F.pow(F.lit(2.0), F.floor(-guess / 2).cast("double")) * F.pow(F.lit(2.0), (-guess - F.floor(-guess / 2)).cast("double"))
-    power = F.when(part >= 2, guess + 1).when(part < 1, guess - 1).otherwise(guess)
-    mantissa = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part)
-    normal = (power.cast("long") + 1023) * F.lit(1 << 52) + ((mantissa - 1) * float(1 << 52)).cast("long")
-    tiny = (a * float(2**537) * float(2**537)).cast("long")
-    bits = F.when(a == float("inf"), F.lit(0x7FF << 52)).when(a < 2.0**-1022, tiny).otherwise(normal)
+    """A long that sorts as the double does, from its bits; negative numbers have negative ones. Missing and NaN are missing, -0.0 is 0.0."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(x)).cast("bigint")
     return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
 
 
@@ -226,36 +218,36 @@ def from_bits(bits: int) -> float:
 def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], few: int = FEW) -> list[list[float | None]]:
     """Per (column, fractions) the order statistics, interpolated between two neighbours as ``percentile`` does; None for an empty column.
 
-    Radix selection over the bits of the doubles, 16 at a time and all columns and ranks together: one aggregate counts the values by
+    Radix selection over the bits of the doubles, some 20 at a time and all columns and ranks together: one aggregate counts the values by
     (column, next bits) among those that begin as a wanted rank's value does, and a window over these counts finds the bits in which
     each rank lies. A rank is done when all values left are equal, as ties are; where at most ``few`` are left they are sorted in one list.
-    After four rounds all bits are known. Nothing but counts is shuffled, and a rank's value is always taken itself.
+    After three rounds all bits are known. Nothing but counts is shuffled, and a rank's value is always taken itself. The columns are
+    written once to the shared folder, as each round reads them.
     """
     spark = frame.sparkSession
+    frame = table = staged(frame.select(*[x.alias(f"x{i}") for i, (x, _) in enumerate(asked)]))
+    asked = [(F.col(f"x{i}"), qs) for i, (_, qs) in enumerate(asked)]
     totals = []
     for low in range(0, len(asked), BATCH):
         totals += frame.agg(*[F.count(F.when(~F.isnan(x), x)).alias(f"n{i}") for i, (x, _) in enumerate(asked[low : low + BATCH])]).first()
     ranks = sorted({(i, k) for i, (_, qs) in enumerate(asked) if totals[i] for q in qs for k in (math.floor((totals[i] - 1) * q), math.ceil((totals[i] - 1) * q))})
     values: dict[tuple[int, int], float] = {}
     live = {r: (0, r[1], totals[r[0]]) for r in ranks}  # the value's first bits, its rank among those that begin so, how many do
-    for shift in (48, 32, 16, 0):
+    for shift, width in ((44, 20), (22, 22), (0, 22)):
         if not live:
             break
         short = all(n <= few for *_, n in live.values())
-        prefixes: dict[int, set[int]] = {}
-        for (i, _), (prefix, _, _) in live.items():
-            prefixes.setdefault(i, set()).add(prefix)
-        keys = []
-        for i, (x, _) in enumerate(asked):
-            k = order_bits(x)
-            inside = F.lit(True) if shift == 48 else F.shiftright(k, shift + 16).isin(*prefixes.get(i, [None]))
-            keys.append(F.when(inside, k) if i in prefixes else F.lit(None).cast("bigint"))
+        open_ = {i for i, _ in live}
         counts = None
-        for low in range(0, len(keys), BATCH):
-            part = frame.select(F.posexplode(F.array(*keys[low : low + BATCH])).alias("i", "k")).where("k is not null")
-            part = part.select((F.col("i") + low).cast("long").alias("i"), "k")
+        for low in range(0, len(asked), BATCH):
+            part = frame.select(F.posexplode(F.array(*[x if i in open_ else F.lit(None).cast("double") for i, (x, _) in enumerate(asked[low : low + BATCH], low)])).alias("i", "x")).where("x is not null")
+            part = part.select((F.col("i") + low).cast("long").alias("i"), "x")
             counts = part if counts is None else counts.unionByName(part)
-        parent = F.lit(0).cast("bigint") if shift == 48 else F.shiftright("k", shift + 16)
+        counts = counts.where(~F.isnan("x")).select("i", order_bits(F.col("x")).alias("k"))
+        if shift < 44:
+            begun = spark.createDataFrame(sorted({(i, p) for (i, _), (p, _, _) in live.items()}), "wi long, wp long")
+            counts = counts.join(F.broadcast(begun), (F.col("i") == F.col("wi")) & (F.shiftright("k", shift + width) == F.col("wp")), "left_semi")
+        parent = F.lit(0).cast("bigint") if shift == 44 else F.shiftright("k", shift + width)
         wanted = spark.createDataFrame([(i, p, place, k) for (i, k), (p, place, _) in live.items()], "wi long, wp long, place long, rank long")
         if short:
             lists = counts.groupBy("i", parent.alias("p")).agg(F.sort_array(F.collect_list("k")).alias("ks"))
@@ -272,6 +264,8 @@ def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], f
             else:
                 live[r.i, r.rank] = (r.bits, r.place - r.below, r.n)
 
+    unstage(table)
+
     def value(i: int, q: float) -> float | None:
         if not totals[i]:
             return None

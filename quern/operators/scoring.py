@@ -18,8 +18,10 @@ def model_input(df: DataFrame, numeric: list[str], categorical: list[str]) -> Da
     """
     out = df
     for c in categorical:
-        codes = splits.label_encode(df.select(F.coalesce(F.col(c), F.lit("nan")).alias("_c")).distinct(), "_c").withColumnRenamed("label_code", "_code")
-        out = out.join(codes, F.coalesce(F.col(c), F.lit("nan")) == F.col("_c"), "left").drop("_c", c).withColumnRenamed("_code", c)
+        text, code = splits.fresh(out.columns, "_text"), splits.fresh(out.columns, "_code")
+        out = out.withColumn(text, F.coalesce(F.col(c), F.lit("nan")))
+        codes = splits.places(out, text).select(F.col(text).alias(f"{text}_"), F.col("place").cast("int").alias(code))
+        out = out.join(codes, F.col(text) == F.col(f"{text}_"), "left").drop(text, f"{text}_", c).withColumnRenamed(code, c)
     clean = {c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), -1.0).otherwise(F.col(c).cast("double")) for c in numeric}
     return out.withColumns(clean).select(*df.columns)
 
@@ -81,10 +83,11 @@ def final_score(df: DataFrame, key: str, numeric: list[str], categorical: list[s
         fitted.release()
 
 
-def cross_validated(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> list[float]:
-    """A score for each hash fold."""
-    dealt = splits.k_fold(df, key, folds).persist()
+def cross_validated(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> tuple[list[float], float]:
+    """(a score for each fold, their mean): folds even in each class for classes (task C), of even size for numbers."""
+    dealt = (splits.stratified_k_fold(df, key, "label", folds) if task == "C" else splits.k_fold(df, key, folds, exact=True)).persist()
     try:
-        return [score(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), inputs, task, name, trees) for k in range(folds)]
+        scores = [score(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), inputs, task, name, trees) for k in range(folds)]
+        return scores, sum(scores) / len(scores)
     finally:
         dealt.unpersist()

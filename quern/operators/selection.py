@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from quern.operators.splits import rank_key
+from quern.operators.splits import in_ranges, rank_key
+from quern.sources.scratch import staged
 
 
 def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
@@ -38,7 +44,7 @@ def profile(df: DataFrame, numeric: list[str], categorical: list[str] = ()) -> D
 def rank_correlation(df: DataFrame, key: str, pairs: list[tuple[str, str]], sample: int | None = 5000, seed: int = 42) -> DataFrame:
     """(candidate, accepted, n, value_sim): Pearson correlation of average ranks over the rows where both are there.
 
-    At most ``sample`` such rows of smallest hash a pair (None: all). 0 under 30 rows or for a side that is constant or not numeric
+    At most ``sample`` such rows of smallest hash a pair (None: all, see ``full_ranks``). 0 under 30 rows or for a side that is constant or not numeric
     (boolean is); pairs without common rows have n = 0.
     """
     pairs = list(dict.fromkeys(pairs))
@@ -51,25 +57,112 @@ def rank_correlation(df: DataFrame, key: str, pairs: list[tuple[str, str]], samp
     each = [F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("accepted"), value(a).alias("a"), value(b).alias("b")) for a, b in pairs]
     long = df.select(rank_key(F.col(key), seed).alias("h"), F.explode(F.array(*each)).alias("p")).select("h", "p.*").where("a is not null and b is not null")
     pair = ["candidate", "accepted"]
-    if sample is not None:
+    if sample is None:
+        out = full_ranks(long.groupBy(*pair, "a", "b").agg(F.count(F.lit(1)).alias("times")), pair)
+    else:
         long = long.withColumn("r", F.row_number().over(Window.partitionBy(*pair).orderBy("h"))).where(F.col("r") <= sample)
-
-    def average_rank(c: str):
-        return F.rank().over(Window.partitionBy(*pair).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*pair, c)) - 1) / 2.0
-
-    ranked = long.select(*pair, "a", "b", average_rank("a").alias("ra"), average_rank("b").alias("rb"))
-    out = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("r"))
+        average_rank = lambda c: F.rank().over(Window.partitionBy(*pair).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*pair, c)) - 1) / 2.0
+        ranked = long.select(*pair, "a", "b", average_rank("a").alias("ra"), average_rank("b").alias("rb"))
+        out = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("da"), F.stddev_pop("b").alias("db"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("r"))
     usable = (F.col("n") >= 30) & (F.col("da") >= 1e-12) & (F.col("db") >= 1e-12)
     out = out.select(*pair, "n", F.when(usable, F.coalesce("r", F.lit(0.0))).otherwise(0.0).alias("value_sim"))
     asked = df.sparkSession.createDataFrame(pairs, "candidate string, accepted string")
     return asked.join(out, pair, "left").select(*pair, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("value_sim", F.lit(0.0)).alias("value_sim"))
 
 
-def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, absolute: bool = False) -> DataFrame:
+def full_ranks(counts: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, n, da, db, r) over all rows of (pair, a, b, times): the correlation of average ranks, and the sides' deviations.
+
+    A side's values are counted, dealt into ranges, and a value's rank is what lies in the ranges before, plus what lies before it in its
+    own, plus half of its ties; no task orders a whole pair. Ranks go back to the counted pairs of values, not to the rows.
+    """
+    counts = staged(counts)
+    sides = [counts.select(*pair, F.lit(s).alias("side"), F.col(s).alias("v"), "times") for s in ("a", "b")]
+    values, part = in_ranges(sides[0].unionByName(sides[1]).groupBy(*pair, "side", "v").agg(F.sum("times").alias("n")), [*pair, "side", "v"])
+    own = [*pair, "side"]
+    sizes = values.groupBy(*own, part).agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(*own).orderBy(part)) - F.col("size")
+    sizes = sizes.select(*[F.col(c).alias(f"of_{c}") for c in own], F.col(part).alias("of_range"), before.alias("before"))
+    within = F.sum("n").over(Window.partitionBy(*own, part).orderBy("v")) - F.col("n")
+    met = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"of_{c}") for c in own], F.col(part) == F.col("of_range"))
+    ranks = values.withColumn("within", within).join(sizes, met).select(*own, "v", (F.col("before") + F.col("within") + (F.col("n") + 1) / 2.0).alias("rank"))
+    out = counts
+    for s in ("a", "b"):
+        side = ranks.where(F.col("side") == s).select(*pair, F.col("v").alias(s), F.col("rank").alias(f"r{s}"))
+        out = out.join(side, [*pair, s])
+    weighed = lambda x: F.try_divide(F.sum(x * F.col("times")), F.sum("times"))
+    middle = counts.groupBy(*pair).agg(F.sum("times").alias("n"), weighed(F.col("a")).alias("ma"), weighed(F.col("b")).alias("mb"))
+    out = out.join(F.broadcast(middle), pair)
+    centre = (F.col("n") + 1) / 2.0
+    ra, rb, a, b = F.col("ra") - centre, F.col("rb") - centre, F.col("a") - F.col("ma"), F.col("b") - F.col("mb")
+    return out.groupBy(*pair).agg(
+        F.first("n").alias("n"), F.sqrt(weighed(a * a)).alias("da"), F.sqrt(weighed(b * b)).alias("db"),
+        F.try_divide(weighed(ra * rb), F.sqrt(weighed(ra * ra)) * F.sqrt(weighed(rb * rb))).alias("r"),
+    )
+
+
+def redundancy_of_many(df: DataFrame, key: str, candidates: list[str], accepted: list[str], sample: int = 5000, seed: int = 42, columns: int = 256) -> DataFrame:
+    """(candidate, accepted, n, value_sim) as ``rank_correlation`` gives it, for thousands of candidates against the accepted set.
+
+    Rows are sampled once: numeric columns without a missing value have the same ``sample`` rows of smallest hash in every pair. Each column becomes one row, its
+    vector of standardised average ranks; the accepted ones' (``columns`` at a time, 10 MB at most) go to every task, and a pair is one product of
+    vectors. Only the pairs of columns with missing values, or that aren't numbers, go through ``rank_correlation``. Nothing accepted gives no pairs.
+    """
+    spark = df.sparkSession
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    number = [c for c in dict.fromkeys([*candidates, *accepted]) if isinstance(kinds[c], NumericType | BooleanType)]
+    whole: set[str] = set()
+    for low in range(0, len(number), columns):
+        part = number[low : low + columns]
+        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(part)]).first()
+        whole |= {c for c, n in zip(part, row, strict=True) if n == 0}
+    every = [c for c in number if c in whole]
+    fast, slow = [], []
+    for c in dict.fromkeys(candidates):
+        for a in dict.fromkeys(accepted):
+            (fast if c in whole and a in whole else slow).append((c, a))
+    out = rank_correlation(df, key, slow, sample, seed) if slow else None
+    if fast and every:
+        first = df.select(rank_key(F.col(key), seed).alias("h"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(every)]).orderBy("h").limit(sample)
+        rows = staged(first.drop("h").coalesce(1).withColumn("place", F.monotonically_increasing_id()))
+
+        def ranked(own: pd.DataFrame) -> pd.DataFrame:
+            v = own.v.to_numpy()
+            usable = len(v) >= 30 and v.std() >= 1e-12
+            rank = own.v.rank().to_numpy()
+            z = (rank - rank.mean()) / rank.std() / np.sqrt(len(v)) if usable else np.zeros(len(v))
+            return pd.DataFrame({"i": [own.i.iloc[0]], "n": [len(v)], "z": [z]})
+
+        # Vectors of different columns meet by the rows' places.
+        parts = [range(low, min(low + columns, len(every))) for low in range(0, len(every), columns)]
+        longs = [rows.select("place", F.posexplode(F.array(*[f"c{i}" for i in part])).alias("i", "v")).select("place", (F.col("i") + part[0]).cast("int").alias("i"), "v") for part in parts]
+        vectors = staged(reduce(lambda x, y: x.unionByName(y), longs).groupBy("i").applyInPandas(lambda own: ranked(own.sort_values("place")), "i int, n long, z array<double>"))
+        at = {c: i for i, c in enumerate(every)}
+        told = [at[a] for a in dict.fromkeys(accepted) if a in whole]
+        wanted = [at[c] for c in dict.fromkeys(candidates) if c in whole]
+        names = spark.createDataFrame(list(enumerate(every)), "i int, name string")
+        for low in range(0, len(told), columns):
+            held = {r.i: np.array(r.z) for r in vectors.where(F.col("i").isin(told[low : low + columns])).collect()}
+
+            def products(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+                ids, table = np.array(list(held)), np.array(list(held.values()))
+                for batch in batches:
+                    sims = np.stack(batch.z.to_list()) @ table.T
+                    yield pd.DataFrame({"i": np.repeat(batch.i.to_numpy(), len(ids)), "j": np.tile(ids, len(batch)), "n": np.repeat(batch.n.to_numpy(), len(ids)), "value_sim": sims.ravel()})
+
+            own = vectors.where(F.col("i").isin(wanted)).mapInPandas(products, "i int, j int, n long, value_sim double")
+            own = own.join(F.broadcast(names.withColumnRenamed("name", "candidate")), "i").join(F.broadcast(names.select(F.col("i").alias("j"), F.col("name").alias("accepted"))), "j")
+            own = own.select("candidate", "accepted", "n", "value_sim")
+            out = own if out is None else out.unionByName(own)
+    return out if out is not None else spark.createDataFrame([], "candidate string, accepted string, n long, value_sim double")
+
+
+def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, absolute: bool = False, candidates: DataFrame | None = None) -> DataFrame:
     """Per candidate of ``pairs`` redundancy_max, redundancy_argmax and whether it is under the gate.
 
     ``hashes`` has feature_id, seq and hash. A pair's similarity is the larger of value_sim (signed, unless ``absolute``)
     and 1 for equal hashes; negative ones don't count, and of equal ones the accepted feature of smallest seq is named.
+    Each row of ``candidates`` (feature_id) has a row, with 0 where there is nothing accepted to compare with.
     """
     one = hashes.select(F.col("feature_id").alias("candidate"), F.col("hash").alias("h1"))
     two = hashes.select(F.col("feature_id").alias("accepted"), F.col("hash").alias("h2"), "seq")
@@ -77,7 +170,11 @@ def redundancy(pairs: DataFrame, hashes: DataFrame, threshold: float = 0.92, abs
     joined = pairs.join(one, "candidate").join(two, "accepted").withColumn("sim", F.greatest(value, (F.col("h1") == F.col("h2")).cast("double"), F.lit(0.0)))
     best = joined.groupBy("candidate").agg(F.max(F.struct("sim", (-F.col("seq")).alias("s"), "accepted")).alias("m"))
     sim = F.col("m.sim")
-    return best.select("candidate", sim.alias("redundancy_max"), F.when(sim > 0, F.col("m.accepted")).otherwise("").alias("redundancy_argmax"), (sim < threshold).alias("passes"))
+    out = best.select("candidate", sim.alias("redundancy_max"), F.when(sim > 0, F.col("m.accepted")).otherwise("").alias("redundancy_argmax"))
+    if candidates is not None:
+        out = candidates.select(F.col("feature_id").alias("candidate")).distinct().join(out, "candidate", "left")
+        out = out.select("candidate", F.coalesce("redundancy_max", F.lit(0.0)).alias("redundancy_max"), F.coalesce("redundancy_argmax", F.lit("")).alias("redundancy_argmax"))
+    return out.withColumn("passes", F.col("redundancy_max") < threshold)
 
 
 def select_nonredundant(pairs: DataFrame, hashes: DataFrame, order: list[str], threshold: float = 0.92, absolute: bool = False) -> list[str]:

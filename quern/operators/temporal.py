@@ -6,9 +6,17 @@ read among them, is not defined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.splits import fresh
+
+#: Rows of an entity that one task orders at once where it is split (``by_rows``).
+TILE = 100_000
+#: Stretches of time that a table is cut into.
+STRETCHES = 4096
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
@@ -16,14 +24,18 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def keys(entity: str | list[str]) -> list[str]:
+    return [entity] if isinstance(entity, str) else list(entity)
+
+
 def window_agg(entity: str, ts: str, x: str, seconds: int, how: str = "sum") -> Column:
     """Aggregate over the entity's last ``seconds`` up to and with the row's time."""
-    w = Window.partitionBy(entity).orderBy(micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*keys(entity)).orderBy(micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
     return AGGREGATES[how](x).over(w)
 
 
 def in_order(entity: str, ts: str, tie: str | None):
-    return Window.partitionBy(entity).orderBy(ts, *([tie] if tie else []))
+    return Window.partitionBy(*keys(entity)).orderBy(ts, *([tie] if tie else []))
 
 
 def lag(entity: str, ts: str, x: str, steps: int = 1, tie: str | None = None) -> Column:
@@ -42,7 +54,7 @@ def trend(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None) -> C
 
 def time_since(entity: str, ts: str) -> Column:
     """Seconds from the entity's row before."""
-    return (micros(F.col(ts)) - micros(F.lag(ts).over(Window.partitionBy(entity).orderBy(ts)))) / 1e6
+    return (micros(F.col(ts)) - micros(F.lag(ts).over(Window.partitionBy(*keys(entity)).orderBy(ts)))) / 1e6
 
 
 def rolling_mean(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None) -> Column:
@@ -53,24 +65,96 @@ def rolling_std(entity: str, ts: str, x: str, n: int = 5, tie: str | None = None
     return F.stddev_samp(x).over(last_rows(entity, ts, n, tie))
 
 
-def group_by_agg(df: DataFrame, entity: str, x: str, how: str = "avg", ts: str | None = None, t_star: str | None = None) -> DataFrame:
-    """(entity, value) over the rows up to ``t_star``, if one is given."""
+def stretches(df: DataFrame, ts: str, least: int = 1) -> tuple[Column, int, int]:
+    """(number, start of the first, width): the stretch of time a row is in, of ``STRETCHES`` between the first and the last time, each ``least``
+    microseconds long or more; missing times come before all."""
+    low, high = df.agg(F.min(micros(F.col(ts))), F.max(micros(F.col(ts)))).first()
+    width = max(least, ((high or 0) - (low or 0)) // STRETCHES + 1)
+    return F.coalesce(F.floor((micros(F.col(ts)) - (low or 0)) / width), F.lit(-1)).cast("long"), (low or 0), width
+
+
+def by_rows(df: DataFrame, entity: str, ts: str, n: int, make: Callable[[list[str]], dict[str, Column]], tie: str | None = None, tile: int = TILE) -> DataFrame:
+    """Add columns that read a row and its entity's ``n`` - 1 rows before it, with no task over a whole entity.
+
+    ``make`` gives the columns for the keys it gets instead of the entity: ``by_rows(df, "user", "ts", 5, lambda e: {"mean":
+    rolling_mean(e, "ts", "x", 5)})``. An entity's rows are counted by stretches of time and numbered within each, which gives every row its
+    place; tiles of ``tile`` places, with a halo of the n - 1 rows before, are then ordered by themselves. Rows of one time and tie
+    in different stretches don't exist, so the result is that of one window over the entity; without a tie equal times have no order.
+    """
+    tile = max(tile, n)
+    names = {x: fresh(df.columns, x) for x in ("_at", "_place", "_tile", "_own")}
+    at, place, tiled, own = names.values()
+    number, _, _ = stretches(df, ts)
+    rows = df.withColumn(at, number)
+    counts = rows.groupBy(entity, at).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(entity).orderBy(at)) - F.col("n")
+    of, when, first = (fresh(df.columns, x) for x in ("_of", "_when", "_first"))
+    counts = counts.select(F.col(entity).alias(of), F.col(at).alias(when), before.alias(first))
+    within = F.row_number().over(Window.partitionBy(entity, at).orderBy(ts, *([tie] if tie else []))) - 1
+    placed = rows.withColumn(place, within).join(counts, F.col(entity).eqNullSafe(F.col(of)) & (F.col(at) == F.col(when)))
+    placed = placed.withColumn(place, (F.col(first) + F.col(place)).cast("long")).drop(of, when, first, at)
+    home = F.floor(F.col(place) / tile).cast("long")
+    late = F.col(place) % tile >= tile - (n - 1)
+    copies = F.array(F.struct(home.alias("t"), F.lit(True).alias("o")), F.struct((home + 1).alias("t"), F.lit(False).alias("o")))
+    spread = placed.withColumn(own, F.explode(F.when(late & F.lit(n > 1), copies).otherwise(F.slice(copies, 1, 1))))
+    spread = spread.withColumns({tiled: F.col(f"{own}.t"), own: F.col(f"{own}.o")})
+    return spread.withColumns(make([entity, tiled])).where(F.col(own)).drop(place, tiled, own)
+
+
+def by_time(df: DataFrame, entity: str, ts: str, seconds: int, make: Callable[[list[str]], dict[str, Column]]) -> DataFrame:
+    """Add columns that read the entity's last ``seconds`` up to a row's time, with no task over a whole entity.
+
+    As ``by_rows``, but each stretch of time (as long as the range at least) is ordered by itself, with a halo of the rows of
+    the stretch before that the range reaches back to.
+    """
+    names = {x: fresh(df.columns, x) for x in ("_tile", "_own")}
+    tiled, own = names.values()
+    number, low, width = stretches(df, ts, seconds * 1_000_000)
+    reaches = micros(F.col(ts)) + seconds * 1_000_000 >= (number + 1) * width + low
+    copies = F.array(F.struct(number.alias("t"), F.lit(True).alias("o")), F.struct((number + 1).alias("t"), F.lit(False).alias("o")))
+    spread = df.withColumn(own, F.explode(F.when(reaches, copies).otherwise(F.slice(copies, 1, 1))))
+    spread = spread.withColumns({tiled: F.col(f"{own}.t"), own: F.col(f"{own}.o")})
+    return spread.withColumns(make([entity, tiled])).where(F.col(own)).drop(tiled, own)
+
+
+def group_by_agg(df: DataFrame, entity: str, x: str, how: str = "avg", ts: str | None = None, t_star: str | None = None, split: str | None = None) -> DataFrame:
+    """(entity, value) over the rows up to ``t_star``, if one is given, and over the train rows alone where ``split`` names the split column."""
     rows = df.where(F.col(ts) <= F.lit(t_star).cast("timestamp")) if ts and t_star else df
+    rows = rows.where(F.col(split) == "train") if split else rows
     return rows.groupBy(entity).agg(AGGREGATES[how](x).alias("value"))
 
 
-def entity_join(df: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
-    """Attach one row of attributes per entity."""
-    return df.join(attributes, key, "left")
+def entity_join(df: DataFrame, attributes: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """Attach one row of attributes per entity, so that no row of ``df`` is doubled: of several for a key the one with the greatest
+    ``latest``, and of equal ones (or without ``latest``) the one whose columns come first in their order."""
+    rest = [c for c in attributes.columns if c != key]
+    order = [F.col(c).alias(f"o{i}") for i, c in enumerate(rest)]
+    if latest:
+        newest = attributes.groupBy(key).agg(F.max(latest).alias("newest"))
+        attributes = attributes.join(newest.withColumnRenamed(key, "newest_key"), (F.col(key) == F.col("newest_key")) & F.col(latest).eqNullSafe(F.col("newest"))).select(*attributes.columns)
+    one = attributes.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
+    one = one.select(F.col(key), *[F.col(f"first.o{i}").alias(c) for i, c in enumerate(rest)])
+    return df.join(one, key, "left")
 
 
 def asof_join(df: DataFrame, attributes: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """``value`` of the entity's latest attribute row at or before each row's time (NULLs are passed over).
+    """Add ``asof_value``: ``value`` of the entity's latest attribute row at or before each row's time (NULLs are passed over; of
+    rows of one time the greatest value counts).
 
-    Both sides go through one window per entity, so the work is a sort, never a product of rows.
+    A forward fill at two levels, so that no task sees a whole entity: the last value of each stretch of time is carried on over the
+    stretches, then both sides' rows are filled within each stretch, from the carried value on. The work is a sort of both sides, never a
+    product of rows. Rows of ``df`` keep their columns, whatever their names, but one named asof_value, which is replaced.
     """
-    left = df.withColumn("_v", F.lit(None).cast(attributes.schema[value].dataType)).withColumn("_side", F.lit(1))
-    right = attributes.select(key, ts, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("asof_value", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_side", "_v")
+    side, v, at, of, when, before = (fresh([*df.columns, *attributes.columns], x) for x in ("_side", "_value", "_at", "_of", "_when", "_carried"))
+    df = df.drop("asof_value")
+    right = attributes.select(F.col(key), F.col(ts), F.col(value).alias(v)).where(F.col(v).isNotNull() & F.col(ts).isNotNull())
+    both = df.withColumn(v, F.lit(None).cast(right.schema[v].dataType)).withColumn(side, F.lit(1)).unionByName(right.withColumn(side, F.lit(0)), allowMissingColumns=True)
+    number, _, _ = stretches(both, ts)
+    both = both.withColumn(at, number)
+    last = both.groupBy(F.col(key).alias(of), F.col(at).alias(when)).agg(F.max(F.when(F.col(side) == 0, F.struct(ts, v))).getField(v).alias(before))
+    carried = F.last(before, ignorenulls=True).over(Window.partitionBy(of).orderBy(when).rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select(of, when, carried.alias(before)).where(F.col(before).isNotNull())
+    inside = Window.partitionBy(key, at).orderBy(ts, side, v).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("asof_value", F.last(v, ignorenulls=True).over(inside)).where(F.col(side) == 1)
+    met = F.col(key).eqNullSafe(F.col(of)) & (F.col(at) == F.col(when))
+    return filled.join(carried, met, "left").withColumn("asof_value", F.coalesce("asof_value", before)).drop(side, v, at, of, when, before)

@@ -169,6 +169,22 @@ def sample_mini_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILED = "select price, signed, case when o_orderkey % 3 > 0 then null else small end as sparse, 1.0 as one, priority, status, 'x' as same from base"
 
 
+@query("label_encode_keys", "select o_orderkey, dense_rank() over (order by o_orderkey // 3) - 1 as label_code from orders")
+def label_encode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as many as a third of the rows."""
+    out = splits.label_encode(table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 3").alias("label")), "label")
+    return out.select("o_orderkey", F.col("label_code").cast("bigint").alias("label_code"))
+
+
+@query("feature_store", f"{BASE}, s as (select avg(price) m, stddev_samp(price) d from t), f as (select coalesce(priority, 'nan') k, count(*)::double v from t group by 1) select o_orderkey, round((price - m) / d, 6) as z, {SCALARS['cross'][1]} as crossed, v as frequency, round({SCALARS['row_mean'][1]}, 6) as mean from o cross join s left join f on coalesce(priority, 'nan') = k")
+def feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of features, added one after the other and read together."""
+    rows, store = split_orders(spark, sf_dir), f"store_{shared_folder(spark)[-32:]}"
+    for batch, names in (("first", ("z", "crossed")), ("second", ("frequency", "mean"))):
+        datasets.store_features(compute(rows, {n: FLAGSHIP[n] for n in names}), store, batch, "o_orderkey", 16)
+    return rounded(datasets.read_store(spark, store, ["first", "second"], "o_orderkey"))
+
+
 @query("feature_profile", f"with base as ({ORDERS}), p as ({PROFILED}), l as (" + " union all ".join(f"select '{c}' as feature_id, count(*) as n, round(avg(({c} is null)::int), 6) as missing_rate, round(stddev_samp({c}::double), 4) as std, 0::bigint as n_distinct from p" for c in ("price", "signed", "sparse", "one")) + " union all " + " union all ".join(f"select '{c}', count(*), round(avg(({c} is null)::int), 6), null, count(distinct {c}) from p" for c in ("priority", "status", "same")) + ") select feature_id, n, missing_rate, std, n_distinct, case when missing_rate > 0.5 then 'TIER1_NAN' when std < 1e-9 or n_distinct = 1 then 'TIER1_CONSTANT' else '' end as reason, not (missing_rate > 0.5 or coalesce(std < 1e-9 or n_distinct = 1, false)) as ok from l")
 def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(PROFILED.replace("from base", "from {base}").replace("1.0 as one", "1.0d as one"), base=orders(spark, sf_dir))
@@ -194,6 +210,42 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_table(spark, sf_dir)
 
 
+LINES = "select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as k, case when l_linenumber = 3 then null else l_quantity end as quantity, l_extendedprice as price, l_discount as discount, l_tax as tax, case when l_quantity > 30 then 0 else l_quantity * l_discount end as ties from lineitem"
+FULL = [("quantity", "price"), ("discount", "tax"), ("ties", "quantity"), ("ties", "discount"), ("price", "price")]
+
+
+@query("spearman_full", f"with base as ({LINES}), l as (" + " union all ".join(f"select '{a}' as candidate, '{b}' as accepted, {a}::double as a, {b}::double as b from base where {a} is not null and {b} is not null" for a, b in FULL) + """),
+r as (select *, rank() over (partition by candidate, accepted order by a) + (count(*) over (partition by candidate, accepted, a) - 1) / 2.0 as ra, rank() over (partition by candidate, accepted order by b) + (count(*) over (partition by candidate, accepted, b) - 1) / 2.0 as rb from l)
+select candidate, accepted, count(*) as n, round(corr(ra, rb), 6) as value_sim from r group by 1, 2""")
+def spearman_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation over all rows."""
+    rows = spark.sql(LINES.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return selection.rank_correlation(rows, "k", FULL, sample=None).withColumn("value_sim", F.round("value_sim", 6))
+
+
+MANY = {f"f{i}": f"o_totalprice * {1 + i % 7} + o_custkey * {(i * 37) % 400 - 200} + (o_orderkey * {i + 3}) % {50 + i}" for i in range(40)} | {"holes": "case when o_orderkey % 4 > 0 then o_totalprice end", "flat": "1.0"}
+KEPT = {f"a{j}": e for j, e in enumerate(("o_totalprice", "o_custkey", "o_orderkey % 100"))}
+
+
+@query("redundancy_of_many", f"with b as (select md5('42:' || o_orderkey) as h, {', '.join(f'({e})::double as {n}' for n, e in {**MANY, **KEPT}.items())} from orders), s as (select * from b order by h limit 5000), w as (select h, unnest([{', '.join(f"'{n}'" for n in MANY)}]) as candidate, unnest([{', '.join(MANY)}]) as a, {', '.join(KEPT)} from s)," + """
+l as (select candidate, h, a, unnest(['a0', 'a1', 'a2']) as accepted, unnest([a0, a1, a2]) as b from w where candidate <> 'holes'
+  union all select 'holes', h, holes, unnest(['a0', 'a1', 'a2']), unnest([a0, a1, a2]) from (select * from b where holes is not null order by h limit 5000)),
+r as (select *, rank() over (partition by candidate, accepted order by a) + (count(*) over (partition by candidate, accepted, a) - 1) / 2.0 as ra, rank() over (partition by candidate, accepted order by b) + (count(*) over (partition by candidate, accepted, b) - 1) / 2.0 as rb from l)
+select candidate, accepted, count(*) as n, round(case when stddev_pop(a) >= 1e-12 then corr(ra, rb) else 0 end, 6) as value_sim from r group by 1, 2""")
+def redundancy_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).cast("double").alias(n) for n, e in {**MANY, **KEPT}.items()])
+    return selection.redundancy_of_many(rows, "o_orderkey", list(MANY), list(KEPT)).withColumn("value_sim", F.round("value_sim", 6))
+
+
+@query("redundancy_of_nothing", "select feature_id as candidate, 0.0::double as redundancy_max, '' as redundancy_argmax, true as passes from (select distinct 'f' || o_orderkey % 50 as feature_id from orders)")
+def redundancy_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is accepted yet: every candidate has 0."""
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 50).cast("string")).alias("feature_id")).distinct()
+    hashes = names.withColumns({"seq": F.lit(0), "hash": F.col("feature_id")})
+    none = spark.createDataFrame([], "candidate string, accepted string, n long, value_sim double")
+    return selection.redundancy(none, hashes, candidates=names)
+
+
 def tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("price", 0, "p"), ("signed", 1, "s"), ("small", 2, "m"), ("flipped", 3, "s")], "feature_id string, seq int, hash string")
 
@@ -281,7 +333,7 @@ def _certificate(cert: str, code: str, witness: str):
     sql = f"{PARTS} select feature_id, case when code = '{code}' then 'fail' else 'pass' end as verdict, case when code = '{code}' then {witness} else '' end as witness from c where not broken"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = certify.traces(compiled(spark, sf_dir), schema(spark), T_STAR).where(F.col("cert") == cert)
+        own = certify.traces(compiled(spark, sf_dir), schema(spark), T_STAR, wanted=(cert,))
         return own.select("feature_id", "verdict", F.array_join("witness", ",").alias("witness"))
 
     return sql, run
@@ -324,12 +376,21 @@ for _name, _cert, _fail in (
 ):
 
     def _tampered(spark: SparkSession, sf_dir: str, cert: str = _cert) -> DataFrame:
-        own = certify.traces(tampered(spark, sf_dir), schema(spark), T_STAR).where(F.col("cert") == cert)
+        own = certify.traces(tampered(spark, sf_dir), schema(spark), T_STAR, wanted=(cert,))
         return own.select("feature_id", "verdict", F.array_join("witness", ",").alias("witness"))
 
     query(_name, f"{PARTS}, x as (select *, {_fail} as bad from (select *, seq % 3 as r from c where not broken)) select feature_id, case when bad is null then 'pass' else 'fail' end as verdict, coalesce(bad, '') as witness from x")(_tampered)
 
 
+@query("verdict_cache", f"{PARTS} select feature_id, code is null as passed, code as failure_code, program in (select program from c where seq % 3 > 0) as cached from c")
+def verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the programs are certified, then all: only texts that are new by then are certified again."""
+    own, cache = programs(spark, sf_dir), shared_folder(spark)
+    (tag,) = [r.schema_hash for r in certify.schema_hashes(schema(spark).withColumn("dataset", F.lit("part"))).collect()]
+    certify.certify_new(own.where("seq % 3 > 0"), schema(spark), cache, tag, T_STAR)
+    return certify.certify_new(own, schema(spark), cache, tag, T_STAR)[0].select("feature_id", "passed", "failure_code", "cached")
+
+
 @query("schema_hash", """with s as (select distinct p_brand as dataset, p_size % 8 as col_index, case when p_size % 8 in (2, 5) then 'categorical' else 'numeric' end as dtype, p_size % 8 = 7 as is_target, p_size % 8 in (1, 3) as is_forbidden from part),
 g as (select dataset, list(col_index || ':' || dtype order by col_index) as cols, coalesce(list(col_index order by col_index) filter (is_forbidden), []) as forbidden, count(*) as n, min(col_index) filter (is_target) as target from s group by 1)
 select dataset, substr(sha256('{"checks":["C1","C2","C3","C4","C5","C6"],"col_types":' || to_json(cols)::varchar || ',"dataset":"' || dataset || '","forbidden_cols":' || to_json(forbidden)::varchar || ',"n_cols":' || n || ',"target_col":' || coalesce(target::varchar, 'null') || '}'), 1, 16) as schema_hash from g""")
@@ -382,6 +443,9 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.status_counts(records(spark, sf_dir))
 
 
+RUNS = f"{REC}, per as (select run_id, count(*) as total_candidates, count(*) filter (status = 'accepted') as accepted, count(*) filter (status in ('rejected_compile', 'rejected_cert')) as rejected_cert, count(*) filter (status not in ('accepted', 'rejected_compile', 'rejected_cert')) as rejected_eval, count(distinct round) as total_rounds, coalesce(string_agg(feature_id, ',' order by seq) filter (status = 'accepted'), '') as accepted_features from r group by 1), sc as (select user_id % 20 as run_id, 'd' || user_id % 20 as dataset, round(avg(value), 3) as baseline_score, case when user_id % 20 % 3 > 0 then round(avg(value) * 1.1, 3) end as final_score from events group by user_id % 20)"
+
+
 @query("rejection_rollup", f"{REC} select status, rejection_reason, count(*) as n from r where status <> 'accepted' group by rollup (status, rejection_reason)")
 def rejection_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rejections(records(spark, sf_dir))
@@ -432,6 +496,35 @@ def stop_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.stop_round(rounds)
 
 
+@query("run_metrics", ROUNDS.replace(REC, RUNS + " ").replace(" , q as", ", q as") + """, w as (select *, sum(accepted) over x as total, row_number() over x as place from q window x as (partition by run_id order by round)),
+l as (select *, coalesce(max(case when accepted > 0 then place end) over (partition by run_id order by round), 0) as last from w),
+s as (select run_id, round, case when place >= 50 then 'budget' when place - last >= 5 then 'no_accept' when total >= 30 then 'k_max' end as reason from l),
+f as (select * from s where reason is not null qualify row_number() over (partition by run_id order by round) = 1)
+select sc.run_id, dataset, accepted, total_rounds, coalesce(reason, 'running') as stop_reason, baseline_score, final_score, round(coalesce(final_score - baseline_score, 0), 6) as improvement, total_candidates, rejected_cert, rejected_eval, accepted_features from sc join per using (run_id) left join f using (run_id)""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("run_id")).agg(F.round(F.avg("value"), 3).alias("baseline_score"), F.round(F.avg("value") * 1.1, 3).alias("f"))
+    scores = scores.select("run_id", F.concat(F.lit("d"), F.col("run_id").cast("string")).alias("dataset"), "baseline_score", F.when(F.col("run_id") % 3 > 0, F.col("f")).alias("final_score"))
+    out = audit.run_metrics(records(spark, sf_dir), scores).withColumn("improvement", F.round("improvement", 6))
+    return out.withColumn("accepted_features", F.array_join("accepted_features", ","))
+
+
+@query("audit_log", f"""{PARTS}, t as (select feature_id, string_agg('C' || n || ':' || case when code like 'C' || n || '.%' then 'fail' else 'pass' end, ' ' order by n) as checks from c, range(1, 7) x(n) where not broken group by 1)
+select feature_id, family, case when code is null then 'accepted' when broken then 'rejected_compile' else 'rejected_cert' end as status, coalesce(code, '') as rejection_reason, substr(sha256(program), 1, 16) as program_hash,
+ case when broken then null when code is null then 'pass' else 'fail' end as overall, coalesce(checks, '') as checks, case when code is null then 'intent of ' || feature_id end as declared_intent, seq::double as cost_verify_ms
+from (select *, {by_kind(lambda k: "'" + KINDS[k][0] + "'")} as family from c) left join t using (feature_id)""")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The programs' audit records, written as JSON lines and read again."""
+    own, path = compiled(spark, sf_dir), shared_folder(spark)
+    told = staged(certify.traces(own, schema(spark), T_STAR))
+    verdict = certify.verdicts(own, told).join(own.groupBy("feature_id").agg(F.max("hash").alias("program_hash"), F.bool_or(F.col("error").isNotNull()).alias("broken")), "feature_id")
+    status = F.when(F.col("passed"), "accepted").when(F.col("broken"), "rejected_compile").otherwise("rejected_cert")
+    rows = verdict.join(programs(spark, sf_dir), "feature_id").select("feature_id", "family", status.alias("status"), F.coalesce("failure_code", F.lit("")).alias("rejection_reason"), "program_hash", "program", F.concat(F.lit("intent of "), "feature_id").alias("declared_intent"), F.col("seq").cast("double").alias("cost_verify_ms"))
+    datasets.write_audit(rows, path, told)
+    read = spark.read.schema(datasets.audit_records(rows, told).schema).json(path)
+    checks = F.array_join(F.transform("hard.checks", lambda x: F.concat(x["name"], F.lit(":"), x["status"])), " ")
+    return read.select("feature_id", "family", "status", "rejection_reason", "hard.program_hash", "hard.overall", checks.alias("checks"), "soft.semantic.declared_intent", "soft.empirical.cost_verify_ms")
+
+
 GUESS = "select o_orderkey, o_orderstatus as label, case when o_orderkey % 3 = 0 then 'F' else o_orderstatus end as prediction, o_totalprice as y, o_totalprice * 0.9 + o_orderkey % 1000 as p from orders"
 
 
@@ -592,7 +685,7 @@ def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cv_score")
 def cv_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where("_split = 'train'")
-    return spark.createDataFrame(list(enumerate(scoring.cross_validated(rows, "o_orderkey", INPUTS, "C"))), "fold int, score double")
+    return spark.createDataFrame(list(enumerate(scoring.cross_validated(rows, "o_orderkey", INPUTS, "C")[0])), "fold int, score double")
 
 
 @query("final_score")
@@ -630,6 +723,47 @@ def group_by_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.group_by_agg(events(spark, sf_dir), "user_id", "x", "avg", "ts", "2024-01-15"))
 
 
+HOT = "select event_id, case when event_id % 3 = 0 then -1 else user_id end as user_id, ts, case when event_id % 8 = 0 then null else value end as x, event_id % 100 as amount from events"
+
+
+def hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, a third of them of one entity."""
+    return spark.sql(HOT.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+
+
+@query("hot_entity_rows", f"select event_id, round(avg(x) over {LAST5}, 6) as mean, round(stddev_samp(x) over {LAST5}, 5) as deviation, lag(x) {W} as before, round(regr_slope(amount, epoch_us(ts) / 1e6 - 1.7e9) over {LAST5} * 86400, 2) as slope, round((epoch_us(ts) - epoch_us(lag(ts) {W})) / 1e6, 3) as since from ({HOT})")
+def hot_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling mean and deviation, lag, trend and time since, with entities cut into tiles of rows."""
+    make = lambda e: {"mean": F.round(temporal.rolling_mean(e, "ts", "x", tie="event_id"), 6), "deviation": F.round(temporal.rolling_std(e, "ts", "x", tie="event_id"), 5), "before": temporal.lag(e, "ts", "x", tie="event_id"), "slope": F.round(temporal.trend(e, "ts", "amount", tie="event_id") * 86_400, 2), "since": F.round(temporal.time_since(e, "ts"), 3)}
+    return temporal.by_rows(hot_events(spark, sf_dir), "user_id", "ts", 5, make, tie="event_id", tile=200).select("event_id", "mean", "deviation", "before", "slope", "since")
+
+
+@query("hot_entity_range", f"select event_id, (sum(amount) over (partition by user_id order by ts range between interval 2 days preceding and current row))::bigint as value from ({HOT})")
+def hot_entity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda e: {"value": temporal.window_agg(e, "ts", "amount", 86_400 * 2).cast("bigint")}
+    return temporal.by_time(hot_events(spark, sf_dir), "user_id", "ts", 86_400 * 2, make).select("event_id", "value")
+
+
+@query("hot_entity_asof", f"with e as ({HOT}), a as (select user_id, ts, x from e where event_id % 5 = 0 and x is not null) select e.event_id, a.x as asof_value from e asof left join a on e.user_id = a.user_id and e.ts >= a.ts where e.event_id % 5 > 0")
+def hot_entity_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hot_events(spark, sf_dir)
+    return temporal.asof_join(rows.where("event_id % 5 > 0").select("event_id", "user_id", "ts"), rows.where("event_id % 5 = 0"), "user_id", "ts", "x").select("event_id", "asof_value")
+
+
+@query("group_by_agg_train", f"{BASE} select o_custkey, round(avg(o_totalprice), 6) as value from orders join o using (o_orderkey) where _split = 'train' group by 1")
+def group_by_agg_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.train_val_test(table(spark, sf_dir, "orders"), "o_orderkey")
+    return rounded(temporal.group_by_agg(rows, "o_custkey", "o_totalprice", split="_split"))
+
+
+@query("entity_join_latest", "select o_orderkey, amount, value from orders left join (select user_id, event_id % 100 as amount, value from events qualify row_number() over (partition by user_id order by ts desc, amount, value) = 1) e on o_custkey % 300 = user_id")
+def entity_join_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many attribute rows a key: the latest one's count, and no order is doubled."""
+    attributes = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), (F.col("event_id") % 100).alias("amount"), "value", "ts")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300).alias("k"))
+    return temporal.entity_join(rows, attributes, "k", "ts").select("o_orderkey", "amount", "value")
+
+
 @query("entity_join", "select o_orderkey, c_mktsegment, c_acctbal from orders left join customer on o_custkey = c_custkey")
 def entity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     attributes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")

@@ -11,10 +11,11 @@ from quern.functions.grammar import FAMILIES
 
 def load_dataset(spark: SparkSession, stem: str) -> tuple[DataFrame, dict[str, str], str]:
     """``stem``.csv without header and ``stem``.json ({"task": "C" or "R", "0": "num" or "cat", ...}): rows with columns c0..,
-    their types by name and the task. The last column is the target; columns the sidecar doesn't name are numeric."""
+    their types by name and the task. The last column is the target; columns the sidecar doesn't name are numeric. A quoted field may
+    hold commas, quotes and line breaks (so a file is read by one task; give many files, a folder named ``stem``.csv, for large sets)."""
     side = spark.read.text(f"{stem}.json", wholetext=True).first()[0]
     kinds = spark.range(1).select(F.from_json(F.lit(side), "map<string,string>").alias("m")).first().m
-    rows = spark.read.csv(f"{stem}.csv", header=False, quote='"', escape='"')  # as many columns as the first record has
+    rows = spark.read.csv(f"{stem}.csv", header=False, quote='"', escape='"', multiLine=True)  # as many columns as the first record has
     names = [f"c{i}" for i in range(len(rows.columns))]
     types = {n: "categorical" if kinds.get(str(i)) == "cat" else "numeric" for i, n in enumerate(names)}
     return rows.toDF(*names).select(*[F.col(n).try_cast("double").alias(n) if types[n] == "numeric" else F.col(n) for n in names]), types, kinds.get("task", "C")
@@ -83,6 +84,26 @@ def write_features(matrix: DataFrame, path: str) -> None:
     matrix.write.mode("overwrite").partitionBy("_split").parquet(path)
 
 
+def store_features(matrix: DataFrame, store: str, batch: str, key: str, buckets: int = 64) -> None:
+    """Add a batch of feature columns, keyed by row id, to a feature store: the table ``store``_``batch``, bucketed and sorted by the id.
+
+    Batches of one store have the same buckets, so that they are joined again without an Exchange (``read_store``). A batch of the same name
+    is replaced; rows without an id are refused, as no batch could find them.
+    """
+    if matrix.where(F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"{key} is missing in some rows")
+    matrix.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(f"{store}_{batch}")
+
+
+def read_store(spark: SparkSession, store: str, batches: list[str], key: str) -> DataFrame:
+    """The columns of all batches for each id of the first; a column that several have is the last one's. Ids that a later batch lacks have nulls."""
+    out = spark.table(f"{store}_{batches[0]}")
+    for batch in batches[1:]:
+        more = spark.table(f"{store}_{batch}")
+        out = out.drop(*[c for c in more.columns if c != key]).join(more.hint("merge"), key, "left")
+    return out
+
+
 def write_fitted(fitted, spark: SparkSession, path: str) -> None:
     """Scalars and maps of a fit, as two tables below ``path``."""
     rows = [(node, [None if v is None else float(v) for v in values]) for node, values in fitted.scalars.items()]
@@ -104,11 +125,43 @@ def read_fitted(spark: SparkSession, path: str):
     return out
 
 
-def write_audit(records: DataFrame, path: str) -> None:
-    """JSON lines with nested hard and soft parts; ``semantic`` is null for programs that no certificate let through."""
-    hard = F.struct("program_hash", "failure_code")
-    soft = F.struct(F.struct("delta_mean", "delta_std", "redundancy_max").alias("empirical"), F.when(F.col("status") != "rejected_cert", F.struct("plausibility", "intent_alignment")).alias("semantic"))
-    records.select("feature_id", "family", "round", "status", "rejection_reason", hard.alias("hard"), soft.alias("soft")).write.mode("overwrite").json(path)
+#: Fields of an audit record by part; a table that lacks some has nulls in their place.
+AUDIT = {
+    "top": {"feature_id": "string", "family": "string", "round": "int", "status": "string", "rejection_reason": "string", "program": "string", "prompt_version": "string"},
+    "hard": {"program_hash": "string", "schema_hash": "string", "policy_version": "string", "overall": "string"},
+    "empirical": {"delta_metric_mean": "double", "delta_metric_std": "double", "redundancy_max": "double", "redundancy_argmax": "string", "cost_gen_tokens": "bigint", "cost_verify_ms": "double", "cost_eval_seconds": "double"},
+    "semantic": {"plausibility": "string", "interpretation": "string", "declared_intent": "string", "intent_alignment": "string", "witness": "string", "source": "string"},
+}
+
+
+def audit_records(records: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """The audit log's nested records from flat ones: ``hard`` with ``checks`` (name, status, witness, detail, failure_code for each certificate,
+    in order), ``soft`` with its empirical and semantic part.
+
+    ``records`` has columns named as ``AUDIT`` says, ``traces`` is what ``certify.traces`` gives (feature_id, cert, ord, verdict, failure_code,
+    witness; detail if it is there). A program whose certificates let it not through has no semantic part, one without traces an empty list of checks.
+    ``overall`` follows from the checks where it isn't given. The program stays JSON text.
+    """
+    part = lambda name: [(F.col(c) if c in records.columns else F.lit(None)).cast(kind).alias(c) for c, kind in AUDIT[name].items()]
+    kind = "array<struct<name:string,status:string,witness:array<string>,detail:string,failure_code:string>>"
+    if traces is None:
+        rows = records.withColumn("checks", F.array().cast(kind))
+    else:
+        detail = F.col("detail") if "detail" in traces.columns else F.coalesce(F.concat(F.lit("at "), F.array_join("witness", ", ")), F.lit(""))
+        one = F.struct("ord", F.struct(F.col("cert").alias("name"), F.col("verdict").alias("status"), "witness", F.when(F.size("witness") > 0, detail).otherwise("").alias("detail"), "failure_code").alias("check"))
+        checks = traces.groupBy(F.col("feature_id").alias("of")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["check"]).cast(kind).alias("checks"))
+        rows = records.join(checks, F.col("feature_id") == F.col("of"), "left").withColumn("checks", F.coalesce("checks", F.array().cast(kind)))
+    failed = F.exists("checks", lambda x: x["status"] == "fail")
+    said = F.col("overall") if "overall" in records.columns else F.lit(None).cast("string")
+    overall = F.coalesce(said, F.when(failed, "fail").when(F.size("checks") > 0, "pass"))
+    hard = F.struct(*part("hard")[:3], overall.alias("overall"), "checks")
+    semantic = F.when(~F.col("status").isin("rejected_cert", "rejected_compile"), F.struct(*part("semantic")))
+    return rows.select(*part("top"), hard.alias("hard"), F.struct(F.struct(*part("empirical")).alias("empirical"), semantic.alias("semantic")).alias("soft"))
+
+
+def write_audit(records: DataFrame, path: str, traces: DataFrame | None = None) -> None:
+    """``audit_records`` as JSON lines; null fields are written."""
+    audit_records(records, traces).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
