@@ -12,15 +12,27 @@ BUCKET_DAYS = 30
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of an http or https URL, without user, port and final dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^https?://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
+    """The lower-case host of an http or https URL, as a browser finds it, without user, port and final dots; null if there is none.
+
+    Blanks and control characters around the URL and tabs and line breaks inside don't count, a backslash is a slash, the user ends at the
+    last @ before the path. An IPv6 address stands without its brackets.
+    """
+    plain = F.translate(F.regexp_replace(F.regexp_replace(F.lower(url), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""), "\\", "/")
+    host = F.regexp_extract(plain, r"^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1)
+    return F.nullif(domain_of(host), F.lit(""))
+
+
+def domain_of(name: Column) -> Column:
+    """A listed domain or a host in one spelling: lower case, without blanks around it, final dots and the brackets of an IPv6 address."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"^[\x00-\x20\[]+|[\x00-\x20\]]+$", ""), r"\.+$", "")
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels or more, the longest first; the host alone if it has one label."""
+    """The host and its parent domains of two labels or more, the longest first; the host alone if it has one label or is an
+    IP address, which has no parents."""
     parts = F.split(host, r"\.")
-    count = F.greatest(F.size(parts) - 1, F.lit(1))
+    address = host.rlike(r"^\d+\.\d+\.\d+\.\d+$|:")
+    count = F.when(address, 1).otherwise(F.greatest(F.size(parts) - 1, F.lit(1)))
     return F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
 
 
@@ -28,10 +40,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     """From dated entries (domain, listed_at, action, category) the validity intervals
     (domain, category, valid_from, valid_to): from a 'block' entry to the domain's next entry, open at the end.
 
-    Of several entries of one domain and time the last in order of (action, category) counts, and nulls in domain or
-    time, and other actions than block and allow, don't count. 'allow' ends an interval.
+    Domains count in one spelling (``domain_of``). Of several entries of one domain and time the last in order of (action, category)
+    counts, and nulls in domain or time, empty domains, and other actions than block and allow, don't count. 'allow' ends an interval.
     """
-    usable = entries.where("domain is not null and listed_at is not null and action in ('block', 'allow')")
+    usable = entries.where("listed_at is not null and action in ('block', 'allow')").withColumn("domain", domain_of(F.col("domain"))).where("domain <> ''")
     last = usable.groupBy("domain", "listed_at").agg(F.max(F.struct("action", F.coalesce("category", F.lit("")).alias("category"))).alias("x"))
     after = F.lead("listed_at").over(Window.partitionBy("domain").orderBy("listed_at"))
     spans = last.select("domain", "listed_at", "x.action", "x.category", after.alias("valid_to"))
