@@ -14,19 +14,21 @@ __all__ = ["BROADCAST_ROWS", "SPACE", "crc_bucket", "fresh", "named", "shared_fo
 
 #: ``[\x20\x09-\x0D]`` as a Java character class.
 SPACE = r"[ \t-\r]"
-#: A side of a join is broadcast only if it has at most so many rows, and so many bytes in columns of no fixed width.
+#: A side of a join is broadcast only if it has at most so many rows, and takes about so many bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Bytes that a row takes in a broadcast table besides its values, and that a column of fixed width takes.
+ROW_BYTES, FIXED_BYTES = 32, 8
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes in strings, arrays and the like;
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes of values, hash table included;
     else unchanged (a shuffled join then).
 
     ``df`` should be a staged table, as its rows are read here.
     """
     lengths = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
     lengths += [F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
-    width = sum((F.coalesce(x, F.lit(0)) for x in lengths), F.lit(0)).cast("long")
+    width = sum((F.coalesce(x, F.lit(0)) for x in lengths), F.lit(ROW_BYTES + FIXED_BYTES * (len(df.columns) - len(lengths)))).cast("long")
     n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and total <= size else df
 

@@ -136,14 +136,17 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     The dropped keys are anti-joined (broadcast behind a check of their number), so texts aren't shuffled; rows
-    that repeat key and text are made one, and only then, if there are any.
+    that repeat key and text are made one, and only these are shuffled for it, if there are any.
     """
     found = staged(deduplicate(docs, key, text).where("not kept").select("doc_id", "keep_id", "text_sha256"))
     sha = F.sha2(normalised(F.col(text)).cast("binary"), 256)
     p = fresh(docs.columns, ("own", "sha", "id"), "quern_")
-    gone = small(staged(found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(f"{p}id"), F.col("text_sha256").alias(f"{p}sha")).distinct()))
-    rest = docs.withColumn(f"{p}own", sha)
-    rest = rest.join(gone, F.col(key).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}sha")), "left_anti")
-    if found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
-        rest = rest.dropDuplicates([key, f"{p}own"])
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    named_ = lambda rows: small(staged(rows.select(F.col("doc_id").alias(f"{p}id"), F.col("text_sha256").alias(f"{p}sha")).distinct()))
+    met = F.col(key).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}sha"))
+    rest = docs.withColumn(f"{p}own", sha).join(named_(found.where(~again)), met, "left_anti")
+    if found.where(again).limit(1).count():
+        repeated = named_(found.where(again))
+        once = rest.join(repeated, met, "left_semi").dropDuplicates([key, f"{p}own"])
+        rest = rest.join(repeated, met, "left_anti").unionByName(once)
     return rest.drop(f"{p}own")

@@ -19,8 +19,8 @@ FOLD = 8
 REHASH = 3
 #: Text that one batch of shingles is made of.
 SLICE_BYTES = 2 << 20
-#: Shared keys (8 bytes each) that are broadcast at most.
-KEY_ROWS = 4_000_000
+#: Shared keys (8 bytes each) that are broadcast at most, and their bytes with the hash table.
+KEY_ROWS, KEY_BYTES = 4_000_000, 192 << 20
 #: How often keys are counted again after sets have left.
 PRUNE_ROUNDS = 2
 #: Open members from which a bucket is dealt again, into so many times more blocks.
@@ -217,7 +217,7 @@ def buckets(texts: DataFrame, classes: DataFrame, words: int, percent: int, fine
     """
     blocks = blocks_of(texts, words, percent, finer)
     shared = staged(blocks.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), narrow=True)
-    raw = staged(blocks.select("c1", "grp", "spare", F.explode("keys").alias("key")).join(small(shared, KEY_ROWS), "key", "left_semi").distinct(), narrow=True)
+    raw = staged(blocks.select("c1", "grp", "spare", F.explode("keys").alias("key")).join(small(shared, KEY_ROWS, KEY_BYTES), "key", "left_semi").distinct(), narrow=True)
     unstage(shared)
     live, before = raw.join(classes.select("c1", "node"), "c1").select("key", "node", "grp", "spare"), raw
     for _ in range(PRUNE_ROUNDS):  # what has left makes other keys rarer

@@ -43,15 +43,22 @@ def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_list(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Captures with a fetch time and dated list entries, from the pages: each page is fetched at a minute of 2024 that
     depends on its id; two thirds of the hosts and their parents are listed, let go and listed again on days
-    that depend on their names."""
+    that depend on their names. Some URLs have blanks before them, a backslash and an @ after the host, or an address for the host; every third
+    entry is in capitals with blanks and final dots, and the last two numbers of each address are listed as if they were a domain."""
     number = lambda *x: F.conv(F.substring(F.md5(F.concat(*x).cast("binary")), 1, 8), 16, 10).cast("long")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    captures = pages.select("page_id", "url", F.timestamp_add("MINUTE", ((F.col("page_id") * 7919) % 525600).cast("int"), start).alias("fetched_at"))
-    domains = pages.select(F.explode(url_filter.suffixes(url_filter.host_of(F.col("url")))).alias("domain")).where(F.size(F.split("domain", r"\.")) >= 3).distinct()
-    domains = domains.where(number(F.col("domain")) % 3 < 2)
+    page, text = F.col("page_id"), lambda n: (F.col("page_id") % n).cast("string")
+    behind = F.regexp_replace("url", r"^(https?://[^/]*)", r"$1\\\\@good.example")
+    url = F.when(page % 11 == 0, F.concat(F.lit("http://[2001:DB8::"), text(50), F.lit("]:80/x"))).when(page % 13 == 0, F.concat(F.lit("https://user@10.1."), text(7), F.lit("."), text(5), F.lit("/")))
+    url = url.when(page % 7 == 0, F.concat(F.lit(" \t"), "url")).when(page % 5 == 0, behind).otherwise(F.col("url"))
+    captures = pages.select("page_id", url.alias("url"), F.timestamp_add("MINUTE", ((F.col("page_id") * 7919) % 525600).cast("int"), start).alias("fetched_at"))
+    host = url_filter.host_of(F.col("url"))
+    domains = captures.select(F.explode(F.concat(url_filter.suffixes(host), F.when(host.rlike(r"^[\d.]+$"), F.array(F.substring_index(host, ".", -2))).otherwise(F.array()))).alias("domain"))
+    domains = domains.where((F.size(F.split("domain", r"\.")) >= 3) | F.col("domain").rlike(r"^[\d.]+$|:")).distinct().where(number(F.col("domain")) % 3 < 2)
     entries = domains.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("n", number(F.col("domain"), F.lit("/"), F.col("k").cast("string")))
     category = F.get(F.array(F.lit("ads"), F.lit("malware"), F.lit("spam")), (F.col("n") % 7 % 3).cast("int"))
-    return captures, entries.select("domain", F.timestamp_add("DAY", (F.col("n") % 366).cast("int"), start).alias("listed_at"), F.when(F.col("k") == 1, "allow").otherwise("block").alias("action"), category.alias("category"))
+    spelt = F.when(F.col("n") % 3 == 0, F.concat(F.lit(" "), F.upper("domain"), F.lit(".. "))).otherwise(F.col("domain"))
+    return captures, entries.select(spelt.alias("domain"), F.timestamp_add("DAY", (F.col("n") % 366).cast("int"), start).alias("listed_at"), F.when(F.col("k") == 1, "allow").otherwise("block").alias("action"), category.alias("category"))
 
 
 def op3_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +144,14 @@ from placed c full outer join results r on c.conv_id = r.conv_id and c.call_id =
     "op3_url_list_asof": r"""
 with captures as (
   select page_id, timestamp '2024-01-01' + to_minutes((page_id * 7919) % 525600) as fetched_at,
-         nullif(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') as host
+         case when page_id % 11 = 0 then '2001:db8::' || page_id % 50 when page_id % 13 = 0 then '10.1.' || page_id % 7 || '.' || page_id % 5
+              else nullif(regexp_replace(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') end as host
   from pages),
-hosts as (select distinct host, string_split(host, '.') as parts from captures where host is not null),
+hosts as (select distinct host, host similar to '[0-9]+(\.[0-9]+){3}' as is_v4, case when host like '%:%' or host similar to '[0-9]+(\.[0-9]+){3}' then [host] else string_split(host, '.') end as parts from captures where host is not null),
 levels as (select host, i - 1 as depth, array_to_string(list_slice(parts, i, len(parts)), '.') as domain
            from hosts, lateral (select unnest(range(1, greatest(len(parts) - 1, 1) + 1)) as i)),
-domains as (select distinct domain from levels
-            where len(string_split(domain, '.')) >= 3 and ('0x' || substr(md5(domain), 1, 8))::bigint % 3 < 2),
+domains as (select distinct domain from (select domain from levels union all select regexp_extract(host, '[0-9]+\.[0-9]+$') from hosts where is_v4)
+            where (len(string_split(domain, '.')) >= 3 or domain like '%:%' or domain similar to '[0-9.]+') and ('0x' || substr(md5(domain), 1, 8))::bigint % 3 < 2),
 entries as (select domain, k, ('0x' || substr(md5(domain || '/' || k), 1, 8))::bigint as n from domains, range(3) r(k)),
 dated as (select domain, timestamp '2024-01-01' + to_days((n % 366)::int) as listed_at,
                  case when k = 1 then 'allow' else 'block' end as action, case n % 7 % 3 when 0 then 'ads' when 1 then 'malware' else 'spam' end as category from entries),

@@ -45,6 +45,12 @@ def test_word_hashes_tell_words_apart():
     assert (word_hashes(cut)[0] == hashes).all()
 
 
+def test_repeated_rows_alone_are_made_one(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "a b"), (1, "other"), (2, "a b"), (None, "n"), (None, "n"), (3, None), (3, "")]
+    got = exact_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string").withColumn("quern_own", F.lit(1)).repartition(3)).collect()
+    assert sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in got) == [("1", "a b"), ("1", "other"), ("3", ""), ("None", "n")]
+
+
 def test_exact_dedup(docs):
     got = exact_dedup.deduplicate(docs).collect()
     assert len(got) == len(DOCS)
@@ -299,7 +305,7 @@ def test_language_id_rejects_foreign_and_junk_and_keeps_short_clean_texts(spark,
     clean = [r.text for r in table.where(held & (F.col("lang") == "en") & F.length("text").between(400, 4000)).orderBy("doc_id").limit(40).collect()]
     planted += [("short", re.sub("[^A-Za-z ]+", " ", t)[:40]) for t in clean] + [("long", "\n".join(clean * k)) for k in (1, 8)]
     got = language_id.classify(spark.createDataFrame(planted, "kind string, text string"), learned, margin=margin).collect()
-    assert 0.002 < margin < 0.1
+    assert 0.05 < margin < 1
     assert sum(r.lang_accepted for r in got if r.kind == "bad") <= 1
     assert sum(r.lang_accepted and r.lang_pred == "en" for r in got if r.kind == "short") >= 36
     assert all(r.lang_accepted and r.lang_pred == "en" for r in got if r.kind == "long")
@@ -479,6 +485,20 @@ def test_lm_without_training_rows(docs):
     assert len(got) == len(DOCS) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
 
 
+def test_hosts_as_browsers_find_them(spark):
+    rows = [("http://[2001:DB8::1]:80/", "2001:db8::1"), ("http://ads.example.com\\@good.org/", "ads.example.com"), (" \t\x01https://A.example.com/ ", "a.example.com"), ("https://u@v@b.example.com./x", "b.example.com"), ("http://ex\nample.com", "example.com"), ("http:///x", None), ("https://10.1.2.3:8/", "10.1.2.3"), ("mailto:x@y", None), ("", None), (None, None), ("http://@/", None)]
+    df = spark.createDataFrame(rows, "url string, host string")
+    assert all(r.got == r.host for r in df.withColumn("got", url_filter.host_of(F.col("url"))).collect())
+    hosts = spark.createDataFrame([("10.1.2.3",), ("2001:db8::1",), ("a.b.c",), ("x",), ("1.2.3",)], "h string")
+    got = {r.h: r.s for r in hosts.withColumn("s", url_filter.suffixes(F.col("h"))).collect()}
+    assert got == {"10.1.2.3": ["10.1.2.3"], "2001:db8::1": ["2001:db8::1"], "a.b.c": ["a.b.c", "b.c"], "x": ["x"], "1.2.3": ["1.2.3", "2.3"]}
+    entries = [(" Ads.Example.com. ", "block"), ("[2001:DB8::1]", "block"), ("2.3", "block"), ("", "block"), (" . ", "block")]
+    entries = spark.createDataFrame(entries, "domain string, action string").withColumns({"listed_at": F.lit("2024-01-01").cast("timestamp_ntz"), "category": F.lit("c")})
+    asked = spark.createDataFrame([(1, "http://ads.example.com/"), (2, "http://[2001:db8::1]/"), (3, "http://10.1.2.3/"), (4, "http://x.1.2.3/"), (5, "http://b.org")], "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    blocked = {r.page_id: r.matched_domain for r in url_filter.evaluate(asked, entries).collect() if r.blocked}
+    assert blocked == {1: "ads.example.com", 2: "2001:db8::1", 4: "2.3"}
+
+
 def test_urls(spark):
     t = lambda d: F.lit(d).cast("timestamp_ntz")
     entries = spark.createDataFrame([("bad.example.com", "2024-01-10", "block", "spam"), ("bad.example.com", "2024-02-01", "allow", None), ("example.org", "2024-01-01", "block", "ads"), ("a.example.org", "2024-01-05", "block", "malware"), (None, "2024-01-01", "block", "x"), ("tie.example.com", "2024-01-01", "allow", ""), ("tie.example.com", "2024-01-01", "block", "z")], "domain string, d string, action string, category string")
