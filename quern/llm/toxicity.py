@@ -19,8 +19,6 @@ SAMPLE_DOCS, SAMPLE_BYTES = 4000, 20_000
 DISCOUNT = 3.0
 #: Words of a window, the length that likelihoods are compared at.
 WINDOW = 2
-#: A class with fewer texts is too small to fit the scale.
-LEAST_TEXTS = 6
 
 
 def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +112,8 @@ def train(texts: list[list[str]], shares: list[int]) -> tuple[Model, float, floa
     """(model, slope, intercept): score = logistic(slope * log ratio + intercept).
 
     The model counts the whole sample. The scale is fitted on ratios that each third of it has by the counts of the two
-    others, and its intercept is then moved to the classes' true shares. A class of fewer than LEAST_TEXTS texts is too few
-    for that: the score is the likelihood ratio with the shares as prior. None if a class has no text.
+    others, and its intercept is then moved to the classes' true shares. Few texts tell little about the scale, and the score is nearer to the
+    shares then. None if a class has no text.
     """
     if not min(map(len, texts)):
         return None
@@ -123,8 +121,6 @@ def train(texts: list[list[str]], shares: list[int]) -> tuple[Model, float, floa
     label = np.repeat([0, 1], [len(own) for own in texts])
     prior = float(np.log(shares[1] / shares[0]))
     model = Model(hashes, at, label)
-    if min(map(len, texts)) < LEAST_TEXTS:
-        return model, 1.0, prior
     part, x, sizes = np.concatenate([np.arange(len(own)) % 3 for own in texts]), np.zeros(len(label)), np.diff(at)
     for k in range(3):
         inside = np.repeat(part == k, sizes)

@@ -384,7 +384,7 @@ def test_toxicity_of_small_classes_long_clean_texts_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumns({c: F.lit("x") for c in ("score", "k", "c", "h", "t", "log_ratio")})
     learned = toxicity.train(*toxicity.sample(df, df))
     got = {r.doc_id: r.score for r in toxicity.score(df, learned).collect()}
-    assert learned[1] == 1.0 and all(got[i] > 0.5 for i in range(4)) and all(got[10 + i] < 0.5 for i in range(7))
+    assert all(got[i] > 0.5 for i in range(4)) and all(got[10 + i] < 0.5 for i in range(7))
     assert toxicity.score(df.limit(0), learned).count() == 0
     assert [len(x) for x in toxicity.sample(df, df, most=2, size=22)[0]] == [2, 0]
     rng = random.Random(2)
