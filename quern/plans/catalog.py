@@ -134,6 +134,35 @@ def apply_program_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compute(split_orders(spark, sf_dir), FLAGSHIP).withColumn("bucket", F.col("bucket").cast("double")))
 
 
+PIECES = [FITS["zscore"][0], FITS["minmax"][0], un("Clip", col(2)), un("FrequencyEncode", col(4)), {"op": "TargetEncode", "cat_col": col(5), "label_col": col(2)}]
+JOINS = ["Add", "Subtract", "Multiply", "Divide"]
+
+
+@query("shared_subtrees", f"""{BASE}, s as (select avg(price) m, stddev_samp(price) d, min(price) a, max(price) z, quantile_cont(signed, 0.01) c1, quantile_cont(signed, 0.99) c2 from t),
+f as (select coalesce(priority, 'nan') k, count(*)::double v from t group by 1), g as (select status k, avg(signed) v from t group by 1),
+p as (select [(price - m) / d, (price - a) / (z - a), least(greatest(signed, c1), c2), f.v, g.v] as x from o cross join s left join f on coalesce(priority, 'nan') = f.k left join g on status = g.k),
+w as (select u, v, x[u + 1] as a, x[v + 1] as b from p, range(5) r(u), range(5) q(v)),
+e as (select u, v, [avg(a + b), avg(a - b), avg(a * b), avg(a / nullif(b, 0))] as means from w group by 1, 2),
+q as (select distinct p_brand || '/' || p_size as feature_id, p_size % 4 as o, p_size % 5 as u, length(p_brand) * p_size % 5 as v from part)
+select feature_id, printf('%.4e', means[o + 1]) as mean from q join e using (u, v)""")
+def shared_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program for each brand and size of the parts (1,250 at most), made of five fitted pieces: each piece is fitted once, and each
+    program that several features share is one column."""
+    size = F.col("p_size")
+    asked = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", size.cast("string")).alias("f"), (size % 4).alias("o"), (size % 5).alias("u"), (F.length("p_brand") * size % 5).alias("v")).distinct().collect()
+    wanted = {r.f: two(JOINS[r.o], PIECES[r.u], PIECES[r.v]) for r in asked}
+    rows = split_orders(spark, sf_dir)
+    fitted = features.fit(rows, wanted, TYPES, NAMES)
+    if len(fitted.scalars) + len(fitted.map_sizes) > len(PIECES):
+        raise ValueError("a piece was fitted twice")
+    distinct = {root: f for f, root in features.Graph(wanted).roots.items()}
+    matrix = features.apply(rows, {f: wanted[f] for f in distinct.values()}, TYPES, fitted, [], NAMES)
+    means = matrix.agg(*[F.avg(F.col(f"`{f}`")).alias(f"m{i}") for i, f in enumerate(distinct.values())]).first()
+    by_root = dict(zip(distinct, means, strict=True))
+    out = [(f, f"{by_root[root]:.4e}") for f, root in features.Graph(wanted).roots.items()]
+    return spark.createDataFrame(out, "feature_id string, mean string")
+
+
 @query("split_counts", f"{BASE} select _split, count(*) as n from o group by 1")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_orders(spark, sf_dir).groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
