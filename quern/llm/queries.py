@@ -23,16 +23,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_tables(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tool calls, results and schemas from plain conversations: a user turn calls a tool and depends on the user
-    turn two before, the next assistant turn is its result. Every fifth call has a limit of the wrong type."""
+    """Tool calls, results and schemas from plain conversations: a user turn calls a tool and depends on the user turn two before, the next
+    assistant turn is its result. Some calls are faulty: limits of the wrong type or too large, no query, languages and tags that the schemas don't
+    allow; some are left out, so that their results are orphans; in some conversations the first call depends on the third."""
     t = conversations.select("conv_id", "turn", "role", "text")
-    name = F.get(F.array(F.lit("search"), F.lit("lookup"), F.lit("summarise")), (F.col("turn") % 3).cast("int"))
-    ident = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
-    good, bad = F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))), F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").cast("string").alias("limit")))
-    calls = t.where("role = 'user'").select("conv_id", ident(0).alias("call_id"), ident(2).alias("parent_id"), F.col("turn").alias("seq"), name.alias("name"), F.when(F.col("turn") % 5 == 4, bad).otherwise(good).alias("arguments"))
-    results = t.where("role = 'assistant'").select("conv_id", ident(1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
-    rows = [(n, a, k, r) for n in ("search", "lookup", "summarise") for a, k, r in (("query", "string", True), ("limit", "integer", True), ("lang", "string", False))]
-    return calls, results, conversations.sparkSession.createDataFrame(rows, "name string, arg string, type string, required boolean")
+    c, turn = F.col("conv_id"), F.col("turn")
+    name = F.get(F.array(F.lit("search"), F.lit("lookup"), F.lit("summarise")), (turn % 3).cast("int"))
+    ident = lambda n: F.concat(c.cast("string"), F.lit("-"), n.cast("string"))
+    query = F.when((c % 6 == 1) & (turn == 2), "").otherwise(F.concat(F.regexp_extract(F.to_json(F.struct(F.col("text").alias("query"))), r"(?s)^\{(.*)\}$", 1), F.lit(",")))
+    limit = F.when(turn % 5 == 4, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).when((c % 7 == 2) & (turn == 0), "1000").otherwise(turn.cast("string"))
+    lang, tag = F.when(c % 5 == 3, "xx").otherwise("en"), F.when(c % 9 == 7, "5").otherwise('"b"')
+    arguments = F.concat(F.lit("{"), query, F.lit('"limit":'), limit, F.lit(',"filter":{"tags":["a",'), tag, F.lit('],"lang":"'), lang, F.lit('"}}'))
+    parent = F.when((c % 11 == 5) & (turn == 0), F.lit(4).cast("long")).otherwise(turn - 2)
+    calls = t.where("role = 'user' and not (conv_id % 13 = 4 and turn = 2)").select("conv_id", ident(turn).alias("call_id"), ident(parent).alias("parent_id"), turn.alias("seq"), name.alias("name"), arguments.alias("arguments"))
+    results = t.where("role = 'assistant'").select("conv_id", ident(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
+    fields = [("query", "string", True, None, None), ("limit", "integer", True, None, 500.0), ("lang", "string", False, None, None), ("filter", "object", True, None, None), ("filter.lang", "string", True, ["en", "de"], None), ("filter.tags", "array", False, None, None), ("filter.tags[]", "string", False, None, None)]
+    rows = [(n, *f) for n in ("search", "lookup", "summarise") for f in fields]
+    return calls, results, conversations.sparkSession.createDataFrame(rows, "name string, arg string, type string, required boolean, enum array<string>, maximum double")
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,23 +131,33 @@ select doc_id, min(doc_id) over (partition by body) as keep_id, count(*) over (p
        row_number() over (partition by body order by doc_id nulls last) = 1 as kept, sha256(body) as text_sha256
 from n""",
     "op2_tool_call_linking": r"""
-with calls as (
-  select conv_id, conv_id || '-' || turn as call_id, turn, text,
-         case turn % 3 when 0 then 'search' when 1 then 'lookup' else 'summarise' end as name,
-         turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as chain
-  from conversations where role = 'user'),
-placed as (select *, row_number() over (partition by conv_id, turn % 2, chain order by turn) - 1 as depth from calls),
-results as (select conv_id, conv_id || '-' || (turn - 1) as call_id, turn, text as content from conversations where role = 'assistant')
+with recursive calls as (
+  select conv_id, conv_id || '-' || turn as call_id, turn, text, case when conv_id % 11 = 5 and turn = 0 then 4 else turn - 2 end as parent,
+         case turn % 3 when 0 then 'search' when 1 then 'lookup' else 'summarise' end as name
+  from conversations where role = 'user' and not (conv_id % 13 = 4 and turn = 2)),
+placed as (
+  select conv_id, turn, 0::bigint as depth from calls c where not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.parent)
+  union all
+  select c.conv_id, c.turn, p.depth + 1 from placed p join calls c on c.conv_id = p.conv_id and c.parent = p.turn),
+results as (select conv_id, conv_id || '-' || (turn - 1) as call_id, turn, text as content from conversations where role = 'assistant'),
+faults as (
+  select conv_id, turn, string_agg(e, ',' order by e) as errors
+  from (select conv_id, turn, unnest([case when conv_id % 5 = 3 then 'enum:filter.lang' end, case when conv_id % 7 = 2 and turn = 0 then 'maximum:limit' end,
+          case when conv_id % 6 = 1 and turn = 2 then 'missing:query' end, case when conv_id % 9 = 7 then 'type:filter.tags[]' end, case when turn % 5 = 4 then 'type:limit' end]) as e from calls)
+  where e is not null group by 1, 2)
 select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, c.name,
-       case when c.call_id is null then 'orphan_result' when r.call_id is null then 'no_result' else 'linked' end as status,
-       c.depth, coalesce(c.turn, r.turn) as seq,
-       c.call_id is not null and r.call_id is not null and c.turn % 5 <> 4 as valid,
-       case when c.turn % 5 = 4 then 'type:limit' else '' end as errors,
+       case when c.call_id is null then 'orphan_result' when p.depth is null then 'cycle' when r.call_id is null then 'no_result' else 'linked' end as status,
+       p.depth, coalesce(c.turn, r.turn) as seq,
+       c.call_id is not null and p.depth is not null and r.call_id is not null and f.errors is null as valid,
+       coalesce(f.errors, '') as errors,
        '{"arguments":' || case when c.call_id is null then 'null'
-          else '{"limit":' || case when c.turn % 5 = 4 then '"' || c.turn || '"' else c.turn::varchar end || ',"query":' || to_json(c.text)::varchar || '}' end
+          else '{"filter":{"lang":"' || case when c.conv_id % 5 = 3 then 'xx' else 'en' end || '","tags":["a",' || case when c.conv_id % 9 = 7 then '5' else '"b"' end || ']},"limit":'
+            || case when c.turn % 5 = 4 then '"' || c.turn || '"' when c.conv_id % 7 = 2 and c.turn = 0 then '1000' else c.turn::varchar end
+            || case when c.conv_id % 6 = 1 and c.turn = 2 then '' else ',"query":' || to_json(c.text)::varchar end || '}' end
        || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || case when c.name is null then 'null' else '"' || c.name || '"' end
        || ',"result":' || case when r.content is null then 'null' else to_json(r.content)::varchar end || '}' as json
-from placed c full outer join results r on c.conv_id = r.conv_id and c.call_id = r.call_id""",
+from calls c full outer join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+left join placed p on p.conv_id = c.conv_id and p.turn = c.turn left join faults f on f.conv_id = c.conv_id and f.turn = c.turn""",
     "op3_url_list_asof": r"""
 with captures as (
   select page_id, timestamp '2024-01-01' + to_minutes((page_id * 7919) % 525600) as fetched_at,

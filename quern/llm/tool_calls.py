@@ -56,29 +56,52 @@ def depths(calls: DataFrame, more: DataFrame | None = None, rounds: int = 40) ->
     return ids.join(whole, ["conv_id", "call_id"], "left")
 
 
+def declared_rows(schemas: DataFrame) -> DataFrame:
+    """The schemas with all their columns (name, arg, type, required, enum, minimum, maximum), and each path's parent path."""
+    more = {"enum": "array<string>", "minimum": "double", "maximum": "double"}
+    rows = schemas.select("name", "arg", "type", "required", *[(F.col(c) if c in schemas.columns else F.lit(None)).cast(kind).alias(c) for c, kind in more.items()])
+    return rows.withColumn("parent", F.regexp_extract("arg", r"^(.*?)(?:\[\]|\.?[^.\[\]]+)$", 1))
+
+
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, call_id, errors): sorted texts such as ``missing:x``, ``type:x``, ``unknown:x``, ``tool`` and ``json``.
+    """(conv_id, call_id, errors): sorted texts such as ``missing:x``, ``type:x``, ``unknown:x``, ``enum:x``, ``minimum:x``, ``maximum:x``, ``tool`` and ``json``.
 
-    ``schemas`` has name, arg, type (a key of ALLOWED) and required. Calls without errors have no row. Values don't
-    travel, only their types do. Schemas are a bounded list of tools; they are broadcast behind a check.
+    ``schemas`` has name, arg, type (a key of ALLOWED) and required, and if it likes enum (array of texts, as JSON's scalars are written),
+    minimum and maximum. ``arg`` is a path: ``filter.lang`` is a field of the object filter, ``tags[]`` stands for the items of the array tags, ``parts[].id``
+    for a field of each. An object or array without declared parts may hold anything; in others every field must be declared. A required field is asked for wherever its
+    object is. A null is of no type. Arguments are opened a level at a time, as deep as the schemas go. Calls without errors have no row; values don't
+    travel where the schemas are broadcast (a bounded list of tools, behind a check).
     """
     parsed = calls.select("conv_id", "call_id", "name", F.try_parse_json("arguments").alias("v"))
-    kind = F.split(F.schema_of_variant("v"), "<")[0]
-    is_object = F.coalesce(kind == "OBJECT", F.lit(False))
-    tools = small(staged(schemas.select(F.col("name")).distinct()))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    told = staged(declared_rows(schemas))
+    tools = small(staged(told.select("name").distinct()))
     bad = parsed.where(~is_object).select("conv_id", "call_id", F.lit("json").alias("error"))
     unknown_tool = parsed.select("conv_id", "call_id", "name").join(tools, "name", "left_anti").select("conv_id", "call_id", F.lit("tool").alias("error"))
-    fields = parsed.where(is_object).lateralJoin(calls.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", F.schema_of_variant("value").alias("kind")))
-    kind = F.regexp_extract(F.regexp_replace("kind", "^DECIMAL.[0-9]+,0.$", "BIGINT"), "^[A-Z]+", 0)
-    given = fields.select("conv_id", "call_id", "name", F.col("key").alias("arg"), kind.alias("kind"))
+    declared = small(staged(told.select("name", "arg", F.col("type"), "enum", "minimum", "maximum").dropDuplicates(["name", "arg"])))
+    needed = F.collect_set(F.when(F.col("required") & ~F.col("arg").endswith("[]"), F.regexp_extract("arg", r"([^.\[\]]+)$", 1)))
+    parents = small(staged(told.groupBy("name", F.col("parent").alias("at")).agg(needed.alias("needed"))))
     allowed = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    declared = small(staged(schemas.select("name", "arg", "type", "required")))
-    typed = given.join(tools, "name", "left_semi").join(declared, ["name", "arg"], "left")
-    wrong = typed.where(F.col("type").isNull() | ~F.array_contains(F.coalesce(allowed[F.col("type")], F.array(F.lit(""))), F.col("kind")))
-    wrong = wrong.select("conv_id", "call_id", F.concat(F.when(F.col("type").isNull(), "unknown:").otherwise("type:"), "arg").alias("error"))
-    needed = parsed.where(is_object).select("conv_id", "call_id", "name").join(declared.where("required"), "name").select("conv_id", "call_id", "arg")
-    missing = needed.join(given.select("conv_id", "call_id", "arg"), ["conv_id", "call_id", "arg"], "left_anti").select("conv_id", "call_id", F.concat(F.lit("missing:"), "arg").alias("error"))
-    every = bad.unionByName(unknown_tool).unionByName(wrong).unionByName(missing)
+    deepest = told.agg(F.max(F.size(F.split("arg", r"\.|\[\]")))).first()[0] or 0
+    every, open_ = bad.unionByName(unknown_tool), parsed.where(is_object).join(tools, "name", "left_semi").withColumn("at", F.lit(""))
+    for level in range(deepest + 1):
+        # A tool without declared fields has no row at the top and may get nothing but unknown ones.
+        open_ = open_.join(parents, ["name", "at"], "left" if level == 0 else "inner")
+        opened = F.schema_of_variant("v").startswith("OBJECT")
+        keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
+        lacks = open_.where(opened).withColumn("lack", F.explode(F.array_except("needed", keys)))
+        every = every.unionByName(lacks.select("conv_id", "call_id", F.concat(F.lit("missing:"), "at", F.when(F.col("at") != "", ".").otherwise(""), "lack").alias("error")))
+        if level == deepest:
+            break
+        parts = open_.lateralJoin(calls.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value"))
+        arg = F.when(F.col("key").isNull(), F.concat("at", F.lit("[]"))).when(F.col("at") == "", F.col("key")).otherwise(F.concat("at", F.lit("."), "key"))
+        kind = F.regexp_extract(F.regexp_replace(F.schema_of_variant("value"), "^DECIMAL.[0-9]+,0.$", "BIGINT"), "^[A-Z]+", 0)
+        given = parts.select("conv_id", "call_id", "name", arg.alias("arg"), kind.alias("kind"), F.col("value").alias("v")).join(declared, ["name", "arg"], "left")
+        number = F.when(F.col("kind").isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get("v", "$", "double"))
+        right = F.array_contains(F.coalesce(allowed[F.col("type")], F.array(F.lit(""))), F.col("kind"))
+        error = F.when(F.col("type").isNull(), "unknown:").when(~right, "type:").when(F.col("enum").isNotNull() & ~F.array_contains("enum", F.try_variant_get("v", "$", "string")), "enum:").when(number < F.col("minimum"), "minimum:").when(number > F.col("maximum"), "maximum:")
+        every = every.unionByName(given.where(error.isNotNull()).select("conv_id", "call_id", F.concat(error, "arg").alias("error")))
+        open_ = given.where(F.col("type").isNotNull() & right & F.col("kind").isin("OBJECT", "ARRAY")).select("name", F.col("arg").alias("at"), "conv_id", "call_id", "v")
     return every.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 

@@ -510,6 +510,21 @@ def test_urls(spark):
     assert len(got) == len(rows) and url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_schemas_of_nested_arguments(spark):
+    fields = [("q", "string", True, None, None, None), ("n", "integer", False, None, 1.0, 10.0), ("flt", "object", True, None, None, None), ("flt.lang", "string", True, ["en", "de"], None, None), ("tags", "array", False, None, None, None), ("tags[]", "string", False, None, None, None), ("parts", "array", False, None, None, None), ("parts[]", "object", False, None, None, None), ("parts[].id", "integer", True, None, 0.0, None), ("any", "object", False, None, None, None)]
+    schemas = spark.createDataFrame([("f", *f) for f in fields], "name string, arg string, type string, required boolean, enum array<string>, minimum double, maximum double").withColumn("parent", F.lit("mine"))
+    given = {
+        "whole": ('{"q":"x","n":3,"flt":{"lang":"en"},"tags":["a"],"parts":[{"id":1},{"id":2}],"any":{"z":[1,{"y":2}]}}', None),
+        "many": ('{"n":11,"flt":{"lang":"fr","x":1},"tags":["a",5],"parts":[{"id":-1},{"k":2},7]}', ["enum:flt.lang", "maximum:n", "minimum:parts[].id", "missing:parts[].id", "missing:q", "type:parts[]", "type:tags[]", "unknown:flt.x", "unknown:parts[].k"]),
+        "empty": ("{}", ["missing:flt", "missing:q"]), "list": ("[1]", ["json"]), "none": (None, ["json"]), "low": ('{"q":"x","n":0,"flt":{}}', ["minimum:n", "missing:flt.lang"]),
+        "types": ('{"q":1,"flt":"no","n":3.5,"tags":{}}', ["type:flt", "type:n", "type:q", "type:tags"]), "nulls": ('{"q":null,"flt":{"lang":null},"tags":[]}', ["type:flt.lang", "type:q"]),
+    }
+    calls = spark.createDataFrame([(1, k, "f", v) for k, (v, _) in given.items()] + [(1, "other", "g", "{}")], "conv_id long, call_id string, name string, arguments string")
+    got = {r.call_id: r.errors for r in tool_calls.argument_errors(calls, schemas).collect()}
+    assert got == {k: e for k, (_, e) in given.items() if e} | {"other": ["tool"]}
+    assert tool_calls.argument_errors(calls, schemas.limit(0)).where("call_id = 'whole'").first().errors == ["tool"]
+
+
 def test_tool_calls(spark):
     schemas = spark.createDataFrame([("f", "x", "integer", True), ("f", "y", "string", False), ("g", "o", "object", True)], "name string, arg string, type string, required boolean")
     calls = [(1, "a", None, 1, "f", '{"y": "é\\"", "x": 1.0}'), (1, "b", "a", 2, "f", '{"x": "no"}'), (1, "c", "b", 3, "g", '{"o": {"k": [1, true, null]}, "z": 1}'), (1, "d", "e", 4, "f", "{}"), (1, "e", "d", 5, "f", "[1"), (2, "a", "zz", 1, "nope", '{"x": 1}'), (1, "a", None, 9, "f", '{"x": 7}'), (None, "n", None, 1, "f", "{}"), (3, "q", None, None, None, None)]
