@@ -83,11 +83,16 @@ def final_score(df: DataFrame, key: str, numeric: list[str], categorical: list[s
         fitted.release()
 
 
-def cross_validated(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> tuple[list[float], float]:
-    """(a score for each fold, their mean): folds even in each class for classes (task C), of even size for numbers."""
+def cross_validated(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> list[float]:
+    """A score for each fold: folds even in each class for classes (task C), of even size for numbers."""
     dealt = (splits.stratified_k_fold(df, key, "label", folds) if task == "C" else splits.k_fold(df, key, folds, exact=True)).persist()
     try:
-        scores = [score(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), inputs, task, name, trees) for k in range(folds)]
-        return scores, sum(scores) / len(scores)
+        return [score(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), inputs, task, name, trees) for k in range(folds)]
     finally:
         dealt.unpersist()
+
+
+def cross_validated_mean(df: DataFrame, key: str, inputs: list[str], task: str = "C", name: str = "RF", folds: int = 5, trees: int = 100) -> float:
+    """The mean of ``cross_validated``."""
+    scores = cross_validated(df, key, inputs, task, name, folds, trees)
+    return sum(scores) / len(scores)

@@ -140,8 +140,11 @@ def audit_records(records: DataFrame, traces: DataFrame | None = None) -> DataFr
 
     ``records`` has columns named as ``AUDIT`` says, ``traces`` is what ``certify.traces`` gives (feature_id, cert, ord, verdict, failure_code,
     witness; detail if it is there). A program whose certificates let it not through has no semantic part, one without traces an empty list of checks.
-    ``overall`` follows from the checks where it isn't given. The program stays JSON text.
+    ``overall`` follows from the checks where it isn't given, and ``failure_code`` is that of the first failure. The program stays JSON text. Records that call the
+    gains delta_mean and delta_std, as the roll-ups do, have them under both names.
     """
+    short = {"delta_metric_mean": "delta_mean", "delta_metric_std": "delta_std"}
+    records = records.withColumns({long: F.col(c) for long, c in short.items() if c in records.columns and long not in records.columns})
     part = lambda name: [(F.col(c) if c in records.columns else F.lit(None)).cast(kind).alias(c) for c, kind in AUDIT[name].items()]
     kind = "array<struct<name:string,status:string,witness:array<string>,detail:string,failure_code:string>>"
     if traces is None:
@@ -154,9 +157,11 @@ def audit_records(records: DataFrame, traces: DataFrame | None = None) -> DataFr
     failed = F.exists("checks", lambda x: x["status"] == "fail")
     said = F.col("overall") if "overall" in records.columns else F.lit(None).cast("string")
     overall = F.coalesce(said, F.when(failed, "fail").when(F.size("checks") > 0, "pass"))
-    hard = F.struct(*part("hard")[:3], overall.alias("overall"), "checks")
+    first = F.get(F.filter("checks", lambda x: x["status"] == "fail"), F.lit(0))["failure_code"]
+    code = F.coalesce(F.col("failure_code"), first) if "failure_code" in records.columns else first
+    hard = F.struct(*part("hard")[:3], overall.alias("overall"), code.alias("failure_code"), "checks")
     semantic = F.when(~F.col("status").isin("rejected_cert", "rejected_compile"), F.struct(*part("semantic")))
-    return rows.select(*part("top"), hard.alias("hard"), F.struct(F.struct(*part("empirical")).alias("empirical"), semantic.alias("semantic")).alias("soft"))
+    return rows.select(*part("top"), hard.alias("hard"), F.struct(F.struct(*part("empirical"), *[F.col(c).cast("double").alias(c) for c in short.values() if c in records.columns]).alias("empirical"), semantic.alias("semantic")).alias("soft"))
 
 
 def write_audit(records: DataFrame, path: str, traces: DataFrame | None = None) -> None:

@@ -62,7 +62,7 @@ def test_audit_records_are_whole(spark, tmp_path):
         for line in path.read_text().splitlines():
             got[json.loads(line)["feature_id"]] = json.loads(line)
     assert list(got["f"]) == list(datasets.AUDIT["top"]) + ["hard", "soft"]
-    assert got["f"]["hard"] == {"program_hash": "h", "schema_hash": None, "policy_version": None, "overall": "pass", "checks": [{"name": n, "status": "pass", "witness": [], "detail": "", "failure_code": None} for n in ("C1", "C2")]}
+    assert got["f"]["hard"] == {"program_hash": "h", "schema_hash": None, "policy_version": None, "overall": "pass", "failure_code": None, "checks": [{"name": n, "status": "pass", "witness": [], "detail": "", "failure_code": None} for n in ("C1", "C2")]}
     assert got["f"]["soft"]["empirical"] == {"delta_metric_mean": 0.5, "delta_metric_std": None, "redundancy_max": None, "redundancy_argmax": "g", "cost_gen_tokens": 7, "cost_verify_ms": None, "cost_eval_seconds": None}
     assert set(got["f"]["soft"]["semantic"]) == set(datasets.AUDIT["semantic"]) and got["g"]["soft"]["semantic"] is None
     assert got["g"]["hard"]["overall"] == "fail" and got["g"]["hard"]["checks"][1] == {"name": "C2", "status": "fail", "witness": ["n1", "n3"], "detail": "at n1, n3", "failure_code": "C2.TARGET_LEAK"}
