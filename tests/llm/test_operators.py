@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, components, exact_dedup, jaccard, language_id, lm, mixing, ogg, queries, tool_calls, toxicity, url_filter
-from quern.llm.common import small
+from quern.llm.common import FIXED_BYTES, ROW_BYTES, small
 from quern.llm.elias_fano import EliasFano
 from quern.llm.hashing import word_hashes
 
@@ -599,4 +599,6 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("text"), F.array(F.repeat(F.lit("y"), 50)).alias("list"))
     hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
     assert hinted(small(df)) and not hinted(small(df, rows=99)) and not hinted(small(df, size=4999))
-    assert not hinted(small(df.drop("text"), size=4999)) and hinted(small(df.select("id"), size=0)) and hinted(small(df.limit(0)))
+    assert not hinted(small(df.drop("text"), size=4999)) and hinted(small(df.limit(0)))
+    each = ROW_BYTES + FIXED_BYTES  # a row of one number
+    assert hinted(small(df.select("id"), size=100 * each)) and not hinted(small(df.select("id"), size=100 * each - 1))
