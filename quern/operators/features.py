@@ -175,6 +175,15 @@ class Builder:
             return x if a == b else (x - a) / (b - a)
         return C.clip(x, a, b) if op == "Clip" else C.bucket(x, stats)
 
+    def reads(self, name: str) -> set[str]:
+        """The frame's columns that a node is computed from."""
+        node, own = self.graph.nodes[name]
+        if name in self.ready:
+            return {f"_node_{name}"}
+        if node["op"] in ("FrequencyEncode", "TargetEncode"):
+            return {map_column(name)}
+        return {self.names[node["col_index"]]} if node["op"] == "Col" else {c for x in own for c in self.reads(x)}
+
     def check(self) -> None:
         """Leave out the features whose own columns can't be built; encoders and their fits are looked at by ``fit``."""
         for name in self.graph._below(self.graph.roots.values()):
@@ -216,20 +225,28 @@ def from_bits(bits: int) -> float:
 
 
 def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], few: int = FEW) -> list[list[float | None]]:
-    """Per (column, fractions) the order statistics, interpolated between two neighbours as ``percentile`` does; None for an empty column.
+    """Per (column, fractions) the exact quantiles, see ``select_ranks``. The columns are written once to the shared folder, as bits."""
+    table = staged(frame.select(*[order_bits(x).alias(f"x{i}") for i, (x, _) in enumerate(asked)]))
+    found = select_ranks(table, [(f"x{i}", qs) for i, (_, qs) in enumerate(asked)], few)
+    unstage(table)
+    return found
+
+
+def select_ranks(table: DataFrame, asked: list[tuple[str, list[float]]], few: int = FEW) -> list[list[float | None]]:
+    """Per (column of ``order_bits``, fractions) the order statistics, interpolated between two neighbours as ``percentile`` does; None
+    for an empty column.
 
     Radix selection over the bits of the doubles, some 20 at a time and all columns and ranks together: one aggregate counts the values by
     (column, next bits) among those that begin as a wanted rank's value does, and a window over these counts finds the bits in which
     each rank lies. A rank is done when all values left are equal, as ties are; where at most ``few`` are left they are sorted in one list.
-    After three rounds all bits are known. Nothing but counts is shuffled, and a rank's value is always taken itself. The columns are
-    written once to the shared folder, as each round reads them.
+    After three rounds all bits are known. Nothing but counts is shuffled, and a rank's value is always taken itself. ``table`` should be
+    a written one, as each round reads it.
     """
-    spark = frame.sparkSession
-    frame = table = staged(frame.select(*[x.alias(f"x{i}") for i, (x, _) in enumerate(asked)]))
-    asked = [(F.col(f"x{i}"), qs) for i, (_, qs) in enumerate(asked)]
+    spark = table.sparkSession
+    bits = [F.col(c) for c, _ in asked]
     totals = []
-    for low in range(0, len(asked), BATCH):
-        totals += frame.agg(*[F.count(F.when(~F.isnan(x), x)).alias(f"n{i}") for i, (x, _) in enumerate(asked[low : low + BATCH])]).first()
+    for low in range(0, len(bits), BATCH):
+        totals += table.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(bits[low : low + BATCH])]).first()
     ranks = sorted({(i, k) for i, (_, qs) in enumerate(asked) if totals[i] for q in qs for k in (math.floor((totals[i] - 1) * q), math.ceil((totals[i] - 1) * q))})
     values: dict[tuple[int, int], float] = {}
     live = {r: (0, r[1], totals[r[0]]) for r in ranks}  # the value's first bits, its rank among those that begin so, how many do
@@ -239,11 +256,11 @@ def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], f
         short = all(n <= few for *_, n in live.values())
         open_ = {i for i, _ in live}
         counts = None
-        for low in range(0, len(asked), BATCH):
-            part = frame.select(F.posexplode(F.array(*[x if i in open_ else F.lit(None).cast("double") for i, (x, _) in enumerate(asked[low : low + BATCH], low)])).alias("i", "x")).where("x is not null")
-            part = part.select((F.col("i") + low).cast("long").alias("i"), "x")
-            counts = part if counts is None else counts.unionByName(part)
-        counts = counts.where(~F.isnan("x")).select("i", order_bits(F.col("x")).alias("k"))
+        for low in range(0, len(bits), BATCH):
+            own = [F.struct(F.lit(i).cast("long").alias("i"), x.alias("k")) for i, x in enumerate(bits[low : low + BATCH], low) if i in open_]
+            if own:
+                part = table.select(F.inline(F.array(*own))).where("k is not null")
+                counts = part if counts is None else counts.unionByName(part)
         if shift < 44:
             begun = spark.createDataFrame(sorted({(i, p) for (i, _), (p, _, _) in live.items()}), "wi long, wp long")
             counts = counts.join(F.broadcast(begun), (F.col("i") == F.col("wi")) & (F.shiftright("k", shift + width) == F.col("wp")), "left_semi")
@@ -264,8 +281,6 @@ def exact_quantiles(frame: DataFrame, asked: list[tuple[Column, list[float]]], f
             else:
                 live[r.i, r.rank] = (r.bits, r.place - r.below, r.n)
 
-    unstage(table)
-
     def value(i: int, q: float) -> float | None:
         if not totals[i]:
             return None
@@ -281,7 +296,8 @@ def fit(df: DataFrame, programs: dict[str, dict], types: dict[str, str], names:
 
     Equal subtrees of all programs are fitted once. Fit operators inside others are learned first, a wave for each level: all scalars of a
     wave in one aggregate and all category maps in one grouped aggregate, written to the shared folder. Quantiles are exact
-    (``exact_quantiles``), or approximate with ``accuracy``.
+    (``select_ranks``), or approximate with ``accuracy``; a wave that asks for exact ones writes the columns that it reads once, and all its
+    aggregates read these.
     Equal deciles fail the feature (``duplicates='drop'`` merges them). Missing categories are the category ``nan``.
     """
     names = names or [c for c in df.columns if c != split]
@@ -302,21 +318,30 @@ def fit(df: DataFrame, programs: dict[str, dict], types: dict[str, str], names:
                 else:
                     x = x.cast("double")
                     if node["op"] in fractions and not accuracy:
-                        ordered.append((name, node["op"], x))
+                        ordered.append((name, node["op"], own[0], x))
                     else:
                         stat = {"ZScore": lambda x: F.array(F.avg(x), F.stddev_samp(x)), "MinMaxScale": lambda x: F.array(F.min(x), F.max(x))}
                         approximate = lambda x, op=node["op"]: F.percentile_approx(x, fractions[op], accuracy)
                         scalars.append((name, node["op"], stat.get(node["op"], approximate)(x)))
             except G.ProgramError as e:
                 graph.drop(name, f"{e.code}: {e}")
-        learned_rows = []
+        learned_rows, written = [], []
+        if ordered:
+            bits = {own: order_bits(x).alias(f"_bits_{own}") for _, _, own, x in ordered}
+            beside = sorted({c for name in [n for n, *_ in scalars] + [n for n, _ in maps] for own in graph.nodes[name][1] for c in build.reads(own)})
+            frame = staged(frame.select(*[F.col("`" + c.replace("`", "``") + "`") for c in beside], *bits.values()))
+            written.append(frame)
         for low in range(0, len(scalars), BATCH):
             part = scalars[low : low + BATCH]
             row = frame.agg(*[s.alias(f"s{i}") for i, (*_, s) in enumerate(part)]).first()
             learned_rows += [(name, op, list(v) if v is not None else [None]) for (name, op, _), v in zip(part, row, strict=True)]
         if ordered:
-            found = exact_quantiles(frame, [(x, fractions[op]) for _, op, x in ordered])
-            learned_rows += [(name, op, v) for (name, op, _), v in zip(ordered, found, strict=True)]
+            asked = {own: [q for _, op, x, _ in ordered if x == own for q in fractions[op]] for own in bits}
+            found = select_ranks(frame, [(f"_bits_{own}", qs) for own, qs in asked.items()])
+            values = {own: dict(zip(qs, v, strict=True)) for (own, qs), v in zip(asked.items(), found, strict=True)}
+            for name, op, own, _ in ordered:
+                known = values[own]
+                learned_rows.append((name, op, [known[q] for q in fractions[op]]))
         for name, op, values in learned_rows:
             if op == "QuantileBucketize" and None not in values and len(set(values)) < len(values):
                 if duplicates == "fail":
@@ -334,6 +359,7 @@ def fit(df: DataFrame, programs: dict[str, dict], types: dict[str, str], names:
             for r in learned.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).collect():
                 fitted.map_sizes[r.node] = (r.rows, r.total)
             fitted.maps = learned if fitted.maps is None else fitted.maps.unionByName(learned)
+        unstage(*written)
     fitted.failed |= graph.failed
     return fitted
 
