@@ -217,6 +217,28 @@ def test_exact_quantiles_are_percentile_to_the_bit(spark, few):
         assert mine == (list(theirs) if theirs else [None] * len(asked[0])) or any(math.isnan(x) for x in theirs)
 
 
+def test_fits_beside_exact_quantiles_are_the_fits_alone(spark):
+    """Whole waves read one written table where quantiles are asked: nested encoders, shared parts and columns with odd names too."""
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 3), rng.choice(["a", "b", "b", "c", None]), rng.choice([None, 1.0, 2.0, 5.5]), rng.choice(["train", "train", "test"])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "`a.b` double, `c``d` string, `2 x` double, _split string").repartition(3)
+    names, types = df.columns[:3], {"c`d": "categorical"}
+    encoded, mean = un("FrequencyEncode", col(1)), {"op": "TargetEncode", "cat_col": col(1), "label_col": col(0)}
+    part = two("Add", un("Square", col(0)), mean)
+    plain = {"z": un("ZScore", col(0)), "zz": un("ZScore", part), "m": un("MinMaxScale", two("Multiply", part, encoded)), "t": mean, "f": un("FrequencyEncode", two("Cross", col(1), col(1)))}
+    ordered = {"b": un("QuantileBucketize", col(0)), "c": un("Clip", col(0)), "cc": un("Clip", part), "cz": un("Clip", un("ZScore", part))}
+    alone, both = features.fit(df, plain, types, names), features.fit(df, plain | ordered, types, names)
+    assert not both.failed and len(both.scalars) == len(alone.scalars) + 4
+    for node, stats in alone.scalars.items():
+        assert both.scalars[node] == pytest.approx(stats, rel=1e-12)
+    own = [{(r.node, r.category): (r.n, r.value) for r in f.maps.collect()} for f in (alone, both)]
+    assert own[0].keys() == own[1].keys() and all(own[1][k] == pytest.approx(v, rel=1e-12) for k, v in own[0].items())
+    train = df.where("_split = 'train'")
+    want = train.agg(F.percentile(F.col("`a.b`"), F.array(*map(F.lit, [0.01, 0.99, *TENTHS]))).alias("q")).first().q
+    clip, tenths = (both.scalars[features.Graph(ordered).roots[f]] for f in ("c", "b"))
+    assert [*clip, *tenths] == list(want)
+
+
 def test_order_bits_sort_as_doubles(spark):
     rng = random.Random(4)
     values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 0.9999999999999999, *[math.ldexp(rng.random() - 0.5, rng.randint(-1080, 1024)) for _ in range(2000)], *[math.nextafter(2.0**e, rng.choice([0, 1e308])) for e in range(-1000, 1000, 7)]]
