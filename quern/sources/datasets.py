@@ -153,7 +153,8 @@ def audit_records(records: DataFrame, traces: DataFrame | None = None) -> DataFr
         detail = F.col("detail") if "detail" in traces.columns else F.coalesce(F.concat(F.lit("at "), F.array_join("witness", ", ")), F.lit(""))
         one = F.struct("ord", F.struct(F.col("cert").alias("name"), F.col("verdict").alias("status"), "witness", F.when(F.size("witness") > 0, detail).otherwise("").alias("detail"), "failure_code").alias("check"))
         checks = traces.groupBy(F.col("feature_id").alias("of")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["check"]).cast(kind).alias("checks"))
-        rows = records.join(checks, F.col("feature_id") == F.col("of"), "left").withColumn("checks", F.coalesce("checks", F.array().cast(kind)))
+        # Their files are small for what they hold, so Spark would broadcast them.
+        rows = records.join(checks.hint("merge"), F.col("feature_id") == F.col("of"), "left").withColumn("checks", F.coalesce("checks", F.array().cast(kind)))
     failed = F.exists("checks", lambda x: x["status"] == "fail")
     said = F.col("overall") if "overall" in records.columns else F.lit(None).cast("string")
     overall = F.coalesce(said, F.when(failed, "fail").when(F.size("checks") > 0, "pass"))

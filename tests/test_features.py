@@ -367,3 +367,17 @@ def test_stratified_folds_are_even_in_each_label(spark):
     assert set(sizes) == {"common", "rare", None} and all(len(v) == 7 and max(v) - min(v) <= 1 for v in sizes.values())
     few = splits.k_fold(df.limit(3), "id", 5, exact=True).collect()
     assert sorted(r.fold for r in few) == [0, 1, 2]
+
+
+def test_certificates_join_and_broadcast_no_programs(spark, sf):
+    """Node tables are small files of many rows: a join that took one for small would broadcast every program."""
+    from quern.plans import catalog
+
+    nodes = catalog.compiled(spark, sf)
+    told = certify.traces(nodes, catalog.schema(spark), catalog.T_STAR)
+    for df in (told, certify.verdicts(nodes, told), datasets.audit_records(catalog.programs(spark, sf).withColumn("status", F.lit("accepted")), told)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        by_program = [line for line in plan.splitlines() if " Join " in f" {line}" and "feature_id" in line]
+        assert all("strategy=merge" in line for line in by_program), plan
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 1 and plan.count("Relation") == 1
