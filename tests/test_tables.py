@@ -157,3 +157,23 @@ def test_ranks_over_all_rows(spark):
     full = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=None).collect()}
     some = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=10**6).collect()}
     assert all(full[p][0] == some[p][0] and full[p][1] == pytest.approx(some[p][1], abs=1e-9) for p in pairs)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+@pytest.mark.parametrize("seconds", [0, 1, 11, 10**5])
+def test_ranges_in_two_running_halves_give_what_one_window_gives(spark, ties, seconds):
+    df = events(spark, ties)
+    wanted = {how: (how, "x") for how in ("sum", "count", "min", "max", "avg")}
+    want = df.withColumns({how: temporal.window_agg(["e"], "ts", "x", seconds, how) for how in wanted})
+    got = temporal.range_agg(df, "e", "ts", seconds, wanted)
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_no_range_is_added_up_again_for_each_row(spark, sf):
+    """Spark's sliding frames cost rows times rows of a range; running ones start at the partition's first row."""
+    from quern.plans import catalog
+
+    for name in ("hot_entity_range", "window_agg"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and plan.count("RangeFrame") == plan.count("RangeFrame, unboundedpreceding$(), currentrow$()"), plan
