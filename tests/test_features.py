@@ -381,3 +381,17 @@ def test_certificates_join_and_broadcast_no_programs(spark, sf):
         assert all("strategy=merge" in line for line in by_program), plan
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join " in line for line in plan.splitlines()) == 1 and plan.count("Relation") == 1
+
+
+def test_samples_of_pairs_bring_few_rows_to_a_task(spark):
+    """The rows that are ranked by hash are a few more than the sample, however many there are, and hold those of smallest hash."""
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("x"), (F.col("id") % 7).alias("y"), F.when(F.col("id") % 1000 == 0, 1.0).alias("rare"))
+    pairs = [F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("accepted"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in (("x", "y"), ("y", "y"), ("rare", "y"))]
+    rows = [(r.h, r.candidate, r.a) for r in selection.smallest(df, splits.rank_key(F.col("id"), 42), pairs, 200).collect()]
+    every = df.select(splits.rank_key(F.col("id"), 42).alias("h"), "x", "y", "rare").collect()
+    for name in ("x", "y", "rare"):
+        own = sorted(h for h, c, _ in rows if c == name)
+        want = sorted(r.h for r in every if r[name] is not None)
+        assert own[:200] == want[:200] and len(own) <= 450
+    same = spark.range(2_000).select(F.lit(1).alias("id"), (F.col("id") * 1.0).alias("x"))  # one hash: the bound is doubled up to all rows
+    assert selection.rank_correlation(same, "id", [("x", "x")], sample=50).first().n == 50
