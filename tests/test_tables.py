@@ -177,3 +177,16 @@ def test_no_range_is_added_up_again_for_each_row(spark, sf):
     for name in ("hot_entity_range", "window_agg"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and plan.count("RangeFrame") == plan.count("RangeFrame, unboundedpreceding$(), currentrow$()"), plan
+
+
+def test_few_labels_deal_no_rows_by_label(spark, monkeypatch):
+    """Half of the rows have one label: dealt by it, they would all meet in one task."""
+    from quern.operators import scoring
+
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise(F.col("id").cast("string")).alias("v"))
+    for out in (splits.label_encode(df, "v"), scoring.model_input(df, [], ["v"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+    want = sorted(map(tuple, splits.label_encode(df, "v").collect()))
+    monkeypatch.setattr(splits, "FEW", 10)
+    assert sorted(map(tuple, splits.label_encode(df, "v").collect())) == want
