@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import audit, features, splits
 
+#: Rows of a model's input in one task at most, where there are more than that for each core.
+TASK_ROWS = 250_000
+
 
 def model_input(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Infinite and missing numbers become -1; categories become their place among the sorted ones of all rows.
@@ -51,7 +54,11 @@ def score(train: DataFrame, other: DataFrame, inputs: list[str], task: str = "C"
     if name == "LR":
         train, other = min_max(train, train, inputs), min_max(train, other, inputs)
     assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    ready = assemble.transform(train).select("features", F.col("label").cast("double").alias("label")).persist()
+    ready = assemble.transform(train).select("features", F.col("label").cast("double").alias("label"))
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    if rows > TASK_ROWS * cores:  # a file's splits hold millions of rows, whose vectors take far more room than the file
+        ready = ready.repartition(-(-rows // TASK_ROWS))
+    ready = ready.persist()
     try:
         classes = ready.select("label").distinct().count() if task == "C" else 0
         fitted = model(name, task, classes, trees).fit(ready)

@@ -395,3 +395,18 @@ def test_samples_of_pairs_bring_few_rows_to_a_task(spark):
         assert own[:200] == want[:200] and len(own) <= 450
     same = spark.range(2_000).select(F.lit(1).alias("id"), (F.col("id") * 1.0).alias("x"))  # one hash: the bound is doubled up to all rows
     assert selection.rank_correlation(same, "id", [("x", "x")], sample=50).first().n == 50
+
+
+def test_model_inputs_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    df = spark.range(0, 400, 1, 1).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 + F.col("id") / 1000).alias("x"))
+    seen = []
+    real = scoring.model
+    class Watched:  # noqa: E301
+        def fit(self, ready):
+            seen.append([r.n for r in ready.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()])
+            return real("LR", "C").fit(ready)
+
+    monkeypatch.setattr(scoring, "TASK_ROWS", 20)
+    monkeypatch.setattr(scoring, "model", lambda *_: Watched())
+    assert scoring.score(df, df, ["x"], "C", "LR") > 0.95
+    assert sum(seen[0]) == 400 and len(seen[0]) == 20 and max(seen[0]) <= 40
