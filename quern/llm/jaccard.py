@@ -27,6 +27,8 @@ PRUNE_ROUNDS = 2
 HOT_ROWS, FINER = 256, 4
 #: Rounds in which components of a bucket are compared by one member each before all that is left is compared.
 STAR_ROUNDS = 2
+#: A node's smallest keys, by which two nodes that meet in many buckets are compared in the first of them alone.
+FIRST_KEYS = 16
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +257,24 @@ class Verifier:
         both = self.sketched(self.sketched(pairs.distinct(), "b", "b"), "a", "a")
         return self.links(both.where(possible(self.percent)).select("a", "b", "na", "nb"))
 
+    def met(self, members: DataFrame) -> DataFrame:
+        """(a, b, na, nb) of different labels in one bucket of (key, node, label) whose sketches allow a link; the bound is part of the join.
+
+        Two nodes that share most of their keys meet in dozens or hundreds of buckets. They are left out of a bucket if their FIRST_KEYS smallest keys
+        have a smaller one in common, as they meet in that one's bucket. So a pair comes once if its smallest common key is among
+        both nodes' first ones, as it mostly is for those that share many; others, which share few, may come again.
+        """
+        first = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+        rows = members.join(first, "node")
+        own = self.sketched(rows, "a").withColumnsRenamed({"node": "a", "first": "fa"})
+        other = self.sketched(rows.select("node", F.col("key").alias("same"), F.col("label").alias("other"), F.col("first").alias("fb")), "b").withColumnRenamed("node", "b")
+        new = F.coalesce(F.array_min(F.array_intersect("fa", "fb")) >= F.col("key"), F.lit(True))
+        met = own.join(other, (F.col("key") == F.col("same")) & (F.col("label") < F.col("other")) & possible(self.percent) & new)
+        return met.select("a", "b", "na", "nb")
+
     def within(self, members: DataFrame) -> DataFrame:
-        """The links between different labels of (key, node, label) in one bucket; the bound is part of the join."""
-        own = self.sketched(members, "a").withColumnRenamed("node", "a")
-        other = self.sketched(members.select("node", F.col("key").alias("same"), F.col("label").alias("other")), "b").withColumnRenamed("node", "b")
-        met = own.join(other, (F.col("key") == F.col("same")) & (F.col("label") < F.col("other")) & possible(self.percent))
-        return self.links(met.select("a", "b", "na", "nb").distinct())
+        """The links between different labels of (key, node, label) in one bucket."""
+        return self.links(self.met(members).distinct())
 
 
 def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:

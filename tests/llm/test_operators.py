@@ -148,6 +148,23 @@ def test_jaccard_of_a_large_group_and_a_common_passage(spark):
     assert [got[i] for i in range(len(rows))] == label.tolist()
 
 
+def test_pairs_that_share_many_buckets_meet_once(spark):
+    """30 nodes with one sketch, each in about 180 of 200 buckets: a pair comes about once, not in each; pairs whose only common keys are their largest come too."""
+    rng = random.Random(5)
+    keys = sorted(rng.randrange(-(2**63), 2**63) for _ in range(400))
+    many = {i: set(rng.sample(keys[:200], 180)) for i in range(30)}
+    late = {i: {*keys[200 + 40 * (i - 30) : 240 + 40 * (i - 30)], *keys[-3:]} for i in range(30, 33)}
+    held = many | late
+    members = spark.createDataFrame([(k, i, i % 29) for i, own in held.items() for k in own], "key long, node long, label long").repartition(3)
+    verifier = jaccard.Verifier.__new__(jaccard.Verifier)
+    verifier.percent = 80
+    verifier.near = spark.createDataFrame([(i, 100, [0] * jaccard.FOLD) for i in held], "node long, n long, sketch array<long>")
+    rows = [frozenset((r.a, r.b)) for r in verifier.met(members).select("a", "b").collect()]
+    pairs = {frozenset((i, j)) for i in held for j in held if i < j and i % 29 != j % 29 and held[i] & held[j]}
+    assert set(rows) == pairs and len(pairs) > 400
+    assert len(rows) <= 1.1 * len(pairs)
+
+
 def test_jaccard_keep_with_null_and_repeated_keys(spark):
     base = {c: [f"{c}{i}" for i in range(60)] for c in "abcde"}
     near = lambda c, k: " ".join([*base[c][:-1], f"other{k}"])
