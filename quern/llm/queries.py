@@ -88,10 +88,9 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_bucket("doc_id", 4) == 2)
-    train = docs.where("not held_out")
-    learned = language_id.dictionaries(train)
-    out = language_id.classify(docs.select("doc_id", "text", "held_out"), learned, margin=language_id.fit_margin(train, learned))
-    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+    learned = language_id.dictionaries(docs.where("not held_out"))
+    out, margin = language_id.fitted(docs, learned, train=~F.col("held_out"), keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), language_id.told(F.col("lang_margin"), F.col("lang_frame"), margin).alias("accepted"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,31 @@ def test_language_id_rejects_foreign_and_junk_and_keeps_short_clean_texts(spark,
     assert sum(r.lang_accepted for r in rest) >= 0.97 * len(rest)
 
 
+def test_language_margin_is_fitted_on_every_labelled_text(spark):
+    """Each different labelled text counts, whole and once, however often it stands there; the pass that classifies gives the same margin."""
+    rng = random.Random(9)
+    words = {"de": ["und", "nicht", "über", "der", "Straße", "schön", "gegen"], "en": ["and", "not", "over", "the", "street", "nice", "against"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.choice([8, 40, 300, 2000]))), lang) for i, lang in enumerate(["de", "en"] * 400)]
+    rows += [(1000 + i, rows[0][1], "de") for i in range(300)] + [(2000, None, "de"), (2001, "", "en"), (2002, "and the street", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    learned = language_id.dictionaries(df)
+    sizes = language_id.frame_sizes(learned)
+    reached = []
+    for low, lang in {(t.lower(), lang) for _, t, lang in rows if t and lang}:
+        raw = low.encode()
+        if raw not in learned[lang]:
+            found = dict(zip(sorted(learned), sizes(raw).tolist(), strict=True))
+            gap = min(v for k, v in found.items() if k != lang) - found[lang]
+            if gap > 0:
+                reached.append(gap / math.sqrt(found[lang]))
+    assert len(reached) > 600
+    margin = language_id.fit_margin(df, learned)
+    assert margin == pytest.approx(float(np.quantile(reached, language_id.FIT_QUANTILE)) / 2, rel=1e-12) and margin > 0
+    one = sorted(str(r) for r in language_id.accepted(df, learned, fit="lang").collect())
+    assert one == sorted(str(r) for r in language_id.accepted(df, learned, margin=margin).collect())
+    assert language_id.fit_margin(df.limit(0), learned) == language_id.fit_margin(df, {}) == 0.0
+
+
 def test_language_sample_holds_different_texts(spark):
     rows = [(f"{'wort' if k % 2 else 'word'} number {k} of many", "de" if k % 2 else "en") for k in range(40)]
     copies = [("the same text again and again " * 10, "en")] * 3000 + [("THE same text again and again " * 10, "en")] * 10
