@@ -14,9 +14,8 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that compression can tell go: null, empty, without a letter, or with a margin under that
-    of the labelled rows. Each row is told by itself, a long text as a whole; repeated rows have one fate."""
-    learned = language_id.dictionaries(docs)
-    return language_id.accepted(docs, learned, margin=language_id.fit_margin(docs, learned))
+    of all labelled rows. Each row is told by itself, a long text as a whole; repeated rows have one fate."""
+    return language_id.accepted(docs, language_id.dictionaries(docs), fit="lang")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
