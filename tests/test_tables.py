@@ -159,6 +159,39 @@ def test_ranks_over_all_rows(spark):
     assert all(full[p][0] == some[p][0] and full[p][1] == pytest.approx(some[p][1], abs=1e-9) for p in pairs)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_ranks_over_all_rows_of_many_and_hot_and_odd_values(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "RANGE", 100)
+    rng = random.Random(10)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0]
+    rows = [(i, rng.gauss(0, 1) if i % 3 else 0.25, rng.gauss(0, 1) + i / 900, rng.choice([*odd, *map(float, range(300))]), i % 2 == 0, "text" if i % 5 else None, None, 1e8 + 0.1, rng.randint(0, 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, hot double, b double, odd double, yes boolean, t string, none double, flat double, small int").repartition(5)
+    with_odd = [("hot", "b"), ("b", "odd"), ("odd", "hot"), ("odd", "odd"), ("yes", "odd"), ("small", "yes"), ("t", "b"), ("t", "t"), ("none", "b"), ("none", "none"), ("flat", "b"), ("flat", "small")]
+    for pairs in (with_odd, [("small", "yes")], [("b", "b")]):
+        full = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=None).collect()}
+        some = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=10**6).collect()}
+        assert set(full) == set(some) == set(pairs)
+        assert {p: full[p] for p in pairs if full[p][0] != some[p][0] or full[p][1] != pytest.approx(some[p][1], abs=1e-9)} == {}
+
+
+def test_ranks_over_all_rows_shuffle_a_pairs_rows_twice(spark):
+    """Once to add them up by the value of one side, once to deal these values into ranges."""
+    rng = random.Random(11)
+    rows = 20_000
+    df = spark.createDataFrame([(i, rng.randint(0, 9), rng.gauss(0, 1)) for i in range(rows)], "id long, few long, many double")
+    store = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        store.listenerBus().waitUntilEmpty()
+        stages = store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert selection.rank_correlation(df, "id", [("few", "many")], sample=None).first().n == rows
+    assert 2 * rows <= shuffled() - before < 2.1 * rows
+
+
 @pytest.mark.parametrize("ties", [False, True])
 @pytest.mark.parametrize("seconds", [0, 1, 11, 10**5])
 def test_ranges_in_two_running_halves_give_what_one_window_gives(spark, ties, seconds):
