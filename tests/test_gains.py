@@ -130,3 +130,27 @@ def test_gains_that_are_not_there(spark):
     (r,) = gains.candidate_gains(df.limit(0), "id", "y", [], ["x"]).collect()
     assert r.delta2 is None and r.deltas4 == [None] * 5
     assert [r.rejection_reason for r in gains.forward(df, "id", "y", [], [(0, "x", "h")]).collect()] == ["TIER3_SINGLE_FAIL"]
+
+
+def test_forward_reads_all_train_rows(spark):
+    """More train rows than any sample had: similarities are over all of them, and tier 2 splits all of them four to one."""
+    frame = rows(9000, seed=6)
+    matrix = spark.createDataFrame(frame[["id", "base", "a", "sum", "noise", "y", "_split"]]).repartition(3)
+    got = {r.feature_id: r for r in gains.forward(matrix, "id", "y", ["base"], [(0, "a", "h1"), (0, "sum", "h2"), (0, "noise", "h3")], "R", tier2=True).collect()}
+    train = frame[frame._split == "train"].copy()
+    assert len(train) > 5000 and [got[c].rejection_reason for c in ("a", "sum")] == ["", ""]
+    ranks = train[["a", "sum", "noise"]].rank()
+    assert got["sum"].redundancy_max == pytest.approx(ranks["sum"].corr(ranks["a"]), abs=1e-9)
+    assert got["noise"].redundancy_max == pytest.approx(max(0.0, ranks["noise"].corr(ranks["a"]), ranks["noise"].corr(ranks["sum"])), abs=1e-9)
+    train["h"] = [hashlib.md5(f"42:{i}".encode()).hexdigest() for i in train.id]
+    train = train.sort_values("h")
+    cut = int(len(train) * 0.8)
+    old, new = (refit(train[:cut], train[cut:], ["base", "a", "sum", *more], ["y"]) for more in ([], ["noise"]))
+    assert got["noise"].tier == "tier2" and got["noise"].delta_mean == pytest.approx((new - old) / abs(old), rel=1e-6, abs=1e-9)
+
+
+def test_hash_at_a_place(spark, monkeypatch):
+    monkeypatch.setattr(gains, "BATCH", 2)
+    hashes = sorted([hashlib.md5(f"42:{i % 700}".encode()).hexdigest() for i in range(1000)])
+    df = spark.createDataFrame([(h,) for h in hashes], "h string").repartition(3)
+    assert all(gains.nth_hash(df, n) == hashes[n] for n in (0, 1, 333, 799, 999))
