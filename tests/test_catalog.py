@@ -52,6 +52,7 @@ def late_spread(spark, tmp_path_factory):
 ALL_ROWS = {
     "redundancy_gate": [("price", "POST_EVAL_REDUNDANT"), ("signed", "POST_EVAL_REDUNDANT")],
     "redundancy_max": [("price", 1.0, "signed", False), ("signed", 1.0, "flipped", False)],
+    "select_nonredundant": [("flipped",), ("price",), ("small",)],
 }
 
 
