@@ -175,6 +175,23 @@ def test_ranks_over_all_rows_of_many_and_hot_and_odd_values(spark, monkeypatch,
         assert {p: full[p] for p in pairs if full[p][0] != some[p][0] or full[p][1] != pytest.approx(some[p][1], abs=1e-9)} == {}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_ranks_over_all_rows_beside_one_column(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "RANGE", 100)
+    monkeypatch.setattr(selection, "BESIDE", 3)
+    rng = random.Random(12)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0]
+    rows = [(i, rng.gauss(0, 1) if i % 3 else 0.25, rng.gauss(0, 1) + i / 900, rng.choice([*odd, *map(float, range(300))]), i % 2 == 0, "text" if i % 5 else None, None, 1e8 + 0.1, rng.randint(0, 3) if i % 4 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, hot double, b double, odd double, yes boolean, t string, none double, flat double, small int").repartition(5)
+    for one in ("hot", "odd", "small", "none", "t"):
+        pairs = [(one, c) if n % 2 else (c, one) for n, c in enumerate(c for c in df.columns if c not in ("id", one))]
+        full = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=None).collect()}
+        some = {(r.candidate, r.accepted): (r.n, r.value_sim) for r in selection.rank_correlation(df, "id", pairs, sample=10**6).collect()}
+        assert set(full) == set(some) == set(pairs)
+        assert {p: (full[p], some[p]) for p in pairs if full[p][0] != some[p][0] or full[p][1] != pytest.approx(some[p][1], abs=1e-9)} == {}
+
+
 def test_ranks_over_all_rows_shuffle_a_pairs_rows_twice(spark):
     """Once to add them up by the value of one side, once to deal these values into ranges."""
     rng = random.Random(11)
